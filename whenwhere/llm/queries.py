@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
+    "op3_suffix_array_dedup": suffix_dedup.op3,
 }
 
 ORACLE = {}
