@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import packing, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
     "op3_suffix_array_dedup": suffix_dedup.op3,
+    "op6_packing": packing.op6,
 }
 
 ORACLE = {}
