@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, substring_dedup, suffix_dedup
+from . import packing, quality, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
     "op3_suffix_array_dedup": suffix_dedup.op3,
     "op6_packing": packing.op6,
+    "op7_quality_line_frequency": quality.op7,
 }
 
-ORACLE = {}
+ORACLE = {
+    "op7_quality_line_frequency": quality.SQL,
+}
