@@ -134,9 +134,10 @@ def _candidates(k: int, bits, log_width: int):
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             owner = np.repeat(ids[row[first]], np.diff(np.append(first, len(keys))))
             later = ids[row] > owner
-            mine = ~later
+            mine = np.flatnonzero(~later)
+            mine = mine[np.argsort(order[mine])]  # in the order of the text, neighbours repeat all but the window and shuffle files compress
             at = row[mine]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[mine].view(np.int64)), pa.array(ids[at]), pa.array(ver[at]), pa.array(pos[mine]), pa.nulls(int(mine.sum()), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[mine].view(np.int64)), pa.array(ids[at]), pa.array(ver[at]), pa.array(pos[mine]), pa.nulls(len(mine), pa.binary())], schema=schema)
             if later.any():
                 row, pos = row[later], pos[later]
                 order = np.lexsort((pos, row))
