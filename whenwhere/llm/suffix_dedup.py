@@ -24,6 +24,7 @@ all their strings. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,8 @@ from . import arrowtext as A
 from .shared import LOG_BLOCK, gather_bits, has_bit
 
 LENGTH, COVER_R, GRAM = 400, 2, 32
-MAX_LOG_WIDTH = 28
+#: The bitmap of repeated classes: at most 2**29 bits (64 MB), broadcast; four bits a class, so that few unique classes pass.
+MAX_LOG_WIDTH, BITS_A_CLASS = 29, 4
 HOLD = 4_000_000
 
 
@@ -114,6 +116,14 @@ def _sample_classes(length: int, r: int, log_width: int):
     return run
 
 
+def _slots(keys: np.ndarray, log_width: int):
+    """A class's bits: all in the block that its leading bits name."""
+    block = (keys >> np.uint64(64 - log_width)).astype(np.int64) & ~np.int64((1 << min(LOG_BLOCK, log_width)) - 1)
+    for j in range(BITS_A_CLASS):
+        keys = A.mix(keys)
+        yield block | (keys >> np.uint64(64 - min(LOG_BLOCK, log_width))).astype(np.int64)
+
+
 def _repeated_classes(log_width: int):
     """Bits of the classes that occur twice or more; blocks hold distinct classes once they have grown."""
     size = 1 << min(LOG_BLOCK, log_width)
@@ -121,7 +131,8 @@ def _repeated_classes(log_width: int):
     def settle(state, pending, flags):
         keys = np.sort(np.concatenate([*([state] if state is not None else []), *pending]))
         again = keys[1:][keys[1:] == keys[:-1]]
-        flags[((again >> np.uint64(64 - log_width)) & np.uint64(size - 1)).astype(np.int64)] = True
+        for slot in _slots(again, log_width):
+            flags[slot & (size - 1)] = True
         return np.unique(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +178,10 @@ def _suffix_runs(length: int, r: int, bits, log_width: int):
                 c = _Chunk(raw, offs, *x, length, v, in_cover)
                 if not len(c.sample):
                     continue
-                hit = c.sample[has_bit(bitmap, (c.keys(c.sample, length - v + 1) >> np.uint64(64 - log_width)).astype(np.int64))]
+                keys, hit = c.keys(c.sample, length - v + 1), c.sample
+                for j in range(BITS_A_CLASS):
+                    found = has_bit(bitmap, next(itertools.islice(_slots(keys, log_width), j, None)))
+                    keys, hit = keys[found], hit[found]
                 if not len(hit):
                     continue
                 edge = np.zeros(len(c.row) + 1, np.int32)
@@ -290,7 +304,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cover_r: int = COVER_R
     spark = docs.sparkSession
     docs = docs.select(F.col(text_col).alias("txt"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("ver")).where("own is not null and txt is not null")
     size = docs.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
-    log_width = min(max_log_width, max(16, int(size // 8).bit_length()))
+    log_width = min(max_log_width, max(16, int(size // 3).bit_length()))
     sample = docs.select("txt").mapInArrow(_sample_classes(length, cover_r, log_width), "blk int, data binary")
     classes = sample.repartition("blk").mapInArrow(_repeated_classes(log_width), "blk int, bits binary")
     bits = spark.sparkContext.broadcast(gather_bits(classes, 1, log_width))
