@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, packing, quality, substring_dedup, suffix_dedup
+from . import ann, bpe, packing, probminhash, quality, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
     "op3_suffix_array_dedup": suffix_dedup.op3,
+    "op5_probminhash": probminhash.op5,
     "op6_packing": packing.op6,
     "op7_quality_line_frequency": quality.op7,
     "op8_bpe_prefix_dp": bpe.op8,
