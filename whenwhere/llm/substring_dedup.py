@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
@@ -188,13 +188,18 @@ def split_ascii(text: str) -> list[str]:
     return [w for w in text.translate(_SPACES).split(" ") if w]
 
 
+def _version(text: Column) -> Column:
+    """24 bits of the text's hash tell rows apart that share a doc_id; more would only weigh on the shuffle."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("ver")
+
+
 def repeated_starts(docs: DataFrame, k: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", max_log_width: int = MAX_LOG_WIDTH) -> DataFrame:
     """One row for each document that loses words: own, ver (fingerprint of its text), starts (array of int) and settled (array of binary int32)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("txt")).where("own is not null and txt is not null")
     bits, log_width = repeated_sketch(docs, "txt", k, max_log_width)
     shared = spark.sparkContext.broadcast(bits)
-    rows = docs.select("own", "txt", F.xxhash64("txt").alias("ver")).mapInArrow(_candidates(k, shared, log_width), "win long, own long, ver long, pos int, settled binary")
+    rows = docs.select("own", "txt", _version(F.col("txt"))).mapInArrow(_candidates(k, shared, log_width), "win long, own long, ver long, pos int, settled binary")
     by_window = Window.partitionBy("win", F.col("pos").isNull())
     lost = rows.withColumn("first", F.min("own").over(by_window)).where("settled is not null or first < own")
     return lost.groupBy("own", "ver").agg(F.collect_list("pos").alias("starts"), F.collect_list("settled").alias("settled"))
@@ -206,7 +211,7 @@ def dedup(docs: DataFrame, k: int = WINDOW_WORDS, id_col: str = "doc_id", text_c
     Returns the id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the kept words joined by one space).
     """
     lost = repeated_starts(docs, k, id_col, text_col, max_log_width)
-    rows = docs.select(F.col(text_col).alias("txt"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("ver")).join(lost, ["own", "ver"], "left")
+    rows = docs.select(F.col(text_col).alias("txt"), F.col(id_col).cast("long").alias("own"), _version(F.col(text_col))).join(lost, ["own", "ver"], "left")
     schema = "doc_id long, ver long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return rows.select("txt", "own", "ver", "starts", "settled").mapInArrow(_remove(k, with_text), schema)
 
