@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, packing, probminhash, quality, substring_dedup, suffix_dedup
+from . import ann, bpe, masked_lm, packing, pii, probminhash, quality, substring_dedup, suffix_dedup, token_files
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
+    "op2_pii_surrogates": pii.op2,
     "op3_suffix_array_dedup": suffix_dedup.op3,
+    "op4_token_file_counts": token_files.op4,
     "op5_probminhash": probminhash.op5,
     "op6_packing": packing.op6,
     "op7_quality_line_frequency": quality.op7,
     "op8_bpe_prefix_dp": bpe.op8,
     "op9_block_matrix_neighbours": ann.op9,
+    "op10_masked_lm_scores": masked_lm.op10,
 }
 
 ORACLE = {
