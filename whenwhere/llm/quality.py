@@ -89,11 +89,11 @@ def frequent_lines(docs: DataFrame, min_docs: int) -> DataFrame:
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, least_kept: float = LEAST_KEPT, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, the base counts, base_failed, n_frequent_words (in dropped lines), kept.
 
-    ``keep`` names columns of the input to return too; with the text among them, kept_text (without the dropped lines) comes along.
+    ``keep`` names columns of the input to return too; with the text among them, kept_text (the text without the dropped lines) comes in its place.
     """
     with_text = text_col in keep
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
-    rows = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("_text"), host.alias("host"), F.xxhash64(text_col).alias("ver"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
+    rows = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("_text"), host.alias("host"), F.xxhash64(text_col).alias("ver"), *(F.col(c).alias(f"_keep_{c}") for c in keep if c != text_col))
     keyed = rows.withColumn("keys", line_keys(F.col("_text"), F.col("host")))
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
     frequent = frequent_lines(keyed.select("own", "ver", "keys"), min_docs)
@@ -101,7 +101,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = seen.where("own is null or own <> first_id").groupBy("own", "ver", "host").agg(F.collect_set(F.struct("key", "n_docs")).alias("seen"))
     counted = base_counts(keyed, "_text")
     lines = F.col("keys") if with_text else F.transform("keys", lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n")))
-    counted = counted.withColumn("keys", lines).drop("_text")
+    counted = counted.withColumn("keys", lines).withColumn("_null", F.col("_text").isNull()).drop("_text")
     joined = counted.alias("c").join(seen.alias("s"), F.col("c.own").eqNullSafe(F.col("s.own")) & (F.col("c.ver") == F.col("s.ver")) & (F.col("c.host") == F.col("s.host")), "left").select("c.*", "s.seen").join(hosts, "host", "left")
     limit = F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("host_docs"))
     joined = joined.withColumn("_limit", limit).withColumn("_gone", F.transform(F.filter(F.coalesce("seen", F.array().cast("array<struct<key:bigint,n_docs:bigint>>")), lambda x: x["n_docs"] > F.col("_limit")), lambda x: x["key"]))
@@ -109,10 +109,11 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = joined.withColumn("n_frequent_words", F.when(F.size("_gone") > 0, F.aggregate(F.filter("keys", lambda x: F.array_contains("_gone", F.coalesce(x["key"], F.lit(0))) & x["key"].isNotNull()), F.lit(0), lambda s, x: s + x["n"])).otherwise(0).cast("long"))
     kept = ~F.col("base_failed") & ((F.col("n_words") - F.col("n_frequent_words")) >= F.lit(least_kept) * F.col("n_words"))
     out = [F.col("own").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_frequent_words"]
-    out += [F.col(f"_keep_{c}").alias(c) for c in keep if c not in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words", "kept_text")]
+    out += [F.col(f"_keep_{c}").alias(c) for c in keep if c not in (text_col, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words", "kept_text")]
     if with_text:
         left = F.filter("keys", lambda x: x["key"].isNull() | ~F.array_contains("_gone", F.coalesce(x["key"], F.lit(0))))
-        out.append(F.when(F.size("_gone") > 0, F.array_join(F.transform(left, lambda x: x["line"]), "\n")).otherwise(F.col(f"_keep_{text_col}")).alias("kept_text"))
+        left = F.when(F.size("_gone") > 0, left).otherwise(F.col("keys"))
+        out.append(F.when(~F.col("_null"), F.array_join(F.transform(left, lambda x: x["line"]), "\n")).alias("kept_text"))
     return joined.select(*out)
 
 

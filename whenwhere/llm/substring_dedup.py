@@ -151,12 +151,10 @@ def _candidates(k: int, bits, log_width: int):
 
 
 def _remove(k: int, with_text: bool):
-    names = [("doc_id", pa.int64()), ("ver", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.large_string())] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids, ver = batch.column(0), batch.column(1), batch.column(2)
-            starts, settled = batch.column(3), batch.column(4)
+            texts, starts, settled = batch.column(0), batch.column(1), batch.column(2)
             n_words, n_removed, sha, kept = [], [], [], []
             for i, text in enumerate(texts):
                 words = split_ascii(text.as_py() or "")
@@ -174,8 +172,8 @@ def _remove(k: int, with_text: bool):
                 sha.append(hashlib.sha256(out.encode("utf-8", "surrogatepass")).hexdigest())
                 if with_text:
                     kept.append(out)
-            cols = [ids, ver, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())] + [pa.array(kept, pa.large_string())] * with_text
-            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(names))
+            cols = dict(zip(batch.schema.names[3:], batch.columns[3:], strict=True)) | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+            yield pa.RecordBatch.from_pydict(cols | ({"kept_text": pa.array(kept, pa.string())} if with_text else {}))
 
     return run
 
@@ -205,17 +203,20 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW_WORDS, id_col: str = "doc_i
     return lost.groupBy("own", "ver").agg(F.collect_list("pos").alias("starts"), F.collect_list("settled").alias("settled"))
 
 
-def dedup(docs: DataFrame, k: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, max_log_width: int = MAX_LOG_WIDTH) -> DataFrame:
+def dedup(docs: DataFrame, k: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, max_log_width: int = MAX_LOG_WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
     """Removes each word covered by a k-word window that also starts in a document with a smaller id.
 
-    Returns the id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the kept words joined by one space).
+    Returns doc_id, the columns ``keep``, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the kept words joined by one space).
     """
+    results = ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
+    keep = tuple(c for c in keep if c not in results)
     lost = repeated_starts(docs, k, id_col, text_col, max_log_width)
-    rows = docs.select(F.col(text_col).alias("txt"), F.col(id_col).cast("long").alias("own"), _version(F.col(text_col))).join(lost, ["own", "ver"], "left")
-    schema = "doc_id long, ver long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return rows.select("txt", "own", "ver", "starts", "settled").mapInArrow(_remove(k, with_text), schema)
+    rows = docs.select(F.col(text_col).alias("_txt"), F.col(id_col).cast("long").alias("own"), _version(F.col(text_col)), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep))).join(lost, ["own", "ver"], "left")
+    rows = rows.select("_txt", "starts", "settled", F.col("own").alias("doc_id"), *(f"_{i}" for i in range(len(keep))))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[3:]] + ["n_words long", "n_removed long", "kept_sha256 string"] + ["kept_text string"] * with_text
+    return rows.mapInArrow(_remove(k, with_text), ", ".join(schema)).withColumnsRenamed({f"_{i}": c for i, c in enumerate(keep)})
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     """The contract's digest of every document."""
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).drop("ver")
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
