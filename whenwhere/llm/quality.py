@@ -107,7 +107,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = joined.withColumn("_limit", limit).withColumn("_gone", F.transform(F.filter(F.coalesce("seen", F.array().cast("array<struct<key:bigint,n_docs:bigint>>")), lambda x: x["n_docs"] > F.col("_limit")), lambda x: x["key"]))
     # the lines are searched only where something is dropped
     joined = joined.withColumn("n_frequent_words", F.when(F.size("_gone") > 0, F.aggregate(F.filter("keys", lambda x: F.array_contains("_gone", F.coalesce(x["key"], F.lit(0))) & x["key"].isNotNull()), F.lit(0), lambda s, x: s + x["n"])).otherwise(0).cast("long"))
-    kept = ~F.col("base_failed") & ((F.col("n_words") - F.col("n_frequent_words")) >= F.lit(least_kept) * F.col("n_words"))
+    # one comparison over both sides of the join: a filter on it stays above the join, where the base counts are columns already
+    kept = F.when(F.col("base_failed"), F.lit(-1).cast("long")).otherwise(F.col("n_words") - F.col("n_frequent_words")) >= F.lit(least_kept) * F.col("n_words")
     out = [F.col("own").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_frequent_words"]
     out += [F.col(f"_keep_{c}").alias(c) for c in keep if c not in (text_col, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words", "kept_text")]
     if with_text:
