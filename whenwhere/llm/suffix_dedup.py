@@ -39,6 +39,7 @@ LENGTH, COVER_R, GRAM = 400, 2, 32
 #: The bitmap of repeated classes: at most 2**29 bits (64 MB), broadcast; four bits a class, so that few unique classes pass.
 MAX_LOG_WIDTH, BITS_A_CLASS = 29, 4
 HOLD = 4_000_000
+CHUNK = 1 << 20
 
 
 def difference_cover(r: int) -> tuple[int, np.ndarray]:
@@ -49,13 +50,13 @@ def difference_cover(r: int) -> tuple[int, np.ndarray]:
 
 def _chunks(offs: np.ndarray, overlap: int):
     """(first row, last row, lo, hi, end of starts): whole rows, or parts of one long row that overlap."""
-    for r0, r1 in A.row_chunks(offs):
+    for r0, r1 in A.row_chunks(offs, CHUNK):
         lo, hi = int(offs[r0]), int(offs[r1])
-        if r1 - r0 > 1 or hi - lo <= 2 * A.CHUNK_BYTES:
+        if r1 - r0 > 1 or hi - lo <= 2 * CHUNK:
             yield r0, r1, lo, hi, hi
         else:
-            for a in range(lo, hi, A.CHUNK_BYTES):
-                yield r0, r1, a, min(hi, a + A.CHUNK_BYTES + overlap), min(hi, a + A.CHUNK_BYTES)
+            for a in range(lo, hi, CHUNK):
+                yield r0, r1, a, min(hi, a + CHUNK + overlap), min(hi, a + CHUNK)
 
 
 class _Chunk:
