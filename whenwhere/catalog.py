@@ -1,10 +1,9 @@
-"""All registered queries and their DuckDB SQL."""
+"""All registered queries of the reference's operators and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans import view_queries
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = dict(view_queries.QUERIES)
+ORACLE = dict(view_queries.ORACLE)
+flagship = view_queries.q_flagship
