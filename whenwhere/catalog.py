@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import view_queries
+from .plans import listing_queries, view_queries
 
-QUERIES = dict(view_queries.QUERIES)
-ORACLE = dict(view_queries.ORACLE)
+QUERIES = view_queries.QUERIES | listing_queries.QUERIES
+ORACLE = view_queries.ORACLE | listing_queries.ORACLE
 flagship = view_queries.q_flagship

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Entities in the order in which they are replaced.
 ENTITIES = [
@@ -157,13 +158,13 @@ def blank_if_missing(text: Column) -> Column:
     return F.when(text.isNull() | text.startswith("None") | text.startswith("N/A"), "").otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def search_form(texts: pd.Series) -> pd.Series:
     """Lower case without combining marks (U+0300 to U+036F). Spark has no Unicode decomposition of its own."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not "\u0300" <= c <= "\u036f").lower())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_html(texts: pd.Series) -> pd.Series:
     """All HTML entities decoded."""
     import html
@@ -171,7 +172,7 @@ def decode_html(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_emoji(texts: pd.Series) -> pd.Series:
     """The first emoji sequence, digits, # and * included, or null."""
     import regex
