@@ -6,9 +6,11 @@ register with the probability Jaccard similarity. Arrivals later than all regist
 
 32 bands of 6 registers give the candidates: at a similarity of 0.8 a pair shares no band once in 17,000 times. Within a
 band's bucket an 8-bit form of the registers is compared, in blocks of bounded size; pairs that agree in fewer than 65 % are
-left out (five standard deviations under 0.8). Round 1 verifies a spanning forest of each block, round 2 all remaining
-pairs of different classes, so a group of copies costs its size in links, not the square, and no link between classes is lost.
-Exact copies are one node throughout. Classes are connected components, found by large-star and small-star steps.
+left out (five standard deviations under 0.8). A spanning forest of each block's pairs suffices to find which documents hang
+together at all. These components of candidates then meet with their shingles, again in blocks, and every two of them that agree
+in 65 % are verified unless verified links connect them already. So neither step emits the pairs of a group, and no
+link between classes is lost. Exact copies are one node throughout. Components, of candidates and of links, are found by
+large-star and small-star steps.
 
 Two documents are linked if their exact probability Jaccard, or its unweighted form, is at least the threshold.
 
@@ -30,7 +32,7 @@ from . import arrowtext as A
 from .shared import materialise
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
-LEAST_AGREEMENT, BLOCK = 0.65, 512
+LEAST_AGREEMENT, BLOCK = 0.65, 256
 _STEP, _REG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -135,46 +137,75 @@ def _forest(close: np.ndarray) -> list[tuple[int, int]]:
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _block_pairs(m: int, least: float, forest: bool):
-    """Pairs of a block that agree enough; sorted input: bucket, block pair, doc_id, small, class."""
-
-    def edges(ids, small, label):
-        # blocks of two are most of all
-        if len(ids) == 2:
-            if label[0] != label[1] and ids[0] != ids[1] and (np.frombuffer(small[0], np.uint8) == np.frombuffer(small[1], np.uint8)).sum() >= least * m:
-                yield min(ids), max(ids)
-            return
-        close = _agreement(np.frombuffer(b"".join(small), np.uint8).reshape(-1, m))
-        lab, num = np.array(label), np.array(ids)
-        close[(close < least * m) | (lab[:, None] == lab) | (num[:, None] == num)] = 0
-        for i, j in _forest(close) if forest else np.argwhere(np.triu(close) > 0).tolist():
-            yield min(ids[i], ids[j]), max(ids[i], ids[j])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, small, label, out = None, [], [], [], set()
-
-        def told():
-            a, b = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=EDGES)
-
-        for batch in batches:
-            for bucket, p, q, doc, s, lab in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (bucket, p, q) != key:
-                    if len(ids) > 1:
-                        out.update(edges(ids, small, label))
-                    key, ids, small, label = (bucket, p, q), [], [], []
-                    if len(out) > 100_000:
-                        yield told()
-                        out = set()
-                ids.append(doc)
-                small.append(s)
-                label.append(lab)
-        if len(ids) > 1:
-            out.update(edges(ids, small, label))
-        if out:
-            yield told()
-
-    return run
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int):
+    """Rows of sorted batches by their first ``n_keys`` columns, each group's other columns as lists."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:n_keys] != key:
+                if len(held) > 1:
+                    yield list(zip(*held, strict=True))
+                key, held = row[:n_keys], []
+            held.append(row[n_keys:])
+    if len(held) > 1:
+        yield list(zip(*held, strict=True))
+
+
+def _told(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Pairs as batches, each pair once a batch."""
+    out: set[tuple[int, int]] = set()
+    for a, b in found:
+        out.add((min(a, b), max(a, b)))
+        if len(out) > 100_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=EDGES)
+            out = set()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=EDGES)
+
+
+def _bucket_forest(m: int, least: float):
+    """A spanning forest over the pairs of each block that agree enough; sorted input: bucket, block pair, node, small."""
+
+    def found(batches):
+        for ids, small in _groups(batches, 3):
+            if len(ids) == 2:  # most blocks
+                if ids[0] != ids[1] and (np.frombuffer(small[0], np.uint8) == np.frombuffer(small[1], np.uint8)).sum() >= least * m:
+                    yield ids
+                continue
+            num = np.array(ids)
+            close = _agreement(np.frombuffer(b"".join(small), np.uint8).reshape(-1, m))
+            close[(close < least * m) | (num[:, None] == num)] = 0
+            for i, j in _forest(close):
+                yield ids[i], ids[j]
+
+    return lambda batches: _told(found(batches))
+
+
+def _verified_links(m: int, least: float, threshold: float):
+    """Links that connect each block's classes; sorted input: candidate component, block pair, node, small, keys, counts."""
+
+    def found(batches):
+        for ids, small, keys, counts in _groups(batches, 3):
+            n = len(ids)
+            close = _agreement(np.frombuffer(b"".join(small), np.uint8).reshape(-1, m))
+            i, j = np.nonzero(np.triu(close >= least * m, 1))
+            best_first = np.argsort(-close[i, j], kind="stable")
+            sets = [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int32)) for k, c in zip(keys, counts, strict=True)]
+            root = list(range(n))
+
+            def find(x, root=root):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for a, b in zip(i[best_first].tolist(), j[best_first].tolist(), strict=True):
+                x, y = find(a), find(b)
+                if x != y and linked(sets[a], sets[b], threshold):
+                    root[x] = y
+                    yield ids[a], ids[b]
+
+    return lambda batches: _told(found(batches))
 
 
 def _shingle_rows(k: int):
@@ -209,18 +240,8 @@ def similarity(ka: np.ndarray, ca: np.ndarray, kb: np.ndarray, cb: np.ndarray) -
     return total, plain
 
 
-def _verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, ka, ca, kb, cb = batch.columns
-            keep = np.zeros(batch.num_rows, bool)
-            for r in range(batch.num_rows):
-                got = [np.frombuffer(c[r].as_buffer(), d) for c, d in ((ka, np.uint64), (ca, np.int32), (kb, np.uint64), (cb, np.int32))]
-                if min(len(got[0]), len(got[2])) >= 0.5 * threshold * max(len(got[0]), len(got[2])):
-                    keep[r] = max(similarity(*got)) >= threshold - 1e-9
-            yield pa.RecordBatch.from_arrays([a, b], schema=EDGES).filter(pa.array(keep))
-
-    return run
+def linked(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> bool:
+    return max(similarity(*a, *b)) >= threshold - 1e-9
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -240,6 +261,14 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(group, node, p, q): a group of over two blocks' size is cut into blocks by node, and every two blocks meet as one (p, q)."""
+    rows = rows.join(sizes, "group").withColumn("nb", F.when(F.col("n") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    met = rows.select("group", "node", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    return met.select("group", "node", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"))
+
+
 def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id of every row."""
     m = bands * rows
@@ -248,34 +277,18 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, ban
     signed = known.mapInArrow(_sign(k, bands, rows), "doc_id long, copy binary, bands array<long>, small binary")
     nodes = materialise(signed.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("small").alias("small")), "nodes")
 
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    member = banded.join(full, "bucket").join(nodes.select("node", "small"), "node")
-    member = member.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
-    member = materialise(member.select("bucket", "node", "small", "own", other).select("bucket", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), "node", "small"), "buckets")
-
-    def candidates(rows_: DataFrame, forest: bool) -> DataFrame:
-        dealt = rows_.select("bucket", "p", "q", "node", "small", "label").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-        return dealt.mapInArrow(_block_pairs(m, LEAST_AGREEMENT, forest), "a long, b long").distinct()
-
-    first = materialise(candidates(member.withColumn("label", F.col("node")), True), "pairs")
-    ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = known.select("doc_id", "txt").join(ends, F.col("doc_id") == F.col("node"), "left_semi").distinct()
-    sets = materialise(texts.mapInArrow(_shingle_rows(k), "node long, keys binary, counts binary"), "shingles")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("node").alias("a"), F.col("keys").alias("ka"), F.col("counts").alias("ca"))
-        right = sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"), F.col("counts").alias("cb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "ca", "kb", "cb").mapInArrow(_verify(threshold), "a long, b long")
-
-    links = materialise(verified(first), "links")
-    roots = components(links)
-    labelled = member.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    rest = candidates(labelled, False).join(first, ["a", "b"], "left_anti")
-    more = materialise(verified(rest), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    banded = nodes.select("node", F.explode("bands").alias("group"))
+    member = _dealt(banded, banded.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")).join(nodes.select("node", "small"), "node")
+    dealt = member.select("group", "p", "q", "node", "small").repartition("group", "p", "q").sortWithinPartitions("group", "p", "q")
+    hang = components(dealt.mapInArrow(_bucket_forest(m, LEAST_AGREEMENT), "a long, b long"))
+
+    held = materialise(hang.unionByName(hang.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "group"), "candidates")
+    # by merge at every size: the plan of a large corpus is the plan of a small one
+    texts = known.select("doc_id", "txt").join(held.select("node").hint("merge"), F.col("doc_id") == F.col("node"), "left_semi").distinct()
+    sets = texts.mapInArrow(_shingle_rows(k), "node long, keys binary, counts binary")
+    member = _dealt(held, held.groupBy("group").agg(F.count("*").alias("n"))).join(nodes.select("node", "small").hint("merge"), "node").join(sets, "node")
+    dealt = member.select("group", "p", "q", "node", "small", "keys", "counts").repartition("group", "p", "q").sortWithinPartitions("group", "p", "q")
+    roots = components(dealt.mapInArrow(_verified_links(m, LEAST_AGREEMENT, threshold), "a long, b long"))
     named = nodes.select("copy", "node").join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("root"))
     out = docs.select("doc_id", "copy").join(named, "copy", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("class_id"))
