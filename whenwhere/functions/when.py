@@ -53,3 +53,39 @@ def overlapping(occurrences: Column, start: Column, end: Column) -> Column:
 
 def any_overlap(occurrences: Column, start: Column, end: Column) -> Column:
     return F.exists(occurrences, lambda o: (o["start"] <= end) & (o["end"] >= start))
+
+
+def clock(moment: Column) -> Column:
+    """7pm, 6:30am."""
+    return F.replace(F.lower(F.replace(F.date_format(moment, "h:mm a"), F.lit(" "), F.lit(""))), F.lit(":00"), F.lit(""))
+
+
+def one_occurrence(o: Column) -> Column:
+    """Jul 4, 7pm–9pm; Jul 4, 7pm – Jul 6. o has start, end, start_time, end_time (texts; blank for none)."""
+    from_, to = (F.when(F.trim(F.coalesce(o[t], F.lit(""))) != "", clock(o[m])).otherwise("") for m, t in (("start", "start_time"), ("end", "end_time")))
+    first, last = F.date_format(o["start"], "MMM d"), F.date_format(o["end"], "MMM d")
+    lead = F.when(from_ != "", F.concat(first, F.lit(", "), from_)).otherwise(first)
+    one_day = F.when((from_ != "") & (to != "") & (from_ != to), F.concat(lead, F.lit("–"), to)).otherwise(lead)
+    tail = F.when(to != "", F.concat(F.lit(", "), to)).otherwise("")
+    return F.when(F.to_date(o["start"]) == F.to_date(o["end"]), one_day).otherwise(F.concat(lead, F.lit(" – "), last, tail))
+
+
+def many_occurrences(occurrences: Column) -> Column:
+    """Jul 4: 7pm, 9pm; Jul 5 — days and times in order, each once."""
+    day = lambda o: F.to_date(o["start"])
+
+    def time(o):
+        from_, to = (F.when(F.trim(F.coalesce(o[t], F.lit(""))) != "", clock(o[m])).otherwise("") for m, t in (("start", "start_time"), ("end", "end_time")))
+        same = F.to_date(o["start"]) == F.to_date(o["end"])
+        return F.when((from_ != "") & (to != "") & same & (from_ != to), F.concat(from_, F.lit("–"), to)).otherwise(from_)
+
+    def told(d):
+        times = F.array_distinct(F.filter(F.transform(F.filter(occurrences, lambda o: day(o) == d), time), lambda t: t != ""))
+        return F.when(F.size(times) > 0, F.concat(F.date_format(d, "MMM d"), F.lit(": "), F.array_join(times, ", "))).otherwise(F.date_format(d, "MMM d"))
+
+    return F.array_join(F.transform(F.array_distinct(F.transform(occurrences, day)), told), "; ")
+
+
+def compact(occurrences: Column) -> Column:
+    """The dates and times of an event in short."""
+    return F.when(F.coalesce(F.size(occurrences), F.lit(0)) <= 0, "Date/Time N/A").when(F.size(occurrences) == 1, one_occurrence(F.get(occurrences, 0))).otherwise(many_occurrences(occurrences))

@@ -10,6 +10,7 @@ from ..functions import geo, tags, text, url, when
 from ..operators import listing as L
 from ..sources import files
 from ..streaming import incremental
+from . import batch
 from . import model as M
 
 QUERIES, ORACLE = {}, {}
@@ -293,6 +294,36 @@ def q_datetime_format(spark, d):
     return M.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "MMM d, yyyy").alias("day"))
 
 
+_clock = "replace(lower(replace(strftime({}, '%-I:%M %p'), ' ', '')), ':00', '')"
+
+
+@query(f"""with w as (select l_orderkey as id, l_shipdate + to_hours(l_linenumber % 24) + to_minutes(l_linenumber % 2 * 30) as s, l_quantity from lineitem),
+z0 as (select id, s, s + to_hours(l_quantity::int % 5) as e from w), z as (select *, {_clock.format("s")} as c, {_clock.format("e")} as f from z0),
+y as (select id, s, e, case when s::date = e::date and c <> f then c || '–' || f else c end as t from z),
+g as (select id, s::date as k, t, min({{'s': s, 'e': e}}) as first from y group by 1, 2, 3),
+many as (select id, string_agg(day || ': ' || times, '; ' order by k) as text from (select id, k, strftime(k, '%b %-d') as day, string_agg(t, ', ' order by first) as times from g group by 1, 2) group by 1),
+x as (select id, count(*) as n, min(s)::date as sd, arg_min(e, s)::date as ed, arg_min(c, s) as st, arg_min(f, s) as et from z group by 1)
+select id, case when n > 1 then text else strftime(sd, '%b %-d') || ', ' || st || (case when sd <> ed then ' – ' || strftime(ed, '%b %-d') || ', ' || et when st <> et then '–' || et else '' end) end as text from x join many using (id)""")
+def q_compact_dates(spark, d):
+    li = M.table(spark, d, "lineitem")
+    start = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.col("l_linenumber") % 24, F.col("l_linenumber") % 2 * 30)
+    end = start + F.make_dt_interval(F.lit(0), F.col("l_quantity").cast("int") % 5)
+    occ = li.select(F.col("l_orderkey").alias("id"), F.struct(start.alias("start"), end.alias("end"), F.lit("x").alias("start_time"), F.lit("x").alias("end_time")).alias("o"))
+    return occ.groupBy("id").agg(F.array_sort(F.collect_list("o")).alias("occ")).select("id", when.compact(F.col("occ")).alias("text"))
+
+
+@query("""select p_partkey, count(*) as n_events, min(name) as name from (select p_partkey, p_brand as name from part union all select p_partkey, p_name from part) group by 1""")
+def q_batch_plan(spark, d):
+    """Tables of two listings each, one of which names a place of the gazetteer, through the whole batch plan."""
+    pages = _tables(spark, d).withColumnRenamed("p_partkey", "file").withColumn("extra_tags", F.lit(None).cast("array<string>"))
+    rows = batch.staged(batch.listing_rows(pages, RULES, F.lit("2024-01-01").cast("date")), "rows")
+    rows = rows.withColumn("row_id", F.col("file") * 100 + F.col("row_no"))
+    nation = M.table(spark, d, "nation")
+    halls = nation.select(F.col("n_nationkey").alias("pos"), F.when(F.col("n_nationkey") == 0, "Hall").otherwise(F.col("n_name")).alias("name"), F.lit(None).cast("string").alias("short_name"), F.lit(None).cast("array<string>").alias("alternate_names"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lng"), F.lit("H").alias("emoji"))
+    events = batch.grouped_events(batch.staged(batch.placed_rows(rows, halls, "row_id"), "placed"), "file", "row_no")
+    return events.where("lat = 0").groupBy(F.col("file").alias("p_partkey")).agg(F.count("*").alias("n_events"), F.min("name").alias("name"))
+
+
 @query()
 def q_first_emoji(spark, d):
     return M.table(spark, d, "documents").select("doc_id", text.first_emoji(F.col("text")).alias("emoji"))
@@ -319,14 +350,7 @@ def q_edit_ratio(spark, d):
 @query("select event_type, count(*) as n, max(event_id) as last_id from events group by 1")
 def q_stream_arrivals(spark, d):
     """Events through a file stream that stops when all has arrived, then counted."""
-    from pyspark.sql import SparkSession  # noqa: F401
-
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not conf:
-        import tempfile
-
-        conf = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    root = f"{conf}/stream-{uuid.uuid4().hex}"
+    root = f"{batch.shared_root(spark)}/stream-{uuid.uuid4().hex}"
     schema = M.table(spark, d, "events").schema
     stream = incremental.arrivals(spark, d, schema, name_filter="events.parquet")
     incremental.drain(stream.select("event_id", "event_type"), f"{root}/out", f"{root}/state")
