@@ -15,6 +15,7 @@ encoded like any other. Texts of any length are encoded whole, in linear time. E
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -51,18 +52,9 @@ class Bpe:
         self.automaton.make_automaton()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {self.id_of[r]: b for r, b in enumerate(spelt)} | {i: t.encode() for t, i in self.special.items()}
-        self.seams: dict[tuple[int, int], bool] = {}
+        self.seams: dict[int, bool] = {}  # compatible pairs and others, by left << 32 | right
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
-        known = self.seams.get(key)
-        if known is None:
-            if len(self.seams) > 2_000_000:
-                self.seams.clear()
-            known = self.seams[key] = self._compatible(left, right)
-        return known
-
-    def _compatible(self, left: int, right: int) -> bool:
         """Whether no merge over the seam precedes the merges that close it; ``before`` is the rank that closes the seam's sides last."""
         before = 1 << 60
         while True:
@@ -89,12 +81,20 @@ class Bpe:
     def pretoken(self, data: bytes) -> list[int]:
         """The ids of one pretoken."""
         last: list[int] = [-1] * len(data)  # the last token of each prefix
-        size, compatible = self.size, self.compatible
+        size, seams = self.size, self.seams
+        if len(seams) > 1_000_000:
+            seams.clear()
         for end, r in self.automaton.iter(data.decode("latin-1")):
             if last[end] < 0:
                 start = end - size[r]
-                if start < 0 or (last[start] >= 0 and compatible(last[start], r)):
+                if start < 0:
                     last[end] = r
+                elif (left := last[start]) >= 0:
+                    fits = seams.get(left << 32 | r)
+                    if fits is None:
+                        fits = seams[left << 32 | r] = self.compatible(left, r)
+                    if fits:
+                        last[end] = r
         out, at = [], len(data) - 1
         while at >= 0:
             out.append(self.id_of[last[at]])
@@ -102,55 +102,52 @@ class Bpe:
         return out[::-1]
 
 
+class Memo(dict):
+    """Remembers a function's results for short keys; of the older half only what is used again stays."""
+
+    def __init__(self, make, keep: int):
+        super().__init__()
+        self.make, self.keep, self.old = make, keep // 2, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) < 64:
+            if len(self) >= self.keep:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class Encoder:
     """Texts to little-endian 32-bit ids; remembers chunks (white space and the word after it) and pretokens."""
 
     def __init__(self, path: str, keep: int = KEEP):
         self.bpe = Bpe(path)
         self.pattern = regex.compile(BYTE_PATTERN)
-        self.chunk = regex.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+        self.chunk = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.bpe.special)) + ")")
-        self.chunks: dict[str, bytes] = {}
-        self.pretokens: dict[str, list[int]] = {}
-        self.keep = keep
+        self.pretokens = Memo(lambda p: self.bpe.pretoken(p.encode("utf-8", "surrogatepass")), keep)
+        self.chunks = Memo(self._chunk, keep)
 
     def _chunk(self, chunk: str) -> bytes:
         ids: list[int] = []
-        known = self.pretokens
         for p in self.pattern.findall(chunk):
-            got = known.get(p)
-            if got is None:
-                got = self.bpe.pretoken(p.encode("utf-8", "surrogatepass"))
-                if len(p) < 64:
-                    known[p] = got
-            ids += got
+            ids += self.pretokens[p]
         return np.array(ids, "<u4").tobytes()
 
-    def _plain(self, text: str) -> list[bytes]:
-        known, out = self.chunks, []
-        for c in self.chunk.findall(text):
-            got = known.get(c)
-            if got is None:
-                got = self._chunk(c)
-                if len(c) < 64:
-                    known[c] = got
-            out.append(got)
-        return out
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, self.chunk.findall(text)))
 
     def encode(self, text: str) -> bytes:
-        if len(self.chunks) > self.keep or len(self.pretokens) > self.keep:
-            self.chunks.clear()
-            self.pretokens.clear()
         if not any(s in text for s in self.bpe.special):
-            return b"".join(self._plain(text))
-        out: list[bytes] = []
-        for part in self.cut.split(text):
-            out += [np.array([self.bpe.special[part]], "<u4").tobytes()] if part in self.bpe.special else self._plain(part)
-        return b"".join(out)
+            return self._plain(text)
+        return b"".join(np.array([self.bpe.special[part]], "<u4").tobytes() if part in self.bpe.special else self._plain(part) for part in self.cut.split(text))
 
     def decode(self, ids: np.ndarray) -> str:
-        of = self.bpe.bytes_of
-        return b"".join([of[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        return b"".join(map(self.bpe.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 def _encode(path: str, digest: bool):
