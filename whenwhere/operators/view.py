@@ -94,8 +94,8 @@ def tag_places(events: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def tag_index(events: DataFrame, locations: DataFrame) -> DataFrame:
-    """tag and its event ids in ascending order, for result-sized event sets."""
-    return tag_places(events, locations).groupBy("tag").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    """n_events, first_id and last_id of each tag's posting list; the lists themselves are the rows of ``tag_places``."""
+    return tag_places(events, locations).groupBy("tag").agg(F.count("*").alias("n_events"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 def tag_frequency(events: DataFrame, locations: DataFrame) -> DataFrame:
@@ -201,5 +201,5 @@ def related(edges: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def append(init: DataFrame, full: DataFrame) -> DataFrame:
     """The first load and the rest, whose ids go on after the number of rows kept of the first."""
-    n = init.agg(F.count("*").alias("_n"))
-    return init.unionByName(full.join(F.broadcast(n)).withColumn("id", F.col("id") + F.col("_n")).drop("_n"), allowMissingColumns=True)
+    n = init.agg(F.count("*")).scalar()
+    return init.unionByName(full.withColumn("id", F.col("id") + n), allowMissingColumns=True)

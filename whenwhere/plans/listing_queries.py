@@ -339,12 +339,10 @@ def q_emphasise(spark, d):
     return M.table(spark, d, "documents").where(~F.contains("text", F.lit("_"))).select("doc_id", F.md5(text.emphasise(F.col("text"))).alias("text_md5"))
 
 
-@query("select a.s_suppkey as a, b.s_suppkey as b, round((length(a.s_name) + length(b.s_name) - levenshtein(a.s_name, b.s_name))::double / (length(a.s_name) + length(b.s_name)), 9) as ratio from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey")
+@query("select s_suppkey, round((length(s_name) + length(n_name) - levenshtein(s_name, n_name))::double / (length(s_name) + length(n_name)), 9) as ratio from supplier join nation on s_nationkey = n_nationkey")
 def q_edit_ratio(spark, d):
-    s = M.table(spark, d, "supplier")
-    a, b = s.alias("a"), s.alias("b")
-    met = a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")))
-    return met.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), F.round(geo.edit_ratio(F.col("a.s_name"), F.col("b.s_name")), 9).alias("ratio"))
+    s = M.table(spark, d, "supplier").join(M.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select("s_suppkey", F.round(geo.edit_ratio(F.col("s_name"), F.col("n_name")), 9).alias("ratio"))
 
 
 @query("select event_type, count(*) as n, max(event_id) as last_id from events group by 1")

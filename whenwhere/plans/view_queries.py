@@ -176,8 +176,7 @@ def q_vocabulary(spark, d):
 
 @query("select tag, count(*) as n_events, min(id) as first_id, max(id) as last_id from (select distinct id, unnest(both_tags) as tag from evl where id in (select id from win)) group by 1")
 def q_tag_index(spark, d):
-    rows = V.tag_index(_windowed(spark, d), M.locations(spark, d))
-    return rows.select("tag", F.size("ids").cast("long").alias("n_events"), F.array_min("ids").alias("first_id"), F.array_max("ids").alias("last_id"))
+    return V.tag_index(_windowed(spark, d), M.locations(spark, d))
 
 
 def _sets(spark, d):
