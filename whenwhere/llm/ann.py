@@ -62,10 +62,10 @@ def nearest(queries: Tile, tile: Tile, k: int) -> tuple[np.ndarray, np.ndarray,
     # the square root turns rounding near zero into about 1e-8 of the lengths
     slack += 1e-7 * (np.sqrt(queries.norm)[:, None] + np.sqrt(tile.norm))
     own = queries.ids[:, None] == tile.ids
-    high = np.where(own, np.inf, far + slack)
+    high = np.where(own | ~(far + slack < np.inf), np.inf, far + slack)  # squares that overflow bound nothing
     if len(tile.ids) > k:
         kth = np.partition(high, k - 1, axis=1)[:, k - 1]
-        at, to = np.nonzero((far - slack <= kth[:, None]) & ~own)
+        at, to = np.nonzero(~(far - slack > kth[:, None]) & ~own)
     else:
         at, to = np.nonzero(~own)
     exact = np.empty(len(at))
