@@ -116,3 +116,29 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     put([("c", "2025-01-02 00:00:00"), ("a", "2025-01-01 00:00:05")])
     incremental.drain(incremental.first_seen(incremental.arrivals(spark, src, schema), ["k"], "at"), out, state)
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_query_events(spark):
+    import datetime as dt
+
+    from whenwhere.plans import view
+
+    raw = spark.createDataFrame(
+        [("a", "N/A", "None given", "🇫🇷", 1.0, 2.0, [("2025-07-04", "7pm", "", "9pm"), ("bad", "", "", ""), ("2025-07-01", "", "", "")]), ("b", "x", "", "y", None, 2.0, []), ("c", "x", "", "y", 1.0, 2.0, [("2020-01-01", "", "", "")])],
+        "name string, location string, sublocation string, emoji string, lat double, lng double, occurrences array<struct<start_date:string,start_time:string,end_date:string,end_time:string>>",
+    )
+    places = spark.createDataFrame([(1.0, 2.0, "P")], "lat double, lng double, emoji string")
+    rows = view.query_events(raw, places, F.lit(dt.datetime(2025, 1, 1)), F.lit(dt.datetime(2026, 1, 1))).collect()
+    assert [r["name"] for r in rows] == ["a"]
+    assert (rows[0]["location"], rows[0]["sublocation"], rows[0]["emoji"], rows[0]["location_key"]) == ("", "", "P", "1.0,2.0")
+    assert [o["start_time"] for o in rows[0]["occurrences"]] == ["", "7pm"]
+    assert view.default_range(dt.date(2025, 9, 1), dt.date(2025, 8, 1), dt.date(2025, 9, 3)) == (dt.date(2025, 9, 1), dt.date(2025, 9, 3))
+    assert view.default_range(dt.date(2026, 9, 1), dt.date(2025, 8, 1), dt.date(2025, 9, 3))[0] == dt.date(2025, 8, 1)
+
+
+def test_archive_moves_by_the_store(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.md").write_text("1")
+    assert files.archive(spark, f"file://{tmp_path}/a/x.md", f"file://{tmp_path}/old/x.md")
+    assert (tmp_path / "old/x.md").read_text() == "1"
+    assert not files.archive(spark, f"file://{tmp_path}/a/x.md", f"file://{tmp_path}/old/x.md")

@@ -304,6 +304,42 @@ def q_marker_limit(spark, d):
     return first.select("loc_id", F.row_number().over(Window.orderBy("lat", "lng", "loc_id")).alias("rank"))
 
 
+@query(f"select id, loc_id from evl where id in (select id from win) and list_has_any(list_transform(place, lambda x: lower(x)), ['asia', 'europe']) and list_has_any(both_tags, ['URGENT', 'ASIA']) and not list_contains(tags, 'F')")
+def q_apply_filters(spark, d):
+    from .view import apply_filters
+
+    return apply_filters(M.events(spark, d), M.locations(spark, d), STATES, M.moment(M.START), M.moment(M.END), geotags=("ASIA", "Europe")).select("id", "loc_id")
+
+
+@query("select loc_id, count(*) as n_events, min(id) as first_id from evw group by 1")
+def q_group_by_location(spark, d):
+    from .view import by_location
+
+    return by_location(_windowed(spark, d))
+
+
+@query("select loc_id from (select loc_id, row_number() over (partition by ((loc_id * 37) % 200) // 10, ((loc_id * 53) % 199) // 10 order by loc_id) as r from loc) where r = 1")
+def q_first_places(spark, d):
+    from .view import first_places
+
+    coarse = lambda k, n: F.floor((F.col("loc_id") * k % n) / 10).cast("double")  # noqa: E731  places that share coordinates
+    rows = M.locations(spark, d).select("loc_id", coarse(37, 200).alias("lat"), coarse(53, 199).alias("lng"))
+    return first_places(rows, "loc_id").select("loc_id")
+
+
+@query("""select l_orderkey as id, count(*) as n, min(epoch_us(d + m) + epoch_us(timezone('America/New_York', d + interval 12 hour)) - epoch_us(d + interval 12 hour)) as first_us from
+  (select l_orderkey, l_shipdate::date::timestamp as d, to_minutes((l_linenumber % 24) * 60) as m from lineitem) group by 1 having max(d) >= timestamp '1998-01-01' and min(d) <= timestamp '1998-12-31'""")
+def q_parsed_occurrences(spark, d):
+    from .view import parsed_occurrences
+
+    li = M.table(spark, d, "lineitem")
+    day = F.to_date("l_shipdate").cast("string")
+    time = F.date_format(F.timestamp_seconds((F.col("l_linenumber") % 24) * 3600), "ha")
+    raw = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(day.alias("start_date"), time.alias("start_time"), F.lit("").alias("end_date"), F.lit("").alias("end_time"))).alias("o"), F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
+    rows = raw.where("b >= timestamp_ntz '1998-01-01' and a < timestamp_ntz '1999-01-01'").select("id", parsed_occurrences(F.col("o")).alias("o"))
+    return rows.select("id", F.size("o").cast("long").alias("n"), F.unix_micros(F.get("o", F.lit(0))["start"]).alias("first_us"))
+
+
 def q_flagship(spark, d):
     """The view's answer: visible or matching events of the window with their places, best first."""
     loc, matching, visible = _sets(spark, d)

@@ -86,3 +86,19 @@ def write_export(parts: tuple[DataFrame, DataFrame, DataFrame, DataFrame], root:
     for part, name in zip(parts, ("events.init", "events.full", "locations.init", "locations.full"), strict=True):
         rows = part.orderBy(F.coalesce(F.col("first_start").cast("string"), F.lit("9999-99-99"))) if name.startswith("events") else part
         rows.write.mode("overwrite").json(f"{root}/{name}")
+
+
+def archive(spark: SparkSession, path: str, archived: str) -> bool:
+    """Moves a file or folder by the store's own rename; false if there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(archived)
+    store = source.getFileSystem(conf)
+    if not store.exists(source):
+        return False
+    store.mkdirs(target.getParent())
+    return bool(store.rename(source, target))
+
+
+def default_table(text, header: str):
+    """A page's extracted table, or the header alone if nothing came back."""
+    return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit(header))
