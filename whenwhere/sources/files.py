@@ -19,14 +19,14 @@ WEBSITE = "name string, urls array<string>, crawl_frequency int, selector string
 
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
     """crawl_date, site, source_url, body of root/YYYYMMDD/site.md; the first line is the address if it is one."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root).withColumn("path", F.col("_metadata.file_path"))
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").withColumn("path", F.col("_metadata.file_path"))
     first = F.substring_index("value", "\n", 1)
     is_url = first.startswith("http")
     return rows.select(
         F.regexp_extract("path", r"/(\d{8})[^/]*/[^/]+$", 1).alias("crawl_date"),
         F.regexp_extract("path", r"/([^/]+)\.md$", 1).alias("site"),
         F.when(is_url, F.trim(first)).alias("source_url"),
-        F.when(is_url, F.expr("substr(value, length(substring_index(value, '\\n', 1)) + 2)")).otherwise(F.col("value")).alias("body"),
+        F.when(is_url, F.substring(F.col("value"), F.length(first) + 2, F.length("value"))).otherwise(F.col("value")).alias("body"),
     )
 
 
