@@ -54,6 +54,12 @@ def in_dates(events: DataFrame, start: Column, end: Column) -> DataFrame:
     return events.withColumn("matching_occurrences", when.overlapping(F.col("occurrences"), start, end)).where(F.size("matching_occurrences") > 0)
 
 
+def on_dates(events: DataFrame, occurrences: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The same over occurrences as rows (id, start, end): the dates reach the scan, and only what overlaps is gathered by event."""
+    hit = occurrences.where((F.col("start") <= end) & (F.col("end") >= start))
+    return events.join(hit.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("matching_occurrences")), "id")
+
+
 def matches(tags: Column, states: TagStates) -> Column:
     """None forbidden, all required, and any selected or implicit unless none is selected or some are required."""
     any_of = states.selected + states.implicit

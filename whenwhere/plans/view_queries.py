@@ -36,7 +36,7 @@ def _quad_sql(lat="lat", lng="lng") -> str:
 
 
 def _windowed(spark, d):
-    return V.in_dates(M.events(spark, d), M.moment(M.START), M.moment(M.END))
+    return V.on_dates(M.event_rows(spark, d), M.occurrence_rows(spark, d), M.moment(M.START), M.moment(M.END))
 
 
 @query(f"""select id, loc_id, count(*) as n_matching from ev join occ using (id) where s <= timestamp '{M.END}' and e >= timestamp '{M.START}' group by 1, 2""")
@@ -46,9 +46,8 @@ def q_interval_overlap(spark, d):
 
 @query(f"""select id from ev where id in (select id from occ where s <= timestamp '{M.APP_END}' and e >= timestamp '{M.APP_START}')""")
 def q_app_range(spark, d):
-    from ..functions.when import any_overlap
-
-    return M.events(spark, d).where(any_overlap(F.col("occurrences"), M.moment(M.APP_START), M.moment(M.APP_END))).select("id")
+    hit = M.occurrence_rows(spark, d).where((F.col("start") <= M.moment(M.APP_END)) & (F.col("end") >= M.moment(M.APP_START)))
+    return M.event_rows(spark, d).join(hit.select("id"), "id", "left_semi").select("id")
 
 
 def _tagged(spark, d, states):
@@ -343,5 +342,5 @@ def q_parsed_occurrences(spark, d):
 def q_flagship(spark, d):
     """The view's answer: visible or matching events of the window with their places, best first."""
     loc, matching, visible = _sets(spark, d)
-    rows = V.search_events(_windowed(spark, d), loc, matching, visible, CHOSEN, M.moment(M.START), W).where("is_visible or is_matching")
+    rows = V.search_events(V.in_dates(M.events(spark, d), M.moment(M.START), M.moment(M.END)), loc, matching, visible, CHOSEN, M.moment(M.START), W).where("is_visible or is_matching")
     return rows.join(loc.select("loc_id", F.col("name").alias("place")), "loc_id").select("id", "place", "tags", "is_matching", "is_visible", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(100)
