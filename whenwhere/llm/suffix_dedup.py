@@ -36,9 +36,11 @@ from . import arrowtext as A
 from .shared import LOG_BLOCK, gather_bits, has_bit
 
 LENGTH, COVER_R, GRAM = 400, 2, 32
-#: The bitmap of repeated classes: at most 2**29 bits (64 MB), broadcast; four bits a class, so that few unique classes pass.
-MAX_LOG_WIDTH, BITS_A_CLASS = 29, 4
-HOLD = 4_000_000
+#: The bitmap of repeated classes: at most 2**28 bits (32 MB), broadcast; four bits a class, so that few unique classes pass.
+MAX_LOG_WIDTH, BITS_A_CLASS = 28, 4
+#: Bytes of a suffix key that travel; with its bucket's 64 bits they tell suffixes apart.
+KEY_BYTES = 6
+HOLD = 2_000_000
 CHUNK = 1 << 20
 
 
@@ -96,43 +98,48 @@ def _cover(r, length):
     return v, table
 
 
+def _class_ids(keys: np.ndarray, log_width: int) -> np.ndarray:
+    """A sample string's class: the number of its block and 32 bits in the block. Two strings in one class only let more through."""
+    return keys >> np.uint64(32 - max(0, log_width - LOG_BLOCK))
+
+
 def _sample_classes(length: int, r: int, log_width: int):
     v, in_cover = _cover(r, length)
-    shift = np.uint64(64 - (log_width - min(LOG_BLOCK, log_width)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = A.string_buffers(batch.column(0))
-            keys = [c.keys(c.sample, length - v + 1) for x in _chunks(offs, length) for c in [_Chunk(raw, offs, *x, length, v, in_cover)]]
-            if not keys or not len(keys := np.sort(np.concatenate(keys))):
+            ids = [_class_ids(c.keys(c.sample, length - v + 1), log_width) for x in _chunks(offs, length) for c in [_Chunk(raw, offs, *x, length, v, in_cover)]]
+            if not ids or not len(ids := np.sort(np.concatenate(ids))):
                 continue
-            third = np.zeros(len(keys), bool)
-            third[2:] = keys[2:] == keys[:-2]
-            keys = keys[~third]
-            blk = (keys >> shift).astype(np.int64) if log_width > LOG_BLOCK else np.zeros(len(keys), np.int64)
+            third = np.zeros(len(ids), bool)
+            third[2:] = ids[2:] == ids[:-2]
+            ids = ids[~third]
+            blk = (ids >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.diff(blk, prepend=-1))
-            data = [keys[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(keys)], strict=True)]
+            low = ids.astype(np.uint32)
+            data = [low[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(low)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(blk[cut], pa.int32()), pa.array(data, pa.binary())], ["blk", "data"])
 
     return run
 
 
-def _slots(keys: np.ndarray, log_width: int):
-    """A class's bits: all in the block that its leading bits name."""
-    block = (keys >> np.uint64(64 - log_width)).astype(np.int64) & ~np.int64((1 << min(LOG_BLOCK, log_width)) - 1)
-    for j in range(BITS_A_CLASS):
-        keys = A.mix(keys)
-        yield block | (keys >> np.uint64(64 - min(LOG_BLOCK, log_width))).astype(np.int64)
+def _slots(ids: np.ndarray, log_width: int):
+    """A class's bits, all in its block."""
+    block = (ids >> np.uint64(32)).astype(np.int64) << min(LOG_BLOCK, log_width)
+    for _ in range(BITS_A_CLASS):
+        ids = A.mix(ids + np.uint64(1))
+        yield block | (ids >> np.uint64(64 - min(LOG_BLOCK, log_width))).astype(np.int64)
 
 
 def _repeated_classes(log_width: int):
     """Bits of the classes that occur twice or more; blocks hold distinct classes once they have grown."""
     size = 1 << min(LOG_BLOCK, log_width)
 
-    def settle(state, pending, flags):
+    def settle(blk, state, pending, flags):
         keys = np.sort(np.concatenate([*([state] if state is not None else []), *pending]))
         again = keys[1:][keys[1:] == keys[:-1]]
-        for slot in _slots(again, log_width):
+        for slot in _slots(again.astype(np.uint64) | np.uint64(blk << 32), log_width):
             flags[slot & (size - 1)] = True
         return np.unique(keys)
 
@@ -140,15 +147,15 @@ def _repeated_classes(log_width: int):
         flags, state, pending, held = {}, {}, {}, {}
         for batch in batches:
             for blk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys = np.frombuffer(data.as_buffer(), np.uint64)
+                keys = np.frombuffer(data.as_buffer(), np.uint32)
                 flags.setdefault(blk, np.zeros(size, bool))
                 pending.setdefault(blk, []).append(keys)
                 held[blk] = held.get(blk, 0) + len(keys)
                 if held[blk] > HOLD:
-                    state[blk], pending[blk], held[blk] = settle(state.get(blk), pending[blk], flags[blk]), [], 0
+                    state[blk], pending[blk], held[blk] = settle(blk, state.get(blk), pending[blk], flags[blk]), [], 0
         for blk in flags:
             if pending[blk]:
-                settle(state.pop(blk, None), pending.pop(blk), flags[blk])
+                settle(blk, state.pop(blk, None), pending.pop(blk), flags[blk])
             yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()), pa.array([np.packbits(flags[blk]).tobytes()], pa.binary())], ["blk", "bits"])
 
     return run
@@ -174,12 +181,12 @@ def _suffix_runs(length: int, r: int, bits, log_width: int):
             ids = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             ver = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             raw, offs = A.string_buffers(batch.column(0))
-            parts = []
+            parts, n = [], 0
             for x in _chunks(offs, length):
                 c = _Chunk(raw, offs, *x, length, v, in_cover)
                 if not len(c.sample):
                     continue
-                keys, hit = c.keys(c.sample, length - v + 1), c.sample
+                keys, hit = _class_ids(c.keys(c.sample, length - v + 1), log_width), c.sample
                 for j in range(BITS_A_CLASS):
                     found = has_bit(bitmap, next(itertools.islice(_slots(keys, log_width), j, None)))
                     keys, hit = keys[found], hit[found]
@@ -191,32 +198,42 @@ def _suffix_runs(length: int, r: int, bits, log_width: int):
                 at = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (c.room >= length))
                 if len(at):
                     parts.append((c.keys(at, length), c.row[at], c.rel[at], c.least_grams(length)[at]))
-            if not parts:
-                continue
-            keys, row, pos, bucket = (np.concatenate(p) for p in zip(*parts, strict=True))
-            del parts
-            order = np.argsort(keys, kind="stable")
-            ranked = keys[order]
-            new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-            alone = new & np.concatenate([new[1:], [True]])
-            first, twice = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-            first[order[new]] = True
-            twice[order[~alone]] = True
-            at = np.flatnonzero(first)
-            a, b = _run_rows(row[at], pos[at], bucket[at])
-            f = at[a]
-            data = keys[at]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[f].view(np.int64)), pa.array(ids[row[f]]), pa.array(ver[row[f]]), pa.array(pos[f].astype(np.int64)), pa.array(pos[f] + (b - a)), pa.array([data[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary())], schema=RUN_SCHEMA)
-            at = np.flatnonzero(twice)
-            if len(at):
-                a, b = _run_rows(row[at], pos[at], np.zeros(len(at), np.int8))
-                f = at[a]
-                own = ids[row[f]]
-                yield pa.RecordBatch.from_arrays([pa.array(A.mix(own.view(np.uint64)).view(np.int64)), pa.array(own), pa.array(ver[row[f]]), pa.array(pos[f].astype(np.int64)), pa.array(pos[f] + (b - a)), pa.nulls(len(f), pa.binary())], schema=RUN_SCHEMA)
+                    n += len(at)
+                if n > HOLD:
+                    yield from _settle_batch(parts, ids, ver)
+                    parts, n = [], 0
+            if parts:
+                yield from _settle_batch(parts, ids, ver)
 
     return run
 
 
+def _settle_batch(parts, ids, ver) -> Iterator[pa.RecordBatch]:
+    """One occurrence of each string, in runs by bucket, and the runs that are known to repeat."""
+    keys, row, pos, bucket = (np.concatenate(p) for p in zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    alone = new & np.concatenate([new[1:], [True]])
+    first, twice = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    first[order[new]] = True
+    twice[order[~alone]] = True
+    del order, ranked
+    at = np.flatnonzero(first)
+    a, b = _run_rows(row[at], pos[at], bucket[at])
+    f = at[a]
+    short = keys[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+    data = [short[i * KEY_BYTES : j * KEY_BYTES] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[f].view(np.int64)), pa.array(ids[row[f]]), pa.array(ver[row[f]]), pa.array(pos[f].astype(np.int64)), pa.array(pos[f] + (b - a)), pa.array(data, pa.binary())], schema=RUN_SCHEMA)
+    at = np.flatnonzero(twice)
+    if len(at):
+        a, b = _run_rows(row[at], pos[at], np.zeros(len(at), np.int8))
+        f = at[a]
+        own = ids[row[f]]
+        yield pa.RecordBatch.from_arrays([pa.array(A.mix(own.view(np.uint64)).view(np.int64)), pa.array(own), pa.array(ver[row[f]]), pa.array(pos[f].astype(np.int64)), pa.array(pos[f] + (b - a)), pa.nulls(len(f), pa.binary())], schema=RUN_SCHEMA)
+
+
 SPAN_SCHEMA = pa.schema([("own", pa.int64()), ("ver", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
@@ -251,14 +268,15 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         runs = batch.filter(batch.column("keys").is_valid())
         if not runs.num_rows:
             continue
-        raw, _ = A.string_buffers(runs.column("keys"))
+        raw, offs = A.string_buffers(runs.column("keys"))
         start, stop = runs.column("start").to_numpy(), runs.column("stop").to_numpy()
         k = stop - start
         total = int(k.sum())
-        offs = A.string_buffers(runs.column("keys"))[1]
-        keys = raw[offs[0] : offs[-1]].view(np.uint64) if (offs[0] % 8 == 0) else np.frombuffer(raw[offs[0] : offs[-1]].tobytes(), np.uint64)
+        wide = np.zeros((total, 8), np.uint8)
+        wide[:, :KEY_BYTES] = raw[offs[0] : offs[-1]].reshape(-1, KEY_BYTES)
+        keys = A.mix(wide.view("<u8").reshape(-1) ^ np.repeat(A.mix(runs.column("bucket").to_numpy().view(np.uint64)), k))
         pos = np.arange(total) - np.repeat(np.cumsum(k) - k, k) + np.repeat(start, k)
-        pending.append((keys.copy(), np.repeat(runs.column("own").to_numpy(), k), np.repeat(runs.column("ver").to_numpy(), k), pos, np.zeros(total, bool)))
+        pending.append((keys, np.repeat(runs.column("own").to_numpy(), k), np.repeat(runs.column("ver").to_numpy(), k), pos, np.zeros(total, bool)))
         n += total
         if n >= HOLD and (out := settle()):
             yield out
@@ -305,7 +323,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cover_r: int = COVER_R
     spark = docs.sparkSession
     docs = docs.select(F.col(text_col).alias("txt"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("ver")).where("own is not null and txt is not null")
     size = docs.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
-    log_width = min(max_log_width, max(16, int(size // 3).bit_length()))
+    log_width = min(max_log_width, max(16, int(size // 6).bit_length()))
     sample = docs.select("txt").mapInArrow(_sample_classes(length, cover_r, log_width), "blk int, data binary")
     classes = sample.repartition("blk").mapInArrow(_repeated_classes(log_width), "blk int, bits binary")
     bits = spark.sparkContext.broadcast(gather_bits(classes, 1, log_width))
