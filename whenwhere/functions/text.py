@@ -120,16 +120,13 @@ def similar_names(a: Column, b: Column) -> Column:
 def normal_place(name: Column) -> Column:
     """The form in which places are matched: no punctuation, no leading article of long names, no trailing part of town."""
     low = F.lower(F.coalesce(name, F.lit("")))
-    named = F.lit(False)
-    for b in BOROUGHS:
-        named = named | F.contains(low, F.lit(f"- {b}")) | F.contains(low, F.lit(f"_{b}"))
+    named = low.rlike("(?:- |_)(?:" + "|".join(BOROUGHS) + ")")
     bare = F.regexp_replace(low, r"(?U)[^\w\s]", "")
     virtual = bare.isin("virtual", "online", "livestream")
-    bare = F.when((F.length(bare) > 15) & bare.startswith("the "), F.substring(bare, 5, 2**31 - 1)).otherwise(bare)
-    cut = F.when(F.lit(False), bare)
-    for s in PLACE_SUFFIXES:
-        cut = cut.when(bare.endswith(f" {s}") & (F.length(bare) > len(s) + 2), squeeze_ends(F.substring(bare, F.lit(1), F.length(bare) - len(s) - 1)))
-    return F.when(virtual | bare.isin(PLACE_SUFFIXES), "").otherwise(squeeze(F.when(named, bare).otherwise(cut.otherwise(bare))))
+    bare = F.regexp_replace(bare, r"(?s)^the (?=.{12})", "")  # of names over 15 characters
+    # one suffix at most, behind two characters at least
+    cut = F.regexp_replace(bare, r"(?s)^(.{2,}) (?:" + "|".join(PLACE_SUFFIXES) + ")$", "$1")
+    return F.when(virtual | bare.isin(PLACE_SUFFIXES), "").otherwise(squeeze(F.when(named, bare).otherwise(cut)))
 
 
 def safe_file_name(name: Column) -> Column:
