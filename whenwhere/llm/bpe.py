@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import arrowtext as A
 from .vocab import BYTE_OF, BYTE_PATTERN, SPACE, default_path, load_json
 
-KEEP = 400_000
+KEEP = 800_000
 
 
 class Bpe:
