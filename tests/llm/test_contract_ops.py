@@ -5,9 +5,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -89,6 +91,22 @@ def test_op3(spark, rows, cover, log_width):
     assert all(bytes(r["kept"]) is not None and len(r["span_starts"]) == r["n_spans"] for r in got)
 
 
+def test_passages_round_a_chunk_edge(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
+    rng, log_width = random.Random(6), 20
+    text = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    passages = [text(400) for _ in range(420)]
+    long = [text(1199 - d) + "K" + p + "L" + text(2400 + d) for d, p in enumerate(passages)]  # edges at 1000, 2000, 3000
+    texts = [*long, *(text(49) + "M" + p + "N" + text(49) for p in passages)]
+    batch = pa.RecordBatch.from_pydict({"txt": texts, "own": pa.array(range(len(texts)), pa.int64()), "ver": pa.array([0] * len(texts), pa.int64())})
+    bits = np.zeros((1, 1 << log_width >> 3), np.uint8)
+    for b in suffix_dedup._repeated_classes(log_width)(suffix_dedup._sample_classes(400, 2, log_width)([batch])):
+        bits[0] = np.frombuffer(b.column(1)[0].as_py(), np.uint8)
+    runs = suffix_dedup._suffix_runs(400, 2, SimpleNamespace(value=bits), log_width)([batch])
+    got = {(r["own"], r["start"], r["stop"]) for b in suffix_dedup._sort_buckets(runs) for r in b.to_pylist()}
+    assert got == {(d, 1200 - d, 1201 - d) for d in range(420)} | {(420 + d, 50, 51) for d in range(420)}
+
+
 @pytest.mark.parametrize("r", [1, 2, 3])
 def test_cover_meets_every_difference(r):
     v, d = suffix_dedup.difference_cover(r)

@@ -73,7 +73,7 @@ class _Chunk:
         self.row = np.repeat(np.arange(r0, r1, dtype=np.int32), lens)
         self.rel = (np.arange(n) - np.repeat(offs[r0:r1] - lo, lens)).astype(np.int32)
         self.room = np.repeat(cuts[1:], lens) - np.arange(n)
-        self.room[stop - lo :] = 0
+        self.stop = stop - lo  # starts from here on are the next chunk's
         self.sample = np.flatnonzero(in_cover[self.rel % v] & (self.room >= length - v + 1))
 
     def keys(self, at, length):
@@ -109,7 +109,7 @@ def _sample_classes(length: int, r: int, log_width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = A.string_buffers(batch.column(0))
-            ids = [_class_ids(c.keys(c.sample, length - v + 1), log_width) for x in _chunks(offs, length) for c in [_Chunk(raw, offs, *x, length, v, in_cover)]]
+            ids = [_class_ids(c.keys(c.sample[c.sample < c.stop], length - v + 1), log_width) for x in _chunks(offs, length) for c in [_Chunk(raw, offs, *x, length, v, in_cover)]]
             if not ids or not len(ids := np.sort(np.concatenate(ids))):
                 continue
             third = np.zeros(len(ids), bool)
@@ -195,7 +195,7 @@ def _suffix_runs(length: int, r: int, bits, log_width: int):
                 edge = np.zeros(len(c.row) + 1, np.int32)
                 np.add.at(edge, np.maximum(hit - v + 1, hit - c.rel[hit]).clip(0), 1)
                 np.add.at(edge, hit + 1, -1)
-                at = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (c.room >= length))
+                at = np.flatnonzero((np.cumsum(edge[: c.stop]) > 0) & (c.room[: c.stop] >= length))  # samples past the edge count for starts before it
                 if len(at):
                     parts.append((c.keys(at, length), c.row[at], c.rel[at], c.least_grams(length)[at]))
                     n += len(at)
