@@ -278,6 +278,19 @@ def test_op9(spark):
     assert ann.search(few.where("vec_id = 99"), few).count() == 0
 
 
+def test_a_hot_id_leaves_room_for_the_others():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 8))
+    ids = np.concatenate([np.arange(1, 151), np.full(50, 7)])
+    x[150:] = 0.01 * x[150:]  # fifty rows of id 7 round the query
+    q = ann.Tile(np.array([0]), np.full((1, 8), 1e-3))
+    at, to, score = ann.nearest(q, ann.Tile(ids, x), 10)
+    _, vec, _ = ann._best(q.ids[at], ids[to], score, 10)
+    exact = np.sqrt(((x - 1e-3) ** 2).sum(axis=1))
+    least = {i: exact[ids == i].min() for i in set(ids.tolist())}
+    assert vec.tolist() == sorted(least, key=least.get)[:10]
+
+
 def test_int8_bounds_hold():
     rng = np.random.default_rng(3)
     a, b = (ann.Tile(np.arange(40), rng.normal(size=(40, 33)) * rng.uniform(1e-3, 1e3, (40, 1))) for _ in range(2))

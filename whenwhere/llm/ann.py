@@ -2,8 +2,8 @@
 
 Vectors are scaled to int8, each with its own scale and the exact length of its rounding error. Tiles of queries meet tiles of
 candidates on the query tile's number; the int8 products (taken in float32 blocks, which hold them exactly) give each distance up to
-the sum of the two error lengths. In a tile, a candidate survives if its lower bound does not exceed the k-th least upper
-bound; survivors are recomputed from the original vectors in double precision. Each task keeps a heap of k for each query over all its
+the sum of the two error lengths. In a tile, a candidate survives if its lower bound exceeds neither the k-th least upper
+bound of distinct ids nor the least of its own id; survivors are recomputed from the original vectors in double precision. Each task keeps a heap of k for each query over all its
 tiles; the heaps' rows are merged by rank. Nothing is dropped: the bounds are proven, so the result is exact.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components take no part, nor do rows with a null
@@ -63,11 +63,16 @@ def nearest(queries: Tile, tile: Tile, k: int) -> tuple[np.ndarray, np.ndarray,
     slack += 1e-7 * (np.sqrt(queries.norm)[:, None] + np.sqrt(tile.norm))
     own = queries.ids[:, None] == tile.ids
     high = np.where(own | ~(far + slack < np.inf), np.inf, far + slack)  # squares that overflow bound nothing
-    if len(tile.ids) > k:
+    low, fits = far - slack, ~own
+    vecs, of = np.unique(tile.ids, return_inverse=True)
+    if len(vecs) < len(tile.ids):  # rows that repeat an id are one candidate
+        order = np.argsort(of, kind="stable")
+        high = np.minimum.reduceat(high[:, order], np.searchsorted(of[order], np.arange(len(vecs))), axis=1)
+        fits &= ~(low > high[:, of])
+    if len(vecs) > k:
         kth = np.partition(high, k - 1, axis=1)[:, k - 1]
-        at, to = np.nonzero(~(far - slack > kth[:, None]) & ~own)
-    else:
-        at, to = np.nonzero(~own)
+        fits &= ~(low > kth[:, None])
+    at, to = np.nonzero(fits)
     exact = np.empty(len(at))
     for a in range(0, len(at), 65536):
         i, j = at[a : a + 65536], to[a : a + 65536]
