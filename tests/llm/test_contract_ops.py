@@ -163,6 +163,17 @@ def test_near_copies_of_a_large_group_meet_in_blocks(spark, monkeypatch):
     assert {r["class_id"] for r in got if r["doc_id"] == 900} == {900}
 
 
+def test_copies_whose_passages_repeat_differently_share_a_class(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(0, 80, 2):
+        w = [f"r{rng.randrange(10**6)}" for _ in range(150)]
+        rows += [(i, " ".join(w), "s"), (i + 1, " ".join(w[:60] + w[60:90] * 10 + w[90:]), "s")]  # plain Jaccard 146 / 150
+    rows += [(i + 100, t + " end" * (1 + i % 3), s) for i, t, s in rows if i % 2]  # these repeat alike
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.classes(table(spark, rows)).collect()}
+    assert got == {i: i % 100 // 2 * 2 for i in got} and len(got) == 120
+
+
 def test_op6(spark, rows):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     odd = [*rows, (70, "İstanbul ΣΑΣ don't <|endoftext|>x ½ 12 é \xa0y 中文 z" * 30, "s")]

@@ -2,11 +2,13 @@
 
 A document is the multiset of its 5-word shingles, weighted by their counts. Each shingle is a Poisson process of that rate
 whose arrivals fall on random registers; a register keeps the shingle of its first arrival, so two documents agree in a
-register with the probability Jaccard similarity. Arrivals later than all registers' times end a process early.
+register with the probability Jaccard similarity. Arrivals later than all registers' times end a process early. A document
+in which shingles repeat is signed again with all counts 1, so that it also meets those that are alike as plain sets; where
+no shingle repeats the two signatures are one.
 
-32 bands of 6 registers give the candidates: at a similarity of 0.8 a pair shares no band once in 17,000 times. Within a
-band's bucket an 8-bit form of the registers is compared, in blocks of bounded size; pairs that agree in fewer than 65 % are
-left out (five standard deviations under 0.8). A spanning forest of each block's pairs suffices to find which documents hang
+32 bands of 6 registers of each signature give the candidates: at a similarity of 0.8 a pair shares no band once in 17,000 times.
+Within a band's bucket an 8-bit form of the registers is compared, in blocks of bounded size; pairs that agree in fewer than 65 %
+in both signatures are left out (five standard deviations under 0.8). A spanning forest of each block's pairs suffices to find which documents hang
 together at all. These components of candidates then meet with their shingles, again in blocks, and every two of them that agree
 in 65 % are verified unless verified links connect them already. So neither step emits the pairs of a group, and no
 link between classes is lost. Exact copies are one node throughout. Components, of candidates and of links, are found by
@@ -86,6 +88,12 @@ def signatures(row: np.ndarray, keys: np.ndarray, weight: np.ndarray, n_rows: in
 def _sign(k: int, bands: int, rows: int):
     m = bands * rows
 
+    def banded(sig):
+        acc = np.zeros((len(sig), bands), np.uint64)
+        for j in range(rows):
+            acc = acc * A.WORD_BASE + sig[:, j::rows]
+        return A.mix(acc + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offs = A.string_buffers(batch.column(2))
@@ -96,25 +104,33 @@ def _sign(k: int, bands: int, rows: int):
                     continue
                 place = np.searchsorted(has, row)
                 sig = signatures(place, keys, count.astype(np.float64), len(has), m)
-                acc = np.zeros((len(has), bands), np.uint64)
-                for j in range(rows):
-                    acc = acc * A.WORD_BASE + sig[:, j::rows]
-                band = A.mix(acc + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
-                small = (A.mix(sig) >> np.uint64(56)).astype(np.uint8)
+                twice = np.zeros(len(has), bool)
+                twice[place[count > 1]] = True
+                on = twice[place]
+                again = signatures((np.cumsum(twice) - 1)[place[on]], keys[on], np.ones(int(on.sum())), int(twice.sum()), m)
+                at = np.concatenate([[0], np.cumsum(bands * (1 + twice))])
+                band = np.empty(at[-1], np.int64)
+                band[at[:-1, None] + np.arange(bands)] = banded(sig)
+                band[at[:-1][twice, None] + bands + np.arange(bands)] = banded(again)
+                small = [x.tobytes() for x in (A.mix(sig) >> np.uint64(56)).astype(np.uint8)]
+                for i, x in zip(np.flatnonzero(twice).tolist(), (A.mix(again) >> np.uint64(56)).astype(np.uint8), strict=True):
+                    small[i] += x.tobytes()
                 pick = pa.array(has + r0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pick), batch.column(1).take(pick), pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, bands), pa.int32()), pa.array(band.reshape(-1))), pa.array([x.tobytes() for x in small], pa.binary())],
+                    [batch.column(0).take(pick), batch.column(1).take(pick), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(band)), pa.array(small, pa.binary())],
                     ["doc_id", "copy", "bands", "small"],
                 )
 
     return run
 
 
-def _agreement(small: np.ndarray) -> np.ndarray:
-    """Registers in which each two of the rows agree."""
+def _agreement(small: tuple[bytes, ...], m: int) -> np.ndarray:
+    """Registers in which each two of the rows agree, in the signature where they agree better; a row of m bytes has one for both."""
+    first = np.frombuffer(b"".join(x[:m] for x in small), np.uint8).reshape(-1, m)
     out = np.zeros((len(small), len(small)), np.int16)
-    for a in range(0, len(small), 64):
-        out[a : a + 64] = (small[a : a + 64, None, :] == small[None, :, :]).sum(axis=2)
+    for sig in (first, np.frombuffer(b"".join(x[-m:] for x in small), np.uint8).reshape(-1, m))[: 1 + any(len(x) > m for x in small)]:
+        for a in range(0, len(sig), 64):
+            np.maximum(out[a : a + 64], (sig[a : a + 64, None, :] == sig[None, :, :]).sum(axis=2), out=out[a : a + 64], casting="unsafe")
     return out
 
 
@@ -169,11 +185,11 @@ def _bucket_forest(m: int, least: float):
     def found(batches):
         for ids, small in _groups(batches, 3):
             if len(ids) == 2:  # most blocks
-                if ids[0] != ids[1] and (np.frombuffer(small[0], np.uint8) == np.frombuffer(small[1], np.uint8)).sum() >= least * m:
+                if ids[0] != ids[1] and any((np.frombuffer(small[0][x], np.uint8) == np.frombuffer(small[1][x], np.uint8)).sum() >= least * m for x in (slice(m), slice(-m, None))):
                     yield ids
                 continue
             num = np.array(ids)
-            close = _agreement(np.frombuffer(b"".join(small), np.uint8).reshape(-1, m))
+            close = _agreement(small, m)
             close[(close < least * m) | (num[:, None] == num)] = 0
             for i, j in _forest(close):
                 yield ids[i], ids[j]
@@ -187,7 +203,7 @@ def _verified_links(m: int, least: float, threshold: float):
     def found(batches):
         for ids, small, keys, counts in _groups(batches, 3):
             n = len(ids)
-            close = _agreement(np.frombuffer(b"".join(small), np.uint8).reshape(-1, m))
+            close = _agreement(small, m)
             i, j = np.nonzero(np.triu(close >= least * m, 1))
             best_first = np.argsort(-close[i, j], kind="stable")
             sets = [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int32)) for k, c in zip(keys, counts, strict=True)]
@@ -277,7 +293,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, ban
     signed = known.mapInArrow(_sign(k, bands, rows), "doc_id long, copy binary, bands array<long>, small binary")
     nodes = materialise(signed.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("small").alias("small")), "nodes")
 
-    banded = nodes.select("node", F.explode("bands").alias("group"))
+    banded = nodes.select("node", F.explode(F.array_distinct("bands")).alias("group"))
     member = _dealt(banded, banded.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")).join(nodes.select("node", "small"), "node")
     dealt = member.select("group", "p", "q", "node", "small").repartition("group", "p", "q").sortWithinPartitions("group", "p", "q")
     hang = components(dealt.mapInArrow(_bucket_forest(m, LEAST_AGREEMENT), "a long, b long"))
