@@ -71,6 +71,27 @@ def test_surrogates_are_distinct_and_not_real(spark):
     assert not fakes & {c for _, c, _ in rows}
 
 
+def test_short_forms_grow_where_their_space_is_full(spark):
+    two = [a + b for a in "bcdfgh" for b in "aeiou"]  # 30 names, but 16 surrogates of two letters
+    text = " ".join(f"Miss {x.title()}, MISS" for x in two) + " " + " ".join(f"Miss {x.upper()};" for x in two[:3])
+    out = pii.replace_entities(spark.createDataFrame([(1, text, "", "")], SCHEMA), "k").first()["text"]
+    names, shouted = re.findall(r"Miss (\w+), MISS", out), re.findall(r"Miss (\w+);", out)
+    assert len({x.lower() for x in names}) == len(two) and not {x.lower() for x in names} & set(two)
+    assert all(x.endswith("a") and x == x.title() for x in names)
+    assert shouted == [x.upper() for x in names[:3]]
+    mails = [f"{a}@{b}.io" for a in "0123456789" for b in "0123456789"]  # as many as the form has
+    one = pii.replace_entities(spark.createDataFrame([(1, " ".join(mails), "", "")], SCHEMA), "k").first()["text"].split(" ")
+    assert len(set(one)) == 100 and not set(one) & set(mails) and all(re.fullmatch(r"[a-z]+[0-9]@[0-9]\.io", x) for x in one)
+
+
+def test_grown_octets(spark, monkeypatch):
+    monkeypatch.setattr(pii, "GROW_AFTER", -1)
+    rows = [("IP", f"{a}.{b}.1.2", "") for a in range(10) for b in range(10)]
+    fakes = {r["fake"] for r in pii.surrogates(spark.createDataFrame(rows, "kind string, canon string, gender string"), "k").collect()}
+    assert len(fakes) == 100 and all(re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", x) and max(map(int, x.split("."))) < 256 for x in fakes)
+    assert max(len(x) for x in fakes) > 7
+
+
 def test_no_space_left(spark):
     with pytest.raises(ValueError, match="no free surrogate"):
         pii.MAX_ROUNDS, most = 2, pii.MAX_ROUNDS

@@ -4,7 +4,8 @@ Detection is one regular expression over the text; a match's type follows from i
 canonical form) gets one surrogate, drawn from a keyed SHA-256 stream: digits for digits, letters for letters of the same
 script, octets for octets, hex for hex; card numbers keep their Luhn remainder, telephone numbers their country code, e-mail
 addresses their top-level domain, names their script and a grammatical gender taken from the titles before them. A draw is refused if it
-is a real entity of the corpus or another entity's surrogate; the loser draws again. So distinct entities stay
+is a real entity of the corpus or another entity's surrogate; the loser draws again, and after a few rounds from a space that grows
+with each round: names by two letters, e-mail addresses by one before the @, octets to all of 0 to 255. So distinct entities stay
 distinct, one entity has one surrogate in all documents and spellings (case, punctuation, country code), and the spelling of each place is kept.
 
 Only documents with a match are shuffled, and a match is joined by its entity; entities are summed up before the shuffle, so one address in
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-MAX_ROUNDS = 40
+MAX_ROUNDS, GROW_AFTER = 40, 6
 TITLES_M = r"Mr\.|Herr|Monsieur|Señor|Sr\.|господин|κύριος"
 TITLES_F = r"Mrs\.|Ms\.|Miss|Frau|Madame|Mme|Señora|Sra\.|госпожа|κυρία"
 TITLES_N = r"Dr\.|Prof\."
@@ -90,10 +91,18 @@ def _pick(letters: str, v: Column) -> Column:
     return F.substring(F.lit(letters), v % len(letters) + 1, F.lit(1))
 
 
-def draw(key: str, kind: Column, canon: Column, gender: Column, attempt: Column) -> Column:
+def draw(key: str, kind: Column, canon: Column, gender: Column, attempt: int) -> Column:
     """The surrogate of an entity at its n-th draw, in canonical spelling."""
+    more = max(0, attempt - GROW_AFTER)
+    if not more:
+        return _draw(key, kind, canon, canon, gender, attempt)
+    longer = F.when(kind == "NAME", F.concat(canon, F.repeat(F.substring(canon, -1, 1), F.lit(2 * more)))).when(kind == "EMAIL", F.concat(F.lit("a" * more), canon)).otherwise(canon)
+    return F.get(F.transform(F.array(longer), lambda form: _draw(key, kind, canon, form, gender, attempt)), F.lit(0))
+
+
+def _draw(key: str, kind: Column, source: Column, canon: Column, gender: Column, attempt: int) -> Column:
     blocks = F.ceil(F.length(canon) / 32).cast("int")
-    seed = lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"), b.cast("string")), 256)
+    seed = lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, source, F.lit(str(attempt)), b.cast("string")), 256)
     stream = F.array_join(F.transform(F.sequence(F.lit(0), blocks), seed), "")
     value = lambda i: F.conv(F.substring(stream, 2 * i - 1, F.lit(2)), 16, 10).cast("int")
     places = F.sequence(F.lit(1), F.length(canon))
@@ -113,7 +122,7 @@ def draw(key: str, kind: Column, canon: Column, gender: Column, attempt: Column)
     # the last digit restores the Luhn remainder; it counts once
     head = F.substring(general, F.lit(1), F.length(canon) - 1)
     card = F.concat(head, F.pmod(luhn(canon) - luhn(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
-    octet = lambda p, i: F.when(F.length(p) == 1, value(i + 1) % 10).when(F.length(p) == 2, 10 + value(i + 1) % 90).otherwise(100 + value(i + 1) % 156).cast("string")
+    octet = lambda p, i: value(i + 1).cast("string") if attempt > GROW_AFTER else F.when(F.length(p) == 1, value(i + 1) % 10).when(F.length(p) == 2, 10 + value(i + 1) % 90).otherwise(100 + value(i + 1) % 156).cast("string")
     ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
     return F.when(kind == "CARD", card).when(kind == "IP", ip).otherwise(general)
 
@@ -123,7 +132,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     real = entities.select("kind", F.col("canon").alias("fake"))
     todo, settled, n = entities, None, 0
     while True:
-        drawn = todo.withColumn("fake", draw(key, F.col("kind"), F.col("canon"), F.col("gender"), F.lit(n)))
+        drawn = todo.withColumn("fake", draw(key, F.col("kind"), F.col("canon"), F.col("gender"), n))
         free = drawn.join(real, ["kind", "fake"], "left_anti")
         if settled is not None:
             free = free.join(settled.select("kind", "fake"), ["kind", "fake"], "left_anti")
@@ -151,6 +160,9 @@ def written_like(fake: Column, hit: Column, kind: Column) -> Column:
         return F.when(~c.rlike(r"[\p{L}0-9]") | (k < 1), c).when(shout | c.rlike(r"\p{Lu}"), F.upper(f)).otherwise(f)
 
     kept = F.array_join(F.transform(F.sequence(F.lit(1), F.length(hit)), put), "")
+    # surrogates whose form has grown
+    kept = F.when((kind == "EMAIL") & (ahead < 0), F.concat(F.substring(F.when(shout, F.upper(plain)).otherwise(plain), F.lit(1), -ahead), kept)).otherwise(kept)
+    kept = F.when((kind == "NAME") & (ahead < 0), F.when(shout, F.upper(fake)).otherwise(F.concat(F.upper(F.substring(fake, 1, 1)), F.substring(fake, F.lit(2), F.length(fake))))).otherwise(kept)
     return F.when(kind.isin("IP", "SECRET", "KEY"), F.when(kind == "KEY", F.upper(fake)).otherwise(fake)).otherwise(kept)
 
 
