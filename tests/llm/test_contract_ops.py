@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from whenwhere.llm import ann, bpe, packing, probminhash, quality, substring_dedup, suffix_dedup
+from whenwhere.llm import ann, bpe, packing, probminhash, quality, substring_dedup, suffix_dedup, suffix_sort
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string, ver string, kept string, own string"
@@ -70,9 +70,9 @@ def test_op1(spark, rows, log_width):
     assert {r["lang"] for r in got} == {"en"}
 
 
-@pytest.mark.parametrize(("cover", "log_width"), [(2, 29), (1, 10)])
-def test_op3(spark, rows, cover, log_width):
-    got = suffix_dedup.dedup(table(spark, rows), cover_r=cover, max_log_width=log_width).collect()
+@pytest.mark.parametrize(("cover", "frequent", "block"), [(2, 1000, 4 << 20), (1, 2, 4 << 20), (2, 1000, 1), (2, 5, 5000)])
+def test_op3(spark, rows, cover, frequent, block):
+    got = suffix_dedup.dedup(table(spark, rows), cover_r=cover, frequent=frequent, block=block).collect()
     seen = Counter()
     for i, t, _ in rows:
         b = (t or "").encode()
@@ -99,17 +99,45 @@ def test_passages_round_a_chunk_edge(monkeypatch):
     long = [text(1199 - d) + "K" + p + "L" + text(2400 + d) for d, p in enumerate(passages)]  # edges at 1000, 2000, 3000
     texts = [*long, *(text(49) + "M" + p + "N" + text(49) for p in passages)]
     batch = pa.RecordBatch.from_pydict({"txt": texts, "own": pa.array(range(len(texts)), pa.int64()), "ver": pa.array([0] * len(texts), pa.int64())})
-    bits = np.zeros((1, 1 << log_width >> 3), np.uint8)
-    for b in suffix_dedup._repeated_classes(log_width)(suffix_dedup._sample_classes(400, 2, log_width)([batch])):
-        bits[0] = np.frombuffer(b.column(1)[0].as_py(), np.uint8)
-    runs = suffix_dedup._suffix_runs(400, 2, SimpleNamespace(value=bits), log_width)([batch])
-    got = {(r["own"], r["start"], r["stop"]) for b in suffix_dedup._sort_buckets(runs) for r in b.to_pylist()}
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    rows = pa.Table.from_batches(suffix_dedup._fragments(400, SimpleNamespace(value=none))([batch])).sort_by([("bucket", "ascending"), ("salt", "ascending")])
+    got = {(r["own"], r["start"], r["stop"]) for b in suffix_dedup._sort_buckets(400, 2)(rows.to_batches()) for r in b.to_pylist()}
     assert got == {(d, 1200 - d, 1201 - d) for d in range(420)} | {(420 + d, 50, 51) for d in range(420)}
 
 
+def test_repeats_of_a_text_of_many_chunks(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    edge, part = 2 << 20, text(700)
+    long = text(edge - 150) + part + text(edge) + text(2 << 20)
+    got = suffix_dedup.dedup(spark.createDataFrame([(1, long), (2, text(30) + part + text(30)), (3, text(900))], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_removed"] // 10, r["n_spans"]) for r in got} == {1: (70, 1), 2: (70, 1), 3: (0, 0)}
+
+
+@pytest.mark.parametrize("r", [1, 2])
+def test_block_is_in_lexicographic_order(r):
+    """Few letters, periods and near copies, so that ties are long and meet at all distances; distinct anchors within a bucket."""
+    rng = random.Random(r)
+    v, inside, _ = suffix_sort.cover_tables(r)
+    length = v + 60
+    base = "".join(rng.choices("ab", k=900))
+    texts = ["a" * 1200, "ab" * 600, base, base[:500] + "c" + base[500:], base[7:], "a" * 300 + base, base[200:] + "ab" * 200]
+    raw, offs = b"".join(t.encode() for t in texts), np.cumsum([0, *map(len, texts)])
+    frag = np.repeat(np.arange(len(texts)), np.diff(offs))
+    place = np.arange(len(raw))
+    anchor = offs[:-1] + np.array([rng.randrange(500) for _ in texts])
+    bucket = frag // 3
+    at = place[place + length <= offs[1:][frag]]
+    samples = place[inside[(place - anchor[frag]) % v] & (place + length - v + 1 <= offs[1:][frag])]
+    order, new = suffix_sort.sort_block(suffix_sort.Bytes(np.frombuffer(raw, np.uint8)), at, anchor[frag[at]], bucket[at], samples, bucket[samples], length - v + 1, length, r)
+    got = [(bucket[p], raw[p : p + length]) for p in at[order].tolist()]
+    assert got == sorted(got)
+    assert new.tolist() == [True] + [a != b for a, b in zip(got, got[1:])]
+
+
 @pytest.mark.parametrize("r", [1, 2, 3])
 def test_cover_meets_every_difference(r):
-    v, d = suffix_dedup.difference_cover(r)
+    v, d = suffix_sort.difference_cover(r)
     assert {(a - b) % v for a in d for b in d} == set(range(v))
 
 

@@ -1,20 +1,15 @@
-"""Exact substring dedup over bytes by a difference cover and blockwise suffix buckets.
+"""Exact substring dedup over bytes: a suffix array made blockwise, one suffix bucket at a time, with a difference cover.
 
-A difference cover D modulo v holds, for every two positions i and j, an offset d < v with i+d and j+d both in the cover.
-So two equal ``length``-byte strings also agree on a sample string of length - v + 1 bytes that starts at a cover position
-of each. That gives the two steps:
+Every suffix of at least ``length`` bytes goes to a bucket by content: the least 32-byte gram in its first ``length`` bytes (its
+anchor). Equal strings so meet in one bucket at one distance from the anchor, and neighbouring suffixes of one text share an anchor and
+travel as one fragment, which holds their text. A task reads its buckets in order and sorts them one at a time (small ones
+together, up to BLOCK bytes): the block's cover samples are ranked, then its suffixes are sorted, long ties being settled by
+those ranks (see suffix_sort). Strings next to each other that agree in ``length`` bytes are repeats. A bucket with one fragment has none.
 
-1. Cover sample. The sample strings at cover positions get class fingerprints; classes that occur twice or more make a
-   bitmap of bounded size (a full bitmap only lets more suffixes through).
-2. Suffix buckets. A suffix is settled as unique unless a sample string within its first v bytes is in a repeated
-   class. The others are dealt to buckets by content: the bucket of a suffix is the least 32-byte fingerprint in its
-   first ``length`` bytes, so equal suffixes always meet, and neighbours of one text mostly stay together and travel as
-   one run. A task sorts its buckets' suffixes by the fingerprint of their ``length`` bytes; those found twice are removed.
-
-Sample classes and suffix keys are 64-bit fingerprints where a local construction would hold lexicographic ranks: only
-equality up to ``length`` bytes matters for dedup, and the fingerprints need no global sort. Each Arrow batch first settles
-its own repeats and hands on one occurrence of each string, so that a passage in a third of all documents makes one run a
-batch.
+Memory is bounded by BLOCK. Grams that are frequent are found beforehand by a count, and their buckets are dealt to several tasks; such
+buckets, and any that outgrow a block, are sorted in parts, and each part hands on one occurrence of each string to a last grouping by
+the string's fingerprint. Each chunk of a batch (CHUNK) first settles fragments that it holds twice, so that a passage in a third of all
+documents makes one fragment a chunk. Nothing is broadcast but the frequent grams (MOST_FREQUENT at most; the rest are handled by parts).
 
 Defined results: a null text is empty: no bytes, spans or removals. Texts under ``length`` bytes keep all. Rows with a
 null id take no part and keep all. Rows that repeat id and text are copies of each other like any two rows, so both lose
@@ -24,30 +19,25 @@ all their strings. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
-from .shared import LOG_BLOCK, gather_bits, has_bit
+from .shared import materialise
+from .suffix_sort import Bytes, cover_tables, groups_of, sort_block
 
 LENGTH, COVER_R, GRAM = 400, 2, 32
-#: The bitmap of repeated classes: at most 2**28 bits (32 MB), broadcast; four bits a class, so that few unique classes pass.
-MAX_LOG_WIDTH, BITS_A_CLASS = 28, 4
-#: Bytes of a suffix key that travel; with its bucket's 64 bits they tell suffixes apart.
-KEY_BYTES = 6
-HOLD = 2_000_000
-CHUNK = 1 << 20
-
-
-def difference_cover(r: int) -> tuple[int, np.ndarray]:
-    """Colbourn and Ling's cover: 6r+4 residues modulo 24r**2 + 36r + 13."""
-    steps = [1] * r + [r + 1] + [2 * r + 1] * r + [4 * r + 3] * (2 * r + 1) + [2 * r + 2] * (r + 1) + [1] * r
-    return 24 * r * r + 36 * r + 13, np.concatenate([[0], np.cumsum(steps)])
+CHUNK = 2 << 20
+#: Bytes of fragments that a task sorts at a time.
+BLOCK = 4 << 20
+#: A gram with more fragments is frequent; its bucket is dealt to tasks of about as many. At most MOST_FREQUENT grams are broadcast (3 MB).
+FREQUENT, MOST_FREQUENT = 1000, 200_000
+LOW = np.uint64((1 << 24) - 1)
 
 
 def _chunks(offs: np.ndarray, overlap: int):
@@ -61,229 +51,178 @@ def _chunks(offs: np.ndarray, overlap: int):
                 yield r0, r1, a, min(hi, a + CHUNK + overlap), min(hi, a + CHUNK)
 
 
-class _Chunk:
-    """Prefix sums over a chunk of bytes, from which the fingerprint of any of its strings follows."""
+class Runs:
+    """The runs of suffix starts of a chunk that share an anchor: row, first start, number and anchor of each, in chunk positions."""
 
-    def __init__(self, raw, offs, r0, r1, lo, hi, stop, length, v, in_cover):
+    def __init__(self, raw, offs, r0, r1, lo, hi, stop, length):
+        self.base, self.text = lo, Bytes(raw[lo:hi])
         n = hi - lo
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(A.BYTE_VALUE[raw[lo:hi]] * A.powers(n), out=self.sums[1:])
         cuts = np.clip(offs[r0 : r1 + 1], lo, hi) - lo
-        lens = np.diff(cuts)
-        self.row = np.repeat(np.arange(r0, r1, dtype=np.int32), lens)
-        self.rel = (np.arange(n) - np.repeat(offs[r0:r1] - lo, lens)).astype(np.int32)
-        self.room = np.repeat(cuts[1:], lens) - np.arange(n)
-        self.stop = stop - lo  # starts from here on are the next chunk's
-        self.sample = np.flatnonzero(in_cover[self.rel % v] & (self.room >= length - v + 1))
-
-    def keys(self, at, length):
-        return A.mix((self.sums[at + length] - self.sums[at]) * A.powers(len(self.sums), A.BASE_INVERSE)[at])
-
-    def least_grams(self, length):
-        """For each start, the least gram fingerprint in the ``length`` bytes from there."""
-        g = self.keys(np.arange(len(self.sums) - GRAM), GRAM)
-        w = length - GRAM + 1
-        n = len(g)
-        g = np.concatenate([g, np.full(-n % w + w, 2**64 - 1, np.uint64)]).reshape(-1, w)
+        room = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(n)
+        at = np.flatnonzero(room[: stop - lo] >= length)
+        if not len(at):
+            self.start = self.count = self.anchor = self.row = at
+            return
+        # the least gram of each window, its place in the low bits, so that the first of equal ones wins
+        g = A.mix(self.text.prints(np.arange(n - GRAM + 1), GRAM)) & ~LOW | np.arange(n - GRAM + 1, dtype=np.uint64)
+        w, m = length - GRAM + 1, len(g)
+        g = np.concatenate([g, np.full(-m % w + w, 2**64 - 1, np.uint64)]).reshape(-1, w)
         before = np.minimum.accumulate(g, axis=1).reshape(-1)
         after = np.minimum.accumulate(g[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        return np.minimum(after[: max(0, n - w + 1)], before[w - 1 : w - 1 + max(0, n - w + 1)])
-
+        anchor = (np.minimum(after[at], before[at + w - 1]) & LOW).astype(np.int64)
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1])
+        cut = np.flatnonzero(new)
+        self.start, self.anchor = at[cut], anchor[cut]
+        self.count = np.diff(np.append(cut, len(at)))
+        self.row = r0 + np.searchsorted(cuts, self.start, side="right") - 1
 
-def _cover(r, length):
-    v, d = difference_cover(r)
-    assert v <= length - GRAM, "the cover's period must leave a sample string"
-    table = np.zeros(v, bool)
-    table[d] = True
-    return v, table
+    def buckets(self) -> np.ndarray:
+        return A.mix(self.text.prints(self.anchor, GRAM)).view(np.int64)
 
 
-def _class_ids(keys: np.ndarray, log_width: int) -> np.ndarray:
-    """A sample string's class: the number of its block and 32 bits in the block. Two strings in one class only let more through."""
-    return keys >> np.uint64(32 - max(0, log_width - LOG_BLOCK))
-
-
-def _sample_classes(length: int, r: int, log_width: int):
-    v, in_cover = _cover(r, length)
+def _anchors(length: int):
+    """(bucket, n): the fragments of each gram in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = A.string_buffers(batch.column(0))
-            ids = [_class_ids(c.keys(c.sample[c.sample < c.stop], length - v + 1), log_width) for x in _chunks(offs, length) for c in [_Chunk(raw, offs, *x, length, v, in_cover)]]
-            if not ids or not len(ids := np.sort(np.concatenate(ids))):
-                continue
-            third = np.zeros(len(ids), bool)
-            third[2:] = ids[2:] == ids[:-2]
-            ids = ids[~third]
-            blk = (ids >> np.uint64(32)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(blk, prepend=-1))
-            low = ids.astype(np.uint32)
-            data = [low[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(low)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(blk[cut], pa.int32()), pa.array(data, pa.binary())], ["blk", "data"])
+            found = [Runs(raw, offs, *x, length).buckets() for x in _chunks(offs, length)]
+            if found and len(all_ := np.concatenate(found)):
+                bucket, n = np.unique(all_, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket), "n": pa.array(n)})
 
     return run
 
 
-def _slots(ids: np.ndarray, log_width: int):
-    """A class's bits, all in its block."""
-    block = (ids >> np.uint64(32)).astype(np.int64) << min(LOG_BLOCK, log_width)
-    for _ in range(BITS_A_CLASS):
-        ids = A.mix(ids + np.uint64(1))
-        yield block | (ids >> np.uint64(64 - min(LOG_BLOCK, log_width))).astype(np.int64)
-
+FRAGMENTS = pa.schema([("bucket", pa.int64()), ("salt", pa.int32()), ("own", pa.int64()), ("ver", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("anchor", pa.int32()), ("told", pa.bool_()), ("data", pa.binary())])
+FOUND = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("ver", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("told", pa.bool_())])
 
-def _repeated_classes(log_width: int):
-    """Bits of the classes that occur twice or more; blocks hold distinct classes once they have grown."""
-    size = 1 << min(LOG_BLOCK, log_width)
 
-    def settle(blk, state, pending, flags):
-        keys = np.sort(np.concatenate([*([state] if state is not None else []), *pending]))
-        again = keys[1:][keys[1:] == keys[:-1]]
-        for slot in _slots(again.astype(np.uint64) | np.uint64(blk << 32), log_width):
-            flags[slot & (size - 1)] = True
-        return np.unique(keys)
+def _fragments(length: int, frequent):
+    """One fragment for each run of a chunk; those that it holds twice are told of, and travel once. Told runs also come without text, in no bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, state, pending, held = {}, {}, {}, {}
+        grams, parts = frequent.value
         for batch in batches:
-            for blk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys = np.frombuffer(data.as_buffer(), np.uint32)
-                flags.setdefault(blk, np.zeros(size, bool))
-                pending.setdefault(blk, []).append(keys)
-                held[blk] = held.get(blk, 0) + len(keys)
-                if held[blk] > HOLD:
-                    state[blk], pending[blk], held[blk] = settle(blk, state.get(blk), pending[blk], flags[blk]), [], 0
-        for blk in flags:
-            if pending[blk]:
-                settle(blk, state.pop(blk, None), pending.pop(blk), flags[blk])
-            yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()), pa.array([np.packbits(flags[blk]).tobytes()], pa.binary())], ["blk", "bits"])
+            ids = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ver = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw, offs = A.string_buffers(batch.column(0))
+            for x in _chunks(offs, length):
+                c = Runs(raw, offs, *x, length)
+                if not len(c.start):
+                    continue
+                size = c.count + length - 1
+                bucket = c.buckets()
+                whole = A.mix(c.text.prints(c.start, size) + c.count.astype(np.uint64)) ^ bucket.view(np.uint64)
+                _, first, of, seen = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+                told = seen[of] > 1
+                own, pos = ids[c.row], c.base + c.start - offs[c.row]
+                salt = np.zeros(len(own), np.int32)
+                if len(grams):
+                    at = np.minimum(np.searchsorted(grams, bucket), len(grams) - 1)
+                    hot = grams[at] == bucket
+                    spread = A.mix(own.view(np.uint64) + pos.view(np.uint64) * A.WORD_BASE)
+                    salt[hot] = 1 + (spread[hot] % parts[at[hot]].astype(np.uint64)).astype(np.int32)
+                go = np.sort(first)
+                a = c.base + c.start[go]
+                data = [raw[i:j].tobytes() for i, j in zip(a.tolist(), (a + size[go]).tolist(), strict=True)]
+                cols = [bucket[go], salt[go], own[go], ver[c.row[go]], pos[go], c.count[go].astype(np.int32), (c.anchor - c.start)[go].astype(np.int32), told[go]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(col) for col in cols), pa.array(data, pa.binary())], schema=FRAGMENTS)
+                if told.any():
+                    t = np.flatnonzero(told)
+                    cols = [A.mix(own[t].view(np.uint64)).view(np.int64), np.full(len(t), -1, np.int32), own[t], ver[c.row[t]], pos[t], c.count[t].astype(np.int32), np.zeros(len(t), np.int32), np.ones(len(t), bool)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(col) for col in cols), pa.nulls(len(t), pa.binary())], schema=FRAGMENTS)
 
     return run
 
 
-def _run_rows(row, pos, same) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the runs of consecutive positions of one row with one value of ``same``; sorted by (row, pos)."""
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (same[1:] != same[:-1])
+def _spans(own, ver, pos) -> pa.RecordBatch:
+    """Runs of consecutive positions of one document, settled."""
+    order = np.lexsort((pos, ver, own))
+    own, ver, pos = own[order], ver[order], pos[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (ver[1:] != ver[:-1]) | (pos[1:] > pos[:-1] + 1)
     cut = np.flatnonzero(new)
-    return cut, np.append(cut[1:], len(row))
-
-
-RUN_SCHEMA = pa.schema([("bucket", pa.int64()), ("own", pa.int64()), ("ver", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("keys", pa.binary())])
-
-
-def _suffix_runs(length: int, r: int, bits, log_width: int):
-    v, in_cover = _cover(r, length)
+    end = pos[np.append(cut[1:], len(pos)) - 1] + 1
+    return pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.int64()), *map(pa.array, (own[cut], ver[cut], pos[cut], end, np.ones(len(cut), bool)))], schema=FOUND)
+
+
+def _sort_rows(rows: pa.Table, open_bucket: tuple[int, int] | None, length: int, r: int) -> Iterator[pa.RecordBatch]:
+    """Spans of the repeats of a block, and one occurrence of each string of buckets that are not wholly in it."""
+    bucket, salt = rows["bucket"].to_numpy(), rows["salt"].to_numpy()
+    first = np.ones(len(bucket), bool)
+    first[1:] = (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])
+    of = groups_of(first)
+    partial = salt > 0
+    if open_bucket:
+        partial = partial | ((bucket == open_bucket[0]) & (salt == open_bucket[1]))
+    use = (np.bincount(of)[of] > 1) | partial
+    if not use.any():
+        return
+    rows, of, partial = rows.filter(pa.array(use)), of[use], partial[use]
+    v, inside, _ = cover_tables(r)
+    raw, offs = A.string_buffers(rows["data"])
+    raw, offs = raw[offs[0] : offs[-1]], offs - offs[0]
+    n, anchor, start = rows["n"].to_numpy().astype(np.int64), rows["anchor"].to_numpy() + offs[:-1], rows["start"].to_numpy()
+    text = Bytes(raw)
+    frag = np.repeat(np.arange(len(n)), n)
+    rel = np.arange(len(frag)) - np.repeat(np.cumsum(n) - n, n)
+    at = offs[frag] + rel
+    sample_length = length - v + 1
+    frag_of = np.repeat(np.arange(len(n)), np.diff(offs))
+    place = np.arange(len(raw))
+    samples = np.flatnonzero(inside[(place - anchor[frag_of]) % v] & (place + sample_length <= offs[1:][frag_of]))
+    order, new = sort_block(text, at, anchor[frag], of[frag], samples, of[frag_of[samples]], sample_length, length, r)
+    cls = groups_of(new)
+    frag, rel, at = frag[order], rel[order], at[order]
+    own, ver, pos, told = rows["own"].to_numpy()[frag], rows["ver"].to_numpy()[frag], start[frag] + rel, rows["told"].to_numpy(zero_copy_only=False)[frag]
+    twice = np.bincount(cls)[cls] > 1
+    if len(out := np.flatnonzero(twice & ~told)):
+        yield _spans(own[out], ver[out], pos[out])
+    part = np.flatnonzero(new & partial[frag])
+    if len(part):
+        known = np.logical_or.reduceat(twice | told, np.flatnonzero(new))[cls[part]]
+        yield pa.RecordBatch.from_arrays([pa.array(A.mix(text.prints(at[part], length)).view(np.int64)), *map(pa.array, (own[part], ver[part], pos[part], pos[part] + 1, known))], schema=FOUND)
+
+
+def _sort_buckets(length: int, r: int, block: int = BLOCK):
+    """Fragments in the order of their buckets to what they hold of repeats; holds a block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = bits.value[0]
+        held, size, open_bucket = [], 0, None
         for batch in batches:
-            ids = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            ver = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            raw, offs = A.string_buffers(batch.column(0))
-            parts, n = [], 0
-            for x in _chunks(offs, length):
-                c = _Chunk(raw, offs, *x, length, v, in_cover)
-                if not len(c.sample):
-                    continue
-                keys, hit = _class_ids(c.keys(c.sample, length - v + 1), log_width), c.sample
-                for j in range(BITS_A_CLASS):
-                    found = has_bit(bitmap, next(itertools.islice(_slots(keys, log_width), j, None)))
-                    keys, hit = keys[found], hit[found]
-                if not len(hit):
-                    continue
-                edge = np.zeros(len(c.row) + 1, np.int32)
-                np.add.at(edge, np.maximum(hit - v + 1, hit - c.rel[hit]).clip(0), 1)
-                np.add.at(edge, hit + 1, -1)
-                at = np.flatnonzero((np.cumsum(edge[: c.stop]) > 0) & (c.room[: c.stop] >= length))  # samples past the edge count for starts before it
-                if len(at):
-                    parts.append((c.keys(at, length), c.row[at], c.rel[at], c.least_grams(length)[at]))
-                    n += len(at)
-                if n > HOLD:
-                    yield from _settle_batch(parts, ids, ver)
-                    parts, n = [], 0
-            if parts:
-                yield from _settle_batch(parts, ids, ver)
+            known = pc.equal(batch.column("salt"), -1)
+            if known.true_count:
+                b = batch.filter(known)
+                start, n = b.column("start").to_numpy(), b.column("n").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), b.column("own"), b.column("ver"), pa.array(start), pa.array(start + n), b.column("told")], schema=FOUND)
+                batch = batch.filter(pc.invert(known))
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size < block:
+                continue
+            rows = pa.Table.from_batches(held)
+            bucket, salt = rows["bucket"].to_numpy(), rows["salt"].to_numpy()
+            last = (int(bucket[-1]), int(salt[-1]))
+            whole = int(np.flatnonzero((bucket != last[0]) | (salt != last[1]))[-1]) + 1 if (bucket[0], salt[0]) != last else 0
+            if whole:  # the last bucket may go on; it waits
+                yield from _sort_rows(rows.slice(0, whole).combine_chunks(), open_bucket, length, r)
+                open_bucket = None
+                rows = rows.slice(whole)
+            if rows.nbytes >= block:
+                open_bucket = last
+                yield from _sort_rows(rows.combine_chunks(), open_bucket, length, r)
+                rows = rows.slice(0, 0)
+            held, size = rows.to_batches(), rows.nbytes
+        if held:
+            yield from _sort_rows(pa.Table.from_batches(held).combine_chunks(), open_bucket, length, r)
 
     return run
 
 
-def _settle_batch(parts, ids, ver) -> Iterator[pa.RecordBatch]:
-    """One occurrence of each string, in runs by bucket, and the runs that are known to repeat."""
-    keys, row, pos, bucket = (np.concatenate(p) for p in zip(*parts, strict=True))
-    parts.clear()
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    alone = new & np.concatenate([new[1:], [True]])
-    first, twice = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    first[order[new]] = True
-    twice[order[~alone]] = True
-    del order, ranked
-    at = np.flatnonzero(first)
-    a, b = _run_rows(row[at], pos[at], bucket[at])
-    f = at[a]
-    short = keys[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
-    data = [short[i * KEY_BYTES : j * KEY_BYTES] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[f].view(np.int64)), pa.array(ids[row[f]]), pa.array(ver[row[f]]), pa.array(pos[f].astype(np.int64)), pa.array(pos[f] + (b - a)), pa.array(data, pa.binary())], schema=RUN_SCHEMA)
-    at = np.flatnonzero(twice)
-    if len(at):
-        a, b = _run_rows(row[at], pos[at], np.zeros(len(at), np.int8))
-        f = at[a]
-        own = ids[row[f]]
-        yield pa.RecordBatch.from_arrays([pa.array(A.mix(own.view(np.uint64)).view(np.int64)), pa.array(own), pa.array(ver[row[f]]), pa.array(pos[f].astype(np.int64)), pa.array(pos[f] + (b - a)), pa.nulls(len(f), pa.binary())], schema=RUN_SCHEMA)
-
-
-SPAN_SCHEMA = pa.schema([("own", pa.int64()), ("ver", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
-
-
-def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of suffix starts that occur again in their bucket; one occurrence of each string is held."""
-    held = [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, bool)]  # key, own, ver, pos, told
-    pending, n = [], 0
-
-    def settle():
-        nonlocal held, pending, n
-        parts = [held, *pending]
-        keys, own, ver, pos, told = (np.concatenate(x) for x in zip(*parts, strict=True))
-        pending, n = [], 0
-        order = np.argsort(keys, kind="stable")
-        keys, own, ver, pos, told = keys[order], own[order], ver[order], pos[order], told[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
-        twice = ~(new & np.concatenate([new[1:], [True]])[: len(keys)])
-        out = np.flatnonzero(twice & ~told)
-        held = [keys[new], own[new], ver[new], pos[new], (told | twice)[new]]
-        out = out[np.lexsort((pos[out], ver[out], own[out]))]
-        if not len(out):
-            return None
-        doc = np.cumsum(np.concatenate([[0], (own[out][1:] != own[out][:-1]) | (ver[out][1:] != ver[out][:-1])]))
-        a, b = _run_rows(doc, pos[out], np.zeros(len(out), np.int8))
-        f = out[a]
-        return pa.RecordBatch.from_arrays([pa.array(own[f]), pa.array(ver[f]), pa.array(pos[f]), pa.array(pos[f] + (b - a))], schema=SPAN_SCHEMA)
-
-    for batch in batches:
-        known = batch.column("keys").is_null()
-        if known.true_count:
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(known) for c in SPAN_SCHEMA.names], schema=SPAN_SCHEMA)
-        runs = batch.filter(batch.column("keys").is_valid())
-        if not runs.num_rows:
-            continue
-        raw, offs = A.string_buffers(runs.column("keys"))
-        start, stop = runs.column("start").to_numpy(), runs.column("stop").to_numpy()
-        k = stop - start
-        total = int(k.sum())
-        wide = np.zeros((total, 8), np.uint8)
-        wide[:, :KEY_BYTES] = raw[offs[0] : offs[-1]].reshape(-1, KEY_BYTES)
-        keys = A.mix(wide.view("<u8").reshape(-1) ^ np.repeat(A.mix(runs.column("bucket").to_numpy().view(np.uint64)), k))
-        pos = np.arange(total) - np.repeat(np.cumsum(k) - k, k) + np.repeat(start, k)
-        pending.append((keys, np.repeat(runs.column("own").to_numpy(), k), np.repeat(runs.column("ver").to_numpy(), k), pos, np.zeros(total, bool)))
-        n += total
-        if n >= HOLD and (out := settle()):
-            yield out
-    if pending and (out := settle()):
-        yield out
-
-
 def _cut(length: int, with_spans: bool):
     names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     names += [("kept", pa.binary()), ("span_starts", pa.list_(pa.int64())), ("span_stops", pa.list_(pa.int64()))] * with_spans
@@ -318,26 +257,38 @@ def _cut(length: int, with_spans: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, cover_r: int = COVER_R, id_col: str = "doc_id", text_col: str = "text", max_log_width: int = MAX_LOG_WIDTH) -> DataFrame:
+FRAGMENT = "bucket long, salt int, own long, ver long, start long, n int, anchor int, told boolean, data binary"
+
+
+def frequent_grams(texts: DataFrame, length: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The grams with most fragments, ascending, and among how many tasks each is dealt."""
+    counts = texts.mapInArrow(_anchors(length), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > frequent)
+    top = counts.orderBy(F.desc("n"), "bucket").limit(MOST_FREQUENT).toArrow().sort_by("bucket")
+    return top["bucket"].to_numpy(), -(-top["n"].to_numpy() // frequent)
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, cover_r: int = COVER_R, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
     """For each document with a repeated string: own, ver, starts and stops (runs of starts of repeated strings)."""
+    assert length - GRAM >= cover_tables(cover_r)[0], "the cover's period must leave a sample string"
     spark = docs.sparkSession
-    docs = docs.select(F.col(text_col).alias("txt"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("ver")).where("own is not null and txt is not null")
-    size = docs.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
-    log_width = min(max_log_width, max(16, int(size // 6).bit_length()))
-    sample = docs.select("txt").mapInArrow(_sample_classes(length, cover_r, log_width), "blk int, data binary")
-    classes = sample.repartition("blk").mapInArrow(_repeated_classes(log_width), "blk int, bits binary")
-    bits = spark.sparkContext.broadcast(gather_bits(classes, 1, log_width))
-    runs = docs.mapInArrow(_suffix_runs(length, cover_r, bits, log_width), "bucket long, own long, ver long, start long, stop long, keys binary")
-    spans = runs.repartition("bucket").mapInArrow(_sort_buckets, "own long, ver long, start long, stop long")
+    docs = docs.select(F.col(text_col).alias("txt"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("ver")).where(F.col("own").isNotNull() & (F.octet_length("txt") >= length))
+    grams = spark.sparkContext.broadcast(frequent_grams(docs.select("txt"), length, frequent))
+    fragments = docs.mapInArrow(_fragments(length, grams), FRAGMENT)
+    sorted_ = fragments.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
+    found = materialise(sorted_.mapInArrow(_sort_buckets(length, cover_r, block), "key long, own long, ver long, start long, stop long, told boolean"), "repeats")
+    # strings of buckets that were sorted in parts: repeated if two parts hold them, or one holds them twice
+    met = F.count("*").over(Window.partitionBy("key"))
+    parts = found.where("key is not null").withColumn("met", met).where("met > 1 and not told").select("own", "ver", "start", "stop")
+    spans = found.where("key is null").select("own", "ver", "start", "stop").unionByName(parts)
     return spans.groupBy("own", "ver").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, cover_r: int = COVER_R, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True, max_log_width: int = MAX_LOG_WIDTH) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, cover_r: int = COVER_R, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
     """Removes each byte covered by a ``length``-byte string that also starts anywhere else.
 
     Returns the id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left) and the removed spans.
     """
-    spans = repeated_spans(docs, length, cover_r, id_col, text_col, max_log_width)
+    spans = repeated_spans(docs, length, cover_r, id_col, text_col, frequent, block)
     rows = docs.select(F.col(text_col).alias("txt"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("ver")).join(spans, ["own", "ver"], "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, span_starts array<long>, span_stops array<long>" * with_spans
     return rows.select("txt", "own", "starts", "stops").mapInArrow(_cut(length, with_spans), schema)
