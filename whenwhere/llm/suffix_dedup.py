@@ -166,14 +166,35 @@ def _sort_rows(rows: pa.Table, open_bucket: tuple[int, int] | None, length: int,
     raw, offs = raw[offs[0] : offs[-1]], offs - offs[0]
     n, anchor, start = rows["n"].to_numpy().astype(np.int64), rows["anchor"].to_numpy() + offs[:-1], rows["start"].to_numpy()
     text = Bytes(raw)
+    # a string reaches at least half of what it has beside the gram to one side of it: a bucket is split by the bytes there,
+    # and strings whose half no other fragment has are alone
+    half = (length - GRAM) // 2
+    reach = length - GRAM - half  # starts up to here before the anchor have their half on the right
+    behind = anchor - offs[:-1]
+    sides = np.empty((len(n), 2), np.uint64)
+    sides[:, 0] = text.prints(anchor, np.where(behind - n < reach, GRAM + half, 0))
+    sides[:, 1] = text.prints(anchor - np.where(behind > reach, half, 0), np.where(behind > reach, GRAM + half, 0))
+    sides = A.mix(sides + A.mix(of.astype(np.uint64) + np.uint64(1))[:, None]) ^ np.array([0, 1], np.uint64)
+    have = np.stack([behind - n < reach, behind > reach], axis=1)
+    _, part_of, seen = np.unique(sides[have], return_inverse=True, return_counts=True)
+    part = np.full(sides.shape, -1, np.int64)
+    part[have] = np.where((seen[part_of] > 1) | np.broadcast_to(partial[:, None], have.shape)[have], part_of, -1)
     frag = np.repeat(np.arange(len(n)), n)
     rel = np.arange(len(frag)) - np.repeat(np.cumsum(n) - n, n)
+    group = part[frag, (behind[frag] - rel > reach).astype(np.int8)]
+    live = np.flatnonzero(group >= 0)
+    if not len(live):
+        return
+    frag, rel, group = frag[live], rel[live], group[live]
     at = offs[frag] + rel
     sample_length = length - v + 1
-    frag_of = np.repeat(np.arange(len(n)), np.diff(offs))
-    place = np.arange(len(raw))
-    samples = np.flatnonzero(inside[(place - anchor[frag_of]) % v] & (place + sample_length <= offs[1:][frag_of]))
-    order, new = sort_block(text, at, anchor[frag], of[frag], samples, of[frag_of[samples]], sample_length, length, r)
+    used = np.flatnonzero((part >= 0).any(axis=1))
+    size = np.diff(offs)[used]
+    sample_of = np.repeat(used, size)
+    place = np.arange(len(sample_of)) - np.repeat(np.cumsum(size) - size - offs[used], size)
+    is_sample = inside[(place - anchor[sample_of]) % v] & (place + sample_length <= offs[1:][sample_of])
+    samples, sample_of = place[is_sample], sample_of[is_sample]
+    order, new = sort_block(text, at, anchor[frag], group, samples, of[sample_of], sample_length, length, r)
     cls = groups_of(new)
     frag, rel, at = frag[order], rel[order], at[order]
     own, ver, pos, told = rows["own"].to_numpy()[frag], rows["ver"].to_numpy()[frag], start[frag] + rel, rows["told"].to_numpy(zero_copy_only=False)[frag]

@@ -65,32 +65,25 @@ def sort_strings(text: Bytes, at: np.ndarray, group: np.ndarray, length: int) ->
     new[1:] = group[idx[1:]] != group[idx[:-1]]
     w = np.arange(len(idx))
     gid, depth = groups_of(new), np.zeros(len(idx), np.int64)
-    first = True
+    rounds = 0
     while True:
-        # keep groups of two or more that are not known to be equal throughout
         size = np.bincount(gid)
-        keep = size[gid] > 1
+        keep = size[gid] > 1  # groups of two or more
         w, gid, depth = w[keep], gid[keep], depth[keep]
         if not len(w):
             return idx, new
-        head = np.flatnonzero(np.diff(gid, prepend=-1))
-        gid = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(gid))))
         p = at[idx[w]]
-        if not first:
-            same = text.prints(p, length)
-            mixed = np.logical_or.reduceat(same != same[head][gid], head)[gid]
+        if rounds:  # those that are equal throughout are done
+            whole = text.prints(p, length)
+            head, gid = _regroup(gid)
+            mixed = np.logical_or.reduceat(whole != whole[head][gid], head)[gid]
             w, depth, p, gid = w[mixed], depth[mixed], p[mixed], gid[mixed]
             if not len(w):
                 return idx, new
-            head = np.flatnonzero(np.diff(gid, prepend=-1))
-            gid = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(gid))))
-            lo, hi, q = depth, np.full(len(w), length - 1), p[head][gid]
-            while (lo < hi).any():  # the longest prefix shared with the first, under length
-                mid = (lo + hi + 1) >> 1
-                fits = text.prints(p, mid) == text.prints(q, mid)
-                lo, hi = np.where(fits, mid, lo), np.where(fits, hi, mid - 1)
-            depth = np.minimum.reduceat(lo, head)[gid]
-        first = False
+        head, gid = _regroup(gid)
+        if rounds > 1:
+            depth = np.minimum.reduceat(_shared(text, p, head, gid, depth, length), head)[gid]
+        rounds += 1
         take = np.minimum(WORD, length - depth)
         word = text.words[p + depth].astype(np.uint64) >> np.uint64(64 - 8 * WORD)
         word &= ~np.uint64(0) << (np.uint64(8) * (WORD - take).astype(np.uint64))
@@ -101,7 +94,26 @@ def sort_strings(text: Bytes, at: np.ndarray, group: np.ndarray, length: int) ->
         cut = np.ones(len(key), bool)
         cut[1:] = key[1:] != key[:-1]
         new[w] |= cut
-        gid, depth = groups_of(cut), (depth + take)
+        gid, depth = groups_of(cut), depth + take
+
+
+def _regroup(gid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first places of ascending groups, and the groups numbered without gaps."""
+    new = np.ones(len(gid), bool)
+    new[1:] = gid[1:] != gid[:-1]
+    return np.flatnonzero(new), groups_of(new)
+
+
+def _shared(text: Bytes, p: np.ndarray, head: np.ndarray, gid: np.ndarray, depth: np.ndarray, length: int) -> np.ndarray:
+    """How many bytes each string shares with its group's first, at least ``depth`` and less than ``length``; by bisection on fingerprints."""
+    sums, down = text.sums[p], text.down[p]
+    q, q_sums, q_down = p[head][gid], sums[head][gid], down[head][gid]
+    lo, hi = depth, np.full(len(p), length - 1)
+    for _ in range(int(length).bit_length()):
+        mid = (lo + hi + 1) >> 1
+        fits = (text.sums[p + mid] - sums) * down == (text.sums[q + mid] - q_sums) * q_down
+        lo, hi = np.where(fits, mid, lo), np.where(fits, hi, np.maximum(mid - 1, lo))
+    return lo
 
 
 def sort_ties(items: np.ndarray, new: np.ndarray, compare) -> tuple[np.ndarray, np.ndarray]:
