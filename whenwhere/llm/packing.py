@@ -18,29 +18,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
-from .vocab import WordEncoder, default_path
+from .vocab import WordEncoder, default_path, word_encoder
 
 SIZE, END_ID = 2048, 1
 #: In padding tokens: a cut at a sentence end, a cut inside a sentence, and each further sequence.
 SENTENCE_COST, WORD_COST, WINDOW_COST = 4, 64, 8
 SMALLEST_POWER = 32
+#: Bytes of text that are tokenised at a time; the more, the fewer words are looked up twice.
+TOKENISED_BYTES = 12 << 20
 
 
 def tokenise(texts: pa.Array, encoder: WordEncoder, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All ids of the rows, the rows' offsets into them, and where sentences and words end in them."""
     codes, words, ends = A.split_words(texts)
-    known = encoder.encode(words.to_pylist())
-    size = np.fromiter(map(len, known), np.int64, len(known))
-    flat = np.fromiter((i for ids in known for i in ids), np.uint32, int(size.sum()))
-    begin = np.cumsum(size) - size
-    stop = pc.match_substring_regex(words, r"[.!?]$").to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
-    n = size[codes] if len(codes) else np.zeros(0, np.int64)
+    names = words.to_numpy(zero_copy_only=False).tolist()
+    known = encoder.look_up(names)
+    stop = np.fromiter((w[-1] in ".!?" for w in names), bool, len(names))
+    n = encoder.words.size[known][codes] if len(codes) else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     done = np.cumsum(n)
     total = np.concatenate([[0], done])
@@ -48,8 +47,7 @@ def tokenise(texts: pa.Array, encoder: WordEncoder, end_id: int) -> tuple[np.nda
     ids = np.full(int(offs[-1]), end_id, np.uint32)
     first = done - n + row
     if len(done):
-        within = np.arange(int(done[-1])) - np.repeat(done - n, n)
-        ids[np.repeat(first, n) + within] = flat[np.repeat(begin[codes], n) + within]
+        ids[np.repeat(first - (done - n), n) + np.arange(int(done[-1]))] = encoder.words.ids(known[codes])
     at = first + n
     return ids, offs, at[stop[codes]] if len(codes) else at, at
 
@@ -112,12 +110,12 @@ def _pack(path: str, size: int, end_id: int, with_ids: bool):
     names += [("ids", pa.list_(pa.int32()))] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = WordEncoder(path), TaskContext.get().partitionId() << 36
+        encoder, sequence = word_encoder(path), TaskContext.get().partitionId() << 36
         for batch in batches:
             doc = batch.column(0)
             _, raw_offs = A.string_buffers(batch.column(1))
             held, base = [], 0
-            for r0, r1 in A.row_chunks(raw_offs):
+            for r0, r1 in A.row_chunks(raw_offs, TOKENISED_BYTES):
                 ids, offs, sentences, words = tokenise(batch.column(1).slice(r0, r1 - r0), encoder, end_id)
                 held.append((ids, offs[:-1] + base, sentences + base, words + base))
                 base += len(ids)

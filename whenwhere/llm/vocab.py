@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -46,6 +50,47 @@ def load_json(path: str) -> dict:
         return json.load(f)
 
 
+class Remembered:
+    """Strings by number, with the ids of each in one flat array; at ``keep`` strings those not used for longest are forgotten."""
+
+    def __init__(self, keep: int):
+        self.keep, self.turn, self.numbers = keep, 0, {}
+        self.size, self.begin, self.used, self.flat = (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint32))
+
+    def numbers_of(self, names: list[str], ids_of) -> np.ndarray:
+        """The numbers of strings; ``ids_of`` gives the sizes and ids of those that are new. Numbers hold until the next call."""
+        self.turn += 1
+        if len(self.numbers) > self.keep:
+            stay = self.used > np.median(self.used)
+            kept = [w for w, s in zip(self.numbers, stay.tolist(), strict=True) if s]
+            flat = self.ids(np.flatnonzero(stay))
+            self.numbers = dict(zip(kept, range(len(kept)), strict=True))
+            self.size, self.used, self.flat = self.size[stay], self.used[stay], flat
+            self.begin = np.cumsum(self.size) - self.size
+        numbers = self.numbers
+        fresh = list(dict.fromkeys(w for w in names if w not in numbers))
+        if fresh:
+            size, flat = ids_of(fresh)
+            numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh)), strict=True))
+            self.begin = np.append(self.begin, len(self.flat) + np.cumsum(size) - size)
+            self.size, self.flat = np.append(self.size, size), np.append(self.flat, flat)
+            self.used = np.append(self.used, np.zeros(len(fresh), np.int64))
+        found = np.fromiter(map(numbers.__getitem__, names), np.int64, len(names))
+        self.used[found] = self.turn
+        return found
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of strings one after the other."""
+        n = self.size[numbers]
+        done = np.cumsum(n)
+        return self.flat[np.repeat(self.begin[numbers] - (done - n), n) + np.arange(int(done[-1]) if len(done) else 0)]
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return size, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
+
+
 class WordEncoder:
     """Ids of single words under the lower-casing word vocabulary.
 
@@ -56,32 +101,39 @@ class WordEncoder:
     def __init__(self, path: str, keep: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.special = [t["content"] for t in load_json(path)["added_tokens"]]
-        self.pieces = regex.compile(WORD_PATTERN)
-        self.words: dict[str, list[int]] = {}
-        self.pretokens: dict[str, list[int]] = {}
-        self.keep = keep
-
-    def _pretoken(self, piece: str) -> list[int]:
-        ids = self.pretokens.get(piece)
-        if ids is None:
-            ids = self.pretokens[piece] = [t.id for t in self.model.tokenize(as_letters(piece))]
-        return ids
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        if len(self.words) > self.keep:
-            self.words, self.pretokens = {}, {}
-        known, other = self.words, []
-        for w in words:
-            if w not in known:
-                if max(w) < "ɐ" and "<|" not in w and "İ" not in w:
-                    ids: list[int] = []
-                    for piece in self.pieces.findall(w.lower()):
-                        ids += self._pretoken(piece)
-                    known[w] = ids
-                else:
-                    other.append(w)
-        if other:
-            for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        return [known[w] for w in words]
+        self.latin, self.ascii = regex.compile(WORD_PATTERN + r"|\n"), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+|\n")
+        self.words, self.pretokens = Remembered(keep), Remembered(keep)
+
+    def _pretoken_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize = self.model.tokenize
+        return _flat([[] if p == "\n" else [t.id for t in tokenize(p if p.isascii() and p.isprintable() else as_letters(p))] for p in pieces])
+
+    def _by_pretokens(self, words: list[str], pattern) -> tuple[np.ndarray, np.ndarray]:
+        pieces = pattern.findall("\n".join(words).lower() + "\n")
+        found = self.pretokens.numbers_of(pieces, self._pretoken_ids)
+        word = np.cumsum(np.fromiter(("\n" == p for p in pieces), bool, len(pieces)))
+        return np.bincount(word, weights=self.pretokens.size[found], minlength=len(words) + 1)[: len(words)].astype(np.int64), self.pretokens.ids(found)
+
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        kind = np.fromiter((2 if "<|" in w else 0 if w.isascii() else 1 if max(w) < "ɐ" and "İ" not in w else 2 for w in words), np.int8, len(words))
+        size, parts = np.zeros(len(words), np.int64), []
+        for k, way in enumerate((lambda x: self._by_pretokens(x, self.ascii), lambda x: self._by_pretokens(x, self.latin), lambda x: _flat([e.ids for e in self.tokenizer.encode_batch(x, add_special_tokens=False)]))):
+            at = np.flatnonzero(kind == k)
+            size[at], flat = way([words[i] for i in at.tolist()]) if len(at) else (0, np.zeros(0, np.uint32))
+            parts.append((at, flat))
+        begin = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint32)
+        for at, flat in parts:
+            n = size[at]
+            out[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(len(flat))] = flat
+        return size, out
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """The words' numbers in ``words``, a Remembered, until the next call."""
+        return self.words.numbers_of(words, self._word_ids)
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a worker process, so that its memory outlives a task."""
+    return WordEncoder(path)
