@@ -99,7 +99,7 @@ def test_passages_round_a_chunk_edge(monkeypatch):
     long = [text(1199 - d) + "K" + p + "L" + text(2400 + d) for d, p in enumerate(passages)]  # edges at 1000, 2000, 3000
     texts = [*long, *(text(49) + "M" + p + "N" + text(49) for p in passages)]
     batch = pa.RecordBatch.from_pydict({"txt": texts, "own": pa.array(range(len(texts)), pa.int64()), "ver": pa.array([0] * len(texts), pa.int64())})
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.full(1 << 13, 255, np.uint8), 16)
     rows = pa.Table.from_batches(suffix_dedup._fragments(400, SimpleNamespace(value=none))([batch])).sort_by([("bucket", "ascending"), ("salt", "ascending")])
     got = {(r["own"], r["start"], r["stop"]) for b in suffix_dedup._sort_buckets(400, 2)(rows.to_batches()) for r in b.to_pylist()}
     assert got == {(d, 1200 - d, 1201 - d) for d in range(420)} | {(420 + d, 50, 51) for d in range(420)}

@@ -35,7 +35,7 @@ def gather_bits(blocks: DataFrame, rows: int, log_width: int) -> np.ndarray:
     per = 1 << max(0, log_width - LOG_BLOCK)
     out = np.zeros((rows * per, (1 << min(LOG_BLOCK, log_width)) // 8), np.uint8)
     for r in blocks.toLocalIterator():
-        out[r["blk"]] = np.frombuffer(r["bits"], np.uint8)
+        out[r["blk"]] |= np.frombuffer(r["bits"], np.uint8)
     return out.reshape(rows, -1)
 
 

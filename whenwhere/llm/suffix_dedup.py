@@ -6,10 +6,11 @@ travel as one fragment, which holds their text. A task reads its buckets in orde
 together, up to BLOCK bytes): the block's cover samples are ranked, then its suffixes are sorted, long ties being settled by
 those ranks (see suffix_sort). Strings next to each other that agree in ``length`` bytes are repeats. A bucket with one fragment has none.
 
-Memory is bounded by BLOCK. Grams that are frequent are found beforehand by a count, and their buckets are dealt to several tasks; such
-buckets, and any that outgrow a block, are sorted in parts, and each part hands on one occurrence of each string to a last grouping by
-the string's fingerprint. Each chunk of a batch (CHUNK) first settles fragments that it holds twice, so that a passage in a third of all
-documents makes one fragment a chunk. Nothing is broadcast but the frequent grams (MOST_FREQUENT at most; the rest are handled by parts).
+A first pass counts the fragments of each gram. Those of grams that occur once hold no repeat and do not travel: the others make a bitmap
+(at most 2**MAX_LOG_BITS bits, broadcast; where the corpus outgrows it, more fragments travel). Buckets of frequent grams are dealt to
+several tasks; such buckets, and any that outgrow a block, are sorted in parts, and each part hands on one occurrence of each string
+to a last grouping by the string's fingerprint. So memory is bounded by BLOCK. Each chunk of a batch (CHUNK) first settles fragments that it
+holds twice, so that a passage in a third of all documents makes one fragment a chunk.
 
 Defined results: a null text is empty: no bytes, spans or removals. Texts under ``length`` bytes keep all. Rows with a
 null id take no part and keep all. Rows that repeat id and text are copies of each other like any two rows, so both lose
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
-from .shared import materialise
+from .shared import LOG_BLOCK, gather_bits, has_bit, materialise
 from .suffix_sort import Bytes, cover_tables, groups_of, sort_block
 
 LENGTH, COVER_R, GRAM = 400, 2, 32
@@ -37,6 +38,7 @@ CHUNK = 2 << 20
 BLOCK = 4 << 20
 #: A gram with more fragments is frequent; its bucket is dealt to tasks of about as many. At most MOST_FREQUENT grams are broadcast (3 MB).
 FREQUENT, MOST_FREQUENT = 1000, 200_000
+MAX_LOG_BITS, BITS_A_GRAM = 29, 2
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -99,11 +101,37 @@ FRAGMENTS = pa.schema([("bucket", pa.int64()), ("salt", pa.int32()), ("own", pa.
 FOUND = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("ver", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("told", pa.bool_())])
 
 
-def _fragments(length: int, frequent):
+def _slots(bucket: np.ndarray, log_bits: int):
+    """A gram's bits, all in one block of the bitmap."""
+    log_block = min(LOG_BLOCK, log_bits)
+    key = bucket.view(np.uint64)
+    block = (key >> np.uint64(63 - (log_bits - log_block)) >> np.uint64(1)).astype(np.int64) << log_block
+    for _ in range(BITS_A_GRAM):
+        key = A.mix(key + np.uint64(1))
+        yield block | (key >> np.uint64(64 - log_block)).astype(np.int64)
+
+
+def _bitmap(log_bits: int):
+    """Grams, dealt by block, to the blocks' bits."""
+    log_block = min(LOG_BLOCK, log_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slots in _slots(batch.column(0).to_numpy(), log_bits):
+                for blk in np.unique(slots >> log_block).tolist():
+                    flags.setdefault(blk, np.zeros(1 << log_block, bool))[slots[slots >> log_block == blk] & ((1 << log_block) - 1)] = True
+        for blk, f in flags.items():
+            yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()), pa.array([np.packbits(f).tobytes()], pa.binary())], ["blk", "bits"])
+
+    return run
+
+
+def _fragments(length: int, shared):
     """One fragment for each run of a chunk; those that it holds twice are told of, and travel once. Told runs also come without text, in no bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, parts = frequent.value
+        grams, parts, bits, log_bits = shared.value
         for batch in batches:
             ids = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             ver = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -112,12 +140,17 @@ def _fragments(length: int, frequent):
                 c = Runs(raw, offs, *x, length)
                 if not len(c.start):
                     continue
-                size = c.count + length - 1
-                bucket = c.buckets()
-                whole = A.mix(c.text.prints(c.start, size) + c.count.astype(np.uint64)) ^ bucket.view(np.uint64)
+                bucket, again = c.buckets(), np.ones(len(c.start), bool)
+                for slots in _slots(bucket, log_bits):
+                    again &= has_bit(bits, slots)
+                bucket, start, count, anchor, row = (x[again] for x in (bucket, c.start, c.count, c.anchor, c.row))
+                if not len(start):
+                    continue
+                size = count + length - 1
+                whole = A.mix(c.text.prints(start, size) + count.astype(np.uint64)) ^ bucket.view(np.uint64)
                 _, first, of, seen = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
                 told = seen[of] > 1
-                own, pos = ids[c.row], c.base + c.start - offs[c.row]
+                own, own_ver, pos = ids[row], ver[row], c.base + start - offs[row]
                 salt = np.zeros(len(own), np.int32)
                 if len(grams):
                     at = np.minimum(np.searchsorted(grams, bucket), len(grams) - 1)
@@ -125,13 +158,18 @@ def _fragments(length: int, frequent):
                     spread = A.mix(own.view(np.uint64) + pos.view(np.uint64) * A.WORD_BASE)
                     salt[hot] = 1 + (spread[hot] % parts[at[hot]].astype(np.uint64)).astype(np.int32)
                 go = np.sort(first)
-                a = c.base + c.start[go]
+                a = c.base + start[go]
                 data = [raw[i:j].tobytes() for i, j in zip(a.tolist(), (a + size[go]).tolist(), strict=True)]
-                cols = [bucket[go], salt[go], own[go], ver[c.row[go]], pos[go], c.count[go].astype(np.int32), (c.anchor - c.start)[go].astype(np.int32), told[go]]
+                cols = [bucket[go], salt[go], own[go], own_ver[go], pos[go], count[go].astype(np.int32), (anchor - start)[go].astype(np.int32), told[go]]
                 yield pa.RecordBatch.from_arrays([*(pa.array(col) for col in cols), pa.array(data, pa.binary())], schema=FRAGMENTS)
-                if told.any():
+                if told.any():  # runs that follow each other in one row are one
                     t = np.flatnonzero(told)
-                    cols = [A.mix(own[t].view(np.uint64)).view(np.int64), np.full(len(t), -1, np.int32), own[t], ver[c.row[t]], pos[t], c.count[t].astype(np.int32), np.zeros(len(t), np.int32), np.ones(len(t), bool)]
+                    new = np.ones(len(t), bool)
+                    new[1:] = (row[t[1:]] != row[t[:-1]]) | (start[t[1:]] != start[t[:-1]] + count[t[:-1]])
+                    cut = np.flatnonzero(new)
+                    n = np.add.reduceat(count[t], cut).astype(np.int32)
+                    t = t[cut]
+                    cols = [A.mix(own[t].view(np.uint64)).view(np.int64), np.full(len(t), -1, np.int32), own[t], own_ver[t], pos[t], n, np.zeros(len(t), np.int32), np.ones(len(t), bool)]
                     yield pa.RecordBatch.from_arrays([*(pa.array(col) for col in cols), pa.nulls(len(t), pa.binary())], schema=FRAGMENTS)
 
     return run
@@ -281,11 +319,15 @@ def _cut(length: int, with_spans: bool):
 FRAGMENT = "bucket long, salt int, own long, ver long, start long, n int, anchor int, told boolean, data binary"
 
 
-def frequent_grams(texts: DataFrame, length: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The grams with most fragments, ascending, and among how many tasks each is dealt."""
-    counts = texts.mapInArrow(_anchors(length), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > frequent)
-    top = counts.orderBy(F.desc("n"), "bucket").limit(MOST_FREQUENT).toArrow().sort_by("bucket")
-    return top["bucket"].to_numpy(), -(-top["n"].to_numpy() // frequent)
+def repeated_grams(texts: DataFrame, length: int, frequent: int = FREQUENT, max_log_bits: int = MAX_LOG_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The most frequent grams, ascending; among how many tasks each is dealt; the bitmap of all that occur twice; its log of bits."""
+    counts = texts.mapInArrow(_anchors(length), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.where("n > 1"), "grams")
+    top = counts.where(F.col("n") > frequent).orderBy(F.desc("n"), "bucket").limit(MOST_FREQUENT).toArrow().sort_by("bucket")
+    log_bits = min(max_log_bits, max(16, (4 * counts.count()).bit_length()))
+    by_block = counts.repartition(F.shiftrightunsigned("bucket", 64 - max(1, log_bits - min(LOG_BLOCK, log_bits)))).select("bucket")
+    bits = gather_bits(by_block.mapInArrow(_bitmap(log_bits), "blk int, bits binary"), 1, log_bits)[0]
+    return top["bucket"].to_numpy(), -(-top["n"].to_numpy() // frequent), bits, log_bits
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, cover_r: int = COVER_R, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
@@ -293,7 +335,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cover_r: int = COVER_R
     assert length - GRAM >= cover_tables(cover_r)[0], "the cover's period must leave a sample string"
     spark = docs.sparkSession
     docs = docs.select(F.col(text_col).alias("txt"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("ver")).where(F.col("own").isNotNull() & (F.octet_length("txt") >= length))
-    grams = spark.sparkContext.broadcast(frequent_grams(docs.select("txt"), length, frequent))
+    grams = spark.sparkContext.broadcast(repeated_grams(docs.select("txt"), length, frequent))
     fragments = docs.mapInArrow(_fragments(length, grams), FRAGMENT)
     sorted_ = fragments.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
     found = materialise(sorted_.mapInArrow(_sort_buckets(length, cover_r, block), "key long, own long, ver long, start long, stop long, told boolean"), "repeats")
