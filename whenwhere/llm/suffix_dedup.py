@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
@@ -98,7 +98,10 @@ def _anchors(length: int):
 
 
 FRAGMENTS = pa.schema([("bucket", pa.int64()), ("salt", pa.int32()), ("own", pa.int64()), ("ver", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("anchor", pa.int32()), ("told", pa.bool_()), ("data", pa.binary())])
-FOUND = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("ver", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("told", pa.bool_())])
+FOUND = pa.schema([("blk", pa.int32()), ("own", pa.int64()), ("ver", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("data", pa.binary())])
+#: A string of a bucket that is sorted in parts; about STRINGS of them make a block of the last grouping.
+STRING = np.dtype([("key", "<u8"), ("own", "<i8"), ("ver", "<i8"), ("pos", "<i8"), ("told", "?")])
+STRINGS = 1 << 20
 
 
 def _slots(bucket: np.ndarray, log_bits: int):
@@ -183,10 +186,10 @@ def _spans(own, ver, pos) -> pa.RecordBatch:
     new[1:] = (own[1:] != own[:-1]) | (ver[1:] != ver[:-1]) | (pos[1:] > pos[:-1] + 1)
     cut = np.flatnonzero(new)
     end = pos[np.append(cut[1:], len(pos)) - 1] + 1
-    return pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.int64()), *map(pa.array, (own[cut], ver[cut], pos[cut], end, np.ones(len(cut), bool)))], schema=FOUND)
+    return pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.int32()), *map(pa.array, (own[cut], ver[cut], pos[cut], end)), pa.nulls(len(cut), pa.binary())], schema=FOUND)
 
 
-def _sort_rows(rows: pa.Table, open_bucket: tuple[int, int] | None, length: int, r: int) -> Iterator[pa.RecordBatch]:
+def _sort_rows(rows: pa.Table, open_bucket: tuple[int, int] | None, length: int, r: int, log_blocks: int) -> Iterator[pa.RecordBatch]:
     """Spans of the repeats of a block, and one occurrence of each string of buckets that are not wholly in it."""
     bucket, salt = rows["bucket"].to_numpy(), rows["salt"].to_numpy()
     first = np.ones(len(bucket), bool)
@@ -241,11 +244,47 @@ def _sort_rows(rows: pa.Table, open_bucket: tuple[int, int] | None, length: int,
         yield _spans(own[out], ver[out], pos[out])
     part = np.flatnonzero(new & partial[frag])
     if len(part):
-        known = np.logical_or.reduceat(twice | told, np.flatnonzero(new))[cls[part]]
-        yield pa.RecordBatch.from_arrays([pa.array(A.mix(text.prints(at[part], length)).view(np.int64)), *map(pa.array, (own[part], ver[part], pos[part], pos[part] + 1, known))], schema=FOUND)
-
-
-def _sort_buckets(length: int, r: int, block: int = BLOCK):
+        strings = np.empty(len(part), STRING)
+        strings["key"], strings["told"] = A.mix(text.prints(at[part], length)), np.logical_or.reduceat(twice | told, np.flatnonzero(new))[cls[part]]
+        strings["own"], strings["ver"], strings["pos"] = own[part], ver[part], pos[part]
+        blk = (strings["key"] >> np.uint64(63 - log_blocks) >> np.uint64(1)).astype(np.int64)
+        o = np.lexsort((frag[part], blk))
+        strings, blk = strings[o], blk[o]
+        cut = np.flatnonzero(np.diff(blk, prepend=-1))
+        # field by field, in the order of the texts, so that shuffle files compress
+        data = [b"".join(strings[f][i:j].tobytes() for f in STRING.names) for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(blk)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(blk[cut], pa.int32()), *(pa.nulls(len(cut), pa.int64()) for _ in range(4)), pa.array(data, pa.binary())], schema=FOUND)
+
+
+def _group_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of strings, in the order of their numbers, to spans of those that two parts hold or one holds twice."""
+
+    def settle(held: list[bytes]) -> pa.RecordBatch | None:
+        fields: dict[str, list[np.ndarray]] = {f: [] for f in STRING.names}
+        for data in held:
+            n, at = len(data) // STRING.itemsize, 0
+            for f in STRING.names:
+                fields[f].append(np.frombuffer(data, STRING[f], n, at))
+                at += n * STRING[f].itemsize
+        key, own, ver, pos, told = (np.concatenate(fields[f]) for f in STRING.names)
+        _, of, seen = np.unique(key, return_inverse=True, return_counts=True)
+        out = np.flatnonzero((seen[of] > 1) & ~told)
+        return _spans(own[out], ver[out], pos[out]) if len(out) else None
+
+    held, last = [], None
+    for batch in batches:
+        for blk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if blk != last and held:
+                if spans := settle(held):
+                    yield spans
+                held = []
+            last = blk
+            held.append(data.as_py())
+    if held and (spans := settle(held)):
+        yield spans
+
+
+def _sort_buckets(length: int, r: int, block: int = BLOCK, log_blocks: int = 0):
     """Fragments in the order of their buckets to what they hold of repeats; holds a block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +294,7 @@ def _sort_buckets(length: int, r: int, block: int = BLOCK):
             if known.true_count:
                 b = batch.filter(known)
                 start, n = b.column("start").to_numpy(), b.column("n").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), b.column("own"), b.column("ver"), pa.array(start), pa.array(start + n), b.column("told")], schema=FOUND)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int32()), b.column("own"), b.column("ver"), pa.array(start), pa.array(start + n), pa.nulls(len(n), pa.binary())], schema=FOUND)
                 batch = batch.filter(pc.invert(known))
             if not batch.num_rows:
                 continue
@@ -268,16 +307,16 @@ def _sort_buckets(length: int, r: int, block: int = BLOCK):
             last = (int(bucket[-1]), int(salt[-1]))
             whole = int(np.flatnonzero((bucket != last[0]) | (salt != last[1]))[-1]) + 1 if (bucket[0], salt[0]) != last else 0
             if whole:  # the last bucket may go on; it waits
-                yield from _sort_rows(rows.slice(0, whole).combine_chunks(), open_bucket, length, r)
+                yield from _sort_rows(rows.slice(0, whole).combine_chunks(), open_bucket, length, r, log_blocks)
                 open_bucket = None
                 rows = rows.slice(whole)
             if rows.nbytes >= block:
                 open_bucket = last
-                yield from _sort_rows(rows.combine_chunks(), open_bucket, length, r)
+                yield from _sort_rows(rows.combine_chunks(), open_bucket, length, r, log_blocks)
                 rows = rows.slice(0, 0)
             held, size = rows.to_batches(), rows.nbytes
         if held:
-            yield from _sort_rows(pa.Table.from_batches(held).combine_chunks(), open_bucket, length, r)
+            yield from _sort_rows(pa.Table.from_batches(held).combine_chunks(), open_bucket, length, r, log_blocks)
 
     return run
 
@@ -319,15 +358,18 @@ def _cut(length: int, with_spans: bool):
 FRAGMENT = "bucket long, salt int, own long, ver long, start long, n int, anchor int, told boolean, data binary"
 
 
-def repeated_grams(texts: DataFrame, length: int, frequent: int = FREQUENT, max_log_bits: int = MAX_LOG_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The most frequent grams, ascending; among how many tasks each is dealt; the bitmap of all that occur twice; its log of bits."""
+def repeated_grams(texts: DataFrame, length: int, frequent: int = FREQUENT, max_log_bits: int = MAX_LOG_BITS) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, int], int]:
+    """(the most frequent grams, ascending; among how many tasks each is dealt; the bitmap of all that occur twice; its log of bits), and
+    the fragments of frequent grams.
+    """
     counts = texts.mapInArrow(_anchors(length), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = materialise(counts.where("n > 1"), "grams")
     top = counts.where(F.col("n") > frequent).orderBy(F.desc("n"), "bucket").limit(MOST_FREQUENT).toArrow().sort_by("bucket")
     log_bits = min(max_log_bits, max(16, (4 * counts.count()).bit_length()))
     by_block = counts.repartition(F.shiftrightunsigned("bucket", 64 - max(1, log_bits - min(LOG_BLOCK, log_bits)))).select("bucket")
     bits = gather_bits(by_block.mapInArrow(_bitmap(log_bits), "blk int, bits binary"), 1, log_bits)[0]
-    return top["bucket"].to_numpy(), -(-top["n"].to_numpy() // frequent), bits, log_bits
+    n = top["n"].to_numpy()
+    return (top["bucket"].to_numpy(), -(-n // frequent), bits, log_bits), int(n.sum())
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, cover_r: int = COVER_R, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
@@ -335,14 +377,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, cover_r: int = COVER_R
     assert length - GRAM >= cover_tables(cover_r)[0], "the cover's period must leave a sample string"
     spark = docs.sparkSession
     docs = docs.select(F.col(text_col).alias("txt"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("ver")).where(F.col("own").isNotNull() & (F.octet_length("txt") >= length))
-    grams = spark.sparkContext.broadcast(repeated_grams(docs.select("txt"), length, frequent))
-    fragments = docs.mapInArrow(_fragments(length, grams), FRAGMENT)
+    grams, n_frequent = repeated_grams(docs.select("txt"), length, frequent)
+    fragments = docs.mapInArrow(_fragments(length, spark.sparkContext.broadcast(grams)), FRAGMENT)
     sorted_ = fragments.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
-    found = materialise(sorted_.mapInArrow(_sort_buckets(length, cover_r, block), "key long, own long, ver long, start long, stop long, told boolean"), "repeats")
-    # strings of buckets that were sorted in parts: repeated if two parts hold them, or one holds them twice
-    met = F.count("*").over(Window.partitionBy("key"))
-    parts = found.where("key is not null").withColumn("met", met).where("met > 1 and not told").select("own", "ver", "start", "stop")
-    spans = found.where("key is null").select("own", "ver", "start", "stop").unionByName(parts)
+    log_blocks = min(20, (n_frequent * (length // 2) // STRINGS).bit_length())
+    span = "blk int, own long, ver long, start long, stop long, data binary"
+    found = materialise(sorted_.mapInArrow(_sort_buckets(length, cover_r, block, log_blocks), span), "repeats")
+    parts = found.where("blk is not null").select("blk", "data").repartition("blk").sortWithinPartitions("blk").mapInArrow(_group_strings, span)
+    spans = found.where("blk is null").unionByName(parts).select("own", "ver", "start", "stop")
     return spans.groupBy("own", "ver").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
 
