@@ -1,6 +1,7 @@
 """Personal data, token files, language-model scores and the pipeline."""
 
 import base64
+import random
 import re
 
 import numpy as np
@@ -92,13 +93,63 @@ def test_grown_octets(spark, monkeypatch):
     assert max(len(x) for x in fakes) > 7
 
 
-def test_no_space_left(spark):
-    with pytest.raises(ValueError, match="no free surrogate"):
-        pii.MAX_ROUNDS, most = 2, pii.MAX_ROUNDS
-        try:
-            pii.surrogates(spark.createDataFrame([("SECRET", "中", "")] + [("SECRET", c, "") for c in pii.HAN], "kind string, canon string, gender string"), "k")
-        finally:
-            pii.MAX_ROUNDS = most
+def test_a_full_space_grows(spark):
+    """All of a form's surrogates are real: every one-digit address, and as many two-letter names after one title."""
+    rows = [("IP", f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}", "") for i in range(10_000)]
+    rows += [("SECRET", "中", ""), *(("SECRET", c, "") for c in pii.HAN)]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, canon string, gender string"), "k").collect()
+    assert len(got) == len(rows) == len({(r["kind"], r["fake"]) for r in got})
+    assert not {r["fake"] for r in got} & {c for _, c, _ in rows}
+    docs = [(i, f"Today Ms. {n} spoke", "", "") for i, n in enumerate("Xu Wu Li Ma He Hu Ye Lu Du Fu Su Yu Gu Mo Bo Qi".split())]
+    out = [r["text"] for r in pii.replace_entities(spark.createDataFrame(docs, SCHEMA), "k").collect()]
+    assert len(set(out)) == 16 and all(re.fullmatch(r"Today Ms\. [A-Z][a-z]+a spoke", t) for t in out)
+
+
+def test_names_are_carried_through_a_document(spark):
+    docs = [(1, "We met Mr. John Paul Smith. Later Smith said hello; SMITH and Smithson, John's", "", ""), (2, "Smith is no name here", "", ""), (2, "Dr. Smith", "", "")]
+    out = {(r["doc_id"], r["text"].split(" ")[0]): r["text"] for r in pii.replace_entities(spark.createDataFrame(docs, SCHEMA), "k").collect()}
+    first = re.fullmatch(r"We met Mr\. (\w+) (\w+) (\w+)\. Later (\w+) said hello; SMITH and Smithson, (\w+)'s", out[1, "We"])
+    assert first[3] == first[4] != "Smith" and first[1] == first[5] != "John" and first[2] != "Paul"
+    assert out[2, "Smith"] == "Smith is no name here" and out[2, "Dr."] == f"Dr. {first[3]}"
+
+
+FORMS = {
+    "mail": ["{0}.b@mail{1}.example.org", "{0}_{1}@x-y.co.uk"],
+    "phone": ["+44 20 79{1}46 0958", "+49 30 1{1}34567", "555 {1}23 4567", "06 12 34 56 {1}8", "(212) 555-{1}123", "+1 415.555.{1}199"],
+    "card": ["4111 1111 {1}111 1111", "3782 8{1}2246 31000", "50001{1}1111111111"],
+    "iban": ["DE8937040044053201{1}300", "GB29 NWBK 6016 1331 92{1}6 19"],
+    "ip": ["10.{1}.2.3", "2001:db8:{1}::ff00:42:8329"],
+    "ssn": ["{1}23-45-6789"],
+}
+
+
+def test_against_a_plain_replacer(spark):
+    """Texts are put together from known entities, so where they stand is known; the replaced text must be the same frame around other ones."""
+    rng = random.Random(4)
+    entities = sorted({f.format(rng.choice(["ann", "bo", "carl"]), d) for fs in FORMS.values() for f in fs for d in range(1, 6)})
+    frames, docs = [], []
+    for i in range(300):
+        frame, parts = [], []
+        for _ in range(rng.randrange(1, 5)):
+            frame.append(rng.choice(["Call ", "and\n", "(see) ", "Größe: ", "я - "]))
+            parts.append(rng.choice(entities))
+        frames.append((frame, parts))
+        docs.append((i, "".join(a + b + " ;" for a, b in zip(frame, parts)), "", ""))
+    out = {r["doc_id"]: r for r in pii.replace_entities(spark.createDataFrame(docs, SCHEMA), "k").collect()}
+    fake_of = {}
+    for i, (frame, parts) in enumerate(frames):
+        m = re.fullmatch("".join(re.escape(a) + "(.+?) ;" for a in frame), out[i]["text"], re.S)
+        assert m and out[i]["n_entities"] == len(parts), (docs[i], out[i]["text"])
+        for real, fake in zip(parts, m.groups()):
+            assert fake_of.setdefault(real, fake) == fake != real
+            shape = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t)))
+            assert shape(real)[-3:] == shape(fake)[-3:] or ":" in real or "." in real
+            if real[:2] in ("DE", "GB"):
+                plain = fake.replace(" ", "")
+                assert plain[:2] == real[:2] and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+            if real.startswith("+"):
+                assert fake[:2] == real[:2]
+    assert len(set(fake_of.values())) == len(fake_of) and not set(fake_of.values()) & set(entities)
 
 
 def test_empty_table(spark):

@@ -1,28 +1,31 @@
 """Personal data replaced by surrogates, in DataFrame functions only.
 
-Detection is one regular expression over the text; a match's type follows from its form. Each distinct entity of the corpus (type and
+Detection is one regular expression over the text; a match's type follows from its form. Names are found after titles (up to three words),
+and every other mention of such a word in the same document is the same name. Each distinct entity of the corpus (type and
 canonical form) gets one surrogate, drawn from a keyed SHA-256 stream: digits for digits, letters for letters of the same
-script, octets for octets, hex for hex; card numbers keep their Luhn remainder, telephone numbers their country code, e-mail
-addresses their top-level domain, names their script and a grammatical gender taken from the titles before them. A draw is refused if it
-is a real entity of the corpus or another entity's surrogate; the loser draws again, and after a few rounds from a space that grows
-with each round: names by two letters, e-mail addresses by one before the @, octets to all of 0 to 255. So distinct entities stay
-distinct, one entity has one surrogate in all documents and spellings (case, punctuation, country code), and the spelling of each place is kept.
+script, octets for octets, hex for hex; card numbers and IBANs keep their check sums, telephone numbers their country code, e-mail
+addresses their top-level domain. Names are put together from syllables of given names of the same script, with an ending of the grammatical
+gender taken from the titles before them. A draw is refused if it is a real entity of the corpus or another entity's surrogate; the loser
+draws again, and after GROW_AFTER rounds from a space that grows with each round: names by a syllable, e-mail addresses and secrets by a letter,
+octets to all of 0 to 255. So distinct entities stay distinct, however many there are of one form (numbers of a fixed form have spaces of 10**8
+and more), one entity has one surrogate in all documents and spellings (case, punctuation), and the spelling of each place is kept.
 
 Only documents with a match are shuffled, and a match is joined by its entity; entities are summed up before the shuffle, so one address in
 a third of all rows is one row there.
 
 Defined results: a null text stays null with no entities; an empty text stays empty. Rows with a null or repeated doc_id are replaced
-like any other. An empty table gives no rows. Columns that clash with a result's name are replaced by the result.
+like any other. An empty table gives no rows. Columns that clash with a result's name are replaced by the result. Without the key a
+surrogate cannot be told from the entity; the key is the caller's (``corpus_key`` reads it from the session).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialise
 
-MAX_ROUNDS, GROW_AFTER = 40, 6
+GROW_AFTER = 2
 TITLES_M = r"Mr\.|Herr|Monsieur|Señor|Sr\.|господин|κύριος"
 TITLES_F = r"Mrs\.|Ms\.|Miss|Frau|Madame|Mme|Señora|Sra\.|госпожа|κυρία"
 TITLES_N = r"Dr\.|Prof\."
@@ -32,26 +35,33 @@ FORMS = {
     "EMAIL": r"(?<![\p{L}0-9._%+-])[\p{L}0-9][\p{L}0-9._%+-]*+@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)*\.\p{L}{2,24}(?![\p{L}0-9])",
     "IP": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "SSN": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "CARD": r"(?<![0-9-])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9-])",
-    "PHONE": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{11,15}(?![0-9])",
+    "CARD": r"(?<![0-9-])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5})(?![0-9-])",
+    "IBAN": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3}|[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "IP6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "PHONE": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+(?=(?:[ .()-]{0,2}[0-9]){8,15}(?![0-9]))[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,13}\)?){1,6}(?![0-9])|(?<![0-9+.-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])",
     "KEY": r"(?<![A-Z0-9a-z])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9a-z])",
     "HEX": r"(?<![A-Za-z0-9])(?=[a-fA-F]{0,40}[0-9])[0-9a-fA-F]{32,64}(?![A-Za-z0-9])",
     "SECRET": r"(?<![\p{L}0-9_-])(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9][A-Za-z0-9_+/-]{7,}+",
-    "NAME": rf"(?<!\p{{L}})\p{{Lu}}\p{{L}}++(?<=(?<!\p{{L}}){TITLE} \p{{L}}{{2,30}})|(?<!\p{{L}})\p{{Lu}}\p{{L}}++(?<=(?<!\p{{L}}){TITLE} \p{{Lu}}\p{{L}}{{1,30}} \p{{L}}{{2,30}})",
+    "NAME": "|".join(rf"(?<!\p{{L}})\p{{Lu}}\p{{L}}++(?<=(?<!\p{{L}}){TITLE} {before}\p{{L}}{{2,30}})" for before in ("", r"\p{Lu}\p{L}{1,30} ", r"\p{Lu}\p{L}{1,30} \p{Lu}\p{L}{1,30} ")),
 }
 #: The shorter alternatives come after the longer ones that may begin at the same place.
-ORDER = ("EMAIL", "KEY", "HEX", "SECRET", "CARD", "PHONE", "SSN", "IP", "NAME")
-_groups = {"CARD": FORMS["CARD"].replace(r"([ -]?)", r"(?<sep>[ -]?)").replace(r"\1", r"\k<sep>")}
+ORDER = ("EMAIL", "KEY", "HEX", "SECRET", "IBAN", "CARD", "PHONE", "SSN", "IP", "IP6", "NAME")
+_groups = {"CARD": FORMS["CARD"].replace(r"([ -]?)", r"(?<sep>[ -]?)", 1).replace(r"\1", r"\k<sep>").replace(r"([ -]?)", r"(?<gap>[ -]?)").replace(r"\2", r"\k<gap>")}
 PATTERN = "|".join(f"(?:{_groups.get(t, FORMS[t])})" for t in ORDER)
 #: A text without any of these holds no entity; the test is cheap.
 HINT = r"[0-9@]|" + TITLE + r" \p{Lu}"
 SECRET_HINT = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:]"
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
-#: Letters by script: consonants, then vowels.
-SCRIPTS = {"Latin": ("bcdfghklmnprstvz", "aeiou"), "Cyrillic": ("бвгджзклмнпрстф", "аеиоу"), "Greek": ("βγδζθκλμνπρστφχ", "αειου")}
+#: Letters by script.
+SCRIPTS = {"Latin": LATIN, "Cyrillic": "бвгджзклмнпрстфаеиоу", "Greek": "βγδζθκλμνπρστφχαειου"}
 HAN = "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华建文辉玲志林"
-CASED = r"^[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]$"
+#: Beginnings of given names by script, and their endings by gender (feminine, masculine, unknown).
+NAMES = {
+    "Latin": ("al an ar bel ben bri cal cor dan dor el em fen gab hal ing jon jul kar len lor mar mel nor ol per ros sam tam ul vik wil".split(), {"F": "a ia ina ella etta anna isa ora".split(), "M": "o us an in son er ard ert".split(), "": "el en is ley ton am ris ey".split()}),
+    "Cyrillic": ("ал бор вик гал дан ел жан иг кир лар мар ник ол пав сер там".split(), {"F": "а ина ова ева".split(), "M": "ий ан ей ов".split(), "": "ен ко ич ук".split()}),
+    "Greek": ("αλ βασ γερ δημ ελ ζην θεο κων λεω μαρ νικ παν σοφ στελ τασ φιλ".split(), {"F": "α ια ινη ου".split(), "M": "ος ης ας ων".split(), "": "ιδη ακη εα οπη".split()}),
+}
 
 
 def kind_of(hit: Column) -> Column:
@@ -61,9 +71,11 @@ def kind_of(hit: Column) -> Column:
         F.when(F.contains(hit, F.lit("@")), "EMAIL")
         .when(hit.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$"), "KEY")
         .when(hit.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "SSN")
-        .when(hit.rlike(r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"), "CARD")
+        .when(hit.rlike(r"^(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5})$"), "CARD")
         .when(hit.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "IP")
-        .when(hit.rlike(r"^[0-9+() .-]+$") & (F.length(digits) >= 10) & hit.rlike(r"[+(.-]"), "PHONE")
+        .when(hit.rlike("^[0-9A-Fa-f:]+$") & F.contains(hit, F.lit(":")), "IP6")
+        .when(hit.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{12,}$") & hit.rlike(FORMS["IBAN"]), "IBAN")
+        .when(hit.rlike(r"^[0-9+() .-]+$") & (F.length(digits) >= 8) & hit.rlike(r"[+( .-]"), "PHONE")
         .when(hit.rlike(r"^[0-9a-fA-F]{32,64}$"), "HEX")
         .when(hit.rlike(r"^\p{Lu}\p{L}+$"), "NAME")
         .otherwise("SECRET")
@@ -71,9 +83,9 @@ def kind_of(hit: Column) -> Column:
 
 
 def canonical(kind: Column, hit: Column) -> Column:
-    """The spelling by which two matches are one entity; telephone numbers leave out the country code."""
+    """The spelling by which two matches are one entity; of telephone numbers the digits, without the 1 of North America."""
     digits = F.regexp_replace(hit, r"[^0-9]", "")
-    return F.when(kind == "PHONE", F.substring(digits, F.greatest(F.length(digits) - 9, F.lit(1)), F.lit(10))).when(kind.isin("CARD", "SSN"), digits).when(kind.isin("SECRET"), hit).otherwise(F.lower(hit))
+    return F.when(kind == "PHONE", F.regexp_replace(digits, "^1(?=[0-9]{10}$)", "")).when(kind.isin("CARD", "SSN"), digits).when(kind == "SECRET", hit).when(kind == "IBAN", F.replace(hit, F.lit(" "))).otherwise(F.lower(hit))
 
 
 def luhn(digits: Column) -> Column:
@@ -87,44 +99,66 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), part), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))) % 10
 
 
+def iban_check(iban: Column) -> Column:
+    """An IBAN with the two check digits that its other characters call for."""
+    turned = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 2), F.lit("00"))
+
+    def add(s, c):
+        letter = c.rlike("[A-Z]")
+        return F.when(letter, (s * 100 + F.ascii(c) - 55) % 97).otherwise((s * 10 + F.ascii(c) - 48) % 97)
+
+    rest = F.aggregate(F.transform(F.sequence(F.lit(1), F.length(turned)), lambda i: F.substring(turned, i, F.lit(1))), F.lit(0), add)
+    return F.concat(F.substring(iban, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), F.substring(iban, F.lit(5), F.length(iban)))
+
+
 def _pick(letters: str, v: Column) -> Column:
     return F.substring(F.lit(letters), v % len(letters) + 1, F.lit(1))
 
 
+def _one(words: list[str], v: Column) -> Column:
+    return F.get(F.array(*map(F.lit, words)), v % len(words))
+
+
 def draw(key: str, kind: Column, canon: Column, gender: Column, attempt: int) -> Column:
     """The surrogate of an entity at its n-th draw, in canonical spelling."""
     more = max(0, attempt - GROW_AFTER)
-    if not more:
-        return _draw(key, kind, canon, canon, gender, attempt)
-    longer = F.when(kind == "NAME", F.concat(canon, F.repeat(F.substring(canon, -1, 1), F.lit(2 * more)))).when(kind == "EMAIL", F.concat(F.lit("a" * more), canon)).otherwise(canon)
-    return F.get(F.transform(F.array(longer), lambda form: _draw(key, kind, canon, form, gender, attempt)), F.lit(0))
+    form = F.when(kind.isin("EMAIL", "SECRET"), F.concat(F.lit("a" * more), canon)).otherwise(canon) if more else canon
+    blocks = F.ceil(F.length(form) / 32).cast("int")
+    seed = lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(attempt)), b.cast("string")), 256)
+    stream = F.array_join(F.transform(F.sequence(F.lit(0), blocks), seed), "")
+    # the form and the stream are computed once for each entity
+    both = F.transform(F.array(F.struct(form.alias("form"), stream.alias("stream"))), lambda x: _draw(kind, x["form"], x["stream"], gender, attempt, more))
+    return F.get(both, F.lit(0))
 
 
-def _draw(key: str, kind: Column, source: Column, canon: Column, gender: Column, attempt: int) -> Column:
-    blocks = F.ceil(F.length(canon) / 32).cast("int")
-    seed = lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, source, F.lit(str(attempt)), b.cast("string")), 256)
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), blocks), seed), "")
+def _draw(kind: Column, canon: Column, stream: Column, gender: Column, attempt: int, more: int) -> Column:
     value = lambda i: F.conv(F.substring(stream, 2 * i - 1, F.lit(2)), 16, 10).cast("int")
     places = F.sequence(F.lit(1), F.length(canon))
     top = F.when(kind == "EMAIL", F.length(F.substring_index(canon, ".", -1))).otherwise(0)
+    held = F.when(kind == "KEY", 4).when(kind == "IBAN", 2).when((kind == "PHONE") & (F.length(canon) > 10), 2).otherwise(0)
 
     def plain(i):
         c, v = F.substring(canon, i, F.lit(1)), value(i)
-        out = F.when(i > F.length(canon) - top, c).when((kind == "KEY") & (i <= 4), c).when(kind == "HEX", _pick("0123456789abcdef", v)).when(c.rlike("[0-9]"), _pick("0123456789", v))
-        for script, (hard, soft) in SCRIPTS.items():
-            upper = c.rlike(r"\p{Lu}")
-            letter = F.when(kind == "NAME", F.when(i % 2 == 1, _pick(hard, v)).otherwise(_pick(soft, v))).otherwise(_pick(LATIN if script == "Latin" else hard + soft, v))
-            letter = F.when((kind == "NAME") & (i == F.length(canon)) & (gender == "F"), soft[0]).when((kind == "NAME") & (i == F.length(canon)) & (gender == "M"), _pick(hard, v)).otherwise(letter)
-            out = out.when(c.rlike(rf"\p{{Is{script}}}"), F.when(upper, F.upper(letter)).otherwise(letter))
-        return out.when(c.rlike(r"\p{IsHan}"), _pick(HAN, v)).otherwise(c)
+        out = F.when((i > F.length(canon) - top) | (i <= held), c).when(kind.isin("HEX", "IP6") & c.rlike("[0-9a-f]"), _pick("0123456789abcdef", v)).when(c.rlike("[0-9]"), _pick("0123456789", v))
+        for script, letters in SCRIPTS.items():
+            out = out.when(c.rlike(rf"\p{{Is{script}}}"), F.when(c.rlike(r"\p{Lu}"), F.upper(_pick(letters, v))).otherwise(_pick(letters, v)))
+        return out.when(c.rlike(r"\p{IsHan}"), _pick(HAN, v)).when(c.rlike(r"\p{L}"), _pick(LATIN, v)).otherwise(c)
 
     general = F.array_join(F.transform(places, plain), "")
+    name = None
+    for script, (starts, ends) in reversed(NAMES.items()):
+        word = F.concat(*(_one(starts, F.conv(F.substring(stream, F.lit(4 * i + 1), F.lit(4)), 16, 10).cast("int")) for i in range(min(2 + more, 15))))
+        last = F.conv(F.substring(stream, F.lit(61), F.lit(4)), 16, 10).cast("int")
+        made = F.concat(word, F.when(gender == "F", _one(ends["F"], last)).when(gender == "M", _one(ends["M"], last)).otherwise(_one(ends[""], last)))
+        name = made if name is None else F.when(canon.rlike(rf"^\p{{Is{script}}}"), made).otherwise(name)
+        if script == "Latin":
+            name = F.when(canon.rlike(r"^\p{IsHan}"), general).when(canon.rlike(r"^\p{IsCyrillic}|^\p{IsGreek}"), name).otherwise(name)
     # the last digit restores the Luhn remainder; it counts once
     head = F.substring(general, F.lit(1), F.length(canon) - 1)
     card = F.concat(head, F.pmod(luhn(canon) - luhn(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
-    octet = lambda p, i: value(i + 1).cast("string") if attempt > GROW_AFTER else F.when(F.length(p) == 1, value(i + 1) % 10).when(F.length(p) == 2, 10 + value(i + 1) % 90).otherwise(100 + value(i + 1) % 156).cast("string")
+    octet = lambda p, i: value(i + 1).cast("string") if more else F.when(F.length(p) == 1, value(i + 1) % 10).when(F.length(p) == 2, 10 + value(i + 1) % 90).otherwise(100 + value(i + 1) % 156).cast("string")
     ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
-    return F.when(kind == "CARD", card).when(kind == "IP", ip).otherwise(general)
+    return F.when(kind == "CARD", card).when(kind == "IP", ip).when(kind == "IBAN", iban_check(general)).when(kind == "NAME", name).otherwise(general)
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -142,8 +176,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         if todo.isEmpty():
             return settled
         n += 1
-        if n == MAX_ROUNDS:
-            raise ValueError("an entity's form leaves no free surrogate")
 
 
 def written_like(fake: Column, hit: Column, kind: Column) -> Column:
@@ -160,10 +192,10 @@ def written_like(fake: Column, hit: Column, kind: Column) -> Column:
         return F.when(~c.rlike(r"[\p{L}0-9]") | (k < 1), c).when(shout | c.rlike(r"\p{Lu}"), F.upper(f)).otherwise(f)
 
     kept = F.array_join(F.transform(F.sequence(F.lit(1), F.length(hit)), put), "")
-    # surrogates whose form has grown
+    # e-mail surrogates whose form has grown
     kept = F.when((kind == "EMAIL") & (ahead < 0), F.concat(F.substring(F.when(shout, F.upper(plain)).otherwise(plain), F.lit(1), -ahead), kept)).otherwise(kept)
-    kept = F.when((kind == "NAME") & (ahead < 0), F.when(shout, F.upper(fake)).otherwise(F.concat(F.upper(F.substring(fake, 1, 1)), F.substring(fake, F.lit(2), F.length(fake))))).otherwise(kept)
-    return F.when(kind.isin("IP", "SECRET", "KEY"), F.when(kind == "KEY", F.upper(fake)).otherwise(fake)).otherwise(kept)
+    name = F.when(shout & (F.length(hit) > 1), F.upper(fake)).otherwise(F.concat(F.upper(F.substring(fake, 1, 1)), F.substring(fake, F.lit(2), F.length(fake))))
+    return F.when(kind == "KEY", F.upper(fake)).when(kind.isin("IP", "SECRET"), fake).when(kind == "NAME", name).otherwise(kept)
 
 
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -180,23 +212,34 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     spots = dirty.select("doc_id", "ver", "gaps", F.posexplode("hits").alias("i", "hit")).withColumn("kind", kind_of(F.col("hit")))
     before = F.get("gaps", F.col("i"))
     gender = F.when(F.col("kind") == "NAME", F.when(before.rlike(rf"(?:{TITLES_F}) $"), "F").when(before.rlike(rf"(?:{TITLES_M}) $"), "M"))
-    spots = spots.select("doc_id", "ver", "hit", "kind", canonical(F.col("kind"), F.col("hit")).alias("canon"), gender.alias("gender"))
+    spots = spots.select("doc_id", "ver", "i", "hit", "kind", canonical(F.col("kind"), F.col("hit")).alias("canon"), gender.alias("gender"))
     entities = spots.groupBy("kind", "canon").agg(F.min("gender").alias("g0"), F.max("gender").alias("g1"))
-    entities = materialise(entities.select("kind", "canon", F.when(F.col("g0") == F.col("g1"), F.col("g0")).otherwise(F.lit("")).alias("gender")), "entities")
+    entities = entities.select("kind", "canon", F.when(F.col("g0") == F.col("g1"), F.col("g0")).otherwise(F.lit("")).alias("gender"))
+    entities = materialise(entities.repartition("canon"), "entities")
     fakes = surrogates(entities, key)
 
-    pairs = spots.select("doc_id", "ver", "hit", "kind", "canon").distinct().join(fakes, ["kind", "canon"]).select("doc_id", "ver", "hit", written_like(F.col("fake"), F.col("hit"), F.col("kind")).alias("fake"))
-    by_doc = pairs.groupBy("doc_id", "ver").agg(F.map_from_entries(F.collect_list(F.struct("hit", "fake"))).alias("of"))
-    met = dirty.alias("d").join(by_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.ver") == F.col("p.ver"))).select("d.*", "p.of")
-    put = F.transform("hits", lambda h: F.try_element_at("of", h))
-    out = F.array_join(F.flatten(F.zip_with("gaps", put, lambda g, f: F.array(g, F.coalesce(f, F.lit(""))))), "")
+    # rows that share id and text are one document here; each gets its list back
+    pairs = spots.dropDuplicates(["doc_id", "ver", "i"]).join(fakes, ["kind", "canon"]).select("doc_id", "ver", "i", "hit", "kind", written_like(F.col("fake"), F.col("hit"), F.col("kind")).alias("fake"))
+    name = F.when(F.col("kind") == "NAME", F.struct("hit", "fake"))
+    by_doc = pairs.groupBy("doc_id", "ver").agg(F.array_sort(F.collect_list(F.struct("i", "fake"))).alias("put"), F.map_from_entries(F.collect_set(name)).alias("names"))
+    met = dirty.alias("d").join(by_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.ver") == F.col("p.ver"))).select("d.*", "p.put", "p.names")
+    # the names of a document wherever else they stand in it
+    words = lambda g: F.split(g, r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})", -1)
+    again = lambda g: F.array_join(F.transform(words(g), lambda w: F.coalesce(F.try_element_at("names", w), w)), "")
+    gaps = F.when(F.size("names") > 0, F.transform("gaps", again)).otherwise(F.col("gaps"))
+    out = F.array_join(F.flatten(F.zip_with(gaps, "put", lambda g, f: F.array(g, F.coalesce(f["fake"], F.lit(""))))), "")
     done = met.select("doc_id", out.alias("text"), F.size("hits").alias("n_entities"), *keep)
     return clean.unionByName(done)
 
 
-KEY = "a key of the corpus"
+#: The key where the session names none: fit for tests only, as anyone can read it.
+TEST_KEY = "not a secret"
+
+
+def corpus_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.whenwhere.pii.key", None) or spark.sparkContext.getConf().get("spark.whenwhere.pii.key", None) or TEST_KEY
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
-    return replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet"), KEY)
+    return replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet"), corpus_key(spark))
