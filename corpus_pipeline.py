@@ -40,7 +40,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates in place of personal data."""
-    return _columns(pii.replace_entities(docs, pii.KEY, keep=("lang", "source")), "text")
+    return _columns(pii.replace_entities(docs, pii.corpus_key(spark), keep=("lang", "source")), "text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
