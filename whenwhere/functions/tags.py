@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold, lower_connectors, lower_ordinals, squeeze_ends
+from .text import fold, lower_connectors, lower_ordinals, squeeze_ends, where_found
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ def tag_key(tag: Column) -> Column:
 
 
 def split_camel(tag: Column) -> Column:
-    """Blanks before capitals that begin a word and before numbers; Mc, O' and St. put right."""
+    """Blanks before capitals that begin a word and before numbers; Mc, O' and St. put right (fixed values)."""
     return fold(
         squeeze_ends(F.regexp_replace(tag, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")),
         (r"([a-zA-Z])(\d+)", "$1 $2"),
@@ -38,11 +38,16 @@ def split_camel(tag: Column) -> Column:
     )
 
 
+#: Fixed value: a letter joined to a capital by an ampersand, as in Q&a.
+PAIR = r"(?U)\b[A-Z]&[a-z]\b"
+
+
 def finish(tag: Column) -> Column:
     """Connectors and ordinals in lower case, 4K and 3D joined, Q&A in capitals."""
     out = fold(lower_connectors(tag), (r"(?U)\b(\d+)\s+K\b", "$1K"), (r"(?U)\b(\d+)\s+D\b", "$1D"))
-    out = lower_ordinals(out)
-    return fold(out, *((rf"(?U)\b([A-Z])&{c}\b", f"$1&{c.upper()}") for c in "abcdefghijklmnopqrstuvwxyz"))
+    pieces = lambda t: F.regexp_extract_all(t, F.lit(rf"({PAIR}|(?s:.))"), F.lit(1))
+    raised = lambda t: F.array_join(F.transform(pieces(t), lambda x: F.when(F.length(x) == 3, F.upper(x)).otherwise(x)), "")
+    return where_found(lower_ordinals(out), PAIR, raised)
 
 
 def rewrite(tag: Column, rules: TagRules) -> Column:

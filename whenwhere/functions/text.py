@@ -18,13 +18,14 @@ ENTITIES = [
 INVISIBLE = r"\x{200B}\x{200C}\x{FEFF}\x{00AD}"
 #: Words that stay lower case inside a title or tag.
 CONNECTORS = ["A", "And", "Of", "The", "Or", "In", "At", "On", "For", "To", "With", "From", "By"]
-#: Fixed values.
+#: Numerals that stay in capitals.
 ROMAN = ["I", "Ii", "Iii", "Iv", "V", "Vi", "Vii", "Viii", "Ix", "X", "Xi", "Xii"]
 #: Place suffixes, in the order in which they are tried, and the parts of town.
 PLACE_SUFFIXES = ["nyc", "new york", "brooklyn", "manhattan", "queens", "bronx", "staten island"]
 BOROUGHS = ["queens", "bronx", "brooklyn", "manhattan", "staten island"]
 #: Kinds of event that may precede a name.
 NAME_PREFIXES = [r"^Exhibition\s*[–:\-]\s*", r"^Talks?\s*[:\-]\s*", r"^Screening\s*[:\-]\s*", r"^Performance\s*[:\-]\s*", r"^Concert\s*[:\-]\s*", r"^Event\s*[:\-]\s*"]
+#: Beginnings of the names of cancelled events.
 CANCELLED = ["CANCELED:", "CANCELLED:", "KIM:", "KIM -"]
 
 
@@ -64,6 +65,7 @@ def short_name(name: Column) -> Column:
             (r"(?iU)\s+at\s+.*$", ""),
             (r"(?U)\s*@.*$", ""),
             (r"(?U)\s+in\s+NYC\s*[-–].*$", ""),
+            # fixed values: the days of the week
             (r"(?U)\s*[-–]\s*(?:Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday),?\s+.*$", ""),
         )
     )
@@ -80,12 +82,22 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 2**31 - 1)))), "")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def where_found(text: Column, pattern: str, change) -> Column:
+    """``change(text)`` where the pattern occurs, else the text as it is; one look instead of many replacements."""
+    return let(text, lambda t: F.when(t.rlike(pattern), change(t)).otherwise(t))
+
+
 def lower_connectors(text: Column) -> Column:
-    return fold(text, *((rf"(?U)(?<!^)\b{w}\b", w.lower()) for w in CONNECTORS))
+    return where_found(text, rf"(?U)(?<!^)\b(?:{'|'.join(CONNECTORS)})\b", lambda t: fold(t, *((rf"(?U)(?<!^)\b{w}\b", w.lower()) for w in CONNECTORS)))
 
 
 def lower_ordinals(text: Column) -> Column:
-    return fold(text, *((rf"(?U)(\d+){s}\b", f"$1{s.lower()}") for s in ("St", "Nd", "Rd", "Th")))
+    return where_found(text, r"(?U)\d(?:St|Nd|Rd|Th)\b", lambda t: fold(t, *((rf"(?U)(\d+){s}\b", f"$1{s.lower()}") for s in ("St", "Nd", "Rd", "Th"))))
 
 
 def recapitalise(name: Column) -> Column:

@@ -90,40 +90,88 @@ def match_exact(rows: DataFrame, keys: DataFrame, row_id: str) -> DataFrame:
     return met.groupBy(row_id).agg(F.min_by(F.struct("tier", "place"), F.struct("tier", "k")).alias("m")).select(row_id, "m.tier", "m.place")
 
 
-def _grams(column: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1))), lambda i: F.substring(column, i, F.lit(n))))
+def _pieces(column: Column, lengths: list[int]) -> Column:
+    """The distinct substrings of the given lengths."""
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(column))
+    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(column) - n + 1), lambda i: F.substring(column, i, n)))))
+
+
+def _lengths(strings: DataFrame) -> list[int]:
+    """The lengths (over 3) that occur in a one-column table."""
+    return sorted(r[0] for r in strings.select(F.length(strings.columns[0])).where(F.length(strings.columns[0]) > 3).distinct().collect())
 
 
 def match_fuzzy(rows: DataFrame, keys: DataFrame, row_id: str, least: float = 0.85) -> DataFrame:
     """(row_id, score, tier, place): the best key that holds, or is held by, a row's place; an equal name scores 1.
 
-    Every such pair shares the first four letters of the one held, so the join is on four-letter grams, not on all pairs.
+    One of the two strings is a substring of the other, so the join is on whole strings: a row's substrings of the lengths that keys have,
+    and keys' substrings of the lengths that rows' places have. Rows that read alike are matched once.
     """
+    forms = ["n_full", "n_loc", "n_sub", "n_name"]
     keys = keys.where(F.trim("key") != "")
-    low = rows.select(row_id, "n_full", "n_loc", "n_sub", "n_name").where((F.length("n_full") > 3) | (F.length("n_name") > 3))
-    held = low.select(row_id, F.explode(_grams(F.col("n_full"), 4)).alias("g")).join(keys.where(F.length("key") > 3).select("tier", "key", F.substring("key", 1, 4).alias("g")), "g").select(row_id, "tier", "key")
-    parts = low.select(row_id, F.explode(F.array("n_loc", "n_sub", "n_name")).alias("p")).where(F.length("p") > 3).select(row_id, F.substring("p", 1, 4).alias("g"))
-    holding = parts.join(keys.select("tier", "key", F.explode(_grams(F.col("key"), 4)).alias("g")), "g").select(row_id, "tier", "key")
-    equal = low.select(row_id, F.col("n_loc").alias("key")).join(keys.select("tier", "key"), "key").select(row_id, "tier", "key")
-    pairs = held.unionByName(holding).unionByName(equal).distinct().join(low, row_id).join(keys, ["tier", "key"])
+    names = keys.select("tier", "key")
+    low = rows.select(row_id, *forms).where((F.length("n_full") > 3) | (F.length("n_name") > 3))
+    once = low.select(*forms).distinct()
+    held = once.select(*forms, F.explode(_pieces(F.col("n_full"), _lengths(keys.select("key")))).alias("key")).join(names, "key")
+    parts = once.select(*forms, F.explode(F.array_distinct(F.array("n_loc", "n_sub", "n_name"))).alias("p")).where(F.length("p") > 3)
+    holding = parts.join(names.select("tier", "key", F.explode(_pieces(F.col("key"), _lengths(parts.select("p")))).alias("p")), "p")
+    equal = once.join(names, F.col("key") == F.col("n_loc"))
     key = F.col("key")
     named = (F.length("n_name") > 3) & (key == F.col("n_name"))
     edge = (F.length(key) > 3) & (F.startswith("n_full", key) | F.endswith("n_full", key))
+    # a ratio of ``least`` bounds how far lengths are apart; the bound is cheap
+    near = lambda c: F.abs(F.length(c) - F.length(key)) <= (1 - least) * (F.length(c) + F.length(key)) + 1e-9
+    able = near("n_loc") | near("n_full") | ((F.length("n_name") > 3) & near("n_name"))
+    pairs = [t.where(named | edge | able).select(*forms, "tier", "key") for t in (held, holding, equal)]
+    pairs = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
     inside = (key == F.col("n_loc")) | ((F.length(key) > 3) & F.contains("n_full", key)) | ((F.length("n_loc") > 3) & F.contains(key, F.col("n_loc"))) | ((F.length("n_sub") > 3) & F.contains(key, F.col("n_sub")))
     ratio = F.greatest(geo.edit_ratio(F.col("n_loc"), key), geo.edit_ratio(F.col("n_full"), key), F.when(F.length("n_name") > 3, geo.edit_ratio(F.col("n_name"), key)).otherwise(0.0))
     score = F.when(named, 1.0).when(edge, 0.9 + F.length(key) / F.length("n_full") * 0.09).otherwise(ratio)
-    scored = pairs.where(named | edge | inside).withColumn("score", score).where(F.col("score") >= least)
-    return scored.groupBy(row_id).agg(F.min_by(F.struct("score", "tier", "place"), F.struct(-F.col("score"), "tier", "pos")).alias("m")).select(row_id, "m.score", "m.tier", "m.place")
+    scored = pairs.where(named | edge | inside).withColumn("score", score).where(F.col("score") >= least).join(keys, ["tier", "key"])
+    best = scored.groupBy(*forms).agg(F.min_by(F.struct("score", "tier", "place"), F.struct(-F.col("score"), "tier", "pos")).alias("m"))
+    return low.join(best, forms).select(row_id, "m.score", "m.tier", "m.place")
+
+
+def _segments(length: Column, edits: Column) -> Column:
+    """(number, start, size) of the edits + 1 nearly even segments of a string."""
+    n = edits + 1
+    small = F.floor(length / n).cast("int")
+    long = length - small * n  # so many of the last ones have one more
+    start = lambda i: i * small + F.greatest(F.lit(0), i - (n - long))
+    return F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(i.alias("no"), start(i).alias("at"), (start(i + 1) - start(i)).alias("size")))
+
+
+def alike_strings(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """(a, b, score): distinct pairs of strings with an edit ratio of at least ``least``.
+
+    Strings d edits apart share one of d + 1 segments of the right one, at most d places from where it stands, so they meet on lengths,
+    segment and its text.
+    """
+    edits = lambda m, n: F.floor((1 - least) * (m + n) + 1e-9).cast("int")
+    wide = (2 - least) / least
+    others = lambda n: F.sequence(F.greatest(F.lit(1), F.floor(n / wide).cast("int")), F.ceil(n * wide).cast("int"))
+    size = lambda c: F.length(c).cast("int")
+
+    def cut(df: DataFrame, column: str, own: str, other: str) -> DataFrame:
+        rows = df.select(column).where(F.length(column) > 0).distinct()
+        rows = rows.select(column, size(column).alias(own), F.explode(others(size(column))).alias(other))
+        return rows.where(F.abs(F.col(own) - F.col(other)) <= edits(F.col(own), F.col(other))).withColumn("d", edits(F.col(own), F.col(other)))
+
+    r = cut(right, b, "nb", "na").select(b, "nb", "na", F.explode(_segments(F.col("nb"), F.col("d"))).alias("s"))
+    r = r.select(b, "nb", "na", "s.no", F.substring(b, F.col("s.at") + 1, F.col("s.size")).alias("text"))
+    l = cut(left, a, "na", "nb").select(a, "na", "nb", "d", F.explode(_segments(F.col("nb"), F.col("d"))).alias("s"))
+    first, last = F.greatest(F.lit(0), F.col("s.at") - F.col("d")), F.least(F.col("na") - F.col("s.size"), F.col("s.at") + F.col("d"))
+    l = l.where(first <= last).select(a, "na", "nb", "s.no", "s.size", F.explode(F.sequence(first, last)).alias("at"))
+    l = l.select(a, "na", "nb", "no", F.substring(a, F.col("at") + 1, F.col("size")).alias("text")).distinct()
+    pairs = l.join(r, ["na", "nb", "no", "text"]).select(a, b).distinct()
+    return pairs.withColumn("score", geo.edit_ratio(F.col(a), F.col(b))).where(F.col("score") >= least)
 
 
 def match_site(rows: DataFrame, keys: DataFrame, row_id: str, site: str, least: float = 0.85) -> DataFrame:
-    """(row_id, score, tier, place) by the edit ratio of the site's name; strings this close share a pair of letters, on which they meet."""
+    """(row_id, score, tier, place) by the edit ratio of the site's name."""
     sites = rows.select(F.col(site).alias("_s")).distinct().withColumn("n_site", text.normal_place(F.col("_s"))).where("n_site <> ''")
     forms = keys.withColumn("n_key", text.normal_place(F.col("key"))).where("n_key <> ''")
-    pairs = sites.select("_s", "n_site", F.explode(_grams(F.col("n_site"), 2)).alias("g")).join(forms.select("tier", "key", "n_key", F.explode(_grams(F.col("n_key"), 2)).alias("g")), "g")
-    total = F.length("n_site") + F.length("n_key")
-    pairs = pairs.where(F.abs(F.length("n_site") - F.length("n_key")) <= (1 - least) * total + 1e-9).select("_s", "n_site", "n_key", "tier", "key").distinct()
-    scored = pairs.withColumn("score", geo.edit_ratio(F.col("n_site"), F.col("n_key"))).where(F.col("score") >= least).join(keys, ["tier", "key"])
+    scored = alike_strings(sites, forms, "n_site", "n_key", least).join(forms, "n_key").join(sites, "n_site")
     best = scored.groupBy("_s").agg(F.min_by(F.struct("score", "tier", "place"), F.struct(-F.col("score"), "tier", "pos")).alias("m")).select("_s", "m.score", "m.tier", "m.place")
     return rows.select(row_id, F.col(site).alias("_s")).join(best, "_s").drop("_s")
 
