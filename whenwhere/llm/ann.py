@@ -1,7 +1,8 @@
 """Nearest neighbours by a block matrix join of int8 tiles with error bounds.
 
-Vectors are scaled to int8, each with its own scale and the exact length of its rounding error. Tiles of queries meet tiles of
-candidates on the query tile's number; the int8 products (taken in float32 blocks, which hold them exactly) give each distance up to
+Vectors are scaled to int8, each with its own scale and the exact length of its rounding error. Tiles of queries meet blocks of
+candidates in a grid: a task has one tile and one part of the candidates, so the number of tasks grows with both, a candidate travels once a
+query tile and a query once a part; the int8 products (taken in float32 blocks, which hold them exactly) give each distance up to
 the sum of the two error lengths. In a tile, a candidate survives if its lower bound exceeds neither the k-th least upper
 bound of distinct ids nor the least of its own id; survivors are recomputed from the original vectors in double precision. Each task keeps a heap of k for each query over all its
 tiles; the heaps' rows are merged by rank. Nothing is dropped: the bounds are proven, so the result is exact.
@@ -18,10 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-K, QUERY_TILE, TILE = 10, 512, 4096
+K, QUERY_TILE, TILE = 10, 2048, 4096
+#: Queries that are multiplied at a time, and candidates in a part of the grid.
+AT_A_TIME, PART = 512, 16_384
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -116,15 +120,22 @@ def _query_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"tile": pa.array([t], pa.int32()), "dim": pa.array([d], pa.int32()), "q_ids": pa.array([ids.tobytes()], pa.binary()), "q_vecs": pa.array([x.tobytes()], pa.binary())})
 
 
-def _candidate_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, column = batch.column(0).to_numpy(), batch.column(1)
-        dims, flat, offs = _dimensions(column), column.values.to_numpy(), column.offsets.to_numpy()
-        for d in np.unique(dims):
-            at = np.flatnonzero(dims == d)
-            for a in range(0, len(at), TILE):
-                part = at[a : a + TILE]
-                yield pa.RecordBatch.from_pydict({"dim": pa.array([d], pa.int32()), "ids": pa.array([ids[part].tobytes()], pa.binary()), "vecs": pa.array([flat[offs[part][:, None] + np.arange(d)].tobytes()], pa.binary())})
+def _candidate_tiles(n_parts: int):
+    """Blocks of candidates, dealt in turn to the parts of the grid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId() * 7919
+        for batch in batches:
+            ids, column = batch.column(0).to_numpy(), batch.column(1)
+            dims, flat, offs = _dimensions(column), column.values.to_numpy(), column.offsets.to_numpy()
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                for a in range(0, len(at), TILE):
+                    rows, turn = at[a : a + TILE], turn + 1
+                    vecs = flat[offs[rows][:, None] + np.arange(d)].tobytes()
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([turn % n_parts], pa.int32()), "dim": pa.array([d], pa.int32()), "ids": pa.array([ids[rows].tobytes()], pa.binary()), "vecs": pa.array([vecs], pa.binary())})
+
+    return run
 
 
 def _tile(ids: bytes, vecs: bytes, d: int) -> Tile:
@@ -135,33 +146,39 @@ def _meet(k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[tuple[int, int], list[np.ndarray]] = {}
-        last_key, queries = None, None
+        heaps: dict[tuple[int, int, int], list[np.ndarray]] = {}
+        last_key, queries = None, []
         for batch in batches:
             for r in batch.to_pylist():
                 key = (r["tile"], r["dim"])
                 if key != last_key:
-                    last_key, queries = key, _tile(r["q_ids"], r["q_vecs"], r["dim"])
+                    last_key, whole = key, _tile(r["q_ids"], r["q_vecs"], r["dim"])
+                    queries = [Tile(whole.ids[a : a + AT_A_TIME], whole.x[a : a + AT_A_TIME]) for a in range(0, len(whole.ids), AT_A_TIME)]
                 tile = _tile(r["ids"], r["vecs"], r["dim"])
-                at, to, score = nearest(queries, tile, k)
-                new = [queries.ids[at], tile.ids[to], score]
-                if key in heaps:
-                    new = [np.concatenate(x) for x in zip(heaps[key], new, strict=True)]
-                heaps[key] = list(_best(*new, k))
+                for n, some in enumerate(queries):
+                    at, to, score = nearest(some, tile, k)
+                    new = [some.ids[at], tile.ids[to], score]
+                    if (*key, n) in heaps:
+                        new = [np.concatenate(x) for x in zip(heaps[*key, n], new, strict=True)]
+                    heaps[*key, n] = list(_best(*new, k))
         for q, v, s in heaps.values():
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], schema=schema)
 
     return run
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", query_tile: int = QUERY_TILE) -> DataFrame:
+def search(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", query_tile: int = QUERY_TILE, part: int = PART) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest candidates but its own id."""
     spark = candidates.sparkSession
     q = usable(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     n_tiles = max(1, -(-q.count() // query_tile))
     tiles = q.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_tiles)).cast("int").alias("tile"), "vec_id", "vec").repartition("tile").mapInArrow(_query_tiles, "tile int, dim int, q_ids binary, q_vecs binary")
-    blocks = usable(candidates, id_col, vec_col).mapInArrow(_candidate_tiles, "dim int, ids binary, vecs binary").withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))))
-    met = blocks.join(tiles, ["tile", "dim"]).select("tile", "dim", "q_ids", "q_vecs", "ids", "vecs")
+    n_parts = max(1, -(-candidates.count() // part))
+    grid = n_tiles * n_parts
+    keys = ["tile", "part", "dim"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = usable(candidates, id_col, vec_col).mapInArrow(_candidate_tiles(n_parts), "part int, dim int, ids binary, vecs binary").withColumn("tile", every(n_tiles))
+    met = blocks.repartition(grid, *keys).join(tiles.withColumn("part", every(n_parts)).repartition(grid, *keys), keys).select("tile", "dim", "q_ids", "q_vecs", "ids", "vecs")
     found = met.mapInArrow(_meet(k), "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
