@@ -16,6 +16,7 @@ which case the result wins.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,7 +151,7 @@ def _candidates(k: int, bits, log_width: int):
     return run
 
 
-def _remove(k: int, with_text: bool):
+def _remove(k: int, with_text: bool, layout: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,19 +166,31 @@ def _remove(k: int, with_text: bool):
                     edge = np.zeros(n + 1, np.int32)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + k, -1)
-                    left = [words[j] for j in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
+                    stays = np.cumsum(edge[:n]) == 0
+                    left = [words[j] for j in np.flatnonzero(stays)]
                 out = " ".join(left)
                 n_words.append(n)
                 n_removed.append(n - len(left))
                 sha.append(hashlib.sha256(out.encode("utf-8", "surrogatepass")).hexdigest())
                 if with_text:
-                    kept.append(out)
+                    kept.append(out if not layout else text.as_py() if len(left) == n else without_words(text.as_py(), stays))
             cols = dict(zip(batch.schema.names[3:], batch.columns[3:], strict=True)) | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
             yield pa.RecordBatch.from_pydict(cols | ({"kept_text": pa.array(kept, pa.string())} if with_text else {}))
 
     return run
 
 
+def without_words(text: str, stays: np.ndarray) -> str:
+    """A text without some of its words; all else is as it was, but a run of words goes with the white space behind it."""
+    at = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)] + [len(text)]
+    starts, ends = A.runs(~stays)
+    out, done = [], 0
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        out.append(text[done : at[a]])
+        done = at[b]
+    return "".join(out) + text[done:]
+
+
 _SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 
@@ -203,10 +216,11 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW_WORDS, id_col: str = "doc_i
     return lost.groupBy("own", "ver").agg(F.collect_list("pos").alias("starts"), F.collect_list("settled").alias("settled"))
 
 
-def dedup(docs: DataFrame, k: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, max_log_width: int = MAX_LOG_WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, k: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, max_log_width: int = MAX_LOG_WIDTH, keep: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
     """Removes each word covered by a k-word window that also starts in a document with a smaller id.
 
-    Returns doc_id, the columns ``keep``, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the kept words joined by one space).
+    Returns doc_id, the columns ``keep``, n_words, n_removed, kept_sha256 and, if asked for, kept_text: the kept words
+    joined by one space or, with ``layout``, the text as it was but for the removed words (a null text stays null).
     """
     results = ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
     keep = tuple(c for c in keep if c not in results)
@@ -214,7 +228,7 @@ def dedup(docs: DataFrame, k: int = WINDOW_WORDS, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(text_col).alias("_txt"), F.col(id_col).cast("long").alias("own"), _version(F.col(text_col)), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep))).join(lost, ["own", "ver"], "left")
     rows = rows.select("_txt", "starts", "settled", F.col("own").alias("doc_id"), *(f"_{i}" for i in range(len(keep))))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[3:]] + ["n_words long", "n_removed long", "kept_sha256 string"] + ["kept_text string"] * with_text
-    return rows.mapInArrow(_remove(k, with_text), ", ".join(schema)).withColumnsRenamed({f"_{i}": c for i, c in enumerate(keep)})
+    return rows.mapInArrow(_remove(k, with_text, layout), ", ".join(schema)).withColumnsRenamed({f"_{i}": c for i, c in enumerate(keep)})
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
