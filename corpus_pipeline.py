@@ -1,8 +1,13 @@
 """A corpus pipeline: quality rules, near-duplicates, repeated passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-documents; a changed text gets its new n_chars. SQL cannot express the near-duplicate stage, so the whole is tested against its
-brute-force parts instead.
+documents; a changed text gets its new n_chars. SQL cannot express the near-duplicate stage, so the stages are tested on small
+tables whose outcome is known, and the operators behind them against brute force.
+
+Defined results, stage by stage: a null or empty text fails the quality rules (under 50 words), so it is in no later stage's input when run as
+a chain; a stage that gets one keeps it as it is. Rows with a null id stay in near_dedup and lose no passages. Of rows that share an
+id near_dedup keeps one: that of the class's first document, and of several texts under that id the least. Repeated rows are one
+document. An empty table gives no rows. Columns other than those of documents are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +34,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near-duplicates; rows without an id stay."""
     first = probminhash.classes(docs).where("doc_id is not null and doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS)).select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document has; their words joined by one space."""
-    return _columns(substring_dedup.dedup(docs, keep=("lang", "source")), "kept_text")
+    """Texts without the passages that an earlier document has; the rest keeps its lines and spaces."""
+    return _columns(substring_dedup.dedup(docs, keep=("lang", "source"), layout=True), "kept_text")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
