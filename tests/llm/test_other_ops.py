@@ -3,12 +3,15 @@
 import base64
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from whenwhere.llm import arrowtext as A
 from whenwhere.llm import masked_lm, pii, token_files
 
 SCHEMA = "doc_id long, text string, n_entities string, lang string"
@@ -222,26 +225,55 @@ def test_network_beats_word_counts_on_held_out_documents(spark):
     assert good > plain + 0.5
 
 
-def test_scores_are_sums_of_log_probabilities(spark):
-    rows = [(1, "a b c a b c d"), (2, None), (3, ""), (None, "a b"), (1, "a b c a b c d")]
-    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, pll string, n_tokens string")
+def test_scores_are_sums_of_log_probabilities(spark, monkeypatch):
+    """Every word's probability once more, word by word and in plain loops, from the weights alone."""
+    monkeypatch.setattr(masked_lm, "LEAST_WORDS", 6)  # the rest falls on hashed tokens
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("a b c d e f g h i j k l m n o".split()) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    df = spark.createDataFrame([(1, "a b c a b c d", "x"), (2, None, "y"), (2, "", "z"), (None, "b", "q"), (3, "zz a", ""), *((10 + i, t, "") for i, t in enumerate(texts))], "doc_id long, text string, pll string")
     vocabulary, w = masked_lm.fit(df)
     got = masked_lm.score(df, vocabulary, w).collect()
-    assert len(got) == 5
-    assert all(r["pll"] == 0 and r["mean_pll"] is None for r in got if r["doc_id"] in (2, 3))
-    one = [r["pll"] for r in got if r["doc_id"] == 1]
-    assert one[0] == pytest.approx(one[1]) and one[0] < 0
-    import pyarrow as pa
-
-    t, ends, _ = masked_lm._classes_of(pa.array(["a b c a b c d"]), vocabulary)
-    z = masked_lm.forward(w, masked_lm.contexts(vocabulary.cls[t], ends, np.arange(7)))[1]
-    assert np.exp(z).sum(axis=1) == pytest.approx(np.ones(7), abs=1e-4)
-    assert one[0] == pytest.approx(float((z[np.arange(7), vocabulary.cls[t]] + vocabulary.log_share[t]).sum()), abs=1e-4)
-    share = np.bincount(vocabulary.cls, weights=np.exp(vocabulary.log_share), minlength=masked_lm.CLASSES)
-    assert share[np.unique(vocabulary.cls)] == pytest.approx(1)
+    assert {(r["doc_id"], r["n_tokens"], r["mean_pll"] is None) for r in got} >= {(1, 7, False), (2, 0, True), (None, 1, False)}
+    counts = Counter(x for t in ["a b c a b c d", "b", "zz a", *texts] for x in t.split())
+    hash_of = {x: int(A.hash_strings(pa.array([x]))[0]) for x in [*counts, "never"]}
+    own = {h: i for i, h in enumerate(sorted(hash_of[x] for x, _ in sorted(counts.items(), key=lambda c: (-c[1], np.uint64(hash_of[c[0]]).astype(np.int64)))[:6]))}
+    token = {x: own.get(h, 6 + h % 64) for x, h in hash_of.items()}
+    hidden, bias, out, out_bias, inner, inner_bias = (p.astype(np.float64) for p in w)
+    classes = out.shape[1]
+
+    def word(ws, i):
+        h = bias.copy()
+        for j, shift in enumerate((-3, -2, -1, 1, 2, 3)):
+            c = vocabulary.cls[token[ws[i + shift]]] if 0 <= i + shift < len(ws) else classes
+            h += hidden[j * (classes + 1) + c]
+        h = np.tanh(h)
+        z = h @ out + out_bias
+        t = token[ws[i]]
+        c = vocabulary.cls[t]
+        others = [k for k in range(len(vocabulary.cls)) if vocabulary.cls[k] == c]
+        y = {k: h @ inner[k] + inner_bias[k] for k in others}
+        total = z[c] - np.log(np.exp(z).sum()) + y[t] - np.log(sum(np.exp(v) for v in y.values()))
+        if t >= 6:
+            mass = sum(n for x, n in counts.items() if token[x] == t) + 1
+            total += np.log(max(1, counts[ws[i]]) / mass)
+        return total
+
+    for r, text in zip(got, [r["text"] for r in df.collect()]):
+        ws = (text or "").split()
+        assert r["pll"] == pytest.approx(sum(word(ws, i) for i in range(len(ws))), rel=1e-4, abs=1e-4)
     assert masked_lm.score(df.where("false"), vocabulary, w).count() == 0
 
 
+def test_a_garbled_text_scores_below_one_of_rare_words(spark):
+    rng = random.Random(2)
+    rare = [f"rare{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choice(rare) for _ in range(60))) for i in range(400)]
+    df = spark.createDataFrame([*rows, (900, " ".join(f"x{rng.random()}" for _ in range(60)))], "doc_id long, text string")
+    masked = masked_lm.build_vocabulary(masked_lm.count_words(df.select("text")), size=100)
+    got = {r["doc_id"]: r["mean_pll"] for r in masked_lm.score(df, masked, masked_lm.start_weights(masked)).collect()}
+    assert got[900] < min(v for k, v in got.items() if k != 900) - 1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

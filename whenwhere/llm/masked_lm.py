@@ -1,13 +1,15 @@
 """Documents scored by masked pseudo-likelihood under a bidirectional window network, trained in numpy.
 
-Words are counted over the whole corpus. The most frequent ones are tokens of their own, all others fall on hashed tokens, and tokens
-are dealt to classes of about equal mass by frequency (the most frequent have a class each). The network sees the classes of the
-three words on each side and predicts the masked word's class; within the class the word has its corpus share:
-log P(w | both sides) = log P(class | both sides) + log P(w | class). A document's score is the sum over all its words.
+Words are counted over the whole corpus. The most frequent ones (as many as the corpus's distinct words call for) are tokens of their own, all
+others fall on hashed tokens. Tokens are dealt to classes by frequency, of about equal mass and at most CLASS_TOKENS tokens. The network
+sees the classes of the three words on each side and predicts the masked token by a two-step softmax, both steps learnt:
+log P(token | both sides) = log P(class | h) + log P(token | class, h), with h its hidden layer. A word on a hashed token has the token's
+probability times the word's own share of it, from a table of the tail's counts that grows with the corpus. A document's score is the sum over
+all its words.
 
 Training is one pass over every document: each task starts from the same weights, masks a quarter of the words (by a hash of text
-and place) and takes Adam steps; the tasks' weights are averaged by the number of words they masked. Each task emits
-weights of a fixed size, summed up in Spark. Training again after the loss of an executor sees the same rows and masks the same words.
+and place) and takes Adam steps for the classes and Adagrad steps within them; the tasks' weights are averaged by the number of words they
+masked, in two levels of partial sums. Training again after the loss of an executor sees the same rows and masks the same words.
 
 Defined results: a text without words (null, empty) has no tokens, a score of 0 and a null mean. Rows with null or repeated
 doc_id are scored like any other. An empty table gives no rows. Extra columns are ignored.
@@ -20,25 +22,36 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
 from .shared import materialise
 
-VOCABULARY, HASHED, CLASSES, SIDE, HIDDEN = 8192, 64, 64, 3, 24
-MASK_ONE_IN, BATCH, RATE = 4, 1024, 0.01
-EDGE = CLASSES  # the class of what lies outside the document
+HASHED, MASS_CLASSES, CLASS_TOKENS, SIDE, HIDDEN = 64, 64, 256, 3, 24
+#: Words of their own: one in WORDS_SHARE distinct words, within these bounds. The tail's counts: up to 2**MAX_LOG_TAIL slots, two a distinct word.
+LEAST_WORDS, MOST_WORDS, WORDS_SHARE, MAX_LOG_TAIL, LOG_TAIL_BLOCK = 8192, 65_536, 256, 24, 16
+MASK_ONE_IN, BATCH, RATE, WITHIN_BATCH, WITHIN_RATE = 4, 1024, 0.01, 16_384, 0.1
+PART_FLOATS, SALTS = 65_536, 64
 
 
 @dataclass
 class Vocabulary:
-    """Tokens: the frequent words' hashes in ascending order, then the hashed rest; by token its class and log share in it."""
+    """Tokens: the frequent words' hashes in ascending order, then the hashed rest; by token its class, place and log share in it."""
 
     hashes: np.ndarray
     cls: np.ndarray
     log_share: np.ndarray
     log_mass: np.ndarray  # of each class
+    members: list[np.ndarray]  # the tokens of each class
+    place: np.ndarray  # of a token among its class's
+    tail: np.ndarray  # counts of the words on hashed tokens, by slot
+    hashed_mass: np.ndarray
+
+    @property
+    def classes(self) -> int:
+        return len(self.log_mass)
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.hashes, hashes)
@@ -46,6 +59,14 @@ class Vocabulary:
         known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
         return np.where(known, at, len(self.hashes) + (hashes % np.uint64(HASHED)).astype(np.int64))
 
+    def tail_share(self, hashes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The log share of words in their hashed tokens; 0 for words of their own. A word never counted has that of one seen once."""
+        out = np.zeros(len(hashes))
+        at = np.flatnonzero(tokens >= len(self.hashes))
+        slot = (hashes[at] >> np.uint64(64 - (len(self.tail).bit_length() - 1))).astype(np.int64)
+        out[at] = np.log(np.maximum(self.tail[slot], 1) / self.hashed_mass[tokens[at] - len(self.hashes)])
+        return np.minimum(out, 0)
+
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -66,37 +87,72 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_vocabulary(counts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+def _tail_blocks(log_tail: int):
+    """(blk, data): the counts of the words of a block of slots, as 32-bit numbers."""
+    log_block = min(LOG_TAIL_BLOCK, log_tail)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - log_tail)).astype(np.int64)
+            n = batch.column(1).to_numpy()
+            for blk in np.unique(slot >> log_block).tolist():
+                mine = slot >> log_block == blk
+                np.add.at(held.setdefault(blk, np.zeros(1 << log_block, np.int64)), slot[mine] & ((1 << log_block) - 1), n[mine])
+        for blk, counts in held.items():
+            yield pa.RecordBatch.from_pydict({"blk": pa.array([blk], pa.int32()), "data": pa.array([np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+    return run
+
+
+def build_vocabulary(counts: DataFrame, size: int | None = None) -> Vocabulary:
+    distinct = counts.count()
+    size = size or min(MOST_WORDS, max(LEAST_WORDS, distinct // WORDS_SHARE))
+    top = counts.orderBy(F.desc("n"), "word").limit(size).toArrow()
+    hashes, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(np.float64)
     # the low six bits of the hash as an unsigned number name the hashed token
     rest = {r["b"]: r["n"] for r in counts.groupBy(F.col("word").bitwiseAND(HASHED - 1).alias("b")).agg(F.sum("n").alias("n")).collect()}
-    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    n = np.array([r["n"] for r in top], np.float64)
     left = np.array([rest.get(b, 0) for b in range(HASHED)], np.float64)
     np.subtract.at(left, (hashes % np.uint64(HASHED)).astype(np.int64), n)
+    log_tail = min(MAX_LOG_TAIL, max(10, (2 * distinct).bit_length()))
+    tail = np.zeros(1 << log_tail, np.uint32)
+    if distinct > len(hashes):
+        rare = counts.where(F.col("n") <= float(n.min())).select("word", "n")
+        blocks = rare.repartition(F.shiftrightunsigned("word", 64 - max(1, log_tail - LOG_TAIL_BLOCK))).mapInArrow(_tail_blocks(log_tail), "blk int, data binary")
+        for r in blocks.toLocalIterator():
+            part = np.frombuffer(r["data"], np.uint32)
+            tail[r["blk"] * len(part) : (r["blk"] + 1) * len(part)] += part
     order = np.argsort(hashes)
     hashes, mass = hashes[order], np.concatenate([n[order], left]) + 1.0
     rank = np.argsort(-mass, kind="stable")
-    # greedy bins: a class closes when it has its share of what was left when it opened
-    cls, c, got, share, rem = np.zeros(len(mass), np.int64), 0, 0.0, mass.sum() / CLASSES, mass.sum()
+    # greedy bins: a class closes when it has its share of what was left when it opened, or is full
+    cls, c, got, held, share, rem = np.zeros(len(mass), np.int64), 0, 0.0, 0, mass.sum() / MASS_CLASSES, mass.sum()
     for t in rank:
-        if got >= share and c < CLASSES - 1:
-            c, rem, got = c + 1, rem - got, 0.0
-            share = rem / (CLASSES - c)
+        if got >= share or held == CLASS_TOKENS:
+            c, rem, got, held = c + 1, rem - got, 0.0, 0
+            share = rem / max(1, MASS_CLASSES - c)
         cls[t] = c
         got += mass[t]
-    total = np.bincount(cls, weights=mass, minlength=CLASSES)
-    return Vocabulary(hashes, cls, np.log(mass / total[cls]), np.log(np.maximum(total, 1e-9) / mass.sum()))
+        held += 1
+    total = np.bincount(cls, weights=mass)
+    by_class = np.argsort(cls, kind="stable")
+    members = np.split(by_class, np.cumsum(np.bincount(cls))[:-1])
+    place = np.empty(len(cls), np.int64)
+    for m in members:
+        place[m] = np.arange(len(m))
+    return Vocabulary(hashes, cls, np.log(mass / total[cls]), np.log(total / mass.sum()), members, place, tail, left + 1.0)
 
 
 def start_weights(vocabulary: Vocabulary, seed: int = 1) -> list[np.ndarray]:
-    """A network that knows the classes' shares and nothing of the sides."""
-    rng = np.random.default_rng(seed)
-    return [rng.normal(0, 0.3, (2 * SIDE * (CLASSES + 1), HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, 0.02, (HIDDEN, CLASSES)).astype(np.float32), vocabulary.log_mass.astype(np.float32)]
+    """A network that knows the tokens' shares and nothing of the sides: hidden layer, classes, tokens within them."""
+    rng, c = np.random.default_rng(seed), vocabulary.classes
+    w = [rng.normal(0, 0.3, (2 * SIDE * (c + 1), HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.02, (HIDDEN, c)), vocabulary.log_mass]
+    return [x.astype(np.float32) for x in (*w, np.zeros((len(vocabulary.cls), HIDDEN)), vocabulary.log_share)]
 
 
-def contexts(tokens_cls: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For the words ``at`` the input rows of the classes on both sides; documents do not see each other."""
+def contexts(tokens_cls: np.ndarray, ends: np.ndarray, at: np.ndarray, classes: int) -> np.ndarray:
+    """For the words ``at`` the input rows of the classes on both sides; documents do not see each other,
+    what lies outside is a class of its own."""
     row_end = np.repeat(ends[1:], np.diff(ends))[at]
     row_start = np.repeat(ends[:-1], np.diff(ends))[at]
     out = np.empty((len(at), 2 * SIDE), np.int32)
@@ -104,7 +160,7 @@ def contexts(tokens_cls: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.nda
     for j, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         p = at + shift
         c = tokens_cls[np.clip(p, 0, n - 1)]
-        out[:, j] = np.where((p >= row_start) & (p < row_end), c, EDGE) + j * (CLASSES + 1)
+        out[:, j] = np.where((p >= row_start) & (p < row_end), c, classes) + j * (classes + 1)
     return out
 
 
@@ -116,9 +172,7 @@ def forward(w: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     np.tanh(h, out=h)
     z = h @ w[2]
     z += w[3]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return h, z
+    return h, log_softmax(z)
 
 
 class Adam:
@@ -126,7 +180,8 @@ class Adam:
         self.w, self.rate, self.t = [p.copy() for p in w], rate, 0
         self.m, self.v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
 
-    def step(self, x: np.ndarray, y: np.ndarray) -> None:
+    def step(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Learns the classes ``y``; returns the hidden layer."""
         w, n = self.w, len(y)
         h, z = forward(w, x)
         d = np.exp(z)
@@ -141,6 +196,41 @@ class Adam:
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= np.float32(rate) * m / (np.sqrt(v) + 1e-8)
+        return h
+
+
+def by_class(cls: np.ndarray):
+    """(class, places) of the classes that occur."""
+    order = np.argsort(cls, kind="stable")
+    at = np.flatnonzero(np.diff(cls[order], prepend=-1))
+    yield from ((int(cls[order[a]]), order[a:b]) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True))
+
+
+class Within:
+    """Adagrad over the tokens within each class."""
+
+    def __init__(self, u: np.ndarray, b: np.ndarray, vocabulary: Vocabulary):
+        self.u, self.b, self.vocabulary = u.copy(), b.copy(), vocabulary
+        self.gu, self.gb = np.full_like(u, 1e-3), np.full_like(b, 1e-3)
+
+    def step(self, h: np.ndarray, tokens: np.ndarray) -> None:
+        for c, at in by_class(self.vocabulary.cls[tokens]):
+            m = self.vocabulary.members[c]
+            if len(m) == 1:
+                continue
+            x = h[at]
+            d = np.exp(log_softmax(x @ self.u[m].T + self.b[m]))
+            d[np.arange(len(at)), self.vocabulary.place[tokens[at]]] -= 1
+            d /= np.sqrt(len(at))
+            for p, g, now in ((self.u, self.gu, d.T @ x), (self.b, self.gb, d.sum(axis=0))):
+                g[m] += now * now
+                p[m] -= np.float32(WITHIN_RATE) * now / np.sqrt(g[m])
+
+
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
 
 
 def _classes_of(texts: pa.Array, vocabulary: Vocabulary):
@@ -154,7 +244,7 @@ def _classes_of(texts: pa.Array, vocabulary: Vocabulary):
 def _train(shared, one_in: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value
-        model, seen, held = Adam(weights), 0, []
+        model, within, seen = Adam(weights[:4]), Within(*weights[4:], vocabulary), 0
         for batch in batches:
             _, offs = A.string_buffers(batch.column(0))
             for r0, r1 in A.row_chunks(offs):
@@ -164,29 +254,58 @@ def _train(shared, one_in: int):
                 cls = vocabulary.cls[tokens]
                 masked = np.flatnonzero(A.mix(hashes + np.arange(len(hashes), dtype=np.uint64)) % np.uint64(one_in) == 0)
                 masked = masked[np.argsort(A.mix(masked.astype(np.uint64) + hashes[masked]))]
-                x, y = contexts(cls, ends, masked), cls[masked]
-                for a in range(0, len(y), BATCH):
-                    model.step(x[a : a + BATCH], y[a : a + BATCH])
+                x, y = contexts(cls, ends, masked, vocabulary.classes), cls[masked]
+                for a in range(0, len(y), WITHIN_BATCH):
+                    stop = min(len(y), a + WITHIN_BATCH)
+                    h = [model.step(x[i : min(stop, i + BATCH)], y[i : min(stop, i + BATCH)]) for i in range(a, stop, BATCH)]
+                    within.step(np.concatenate(h), tokens[masked[a:stop]])
                 seen += len(y)
         if seen:
-            flat = np.concatenate([p.ravel() for p in model.w]).astype(np.float64) * seen
-            yield pa.RecordBatch.from_pydict({"part": pa.array(np.arange(len(flat), dtype=np.int32)), "x": pa.array(flat), "n": pa.array(np.full(len(flat), seen, np.int64))})
+            flat = np.concatenate([p.ravel() for p in (*model.w, within.u, within.b)]).astype(np.float64) * seen
+            for part, a in enumerate(range(0, len(flat), PART_FLOATS)):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([TaskContext.get().partitionId() % SALTS], pa.int32()), pa.array([flat[a : a + PART_FLOATS].tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["part", "salt", "x", "n"])
 
     return run
 
 
+def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each part: the sum of its vectors and of their words."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for part, _, x, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            at = held.setdefault(part, [0.0, 0])
+            at[0], at[1] = at[0] + np.frombuffer(x), at[1] + n
+    for part, (x, n) in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["part", "salt", "x", "n"])
+
+
 def train(texts: DataFrame, vocabulary: Vocabulary, weights: list[np.ndarray] | None = None, one_in: int = MASK_ONE_IN) -> list[np.ndarray]:
     """The tasks' weights averaged by their words; one pass over all texts."""
     weights = weights or start_weights(vocabulary)
     shared = texts.sparkSession.sparkContext.broadcast((vocabulary, weights))
-    summed = texts.mapInArrow(_train(shared, one_in), "part int, x double, n long").groupBy("part").agg((F.sum("x") / F.sum("n")).alias("x"))
-    flat = np.zeros(sum(p.size for p in weights))
-    got = summed.toArrow()
-    if not got.num_rows:
+    schema = "part int, salt int, x binary, n long"
+    summed = texts.mapInArrow(_train(shared, one_in), schema).repartition("part", "salt").mapInArrow(_sum_parts, schema).repartition("part").mapInArrow(_sum_parts, schema)
+    parts = sorted((r["part"], np.frombuffer(r["x"]) / r["n"]) for r in summed.toLocalIterator())
+    if not parts:
         return weights
-    flat[got["part"].to_numpy()] = got["x"].to_numpy()
     cut = np.cumsum([p.size for p in weights])[:-1]
-    return [a.reshape(p.shape).astype(np.float32) for a, p in zip(np.split(flat, cut), weights, strict=True)]
+    return [a.reshape(p.shape).astype(np.float32) for a, p in zip(np.split(np.concatenate([x for _, x in parts]), cut), weights, strict=True)]
+
+
+def log_probabilities(vocabulary: Vocabulary, w: list[np.ndarray], tokens: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """log P(word | both sides) of every word of a chunk of texts."""
+    cls = vocabulary.cls[tokens]
+    out = vocabulary.tail_share(hashes, tokens)
+    for a in range(0, len(tokens), 32_768):
+        at = np.arange(a, min(len(tokens), a + 32_768))
+        h, z = forward(w[:4], contexts(cls, ends, at, vocabulary.classes))
+        out[at] += z[np.arange(len(at)), cls[at]]
+        for c, rows in by_class(cls[at]):
+            m = vocabulary.members[c]
+            if len(m) > 1:
+                inner = log_softmax(h[rows] @ w[4][m].T + w[5][m])
+                out[at[rows]] += inner[np.arange(len(rows)), vocabulary.place[tokens[at[rows]]]]
+    return out
 
 
 def _score(shared):
@@ -195,13 +314,8 @@ def _score(shared):
         for batch in batches:
             _, offs = A.string_buffers(batch.column(1))
             for r0, r1 in A.row_chunks(offs):
-                tokens, ends, _ = _classes_of(batch.column(1).slice(r0, r1 - r0), vocabulary)
-                cls = vocabulary.cls[tokens]
-                logp = vocabulary.log_share[tokens].copy()
-                for a in range(0, len(tokens), 16384):
-                    at = np.arange(a, min(len(tokens), a + 16384))
-                    logp[at] += forward(w, contexts(cls, ends, at))[1][np.arange(len(at)), cls[at]]
-                total = np.concatenate([[0.0], np.cumsum(logp)])
+                tokens, ends, hashes = _classes_of(batch.column(1).slice(r0, r1 - r0), vocabulary)
+                total = np.concatenate([[0.0], np.cumsum(log_probabilities(vocabulary, w, tokens, ends, hashes))])
                 n, score = np.diff(ends), total[ends[1:]] - total[ends[:-1]]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(r0, r1 - r0), "n_tokens": pa.array(n), "pll": pa.array(score), "mean_pll": pa.array(score / np.maximum(n, 1), mask=n == 0)})
 
