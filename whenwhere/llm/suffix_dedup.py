@@ -35,7 +35,7 @@ from .suffix_sort import Bytes, cover_tables, groups_of, sort_block
 LENGTH, COVER_R, GRAM = 400, 2, 32
 CHUNK = 2 << 20
 #: Bytes of fragments that a task sorts at a time.
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 #: A gram with more fragments is frequent; its bucket is dealt to tasks of about as many. At most MOST_FREQUENT grams are broadcast (3 MB).
 FREQUENT, MOST_FREQUENT = 1000, 200_000
 MAX_LOG_BITS, BITS_A_GRAM = 29, 2
@@ -296,25 +296,24 @@ def _sort_buckets(length: int, r: int, block: int = BLOCK, log_blocks: int = 0):
                 start, n = b.column("start").to_numpy(), b.column("n").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int32()), b.column("own"), b.column("ver"), pa.array(start), pa.array(start + n), pa.nulls(len(n), pa.binary())], schema=FOUND)
                 batch = batch.filter(pc.invert(known))
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.nbytes
-            if size < block:
-                continue
-            rows = pa.Table.from_batches(held)
-            bucket, salt = rows["bucket"].to_numpy(), rows["salt"].to_numpy()
-            last = (int(bucket[-1]), int(salt[-1]))
-            whole = int(np.flatnonzero((bucket != last[0]) | (salt != last[1]))[-1]) + 1 if (bucket[0], salt[0]) != last else 0
-            if whole:  # the last bucket may go on; it waits
-                yield from _sort_rows(rows.slice(0, whole).combine_chunks(), open_bucket, length, r, log_blocks)
-                open_bucket = None
-                rows = rows.slice(whole)
-            if rows.nbytes >= block:
-                open_bucket = last
-                yield from _sort_rows(rows.combine_chunks(), open_bucket, length, r, log_blocks)
-                rows = rows.slice(0, 0)
-            held, size = rows.to_batches(), rows.nbytes
+            for a in range(0, batch.num_rows, 1024):
+                held.append(batch.slice(a, 1024))
+                size += held[-1].nbytes
+                if size < block:
+                    continue
+                rows = pa.Table.from_batches(held)
+                bucket, salt = rows["bucket"].to_numpy(), rows["salt"].to_numpy()
+                last = (int(bucket[-1]), int(salt[-1]))
+                whole = int(np.flatnonzero((bucket != last[0]) | (salt != last[1]))[-1]) + 1 if (bucket[0], salt[0]) != last else 0
+                if whole:  # the last bucket may go on; it waits
+                    yield from _sort_rows(rows.slice(0, whole).combine_chunks(), open_bucket, length, r, log_blocks)
+                    open_bucket = None
+                    rows = rows.slice(whole)
+                if rows.nbytes >= block:
+                    open_bucket = last
+                    yield from _sort_rows(rows.combine_chunks(), open_bucket, length, r, log_blocks)
+                    rows = rows.slice(0, 0)
+                held, size = rows.to_batches(), rows.nbytes
         if held:
             yield from _sort_rows(pa.Table.from_batches(held).combine_chunks(), open_bucket, length, r, log_blocks)
 
