@@ -142,3 +142,145 @@ def test_archive_moves_by_the_store(spark, tmp_path):
     assert files.archive(spark, f"file://{tmp_path}/a/x.md", f"file://{tmp_path}/old/x.md")
     assert (tmp_path / "old/x.md").read_text() == "1"
     assert not files.archive(spark, f"file://{tmp_path}/a/x.md", f"file://{tmp_path}/old/x.md")
+
+
+def literal_dedup(events):
+    """The rule as it reads: each event against the kept ones in order, by their current names."""
+    kept = []
+    for pos, name, n in events:
+        plain = L._plain(name)
+        for k in kept:
+            other = L._plain(k["name"])
+            if plain == other or (len(plain) >= 5 and len(other) >= 5 and (plain in other or other in plain)):
+                k["members"].append(pos)
+                if len(name) < len(k["name"]) or (len(name) == len(k["name"]) and n > k["n"]):
+                    k.update(name=name, n=n, pos=pos)
+                break
+        else:
+            kept.append({"name": name, "n": n, "pos": pos, "members": [pos]})
+    return {m: k["pos"] for k in kept for m in k["members"]}
+
+
+def test_dedup_against_the_rule():
+    rng = random.Random(5)
+    texts = ["abcdef xyz long", "xyz lo 2", "xyz lo", "Xyz, lo", "abcdef", "abcdef xyz", "night", "late night", "a", "", "late night show"]
+    for _ in range(300):
+        events = [(i, rng.choice(texts) + rng.choice(["", "", "!", " 2"]), rng.randrange(3)) for i in range(rng.randrange(1, 25))]
+        got = L.greedy_dedup([e[1] for e in events], [e[2] for e in events])
+        assert dict(enumerate(got)) == literal_dedup(events), events
+
+
+def test_chunks_are_slices_of_the_text():
+    assert L.cut_chunks("  a\n\nb  \n", 100) == ["  a\n\nb  \n"]
+    rng = random.Random(6)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "b ", "\n", "\n\n", "\n## h", "\n### i"]) for _ in range(rng.randrange(200)))
+        assert "".join(L.cut_chunks(text, 40)) == text
+        with_overlap = L.cut_chunks(text, 40, 50)  # no step back past a piece's own start
+        assert "".join(with_overlap) == text and all(len(c) <= 40 for c in with_overlap)
+
+
+def test_fuzzy_match_with_one_shared_beginning(spark):
+    places = spark.createDataFrame([(i, f"museum of {i:04d}", None, None, float(i), 0.0, "x") for i in range(2000)], "pos int, name string, short_name string, alternate_names array<string>, lat double, lng double, emoji string")
+    rows = spark.createDataFrame([(i, f"the museum of {i:04d} annex", "", "e") for i in range(2000)], "id int, location string, sublocation string, name string")
+    got = L.match_fuzzy(L.search_keys(rows), L.gazetteer(places), "id").collect()
+    assert {r["id"]: r["place"]["lat"] for r in got} == {i: float(i) for i in range(2000)}
+
+
+def test_alike_strings_against_all_pairs(spark):
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(150)})
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row = _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+        return new
+
+    want = {(a, b) for a in words for b in words if (len(a) + len(b) - edits(a, b)) / (len(a) + len(b)) >= 0.85}
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = L.alike_strings(df.toDF("a"), df.toDF("b"), "a", "b", 0.85).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+
+
+def test_emphasis_against_a_plain_rule(spark):
+    import re
+
+    from whenwhere.functions import text
+
+    rng = random.Random(8)
+    rows = [("".join(rng.choice(["*", "**", "_", "__", "a", "b", " ", "é"]) for _ in range(rng.randrange(20))),) for _ in range(200)]
+    plain = lambda t: re.sub(r"\b_(.*?)_\b", r"<em>\1</em>", re.sub(r"\*(.*?)\*", r"<em>\1</em>", re.sub(r"\b__(.*?)__\b", r"<strong>\1</strong>", re.sub(r"\*\*(.*?)\*\*", r"<strong>\1</strong>", t))))
+    for r in spark.createDataFrame(rows, "t string").select("t", text.emphasise(F.col("t")).alias("e")).collect():
+        assert r["e"] == plain(r["t"])
+
+
+def test_stages_stop_at_the_first_failure():
+    from whenwhere.plans import batch
+
+    ran = []
+
+    def bad():
+        raise OSError("store")
+
+    assert batch.run_stages([("a", lambda: ran.append("a"))]) == ["a"]
+    with pytest.raises(RuntimeError, match="stage b failed after a"):
+        batch.run_stages([("a", lambda: ran.append("a")), ("b", bad), ("c", lambda: ran.append("c"))])
+    assert ran == ["a", "a"]
+
+
+def test_batch_from_pages_to_export(spark, tmp_path):
+    from whenwhere.functions.tags import TagRules
+    from whenwhere.plans import batch
+
+    line = "| {} | Harbor Hall |  | 2025-10-04 | 7pm |  |  | desc | https://e.org/{} | #A | x |"
+    body = "| " + " | ".join(L.HEADER) + " |\n|---|\n" + "\n".join([line.format("Jazz evening", 1), line.format("Jazz evening!", 2), line.format("Poetry", 3)])
+    pages = spark.createDataFrame([("f1", None, body), ("f2", None, body.replace("/1", "/9"))], "file string, extra_tags array<string>, body string")
+    places = spark.createDataFrame([(0, "Harbor Hall", "Hall", None, 40.7, -74.0, "h")], "pos int, name string, short_name string, alternate_names array<string>, lat double, lng double, emoji string")
+    done = batch.run(pages, places, TagRules(), F.lit("2025-10-01").cast("date"), str(tmp_path))
+    assert done == ["process", "place", "group", "export"]
+    got = {r["name"]: r["urls"] for r in spark.read.json(f"{tmp_path}/events.init").collect()}
+    assert got == {"Jazz evening": ["https://e.org/1", "https://e.org/2", "https://e.org/9"], "Poetry": ["https://e.org/3"]}
+
+
+def test_settings_files(spark, tmp_path):
+    from whenwhere.sources import files
+
+    (tmp_path / "related.json").write_text('{"Art": [["Gallery", 0.5]]}')
+    (tmp_path / "tags.json").write_text('{"geotags": ["Queens"], "bgcolors": {"x": "#1"}, "remove": ["kids"]}')
+    (tmp_path / "broken.json").write_text("{")
+    assert [tuple(r) for r in files.read_related(spark, f"{tmp_path}/related.json").collect()] == [("Art", "Gallery", 0.5)]
+    assert files.read_related(spark, f"{tmp_path}/none.json").count() == 0
+    assert files.read_tag_display(spark, f"{tmp_path}/tags.json") == (("queens",), {"x": "#1"})
+    assert files.read_tag_rules(spark, f"{tmp_path}/tags.json").remove == ("kids",)
+    assert files.read_tag_rules(spark, f"{tmp_path}/broken.json") == files.TagRules()
+    links = spark.createDataFrame([("s", f"https://s/event/{i}", "event, show") for i in range(5)] + [("t", "https://t/event", "show"), ("t", "https://t/show", "show")], "site string, url string, keywords string")
+    assert sorted(r["url"] for r in files.follow_keywords(links, "site", "url", "keywords", 2).collect()) == ["https://s/event/0", "https://s/event/1", "https://t/show"]
+
+
+def test_view_pieces(spark):
+    from whenwhere.operators import view as V
+    from whenwhere.operators.session import Session
+
+    events = spark.createDataFrame([(1, 5, "a"), (2, 5, "b"), (3, 6, "c"), (3, 7, "d")], "id int, loc_id int, name string")
+    shown = events.where("id = 1")
+    assert sorted(r["id"] for r in V.with_forced(shown, events.where("id < 3"), 2).collect()) == [1, 2]
+    assert V.with_forced(shown, events, 1).count() == 1
+    assert {r["id"]: r["name"] for r in V.last_by_id(events, "loc_id").collect()}[3] == "d"
+    assert V.envelope([(1.0, 4.0), (3.0, 2.0)]) == ((1.0, 2.0), (3.0, 4.0))
+    s = Session(related=lambda t: [("near", 0.5)] if t in ("x", "y") else [])
+    s.click("x")
+    assert s.exclude("near") and not s.exclude("x") and "near" not in s.chosen
+    s.click("y")
+    s.click("x")
+    assert "near" not in s.chosen
+    s.clear_excluded()
+    s.click("y")
+    s.click("x")
+    assert s.chosen["near"][1] == 0.5

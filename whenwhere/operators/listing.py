@@ -44,17 +44,16 @@ def merge_chunks(chunks: DataFrame, key: str, order: str, body: str) -> DataFram
 
 
 def cut_chunks(text_: str, size: int = 90_000, overlap: int = 0) -> list[str]:
-    """Greedy pieces of at most ``size``: cut at the last heading, else at the last blank line in the first nine tenths, else hard."""
+    """Greedy slices of at most ``size``: cut at the last heading, else at the last blank line in the first nine tenths, else hard."""
     out, start, n = [], 0, len(text_)
     while start < n:
-        end = min(start + size, n)
+        end = start + size
         if end < n:
-            head = max(text_.rfind("\n##", start, end), text_.rfind("\n###", start, end))
+            head = text_.rfind("\n##", start, end)
             blank = text_.rfind("\n\n", start, end - size // 10)
             end = head if head > start else blank if blank > start else end
-        if piece := text_[start:end].strip():
-            out.append(piece)
-        start = max(end - overlap, start + 1) if end < n else n
+        out.append(text_[start:end])
+        start = end - overlap if end - overlap > start else end
     return out
 
 
@@ -251,32 +250,56 @@ def dedup_exact(events: DataFrame, order: str = "pos") -> DataFrame:
     return keyed.groupBy("lat", "lng", "first_start", "norm").agg(F.min_by(F.struct("name", "description", F.col(order).alias("pos")), rank).alias("e"), F.count("*").alias("n_merged")).select("lat", "lng", "first_start", "norm", "e.*", "n_merged")
 
 
+def greedy_dedup(names: list[str], lengths: list[int]) -> list[int]:
+    """For each event in order (name, length of its description) the index of the one kept for it.
+
+    An event joins the first kept one whose current name is alike; the shorter name stays, then the longer description. A name seen before
+    goes where it went, unless a group has been renamed since.
+    """
+    plain_of: list[str] = []  # by group: its current plain name
+    kept: list[int] = []
+    renamed: list[int] = []  # groups, in the order of their renamings
+    went: dict[str, tuple[int, int]] = {}  # plain name: its group, and how many renamings there had been
+    group_of: list[int] = []
+    for i, name in enumerate(names):
+        plain = _plain(name)
+        if plain in went:
+            g, seen = went[plain]
+            tried = sorted({g, *(j for j in renamed[seen:] if j < g)})
+        else:
+            g, tried = len(kept), range(len(kept))
+        to = next((j for j in tried if _alike(plain, plain_of[j])), None)
+        if to is None and plain in went:
+            to = next((j for j in range(g + 1, len(kept)) if _alike(plain, plain_of[j])), None)
+        if to is None:
+            to = len(kept)
+            kept.append(i)
+            plain_of.append(plain)
+        elif (len(name), -lengths[i]) < (len(names[kept[to]]), -lengths[kept[to]]):
+            kept[to] = i
+            if plain_of[to] != plain:
+                plain_of[to] = plain
+                renamed.append(to)
+        went[plain] = (to, len(renamed))
+        group_of.append(to)
+    return [kept[g] for g in group_of]
+
+
 def dedup_fuzzy(events: DataFrame, order: str = "pos") -> DataFrame:
-    """(pos, kept_pos): for each event the one kept for it among those of its place and first start.
+    """(pos, kept_pos): for each event the one kept for it among those of its place and first start, greedily in order.
 
-    Greedy in order: an event joins the first kept one whose current name is alike; the shorter name stays, then the longer description.
-    Exact repeats (equal name and description) are dropped before the groups are formed, so that copies do not fill one task.
+    Repeats of name and description travel as one row with their places in the order.
     """
-    keyed = events.select("lat", "lng", F.get("occurrences", F.lit(0))["start_date"].alias("first_start"), "name", F.coalesce("description", F.lit("")).alias("description"), F.col(order).cast("long").alias("pos"))
-    once = keyed.groupBy("lat", "lng", "first_start", "name", "description").agg(F.min("pos").alias("pos"))
+    place = ["lat", "lng", "first_start"]
+    keyed = events.select("lat", "lng", F.get("occurrences", F.lit(0))["start_date"].alias("first_start"), "name", F.length(F.coalesce("description", F.lit(""))).alias("n_description"), F.col(order).cast("long").alias("pos"))
+    once = keyed.groupBy(*place, "name", "n_description").agg(F.collect_list("pos").alias("at"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        kept: list[list] = []  # [plain name, name, length of description, pos, members]
-        for name, desc, pos in zip(pdf["name"], pdf["description"], pdf["pos"], strict=True):
-            plain = _plain(name)
-            for k in kept:
-                if _alike(plain, k[0]):
-                    k[4].append(pos)
-                    if (len(name), -len(desc)) < (len(k[1]), -k[2]):
-                        k[:4] = [plain, name, len(desc), pos]
-                    break
-            else:
-                kept.append([plain, name, len(desc), pos, [pos]])
-        return pd.DataFrame([(m, k[3]) for k in kept for m in k[4]], columns=["pos", "kept_pos"])
-
-    found = once.groupBy("lat", "lng", "first_start").applyInPandas(run, "pos long, kept_pos long")
-    return keyed.join(once.withColumnRenamed("pos", "rep"), ["lat", "lng", "first_start", "name", "description"]).select("pos", "rep").join(found.withColumnRenamed("pos", "rep"), "rep").select("pos", "kept_pos")
+        pdf = pdf.explode("at").sort_values("at")
+        at = pdf["at"].astype("int64").to_numpy()
+        return pd.DataFrame({"pos": at, "kept_pos": at[greedy_dedup(pdf["name"].tolist(), pdf["n_description"].tolist())]})
+
+    return once.groupBy(*place).applyInPandas(run, "pos long, kept_pos long")
 
 
 def split_export(events: DataFrame, locations: DataFrame, as_of: Column, box=geo.INIT_BOX, days: int = 7) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

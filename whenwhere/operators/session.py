@@ -20,6 +20,7 @@ class Session:
     palette: tuple[str, ...] = ("#1", "#2", "#3")
     states: dict[str, str] = field(default_factory=dict)
     chosen: dict[str, list] = field(default_factory=dict)  # tag: [colour, weight], in order
+    excluded: set[str] = field(default_factory=set)  # related tags put aside until the choice changes
 
     def state(self, tag: str) -> str:
         return self.states.get(tag, UNSELECTED)
@@ -52,6 +53,8 @@ class Session:
 
     def _relate(self, tag: str, colour: str) -> None:
         for other, weight in self.related(tag):
+            if other in self.excluded:
+                continue
             if other not in self.chosen:
                 self.chosen[other] = [colour, weight]
             elif self.chosen[other][1] < weight and self.chosen[other][1] < 1.0:
@@ -64,7 +67,19 @@ class Session:
         for t, (colour, _) in list(self.chosen.items()):
             self._relate(t, colour)
 
+    def exclude(self, tag: str) -> bool:
+        """Puts a related tag aside; false if it is none."""
+        if tag not in self.chosen or self.chosen[tag][1] == 1.0:
+            return False
+        self.excluded.add(tag)
+        del self.chosen[tag]
+        return True
+
+    def clear_excluded(self) -> None:
+        self.excluded.clear()
+
     def clear(self) -> None:
+        self.excluded.clear()
         self.states.clear()
         self.chosen.clear()
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, when
+from ..functions import geo, text, when
 from ..functions.tags import strings
 
 
@@ -146,16 +146,39 @@ def temporal_bonus(occurrences: Column, at: Column, w: Weights) -> Column:
     return F.when(F.size(occurrences) > 0, F.greatest(F.lit(0.0), w.temporal * (1 - gap / w.reach_days))).otherwise(0.0)
 
 
-def search_locations(measured: DataFrame, matching: DataFrame, visible: DataFrame, chosen: dict[str, float], w: Weights) -> DataFrame:
-    """Adds is_matching, is_visible and score to places with a distance; matching and visible are sets of loc_id."""
+def searchable(rows: DataFrame, *fields: str) -> Column:
+    """The text in which a term is looked for: the search forms of the fields that are there and not empty; arrays of tags give all theirs."""
+    there = [f for f in fields if f in rows.columns]
+    parts = F.concat(*(F.coalesce(F.col(f), strings([])) if rows.schema[f].dataType.typeName() == "array" else F.array(F.col(f)) for f in there))
+    return text.search_form(F.array_join(F.filter(parts, lambda x: F.coalesce(x, F.lit("")) != ""), " "))
+
+
+EVENT_FIELDS, PLACE_FIELDS = ("name", "short_name", "description", "location", "sublocation"), ("name", "short_name", "tags")
+
+
+def search_index(events: DataFrame, locations: DataFrame, words: DataFrame) -> DataFrame:
+    """(type, ref, text) of all that can be searched; the searches look into the same texts by themselves."""
+    one = lambda rows, kind, ref, *fields: rows.select(F.lit(kind).alias("type"), F.col(ref).cast("string").alias("ref"), searchable(rows, *fields).alias("text"))
+    return one(events, "event", "id", *EVENT_FIELDS).unionByName(one(locations, "location", "loc_id", *PLACE_FIELDS)).unionByName(one(words, "tag", "tag", "tag"))
+
+
+def _wanted(rows: DataFrame, term: str | None, *fields: str) -> DataFrame:
+    """All rows without a term at all; with an empty one those that match or are seen; else those whose text holds it."""
+    if term is None:
+        return rows
+    return rows.where(F.contains(searchable(rows, *fields), F.lit(term))) if term else rows.where("is_matching or is_visible")
+
+
+def search_locations(measured: DataFrame, matching: DataFrame, visible: DataFrame, chosen: dict[str, float], w: Weights, term: str | None = None) -> DataFrame:
+    """Adds is_matching, is_visible and score to places with a distance; matching and visible are sets of loc_id; the term is in search form."""
     m = matching.select("loc_id").distinct().withColumn("_m", F.lit(1))
     v = visible.select("loc_id").distinct().withColumn("_v", F.lit(1))
     rows = measured.join(m, "loc_id", "left").join(v, "loc_id", "left").withColumn("is_matching", F.col("_m").isNotNull()).withColumn("is_visible", F.col("_v").isNotNull())
     score = 1 + w.matching * F.col("is_matching").cast("int") + tag_score(F.col("tags"), chosen, w) + geo.proximity_bonus(F.coalesce("distance", F.lit(0.0)), w.proximity, w.reach_m) + w.visible * F.col("is_visible").cast("int")
-    return rows.withColumn("score", score).drop("_m", "_v")
+    return _wanted(rows.drop("_m", "_v"), term, *PLACE_FIELDS).withColumn("score", score)
 
 
-def search_events(events: DataFrame, measured: DataFrame, matching: DataFrame, visible: DataFrame, chosen: dict[str, float], at: Column, w: Weights) -> DataFrame:
+def search_events(events: DataFrame, measured: DataFrame, matching: DataFrame, visible: DataFrame, chosen: dict[str, float], at: Column, w: Weights, term: str | None = None) -> DataFrame:
     """Adds is_matching, is_visible and score to events; matching is a set of id, visible one of loc_id."""
     m = matching.select("id").distinct().withColumn("_m", F.lit(1))
     v = visible.select("loc_id").distinct().withColumn("_v", F.lit(1))
@@ -170,22 +193,96 @@ def search_events(events: DataFrame, measured: DataFrame, matching: DataFrame, v
         + temporal_bonus(F.col("occurrences"), at, w)
         + w.visible * F.col("is_visible").cast("int")
     )
-    return rows.withColumn("score", score).drop("_m", "_v", "_place")
+    return _wanted(rows.drop("_m", "_v"), term, *EVENT_FIELDS).withColumn("score", score).drop("_place")
 
 
-def search_tags(words: DataFrame, dynamic: DataFrame, visible: DataFrame, frequency: DataFrame, term: str, w: Weights) -> DataFrame:
-    """Scores of tags by the counts of matching, visible and all events."""
+def search_tags(words: DataFrame, dynamic: DataFrame, visible: DataFrame, frequency: DataFrame, term: str, w: Weights, geotags: tuple[str, ...] = ()) -> DataFrame:
+    """Scores of tags by the counts of matching, visible and all events; geotags (lower case) are shown only with a term."""
+    if not term:
+        words = words.where(~F.lower("tag").isin(*geotags)) if geotags else words
     rows = words.join(dynamic.withColumnRenamed("frequency", "_d"), "tag", "left").join(visible.withColumnRenamed("weight", "_v"), "tag", "left").join(frequency.withColumnRenamed("frequency", "_f"), "tag", "left")
     exact = F.lower("tag") == F.lit(term.lower())
     score = F.coalesce("_d", F.lit(0)) + w.exact * exact.cast("int") + F.when(F.col("_v").isNotNull(), w.tag * F.col("_v") + w.visible).otherwise(0.0) + w.frequency * F.coalesce("_f", F.lit(0))
     return rows.where(F.contains(F.lower("tag"), F.lit(term.lower()))).select("tag", F.col("_v").isNotNull().alias("is_visible"), score.alias("score"))
 
 
-def grouped_top(results: DataFrame, k: int = 100, term: str = "") -> DataFrame:
-    """The k best results of each type, visible and hidden ones apart; hidden ones only without a term."""
+def perform_search(events: DataFrame, measured: DataFrame, matching: DataFrame, visible: DataFrame, tags: DataFrame, chosen: dict[str, float], at: Column, w: Weights, term: str | None = None) -> DataFrame:
+    """(type, ref, is_visible, score) of places, events and tags; ``tags`` is what search_tags found for the same term."""
+    one = lambda rows, kind, ref: rows.select(F.lit(kind).alias("type"), F.col(ref).cast("string").alias("ref"), "is_visible", "score")
+    places = search_locations(measured, matching, visible, chosen, w, term)
+    found = search_events(events, measured, matching, visible, chosen, at, w, term)
+    return one(places, "location", "loc_id").unionByName(one(found, "event", "id")).unionByName(one(tags, "tag", "tag"))
+
+
+def grouped_top(results: DataFrame, k: int = 100, term: str = "", selected: str | None = None, states: TagStates | None = None) -> DataFrame:
+    """The k best results of each type, visible and hidden ones apart; hidden ones only without a term.
+
+    The selected place leads the visible places; tags that are selected, required or forbidden are no results.
+    """
     rows = results.withColumn("hidden", ~F.col("is_visible") & F.lit(term.strip() == ""))
-    rank = F.row_number().over(Window.partitionBy("type", "hidden").orderBy(F.desc("score"), "ref"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    if states and (set_ := states.selected + states.required + states.forbidden):
+        rows = rows.where((F.col("type") != "tag") | ~F.col("ref").isin(*set_))
+    ahead = (F.col("type") == "location") & ~F.col("hidden") & (F.col("ref") == F.lit(selected)) if selected is not None else F.lit(False)
+    rows = rows.withColumn("_ahead", ahead)
+    rank = F.row_number().over(Window.partitionBy("type", "hidden").orderBy(F.desc("_ahead"), F.desc("score"), "ref"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).drop("_ahead")
+
+
+def with_forced(shown: DataFrame, events: DataFrame, forced: int | None) -> DataFrame:
+    """The events shown at their places, and the forced one if it is not among them."""
+    if forced is None:
+        return shown
+    return shown.unionByName(events.where(F.col("id") == forced).join(shown.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
+def links(events: DataFrame, key: str, urls: str) -> DataFrame:
+    """(key, position, url): an event's web addresses, the first of each host; those whose host cannot be read all stay."""
+    rows = events.select(key, F.posexplode(urls).alias("position", "url")).where(text.is_web_url(F.col("url")))
+    host = text.host_of(F.col("url"))
+    rank = F.row_number().over(Window.partitionBy(key, host).orderBy("position"))
+    return rows.withColumn("_r", rank).where((F.col("_r") == 1) | (host == "")).drop("_r")
+
+
+def header_tags(locations: DataFrame, geotags: tuple[str, ...]) -> DataFrame:
+    """Places with the tags that their header shows: all but geotags."""
+    return locations.withColumn("tags", F.filter("tags", lambda t: ~F.array_contains(strings(geotags), F.lower(t))))
+
+
+def with_matches(locations: DataFrame, matching: DataFrame) -> DataFrame:
+    """Places where an event matches."""
+    return locations.join(matching.select("loc_id"), "loc_id", "left_semi")
+
+
+def select_tags(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(wanted, tag): each wanted tag as the vocabulary spells it, exactly or else in any case (the first in order)."""
+    exact = wanted.join(words, wanted["wanted"] == words["tag"], "left_semi").select("wanted", F.col("wanted").alias("tag"))
+    folded = words.groupBy(F.lower("tag").alias("_low")).agg(F.min("tag").alias("tag"))
+    rest = wanted.join(exact.select("wanted"), "wanted", "left_anti").withColumn("_low", F.lower("wanted"))
+    return exact.unionByName(rest.join(folded, "_low").select("wanted", "tag"))
+
+
+def first_markers(locations: DataFrame, limit: int = 1000) -> DataFrame:
+    """The places that get a marker, numbered in the order of their coordinates; (0, 0) is no place."""
+    at = locations.where("lat <> 0 or lng <> 0")
+    # the limit is the feature; it comes before the numbering, so the one window has no more rows
+    return at.orderBy("lat", "lng", "loc_id").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy("lat", "lng", "loc_id")))
+
+
+def marker_colour(emoji: Column, colours: dict[str, str], other: str = "#444") -> Column:
+    if not colours:
+        return F.lit(other)
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in colours.items() for x in pair)), emoji), F.lit(other))
+
+
+def envelope(corners: list[tuple[float, float]]) -> tuple[tuple[float, float], tuple[float, float]]:
+    """South-west and north-east corner of what a view shows."""
+    lats, lngs = zip(*corners, strict=True)
+    return (min(lats), min(lngs)), (max(lats), max(lngs))
+
+
+def last_by_id(events: DataFrame, order: str) -> DataFrame:
+    """One event for each id, the last in order."""
+    return events.groupBy("id").agg(F.max_by(F.struct(*[c for c in events.columns if c != "id"]), order).alias("e")).select("id", "e.*")
 
 
 def popup_rank(events: DataFrame, selected: tuple[str, ...], at: Column, forced: int | None = None) -> DataFrame:

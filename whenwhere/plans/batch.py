@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags, text, when
 from ..operators import listing as L
+from ..sources import files
 
 #: Box glyphs that are no use as an emoji.
 BLOCKED_EMOJI = ["⬜", "□", "◻", "⬛", "■", "▪", "▫", "◼", "◾", "◽", "◿", "▢", "▣", "▤", "▥", "▦", "▧", "▨", "▩"]
@@ -19,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share, or a fresh temporary one where none is set (local runs)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-stages-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -60,11 +64,53 @@ def grouped_events(rows: DataFrame, file: str, order: str) -> DataFrame:
     return out.select(file, "key_at", F.col("best.name").alias("name"), text.short_name(F.col("best.name")).alias("short_name"), "f.*", urls.alias("urls"), F.array_distinct(F.transform("whens", lambda x: x["o"])).alias("occurrences"))
 
 
-def export(events: DataFrame, as_of: Column) -> DataFrame:
-    """Placed events with an occurrence in the next 90 days, duplicates merged; adds first_start."""
-    near = F.exists("occurrences", lambda o: when.within_reach(o["start_date"], o["end_date"], as_of, longest=100_000))
-    good = events.where(F.col("lat").isNotNull() & F.col("lng").isNotNull() & near).withColumn("pos", F.xxhash64("file", "key_at"))
+def in_order(events: DataFrame) -> DataFrame:
+    """Adds pos: the files by name, then a file's events in order. Files are numbered in a table of one row a file."""
+    files_ = events.select("file").distinct().withColumn("_n", F.row_number().over(Window.orderBy("file")).cast("long"))
+    return events.join(files_, "file").withColumn("pos", F.shiftleft("_n", 32) + F.col("key_at")).drop("_n")
+
+
+def export(events: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
+    """Named, placed events (pos, name, description, lat, lng, urls, occurrences) with an occurrence in the next ``days``, duplicates merged; adds first_start.
+
+    The kept event gets the urls of all that were merged into it, in order, each once.
+    """
+    near = F.exists("occurrences", lambda o: when.within_reach(o["start_date"], o["end_date"], as_of, ahead=days, longest=100_000))
+    good = events.where(F.col("lat").isNotNull() & F.col("lng").isNotNull() & F.col("name").isNotNull() & (F.size("occurrences") > 0) & near)
     kept = L.dedup_fuzzy(good)
-    urls = good.join(kept, "pos").groupBy("kept_pos").agg(F.array_distinct(F.flatten(F.collect_list("urls"))).alias("all_urls"))
-    merged = good.join(urls, F.col("pos") == F.col("kept_pos")).drop("kept_pos", "urls").withColumnRenamed("all_urls", "urls")
-    return merged.withColumn("first_start", when.strict_date(F.get("occurrences", F.lit(0))["start_date"]))
+    every = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "urls"))), lambda x: F.coalesce(x["urls"], F.array().cast("array<string>"))))
+    urls = good.select("pos", "urls").join(kept, "pos").groupBy(F.col("kept_pos").alias("pos")).agg(F.array_distinct(F.filter(every, lambda u: F.coalesce(u, F.lit("")) != "")).alias("urls"))
+    return good.drop("urls").join(urls, "pos").withColumn("first_start", when.strict_date(F.get("occurrences", F.lit(0))["start_date"]))
+
+
+def run_stages(stages: list[tuple[str, Callable[[], None]]]) -> list[str]:
+    """Runs named stages in order and returns the names of those done; a failure stops the run and says where."""
+    done: list[str] = []
+    for name, stage in stages:
+        try:
+            stage()
+        except Exception as e:
+            raise RuntimeError(f"stage {name} failed after {', '.join(done) or 'none'}") from e
+        done.append(name)
+    return done
+
+
+def run(pages: DataFrame, locations: DataFrame, rules: tags.TagRules, as_of: Column, root: str, site: str | None = None) -> list[str]:
+    """Pages (file, extra_tags, body and, if named, a site) to the four parts of the export under ``root``."""
+    held: dict[str, DataFrame] = {}
+
+    def process() -> None:
+        rows = listing_rows(pages, rules, as_of)
+        held["rows"] = staged(rows.withColumn("row_id", F.xxhash64("file", "row_no")), "rows")
+
+    def place() -> None:
+        held["placed"] = staged(placed_rows(held["rows"], locations, "row_id", site), "placed")
+
+    def group() -> None:
+        held["events"] = staged(grouped_events(held["placed"], "file", "row_no"), "events")
+
+    def write() -> None:
+        events = staged(export(in_order(held["events"]), as_of), "export")
+        files.write_export(L.split_export(events, locations, as_of), root)
+
+    return run_stages([("process", process), ("place", place), ("group", group), ("export", write)])

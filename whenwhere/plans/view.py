@@ -40,12 +40,17 @@ def first_places(locations: DataFrame, order: str) -> DataFrame:
     return locations.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
+def in_geotags(events: DataFrame, locations: DataFrame, geotags: tuple[str, ...]) -> DataFrame:
+    """Events at places with one of the geotags, in any case."""
+    near = locations.where(F.arrays_overlap(F.transform("tags", F.lower), strings([g.lower() for g in geotags])))
+    return events.join(near.select("loc_id"), "loc_id", "left_semi")
+
+
 def apply_filters(events: DataFrame, locations: DataFrame, states: V.TagStates, start: Column, end: Column, corners: list[tuple[float, float]] | None = None, geotags: tuple[str, ...] = ()) -> DataFrame:
     """Dates, then places' tags, then tags, then viewport."""
     rows = V.in_dates(events, start, end)
     if geotags:
-        near = locations.where(F.arrays_overlap(F.transform("tags", F.lower), strings([g.lower() for g in geotags])))
-        rows = rows.join(near.select("loc_id"), "loc_id", "left_semi")
+        rows = in_geotags(rows, locations, geotags)
     rows = V.by_tags(rows, locations, states)
     return V.in_view(rows, locations, corners) if corners else rows
 

@@ -83,10 +83,9 @@ def q_list_filter(spark, d):
 
 @query("select id from evl where list_has_any(list_transform(place, lambda x: lower(x)), ['asia', 'france'])")
 def q_geotag_filter(spark, d):
-    from ..functions.tags import strings
+    from .view import in_geotags
 
-    loc = M.locations(spark, d).where(F.arrays_overlap(F.transform("tags", F.lower), strings(["asia", "france"]))).select("loc_id")
-    return M.events(spark, d).join(loc, "loc_id", "left_semi").select("id")
+    return in_geotags(M.events(spark, d), M.locations(spark, d), ("Asia", "FRANCE")).select("id")
 
 
 def _first_start(spark, d):
@@ -106,22 +105,22 @@ init as (select * from firsts where loc_id in (select loc_id from box) and f < d
 r5 as (select loc_id, round(lat, 5) as a, round(lng, 5) as b from loc), li as (select distinct a, b from r5 where loc_id in (select loc_id from init)), lr as (select distinct a, b from r5 where loc_id in (select loc_id from rest))"""
 
 
-@query("select * from (select id, loc_id from init_) x")
+@query()
 def q_bbox_split_init(spark, d):
     return _split(spark, d)[0].select("id", "loc_id")
 
 
-@query("select 1")
+@query()
 def q_bbox_split_full(spark, d):
     return _split(spark, d)[1].select("id", "loc_id")
 
 
-@query("select 1")
+@query()
 def q_locations_active(spark, d):
     return _split(spark, d)[2].select("loc_id")
 
 
-@query("select 1")
+@query()
 def q_locations_full_only(spark, d):
     return _split(spark, d)[3].select("loc_id")
 
@@ -152,7 +151,7 @@ def q_tag_frequency(spark, d):
 VOC = "voc as (select distinct tag from (select unnest(tags) as tag from ev union all select unnest(tags) from loc))"
 
 
-@query("select 1")
+@query()
 def q_dynamic_frequency(spark, d):
     ev, loc = M.events(spark, d), M.locations(spark, d)
     return V.dynamic_frequency(_windowed(spark, d), V.vocabulary(ev, loc))
@@ -206,7 +205,7 @@ st as (select tag, vf.w is not null as is_visible, coalesce(dy.n, 0) + (case whe
 _search = lambda sql: f"with {M.SQL.strip()},\n{MATCH}\n{sql}"
 
 
-@query("select 1")
+@query()
 def q_search_locations(spark, d):
     loc, matching, visible = _sets(spark, d)
     return V.search_locations(loc, matching, visible, CHOSEN, W).select("loc_id", "is_matching", "is_visible", F.round("score", 6).alias("score"))
@@ -215,7 +214,7 @@ def q_search_locations(spark, d):
 ORACLE["q_search_locations"] = _search("select loc_id, is_matching, is_visible, round(score, 6) as score from sl")
 
 
-@query("select 1")
+@query()
 def q_search_events(spark, d):
     loc, matching, visible = _sets(spark, d)
     rows = V.search_events(M.events(spark, d), loc, matching, visible, CHOSEN, M.moment(M.START), W)
@@ -233,26 +232,22 @@ def _tag_results(spark, d, term):
     return V.search_tags(words, V.dynamic_frequency(matching, words), facets, V.tag_frequency(ev, loc), term, W)
 
 
-@query("select 1")
+@query()
 def q_search_tags(spark, d):
-    return _tag_results(spark, d, "a").select("tag", "is_visible", F.round("score", 6).alias("score"))
+    return _tag_results(spark, d, "Asia").select("tag", "is_visible", F.round("score", 6).alias("score"))
 
 
-ORACLE["q_search_tags"] = _search("select tag, is_visible, round(score - (case when lower(tag) = 'asia' then 1000.0::double else 0 end), 6) as score from st where contains(lower(tag), 'a')")
+ORACLE["q_search_tags"] = _search("select tag, is_visible, round(score, 6) as score from st where contains(lower(tag), 'asia')")
 
 
-def results(spark, d):
+def results(spark, d, term=None):
     """All three kinds of result in one table: type, ref, is_visible, score."""
     loc, matching, visible = _sets(spark, d)
-    places = V.search_locations(loc, matching, visible, CHOSEN, W).select(F.lit("location").alias("type"), F.col("loc_id").cast("string").alias("ref"), "is_visible", "score")
-    found = V.search_events(M.events(spark, d), loc, matching, visible, CHOSEN, M.moment(M.START), W)
-    found = found.select(F.lit("event").alias("type"), F.col("id").cast("string").alias("ref"), "is_visible", "score")
-    words = _tag_results(spark, d, "").select(F.lit("tag").alias("type"), F.col("tag").alias("ref"), "is_visible", "score")
-    rounded = places.unionByName(found).unionByName(words)
-    return rounded.withColumn("score", F.round("score", 6))
+    tags = _tag_results(spark, d, term or "")
+    return V.perform_search(M.events(spark, d), loc, matching, visible, tags, CHOSEN, M.moment(M.START), W, term).withColumn("score", F.round("score", 6))
 
 
-@query("select 1")
+@query()
 def q_grouped_topk(spark, d):
     return V.grouped_top(results(spark, d), 100).select("type", "ref", "hidden", "rank", "score")
 
@@ -263,20 +258,20 @@ ORACLE["q_grouped_topk"] = _search("""select type, ref, hidden, cast(rank as int
   union all select tag_t, tag, not is_visible, round(score - (case when lower(tag) = 'asia' then 1000.0::double else 0 end), 6) from (select 'tag' as tag_t, * from st))) where rank <= 100""")
 
 
-@query("select 1")
+@query()
 def q_popup_rank(spark, d):
     _, matching, _ = _sets(spark, d)
     m = matching.select("id").withColumn("_m", F.lit(1))
     rows = M.events(spark, d).join(m, "id", "left").withColumn("is_matching", F.col("_m").isNotNull())
-    return V.popup_rank(rows, ("URGENT", "O"), M.moment(M.START)).where("place <= 10").select("loc_id", "id", F.col("place").cast("long").alias("place"), "is_open")
+    return V.popup_rank(rows, ("URGENT", "O"), M.moment(M.START)).select("loc_id", "id", F.col("place").cast("long").alias("place"), "is_open")
 
 
 ORACLE["q_popup_rank"] = _search(f"""select loc_id, id, place, is_matching or n_here < 4 or place = 1 as is_open from (select *, row_number() over (partition by loc_id order by is_matching desc, chosen desc, gap, id) as place, count(*) over (partition by loc_id) as n_here from (
   select ev.loc_id, ev.id, ev.id in (select id from mat) as is_matching, len(list_intersect(ev.tags, ['URGENT', 'O'])) as chosen, g.gap from ev join
-  (select id, min(case when s <= timestamp '{M.START}' and e >= timestamp '{M.START}' then 0.0::double else abs(epoch_us(s) - epoch_us(timestamp '{M.START}'))::double end) as gap from occ group by 1) g using (id))) where place <= 10""")
+  (select id, min(case when s <= timestamp '{M.START}' and e >= timestamp '{M.START}' then 0.0::double else abs(epoch_us(s) - epoch_us(timestamp '{M.START}'))::double end) as gap from occ group by 1) g using (id)))""")
 
 
-@query("select 1")
+@query()
 def q_related_expand(spark, d):
     edges = spark.createDataFrame(EDGES, "tag string, related string, weight double")
     words = V.vocabulary(M.events(spark, d), M.locations(spark, d))
@@ -295,12 +290,7 @@ def q_append_union(spark, d):
 
 @query("select loc_id, rank from (select loc_id, cast(row_number() over (order by lat, lng, loc_id) as int) as rank from loc where loc_id in (select loc_id from evw)) where rank <= 1000")
 def q_marker_limit(spark, d):
-    from pyspark.sql import Window
-
-    at = M.locations(spark, d).join(_windowed(spark, d).select("loc_id"), "loc_id", "left_semi").where("lat <> 0 or lng <> 0")
-    # the limit is the feature; it comes before the numbering, so the one window has a thousand rows at most
-    first = at.orderBy("lat", "lng", "loc_id").limit(1000)
-    return first.select("loc_id", F.row_number().over(Window.orderBy("lat", "lng", "loc_id")).alias("rank"))
+    return V.first_markers(V.with_matches(M.locations(spark, d), _windowed(spark, d))).select("loc_id", "rank")
 
 
 @query(f"select id, loc_id from evl where id in (select id from win) and list_has_any(list_transform(place, lambda x: lower(x)), ['asia', 'europe']) and list_has_any(both_tags, ['URGENT', 'ASIA']) and not list_contains(tags, 'F')")
@@ -339,6 +329,61 @@ def q_parsed_occurrences(spark, d):
     return rows.select("id", F.size("o").cast("long").alias("n"), F.unix_micros(F.get("o", F.lit(0))["start"]).alias("first_us"))
 
 
+_text = lambda *c: f"lower(strip_accents(array_to_string(list_filter([{', '.join(c)}], lambda x: x <> ''), ' ')))"
+INDEX = f"""ie as (select id, {_text("name")} as text from ev),
+il as (select loc_id, {_text("name", "short_name", "tags[1]", "tags[2]")} as text from loc)"""
+
+
+@query()
+def q_search_index(spark, d):
+    ev, loc = M.events(spark, d), M.locations(spark, d)
+    return V.search_index(ev, loc, V.vocabulary(ev, loc)).select("type", "ref", F.md5("text").alias("text_md5"))
+
+
+ORACLE["q_search_index"] = f"with {M.SQL.strip()},\n{VOC},\n{INDEX}\nselect 'event' as type, id::varchar as ref, md5(text) as text_md5 from ie union all select 'location', loc_id::varchar, md5(text) from il union all select 'tag', tag, md5(lower(tag)) from voc"
+
+
+@query()
+def q_perform_search(spark, d):
+    """A term that names, tags and places hold: an accent and capitals go in search form."""
+    from ..functions import text
+
+    term = spark.range(1).select(text.search_form(F.lit("ÍnDI")).alias("t")).first()["t"]
+    return results(spark, d, term)
+
+
+ORACLE["q_perform_search"] = _search(f"""select 'location' as type, loc_id::varchar as ref, is_visible, round(score, 6) as score from sl where loc_id in (select loc_id from il where contains(text, 'indi'))
+  union all select 'event', id::varchar, is_visible, round(score, 6) from se where id in (select id from ie where contains(text, 'indi'))
+  union all select 'tag', tag, is_visible, round(score - (case when lower(tag) = 'asia' then 1000.0::double else 0 end), 6) from st where contains(lower(tag), 'indi')""").replace(VOC, f"{INDEX},\n{VOC}")
+
+
+@query()
+def q_search_results(spark, d):
+    """Without a term: what matches or is seen, the selected place first, no tags that are chosen already."""
+    return V.grouped_top(results(spark, d, ""), 50, "", selected="37", states=MIXED).select("type", "ref", "hidden", "rank", "score")
+
+
+ORACLE["q_search_results"] = _search("""select type, ref, hidden, cast(rank as int) as rank, score from (select *, row_number() over (partition by type, hidden order by (type = 'location' and not hidden and ref = '37') desc, score desc, ref) as rank from (
+  select 'location' as type, loc_id::varchar as ref, not is_visible as hidden, round(score, 6) as score from sl where is_visible or is_matching
+  union all select 'event', id::varchar, not is_visible, round(score, 6) from se where is_visible or is_matching
+  union all select 'tag', tag, not is_visible, round(score - (case when lower(tag) = 'asia' then 1000.0::double else 0 end), 6) from st where tag not in ('O', 'HIGH', 'EUROPE'))) where rank <= 50""")
+
+
+@query("select loc_id, list_filter(tags, lambda t: lower(t) not in ('asia', 'france')) as tags from (select loc_id, tags from loc where loc_id in (select loc_id from evw))")
+def q_header_tags(spark, d):
+    return V.header_tags(V.with_matches(M.locations(spark, d), _windowed(spark, d)), ("asia", "france")).select("loc_id", "tags")
+
+
+@query()
+def q_select_tags(spark, d):
+    ev, loc = M.events(spark, d), M.locations(spark, d)
+    wanted = M.table(spark, d, "nation").select(F.explode(F.array("n_name", F.initcap("n_name"), F.concat("n_name", F.lit("x")))).alias("wanted"))
+    return V.select_tags(V.vocabulary(ev, loc), wanted)
+
+
+ORACLE["q_select_tags"] = f"with {M.SQL.strip()},\n{VOC}, w as (select n_name as wanted, n_name as tag from nation union all select array_to_string(list_transform(string_split(n_name, ' '), lambda x: x[1] || lower(x[2:])), ' '), n_name from nation)\nselect wanted, tag from w where tag in (select tag from voc)"
+
+
 def q_flagship(spark, d):
     """The view's answer: visible or matching events of the window with their places, best first."""
     loc, matching, visible = _sets(spark, d)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import TagRules
@@ -45,19 +45,51 @@ def read_websites(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WEBSITE).option("multiLine", True).json(path)
 
 
+def _small_json(spark: SparkSession, path: str) -> dict:
+    """A settings file; empty if it is missing or no JSON object. Other failures of the store are raised."""
+    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(source):
+        return {}
+    try:
+        spec = json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    except ValueError:
+        return {}
+    return spec if isinstance(spec, dict) else {}
+
+
 def read_tag_rules(spark: SparkSession, path: str) -> TagRules:
     """Rules of a JSON file; none if it is missing or broken."""
-    try:
-        text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-        spec = json.loads(text)
-    except Exception:
-        return TagRules()
+    spec = _small_json(spark, path)
     return TagRules(spec.get("rewrite", {}), tuple(spec.get("exclude", ())), tuple(spec.get("remove", ())))
 
 
-def site_tags(websites: DataFrame) -> DataFrame:
-    """(url_key, extra_tags): normal addresses of sites with tags of their own; the last site wins."""
-    rows = websites.where(F.size("extra_tags") > 0).select("extra_tags", F.monotonically_increasing_id().alias("pos"), F.explode("urls").alias("url"))
+def read_tag_display(spark: SparkSession, path: str) -> tuple[tuple[str, ...], dict[str, str]]:
+    """Geotags in lower case, and colours by emoji or tag."""
+    spec = _small_json(spark, path)
+    return tuple(t.lower() for t in spec.get("geotags", ())), dict(spec.get("bgcolors", {}))
+
+
+def read_related(spark: SparkSession, path: str) -> DataFrame:
+    """(tag, related, weight) of a file that maps tags to lists of [tag, weight]; empty if it is missing or broken."""
+    rows = [(tag, other, float(weight)) for tag, near in _small_json(spark, path).items() for other, weight in near]
+    return spark.createDataFrame(rows, "tag string, related string, weight double")
+
+
+def site_name(path, title: bool = False):
+    """A page's site as its file is called: blanks for underscores, in lower case or as a title."""
+    name = F.replace(F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1), F.lit("_"), F.lit(" "))
+    return F.initcap(name) if title else F.lower(name)
+
+
+def with_source_urls(extracted: DataFrame, pages: DataFrame) -> DataFrame:
+    """Extracted tables (crawl_date, site) with the address of the page they come from, null where none was landed."""
+    return extracted.join(pages.select("crawl_date", "site", "source_url"), ["crawl_date", "site"], "left")
+
+
+def site_tags(websites: DataFrame, order: str | None = None) -> DataFrame:
+    """(url_key, extra_tags): normal addresses of sites with tags of their own; the last site (by ``order``, else by name) wins."""
+    pos = F.col(order or ("name" if "name" in websites.columns else "extra_tags"))
+    rows = websites.where(F.size("extra_tags") > 0).select("extra_tags", pos.alias("pos"), F.explode("urls").alias("url"))
     return rows.groupBy(url_key(F.col("url")).alias("url_key")).agg(F.max_by("extra_tags", "pos").alias("extra_tags"))
 
 
@@ -65,10 +97,11 @@ def url_key(url):
     return F.lower(F.regexp_replace(url, "/+$", ""))
 
 
-def follow_keywords(links: DataFrame, url: str, keywords: str, max_pages: int = 30) -> DataFrame:
-    """Links that hold one of a site's comma-separated keywords, at most ``max_pages``."""
+def follow_keywords(links: DataFrame, site: str, url: str, keywords: str, max_pages: int = 30) -> DataFrame:
+    """Links that hold one of their site's comma-separated keywords, at most ``max_pages`` a site (the first by address)."""
     words = F.split(F.col(keywords), ",")
-    return links.where(F.exists(words, lambda k: (F.trim(k) != "") & F.contains(F.col(url), F.trim(k)))).limit(max_pages)
+    hit = links.where(F.exists(words, lambda k: (F.trim(k) != "") & F.contains(F.col(url), F.trim(k))))
+    return hit.withColumn("_r", F.row_number().over(Window.partitionBy(site).orderBy(url))).where(F.col("_r") <= max_pages).drop("_r")
 
 
 def write_events(events: DataFrame, root: str) -> None:
