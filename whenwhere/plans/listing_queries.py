@@ -347,7 +347,7 @@ def q_emphasise(spark, d):
     return M.table(spark, d, "documents").select("doc_id", F.md5(text.emphasise(F.col("text"))).alias("text_md5"))
 
 
-EXPORT = f"""e as (select p_partkey as pos, p_brand as name, p_type as description, 40.7 + (p_partkey % 9) * 0.01 as lat, -74.0 + (p_partkey % 5) * 0.01 as lng, ['u' || (p_partkey % 4), 'u' || (p_partkey % 3), ''] as urls,
+EXPORT = f"""e as (select p_partkey as pos, p_brand || ' end' as name, p_type as description, 40.7 + (p_partkey % 9) * 0.01 as lat, -74.0 + (p_partkey % 5) * 0.01 as lng, ['u' || (p_partkey % 4), 'u' || (p_partkey % 3), ''] as urls,
   (date '{M.AS_OF}' + (p_size % 60 - 20)::int) as day from part),
 g as (select lat::double as lat, lng::double as lng, day, name, arg_min(pos, (-length(description), pos)) as pos from e where day >= date '{M.AS_OF}' and day <= date '{M.AS_OF}' + 90 group by 1, 2, 3, 4),
 eu as (select *, unnest(urls) as u, generate_subscripts(urls, 1) as i from e),
@@ -362,7 +362,7 @@ def _export(spark, d):
     day = F.date_add(F.lit(M.AS_OF).cast("date"), F.col("p_size") % 60 - 20).cast("string")
     occ = F.array(F.struct(day.alias("start_date"), F.lit("").alias("start_time"), F.lit("").alias("end_date"), F.lit("").alias("end_time")))
     url = lambda n: F.concat(F.lit("u"), k % n)
-    rows = p.select(k.alias("pos"), F.col("p_brand").alias("name"), F.col("p_type").alias("description"), (40.7 + (k % 9) * 0.01).alias("lat"), (-74.0 + (k % 5) * 0.01).alias("lng"), F.array(url(4), url(3), F.lit("")).alias("urls"), occ.alias("occurrences"))
+    rows = p.select(k.alias("pos"), F.concat("p_brand", F.lit(" end")).alias("name"), F.col("p_type").alias("description"), (40.7 + (k % 9) * 0.01).alias("lat"), (-74.0 + (k % 5) * 0.01).alias("lng"), F.array(url(4), url(3), F.lit("")).alias("urls"), occ.alias("occurrences"))
     rows = rows.withColumns({"lat": F.round("lat", 2), "lng": F.round("lng", 2)})
     as_of = F.lit(M.AS_OF).cast("date")
     return L.split_export(batch.staged(batch.export(rows, as_of), "export"), rows.select("lat", "lng").distinct(), as_of)
