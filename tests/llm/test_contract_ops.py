@@ -251,9 +251,10 @@ def test_cuts_are_the_best_ones():
         assert total == f[-1]
 
 
-def test_op7(spark, rows):
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_op7(spark, rows, keep_first):
     odd = [*rows, *((100 + i, "same line here 2024\n" + " ".join(f"u{i}x{j}" for j in range(60)), "h") for i in range(12)), (120, "same  LINE here 1999\n" * 3 + "tail", "h"), (121, "#a #b $ <|> word\nword\n\nword", None)]
-    got = quality.apply_rules(table(spark, odd), min_docs=4, share=0.1, keep=("text", "lang")).collect()
+    got = quality.apply_rules(table(spark, odd), min_docs=4, share=0.1, keep_first=keep_first, keep=("text", "lang")).collect()
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", x.lower()))
     hosts, lines, firsts = Counter(), defaultdict(set), {}
     for i, t, s in odd:
@@ -269,7 +270,7 @@ def test_op7(spark, rows):
         tri = Counter(zip(w, w[1:], w[2:], strict=False))
         rep = {j + k for j, z in enumerate(zip(w, w[1:], w[2:], strict=False)) if tri[z] > 1 for k in range(3)}
         ls = [z for z in x.split("\n") if WORD.search(z)]
-        bad = lambda z: bool(WORD.search(z)) and len(lines[s, norm(z)]) > max(4, 0.1 * hosts[s]) and (i is None or firsts[s, norm(z)] != i)  # noqa: E731, B023
+        bad = lambda z: bool(WORD.search(z)) and len(lines[s, norm(z)]) > max(4, 0.1 * hosts[s]) and (not keep_first or i is None or firsts[s, norm(z)] != i)  # noqa: E731, B023
         gone = sum(len(WORD.findall(z)) for z in ls if bad(z))
         failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
         kept_text = None if t is None else "\n".join(z for z in x.split("\n") if not bad(z))

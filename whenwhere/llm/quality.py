@@ -1,9 +1,9 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Base rules look at one document. The method counts, for each host, the distinct documents that hold a line (hashed after
-lower-casing, turning digits into 0 and squeezing white space), drops lines above the host's limit from all but the first
-document (least id) that holds them, and rejects documents that keep too little. Documents with equal texts are one
-document for these counts. A line's limit is ``max(min_docs, share * documents of the host)``: it grows with the host and
+lower-casing, turning digits into 0 and squeezing white space), drops lines above the host's limit, and rejects documents
+that keep too little. With ``keep_first`` a line stays in its first document (least id), for corpora whose near copies are
+still to be deduplicated. Documents with equal texts are one document for these counts. A line's limit is ``max(min_docs, share * documents of the host)``: it grows with the host and
 means the same at any size.
 
 Lines are exploded for the counts, with partial sums before the shuffles; only lines above ``min_docs`` come back to the
@@ -11,7 +11,7 @@ documents. Texts are shuffled only if they are asked for.
 
 Defined results: a null text has no words: its counts are 0 and it fails the base rules. A null host is a host of its
 own. Blank lines are never counted. Rows with a null or repeated doc_id are judged each by its own text; a null id is never
-the first. An empty table gives no rows. Columns that clash with a result's name are replaced by the result.
+a line's first document. An empty table gives no rows. Columns that clash with a result's name are replaced by the result.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def frequent_lines(docs: DataFrame, min_docs: int) -> DataFrame:
     return once.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("own").alias("first_id")).where(F.col("n_docs") > min_docs)
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, least_kept: float = LEAST_KEPT, keep: tuple[str, ...] = ()) -> DataFrame:
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, least_kept: float = LEAST_KEPT, keep_first: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, the base counts, base_failed, n_frequent_words (in dropped lines), kept.
 
     ``keep`` names columns of the input to return too; with the text among them, kept_text (the text without the dropped lines) comes in its place.
@@ -98,7 +98,9 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
     frequent = frequent_lines(keyed.select("own", "ver", "keys"), min_docs)
     seen = keyed.select("own", "ver", "host", F.explode(F.array_distinct(F.transform("keys", lambda x: x["key"]))).alias("key")).join(frequent, "key")
-    seen = seen.where("own is null or own <> first_id").groupBy("own", "ver", "host").agg(F.collect_set(F.struct("key", "n_docs")).alias("seen"))
+    if keep_first:
+        seen = seen.where("own is null or own <> first_id")
+    seen = seen.groupBy("own", "ver", "host").agg(F.collect_set(F.struct("key", "n_docs")).alias("seen"))
     counted = base_counts(keyed, "_text")
     lines = F.col("keys") if with_text else F.transform("keys", lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n")))
     counted = counted.withColumn("keys", lines).withColumn("_null", F.col("_text").isNull()).drop("_text")
@@ -135,9 +137,9 @@ ln as (select doc_id, host, text, line, pos, regexp_replace(regexp_replace(lower
   where regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup as (select doc_id, count(*) - count(distinct line) as n from ln group by 1),
 hosts as (select host, count(*) as host_docs from d group by 1),
-freq as (select host, norm, count(distinct text) as n_docs, min(doc_id) as first_id from ln group by 1, 2),
+freq as (select host, norm, count(distinct text) as n_docs from ln group by 1, 2),
 gone as (select l.doc_id, sum(l.n) as n from ln l join freq f on l.host = f.host and l.norm = f.norm join hosts h on l.host = h.host
-  where l.doc_id <> f.first_id and f.n_docs > greatest({float(MIN_DOCS)}, {SHARE} * h.host_docs) group by 1),
+  where f.n_docs > greatest({float(MIN_DOCS)}, {SHARE} * h.host_docs) group by 1),
 b as (select d.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
     cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
     cast(coalesce(dup.n, 0) as bigint) as n_dup_lines, cast(coalesce(rep.n, 0) as bigint) as n_repeat_words,
