@@ -26,8 +26,11 @@ def _columns(rows: DataFrame, text: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that are too frequent in their host."""
-    judged = quality.apply_rules(docs, keep=("text", "lang", "source"))
+    """Documents that pass the rules, without the lines that are too frequent in their host.
+
+    A line stays in its first document: a large group of near copies must leave one to the next stage.
+    """
+    judged = quality.apply_rules(docs, keep_first=True, keep=("text", "lang", "source"))
     return _columns(judged.where("kept"), "kept_text")
 
 
