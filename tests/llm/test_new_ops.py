@@ -155,3 +155,116 @@ def test_op12_checkpoints_and_moves_only_what_changes(spark, monkeypatch):
     members = [((0, 0, 5), np.array([[1], [9], [2]]))]
     assert [(k, b.ravel().tolist()) for k, b in vector_codes._split(books, True)(iter(members))] == [((0, 0, 5), [1, 2])]
     assert [(k, b.ravel().tolist()) for k, b in vector_codes._split(books, False)(iter(members))] == [((0, 1, 5), [9])]
+
+
+# alignment of tokenizers
+
+
+def brute_alignment(texts):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    names = {i: t for t, i in a.get_vocab().items()}
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {chr(x): x for x in keep} | {chr(256 + n): x for n, x in enumerate(x for x in range(256) if x not in keep)}
+    docs, count = [], Counter()
+    for t in texts:
+        xs, ys, whole = [], [], (" " + (t or "")).encode()
+        if t:
+            xs = [(i, bytes(letter[c] for c in names[i])) for i in a.encode(" " + t, add_special_tokens=False).ids]
+            ys = [(i, bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()) for i in b.encode(t) for p in [b.id_to_piece(i)]]
+            if b"".join(x for _, x in xs) != whole or b"".join(y for _, y in ys) != whole:
+                xs, ys = [], []
+        ends = []
+        for tokens in (xs, ys):
+            at, found = 0, {}
+            for n, (_, x) in enumerate(tokens):
+                at += len(x)
+                found[at] = n
+            ends.append(found)
+        common = sorted(set(ends[0]) & set(ends[1]))
+        links = [(xs[ends[0][e]][0], ys[ends[1][e]][0]) for e in common]
+        count.update(links)
+        groups, i, j = [], 0, 0
+        for e in common:
+            p, q = ends[0][e] + 1, ends[1][e] + 1
+            groups.append(",".join(str(x) for x, _ in xs[i:p]) + "|" + ",".join(str(y) for y, _ in ys[j:q]))
+            i, j = p, q
+        docs.append((len(xs), len(ys), links, ";".join(groups)))
+    top = Counter()
+    for (_, y), n in count.items():
+        top[y] = max(top[y], n)
+    return [(x, y, len(links), len(links), sum(count[k] == top[k[1]] for k in links), sum(count[k] for k in links), hashlib.sha256(g.encode()).hexdigest() if x else "") for x, y, links, g in docs]
+
+
+def odd_texts():
+    rng = random.Random(8)
+    words = ["the", "Häuser", "naïve", "don't", "we'll", "x=1;", "日本語", "🙂🏽", "Москва", "1234567", "<|endoftext|>", "<s>", "</s>", "<0x41>", "<unk>", "é", "ﬁ", " ", " x", "a​b", "—", "…", "I'M", "''s"]
+    gaps = [" ", " ", " ", "  ", "\n", "\n\n", " \n ", "\t", "\r\n", "　", "   ", "\x0b", "\x1c", "\x85"]
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    texts += ["".join(rng.choice(gaps) + rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    texts += [None, "", " ", "  ", "\n", "\n ", " \n", "a\n", "a ", " a", "a▁b", "▁", "x ▁ y", "\x00", "a\x00b", "the same text", "the same text", "word " * 20_000, "x" * 3000, "ab\n" * 3000]
+    return texts
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_op11(spark, monkeypatch, small):
+    from whenwhere.llm import alignment
+
+    texts = odd_texts()
+    table = spark.createDataFrame([(n if n % 50 else None, t, str(n), "", "", "clash") for n, t in enumerate(texts)], SCHEMA).repartition(5)
+    if small:  # trees of more levels; the workers' own bounds are looked at below
+        monkeypatch.setattr(alignment, "FAN", 2)
+    got = alignment.align(table, keep=("lang", "_text")).collect()
+    want = brute_alignment(texts)
+    assert len(got) == len(texts)
+    for r in got:
+        assert tuple(r[c] for c in alignment.RESULTS[1:]) == want[int(r["lang"])], texts[int(r["lang"])]
+    assert {r["_text"] for r in got} == {"clash"}
+
+
+def test_op11_whole_texts_and_forgetting_give_the_same(spark, monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from whenwhere.llm import alignment
+
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    aligner = alignment.Aligner(*paths, True)
+    assert aligner.cut
+    for cut in (True, False):
+        aligner.forget()
+        for text, (n_a, n_b, n, _, _, _, sha) in zip(odd_texts(), brute_alignment(odd_texts()), strict=True):
+            codes, names, ends = alignment.units(pa.array([text], pa.string()), cut)
+            at = aligner.look_up(names)[0][codes]
+            if text and aligner.ok[at].all():
+                assert (aligner.n_a[at].sum(), aligner.n_b[at].sum(), aligner.size[at].sum()) == (n_a, n_b, n)
+                assert hashlib.sha256(";".join(aligner.text[u] for u in at).encode()).hexdigest() == sha
+            else:
+                assert n_a == 0 == len(sha)
+
+
+def test_perfect_hash_is_minimal_and_verified():
+    import numpy as np
+
+    from whenwhere.llm import alignment
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 63, 5000, 200_000):
+        keys = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        built = alignment.PerfectHash.build(keys)
+        assert (np.sort(built.index(keys)) == np.arange(len(keys))).all()
+        assert (built.index(np.setdiff1d(rng.integers(0, 2**63, 1000, dtype=np.uint64), keys)) == -1).all()
+        assert len(built.words) * 64 < 7 * max(n, 100)
+
+
+def test_op11_empty_table(spark):
+    from whenwhere.llm import alignment
+
+    table = spark.createDataFrame([(1, None, "", "", "", ""), (2, "", "", "", "", "")], SCHEMA)
+    assert alignment.align(table.limit(0)).count() == 0
+    assert {tuple(r)[1:] for r in alignment.align(table).collect()} == {(0, 0, 0, 0, 0, 0, "")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontamination, masked_lm, packing, pii, probminhash, quality, substring_dedup, suffix_dedup, token_files, vector_codes
+from . import alignment, ann, bpe, decontamination, masked_lm, packing, pii, probminhash, quality, substring_dedup, suffix_dedup, token_files, vector_codes
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe_prefix_dp": bpe.op8,
     "op9_block_matrix_neighbours": ann.op9,
     "op10_masked_lm_scores": masked_lm.op10,
+    "op11_tokenizer_alignment": alignment.op11,
     "op12_resident_lloyd_codes": vector_codes.op12,
     "op13_benchmark_decontamination": decontamination.op13,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLE = {
     "op9_block_matrix_neighbours": ann.SQL,
     "op7_quality_line_frequency": quality.SQL,
+    "op11_tokenizer_alignment": alignment.op11,
     "op12_resident_lloyd_codes": vector_codes.SQL,
     "op13_benchmark_decontamination": decontamination.SQL,
 }
