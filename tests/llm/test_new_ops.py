@@ -204,7 +204,7 @@ def brute_alignment(texts):
 def odd_texts():
     rng = random.Random(8)
     words = ["the", "Häuser", "naïve", "don't", "we'll", "x=1;", "日本語", "🙂🏽", "Москва", "1234567", "<|endoftext|>", "<s>", "</s>", "<0x41>", "<unk>", "é", "ﬁ", " ", " x", "a​b", "—", "…", "I'M", "''s"]
-    gaps = [" ", " ", " ", "  ", "\n", "\n\n", " \n ", "\t", "\r\n", "　", "   ", "\x0b", "\x1c", "\x85"]
+    gaps = [" ", " ", " ", "  ", "\n", "\n\n", " \n ", "\t", "\r\n", "　", "   ", "\x0b", "\x1c", "\x85", "\xa0"]
     texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
     texts += ["".join(rng.choice(gaps) + rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(200)]
     texts += [None, "", " ", "  ", "\n", "\n ", " \n", "a\n", "a ", " a", "a▁b", "▁", "x ▁ y", "\x00", "a\x00b", "the same text", "the same text", "word " * 20_000, "x" * 3000, "ab\n" * 3000]
