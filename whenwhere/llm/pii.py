@@ -6,9 +6,10 @@ canonical form) gets one surrogate, drawn from a keyed SHA-256 stream: digits fo
 script, octets for octets, hex for hex; card numbers and IBANs keep their check sums, telephone numbers their country code, e-mail
 addresses their top-level domain. Names are put together from syllables of given names of the same script, with an ending of the grammatical
 gender taken from the titles before them. A draw is refused if it is a real entity of the corpus or another entity's surrogate; the loser
-draws again, and after GROW_AFTER rounds from a space that grows with each round: names by a syllable, e-mail addresses and secrets by a letter,
-octets to all of 0 to 255. So distinct entities stay distinct, however many there are of one form (numbers of a fixed form have spaces of 10**8
-and more), one entity has one surrogate in all documents and spellings (case, punctuation), and the spelling of each place is kept.
+draws again, and after GROW_AFTER rounds from a space that grows with each round, for every type: names by a syllable, e-mail addresses and secrets by a
+letter in front, numbers and keys by a digit behind, octets to all of 0 to 255 (and, when none of these is free, to a fifth), hex groups to four digits and then by groups. So the
+draws end however many entities there are of one form, distinct entities stay distinct, one entity has one surrogate in all documents and
+spellings (case, punctuation), and the spelling of each place is kept. Drawing and spelling take time in proportion to an entity's length.
 
 Only documents with a match are shuffled, and a match is joined by its entity; entities are summed up before the shuffle, so one address in
 a third of all rows is one row there.
@@ -20,19 +21,22 @@ surrogate cannot be told from the entity; the key is the caller's (``corpus_key`
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialise
 
-GROW_AFTER = 2
+#: Draws of an entity's own form before its space grows; growths before an address has a fifth octet.
+GROW_AFTER, WIDEST = 2, 40
 TITLES_M = r"Mr\.|Herr|Monsieur|Señor|Sr\.|господин|κύριος"
 TITLES_F = r"Mrs\.|Ms\.|Miss|Frau|Madame|Mme|Señora|Sra\.|госпожа|κυρία"
 TITLES_N = r"Dr\.|Prof\."
 TITLE = f"(?:{TITLES_M}|{TITLES_F}|{TITLES_N})"
 #: (type, form of a whole match)
 FORMS = {
-    "EMAIL": r"(?<![\p{L}0-9._%+-])[\p{L}0-9][\p{L}0-9._%+-]*+@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)*\.\p{L}{2,24}(?![\p{L}0-9])",
+    "EMAIL": r"(?<![\p{L}0-9._%+-])[\p{L}0-9][\p{L}0-9._%+-]*+@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++){0,126}\.\p{L}{2,24}(?![\p{L}0-9])",
     "IP": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "SSN": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "CARD": r"(?<![0-9-])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5})(?![0-9-])",
@@ -119,36 +123,64 @@ def _one(words: list[str], v: Column) -> Column:
     return F.get(F.array(*map(F.lit, words)), v % len(words))
 
 
+#: Kinds that grow at their front, by letters, and at their end, by what their form has there.
+FRONT, BACK = ("EMAIL", "SECRET"), ("PHONE", "SSN", "CARD", "KEY", "HEX", "IBAN")
+#: One letter for each class of characters, in the order in which they are told; entities hold no control characters.
+CLASSES = {"[0-9]": "\x01", **{rf"[\p{{Is{s}}}&&\p{{Lu}}]": c for s, c in zip(SCRIPTS, "\x02\x04\x06", strict=True)}, **{rf"\p{{Is{s}}}": c for s, c in zip(SCRIPTS, "\x03\x05\x07", strict=True)}, r"\p{IsHan}": "\x08", r"\p{L}": "\x0e"}
+HEX_CLASS = "\x0f"
+
+
+def grown_form(kind: Column, canon: Column, more: int) -> Column:
+    """The form that the n-th wider space has: octets and names are widened where they are drawn."""
+    if not more:
+        return canon
+    # hex groups in full; where groups are left out, more and more of them are written
+    full = F.regexp_replace(canon, r"[0-9a-f]+", "0000")
+    left = F.greatest(F.lit(0), F.least(F.lit(more - 1), 6 - (F.length(full) - F.length(F.replace(full, F.lit(":"))) - 1)))
+    full = F.when(F.contains(full, F.lit("::")), F.replace(full, F.lit("::"), F.concat(F.repeat(F.lit(":0000"), left), F.lit("::")))).otherwise(full)
+    front, back = F.concat(F.lit("a" * more), canon), F.concat(canon, F.lit("0" * more))
+    return F.when(kind.isin(*FRONT), front).when(kind.isin(*BACK), back).when(kind == "IP6", full).when((kind == "NAME") & canon.rlike(r"^\p{IsHan}"), F.concat(F.lit(HAN[0] * more), canon)).otherwise(canon)
+
+
 def draw(key: str, kind: Column, canon: Column, gender: Column, attempt: int) -> Column:
     """The surrogate of an entity at its n-th draw, in canonical spelling."""
     more = max(0, attempt - GROW_AFTER)
-    form = F.when(kind.isin("EMAIL", "SECRET"), F.concat(F.lit("a" * more), canon)).otherwise(canon) if more else canon
-    blocks = F.ceil(F.length(form) / 32).cast("int")
-    seed = lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(attempt)), b.cast("string")), 256)
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), blocks), seed), "")
-    # the form and the stream are computed once for each entity
-    both = F.transform(F.array(F.struct(form.alias("form"), stream.alias("stream"))), lambda x: _draw(kind, x["form"], x["stream"], gender, attempt, more))
-    return F.get(both, F.lit(0))
-
-
-def _draw(kind: Column, canon: Column, stream: Column, gender: Column, attempt: int, more: int) -> Column:
-    value = lambda i: F.conv(F.substring(stream, 2 * i - 1, F.lit(2)), 16, 10).cast("int")
-    places = F.sequence(F.lit(1), F.length(canon))
-    top = F.when(kind == "EMAIL", F.length(F.substring_index(canon, ".", -1))).otherwise(0)
-    held = F.when(kind == "KEY", 4).when(kind == "IBAN", 2).when((kind == "PHONE") & (F.length(canon) > 10), 2).otherwise(0)
-
-    def plain(i):
-        c, v = F.substring(canon, i, F.lit(1)), value(i)
-        out = F.when((i > F.length(canon) - top) | (i <= held), c).when(kind.isin("HEX", "IP6") & c.rlike("[0-9a-f]"), _pick("0123456789abcdef", v)).when(c.rlike("[0-9]"), _pick("0123456789", v))
-        for script, letters in SCRIPTS.items():
-            out = out.when(c.rlike(rf"\p{{Is{script}}}"), F.when(c.rlike(r"\p{Lu}"), F.upper(_pick(letters, v))).otherwise(_pick(letters, v)))
-        return out.when(c.rlike(r"\p{IsHan}"), _pick(HAN, v)).when(c.rlike(r"\p{L}"), _pick(LATIN, v)).otherwise(c)
-
-    general = F.array_join(F.transform(places, plain), "")
+    form = grown_form(kind, canon, more)
+    classes = form
+    for pattern, letter in CLASSES.items():
+        classes = F.regexp_replace(classes, pattern, letter)
+    classes = F.when(kind.isin("HEX", "IP6"), F.regexp_replace(form, "[0-9a-f]", HEX_CLASS)).otherwise(classes)
+    seed = lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), F.xxhash64(canon).cast("string"), F.sha2(canon, 256), kind, F.lit(str(attempt)), b.cast("string")), 256)
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.length(form) / 32).cast("int")), seed)
+    n = F.length(form)
+    top = F.when(kind == "EMAIL", F.length(F.substring_index(form, ".", -1))).otherwise(0)
+    held = F.when(kind == "KEY", 4).when(kind == "IBAN", 2).when((kind == "PHONE") & (n > 10), 2).otherwise(0)
+    # all that a character needs is computed once for each entity
+    once = F.struct(form.alias("form"), F.split(form, "").alias("chars"), F.split(classes, "").alias("classes"), blocks.alias("blocks"), (n - top).alias("stop"), held.alias("held"))
+    return F.get(F.transform(F.array(once), lambda x: _draw(kind, x, gender, more)), F.lit(0))
+
+
+def _number(hexed: Column) -> Column:
+    return F.conv(hexed, 16, 10).cast("int")
+
+
+def _draw(kind: Column, x: Column, gender: Column, more: int) -> Column:
+    canon, first = x["form"], F.get(x["blocks"], F.lit(0))
+    value = lambda i: _number(F.substring(F.get(x["blocks"], F.floor((i - 1) / 32).cast("int")), 2 * ((i - 1) % 32) + 1, F.lit(2)))
+
+    def plain(c, at):
+        i, k = at + 1, F.get(x["classes"], at)
+        v = value(i)
+        out = F.when((i > x["stop"]) | (i <= x["held"]), c).when(k == HEX_CLASS, _pick("0123456789abcdef", v)).when(k == "\x01", _pick("0123456789", v))
+        for letters, upper, lower in zip(SCRIPTS.values(), "\x02\x04\x06", "\x03\x05\x07", strict=True):
+            out = out.when(k == lower, _pick(letters, v)).when(k == upper, F.upper(_pick(letters, v)))
+        return out.when(k == "\x08", _pick(HAN, v)).when(k == "\x0e", _pick(LATIN, v)).otherwise(c)
+
+    general = F.array_join(F.transform(x["chars"], plain), "")
     name = None
     for script, (starts, ends) in reversed(NAMES.items()):
-        word = F.concat(*(_one(starts, F.conv(F.substring(stream, F.lit(4 * i + 1), F.lit(4)), 16, 10).cast("int")) for i in range(min(2 + more, 15))))
-        last = F.conv(F.substring(stream, F.lit(61), F.lit(4)), 16, 10).cast("int")
+        word = F.concat(*(_one(starts, _number(F.substring(first, F.lit(4 * i + 1), F.lit(4)))) for i in range(min(2 + more, 15))))
+        last = _number(F.substring(first, F.lit(61), F.lit(4)))
         made = F.concat(word, F.when(gender == "F", _one(ends["F"], last)).when(gender == "M", _one(ends["M"], last)).otherwise(_one(ends[""], last)))
         name = made if name is None else F.when(canon.rlike(rf"^\p{{Is{script}}}"), made).otherwise(name)
         if script == "Latin":
@@ -157,12 +189,17 @@ def _draw(kind: Column, canon: Column, stream: Column, gender: Column, attempt:
     head = F.substring(general, F.lit(1), F.length(canon) - 1)
     card = F.concat(head, F.pmod(luhn(canon) - luhn(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
     octet = lambda p, i: value(i + 1).cast("string") if more else F.when(F.length(p) == 1, value(i + 1) % 10).when(F.length(p) == 2, 10 + value(i + 1) % 90).otherwise(100 + value(i + 1) % 156).cast("string")
-    ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
+    parts = F.split(canon, r"\.")
+    # after all addresses of four octets a fifth, which none has
+    ip = F.array_join(F.transform(F.concat(parts, F.array(F.lit("0"))) if more > WIDEST else parts, octet), ".")
     return F.when(kind == "CARD", card).when(kind == "IP", ip).when(kind == "IBAN", iban_check(general)).when(kind == "NAME", name).otherwise(general)
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, fake) for distinct entities (kind, canon, gender): draws until all are apart from each other and from all entities."""
+    """(kind, canon, fake, more) for distinct entities (kind, canon, gender): draws until all are apart from each other and from all entities.
+
+    ``more`` says by how much the form has grown. Every kind's space grows without end, so the draws do.
+    """
     real = entities.select("kind", F.col("canon").alias("fake"))
     todo, settled, n = entities, None, 0
     while True:
@@ -170,7 +207,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         free = drawn.join(real, ["kind", "fake"], "left_anti")
         if settled is not None:
             free = free.join(settled.select("kind", "fake"), ["kind", "fake"], "left_anti")
-        won = materialise(free.groupBy("kind", "fake").agg(F.min("canon").alias("canon")), "surrogates")
+        won = materialise(free.groupBy("kind", "fake").agg(F.min("canon").alias("canon")).withColumn("more", F.lit(max(0, n - GROW_AFTER))), "surrogates")
         settled = won if settled is None else settled.unionByName(won)
         todo = todo.join(won, ["kind", "canon"], "left_anti")
         if todo.isEmpty():
@@ -178,24 +215,33 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         n += 1
 
 
-def written_like(fake: Column, hit: Column, kind: Column) -> Column:
-    """A canonical surrogate in the spelling of a place: its punctuation, country code and case."""
-    plain = F.regexp_replace(fake, r"[^\p{L}0-9]", "")
-    letters = F.length(F.regexp_replace(hit, r"[^\p{L}0-9]", ""))
-    ahead = letters - F.length(plain)  # of a telephone number: the country code
+def named_like(fake: Column, hit: Column) -> Column:
+    """A name in the case of a place."""
+    return F.when((hit == F.upper(hit)) & (F.length(hit) > 1), F.upper(fake)).otherwise(F.concat(F.upper(F.substring(fake, 1, 1)), F.substring(fake, F.lit(2), F.length(fake))))
+
+
+def written_like(fake: Column, hit: Column, kind: Column, more: Column) -> Column:
+    """A canonical surrogate in the spelling of a place: its punctuation, country code and case; what has grown stands before or behind."""
+    letter = r"[\p{L}0-9]"
+    old, plain = F.regexp_extract_all(hit, F.lit(letter), F.lit(0)), F.regexp_extract_all(fake, F.lit(letter), F.lit(0))
+    front, back = F.when(kind.isin(*FRONT), more).otherwise(0), F.when(kind.isin(*BACK), more).otherwise(0)
     shout = (hit == F.upper(hit)) & hit.rlike(r"\p{L}")
+    once = F.struct(old.alias("old"), plain.alias("plain"), F.split(hit, letter, -1).alias("gaps"), shout.alias("shout"), front.alias("front"), back.alias("back"), (F.size(old) - F.size(plain) + front + back).alias("ahead"))
+
+    def write(x):
+        def put(c, i):  # ahead: of a telephone number, the country code
+            f = F.get(x["plain"], i - x["ahead"] + x["front"])
+            return F.when(i < x["ahead"], c).when(x["shout"] | ((c == F.upper(c)) & (c != F.lower(c))), F.upper(f)).otherwise(f)
 
-    def put(i):
-        c = F.substring(hit, i, F.lit(1))
-        k = F.length(F.regexp_replace(F.substring(hit, F.lit(1), i), r"[^\p{L}0-9]", "")) - ahead
-        f = F.substring(plain, k, F.lit(1))
-        return F.when(~c.rlike(r"[\p{L}0-9]") | (k < 1), c).when(shout | c.rlike(r"\p{Lu}"), F.upper(f)).otherwise(f)
+        body = F.zip_with(x["gaps"], F.transform(x["old"], put), lambda g, f: F.concat(g, F.coalesce(f, F.lit(""))))
+        case = lambda part: F.when(x["shout"], F.upper(part)).otherwise(part)
+        before = case(F.array_join(F.slice(x["plain"], F.lit(1), x["front"]), ""))
+        behind = case(F.array_join(F.slice(x["plain"], F.size(x["plain"]) - x["back"] + 1, x["back"]), ""))
+        return F.concat(before, F.array_join(body, ""), behind)
 
-    kept = F.array_join(F.transform(F.sequence(F.lit(1), F.length(hit)), put), "")
-    # e-mail surrogates whose form has grown
-    kept = F.when((kind == "EMAIL") & (ahead < 0), F.concat(F.substring(F.when(shout, F.upper(plain)).otherwise(plain), F.lit(1), -ahead), kept)).otherwise(kept)
-    name = F.when(shout & (F.length(hit) > 1), F.upper(fake)).otherwise(F.concat(F.upper(F.substring(fake, 1, 1)), F.substring(fake, F.lit(2), F.length(fake))))
-    return F.when(kind == "KEY", F.upper(fake)).when(kind.isin("IP", "SECRET"), fake).when(kind == "NAME", name).otherwise(kept)
+    kept = F.get(F.transform(F.array(once), write), F.lit(0))
+    groups = F.when(shout, F.upper(fake)).otherwise(fake)
+    return F.when(kind == "KEY", F.upper(fake)).when(kind.isin("IP", "SECRET"), fake).when(kind == "NAME", named_like(fake, hit)).when((kind == "IP6") & (more > 0), groups).otherwise(kept)
 
 
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -219,25 +265,24 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     fakes = surrogates(entities, key)
 
     # rows that share id and text are one document here; each gets its list back
-    pairs = spots.dropDuplicates(["doc_id", "ver", "i"]).join(fakes, ["kind", "canon"]).select("doc_id", "ver", "i", "hit", "kind", written_like(F.col("fake"), F.col("hit"), F.col("kind")).alias("fake"))
-    name = F.when(F.col("kind") == "NAME", F.struct("hit", "fake"))
-    by_doc = pairs.groupBy("doc_id", "ver").agg(F.array_sort(F.collect_list(F.struct("i", "fake"))).alias("put"), F.map_from_entries(F.collect_set(name)).alias("names"))
+    pairs = spots.dropDuplicates(["doc_id", "ver", "i"]).join(fakes, ["kind", "canon"]).select("doc_id", "ver", "i", "hit", "kind", F.when(F.col("kind") == "NAME", F.struct("canon", F.col("fake").alias("own"))).alias("name"), written_like(F.col("fake"), F.col("hit"), F.col("kind"), F.col("more")).alias("fake"))
+    by_doc = pairs.groupBy("doc_id", "ver").agg(F.array_sort(F.collect_list(F.struct("i", "fake"))).alias("put"), F.map_from_entries(F.collect_set("name")).alias("names"))
     met = dirty.alias("d").join(by_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.ver") == F.col("p.ver"))).select("d.*", "p.put", "p.names")
-    # the names of a document wherever else they stand in it
+    # the names of a document wherever else they stand in it, in any case but small letters
     words = lambda g: F.split(g, r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})", -1)
-    again = lambda g: F.array_join(F.transform(words(g), lambda w: F.coalesce(F.try_element_at("names", w), w)), "")
+    again = lambda g: F.array_join(F.transform(words(g), lambda w: F.when(w.rlike(r"^\p{Lu}\p{L}"), F.coalesce(named_like(F.try_element_at("names", F.lower(w)), w), w)).otherwise(w)), "")
     gaps = F.when(F.size("names") > 0, F.transform("gaps", again)).otherwise(F.col("gaps"))
     out = F.array_join(F.flatten(F.zip_with(gaps, "put", lambda g, f: F.array(g, F.coalesce(f["fake"], F.lit(""))))), "")
     done = met.select("doc_id", out.alias("text"), F.size("hits").alias("n_entities"), *keep)
     return clean.unionByName(done)
 
 
-#: The key where the session names none: fit for tests only, as anyone can read it.
-TEST_KEY = "not a secret"
-
-
 def corpus_key(spark: SparkSession) -> str:
-    return spark.conf.get("spark.whenwhere.pii.key", None) or spark.sparkContext.getConf().get("spark.whenwhere.pii.key", None) or TEST_KEY
+    """The key that the session names. Where it names none it gets one of its own, which no one can read out of the code."""
+    name = "spark.whenwhere.pii.key"
+    if not (spark.conf.get(name, None) or spark.sparkContext.getConf().get(name, None)):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
