@@ -1,7 +1,7 @@
 """The interactive side: date, tag and viewport filters, facets, and ranked search over events, places and tags.
 
 Events have id, loc_id, name, tags, occurrences (array of start, end; by start); locations have loc_id, name, short_name,
-tags, lat, lng. All operators are plans over these; nothing is indexed or held between calls.
+tags, lat, lng. All operators are plans over these; only the search index (search_index.py) is written.
 """
 
 from __future__ import annotations
@@ -156,29 +156,31 @@ def searchable(rows: DataFrame, *fields: str) -> Column:
 EVENT_FIELDS, PLACE_FIELDS = ("name", "short_name", "description", "location", "sublocation"), ("name", "short_name", "tags")
 
 
-def search_index(events: DataFrame, locations: DataFrame, words: DataFrame) -> DataFrame:
-    """(type, ref, text) of all that can be searched; the searches look into the same texts by themselves."""
+def searchable_entries(events: DataFrame, locations: DataFrame, words: DataFrame) -> DataFrame:
+    """(type, ref, text) of all that can be searched; ``search_index.write`` makes an index of it."""
     one = lambda rows, kind, ref, *fields: rows.select(F.lit(kind).alias("type"), F.col(ref).cast("string").alias("ref"), searchable(rows, *fields).alias("text"))
     return one(events, "event", "id", *EVENT_FIELDS).unionByName(one(locations, "location", "loc_id", *PLACE_FIELDS)).unionByName(one(words, "tag", "tag", "tag"))
 
 
-def _wanted(rows: DataFrame, term: str | None, *fields: str) -> DataFrame:
-    """All rows without a term at all; with an empty one those that match or are seen; else those whose text holds it."""
-    if term is None:
-        return rows
-    return rows.where(F.contains(searchable(rows, *fields), F.lit(term))) if term else rows.where("is_matching or is_visible")
+def _wanted(rows: DataFrame, term: str | None, found: DataFrame | None, kind: str, ref: str) -> DataFrame:
+    """All rows without a term at all; with an empty one those that match or are seen; else those that the index found."""
+    if not term:
+        return rows if term is None else rows.where("is_matching or is_visible")
+    if found is None:
+        raise ValueError("a search with a term needs what SearchIndex.find gave for it")
+    return rows.join(found.where(F.col("type") == kind).select(F.col("ref").alias("_ref")), F.col(ref).cast("string") == F.col("_ref"), "left_semi")
 
 
-def search_locations(measured: DataFrame, matching: DataFrame, visible: DataFrame, chosen: dict[str, float], w: Weights, term: str | None = None) -> DataFrame:
-    """Adds is_matching, is_visible and score to places with a distance; matching and visible are sets of loc_id; the term is in search form."""
+def search_locations(measured: DataFrame, matching: DataFrame, visible: DataFrame, chosen: dict[str, float], w: Weights, term: str | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Adds is_matching, is_visible and score to places with a distance; matching and visible are sets of loc_id; ``found`` is what the index has for the term."""
     m = matching.select("loc_id").distinct().withColumn("_m", F.lit(1))
     v = visible.select("loc_id").distinct().withColumn("_v", F.lit(1))
     rows = measured.join(m, "loc_id", "left").join(v, "loc_id", "left").withColumn("is_matching", F.col("_m").isNotNull()).withColumn("is_visible", F.col("_v").isNotNull())
     score = 1 + w.matching * F.col("is_matching").cast("int") + tag_score(F.col("tags"), chosen, w) + geo.proximity_bonus(F.coalesce("distance", F.lit(0.0)), w.proximity, w.reach_m) + w.visible * F.col("is_visible").cast("int")
-    return _wanted(rows.drop("_m", "_v"), term, *PLACE_FIELDS).withColumn("score", score)
+    return _wanted(rows.drop("_m", "_v"), term, found, "location", "loc_id").withColumn("score", score)
 
 
-def search_events(events: DataFrame, measured: DataFrame, matching: DataFrame, visible: DataFrame, chosen: dict[str, float], at: Column, w: Weights, term: str | None = None) -> DataFrame:
+def search_events(events: DataFrame, measured: DataFrame, matching: DataFrame, visible: DataFrame, chosen: dict[str, float], at: Column, w: Weights, term: str | None = None, found: DataFrame | None = None) -> DataFrame:
     """Adds is_matching, is_visible and score to events; matching is a set of id, visible one of loc_id."""
     m = matching.select("id").distinct().withColumn("_m", F.lit(1))
     v = visible.select("loc_id").distinct().withColumn("_v", F.lit(1))
@@ -193,25 +195,28 @@ def search_events(events: DataFrame, measured: DataFrame, matching: DataFrame, v
         + temporal_bonus(F.col("occurrences"), at, w)
         + w.visible * F.col("is_visible").cast("int")
     )
-    return _wanted(rows.drop("_m", "_v"), term, *EVENT_FIELDS).withColumn("score", score).drop("_place")
+    return _wanted(rows.drop("_m", "_v"), term, found, "event", "id").withColumn("score", score).drop("_place")
 
 
-def search_tags(words: DataFrame, dynamic: DataFrame, visible: DataFrame, frequency: DataFrame, term: str, w: Weights, geotags: tuple[str, ...] = ()) -> DataFrame:
+def search_tags(words: DataFrame, dynamic: DataFrame, visible: DataFrame, frequency: DataFrame, term: str, w: Weights, geotags: tuple[str, ...] = (), found: DataFrame | None = None) -> DataFrame:
     """Scores of tags by the counts of matching, visible and all events; geotags (lower case) are shown only with a term."""
     if not term:
-        words = words.where(~F.lower("tag").isin(*geotags)) if geotags else words
+        words = (words.where(~F.lower("tag").isin(*geotags)) if geotags else words).withColumn("_whole", F.lit(False))
+    elif found is None:
+        raise ValueError("a search with a term needs what SearchIndex.find gave for it")
+    else:
+        words = words.join(found.where("type = 'tag'").select(F.col("ref").alias("tag"), F.col("is_whole").alias("_whole")).distinct(), "tag")
     rows = words.join(dynamic.withColumnRenamed("frequency", "_d"), "tag", "left").join(visible.withColumnRenamed("weight", "_v"), "tag", "left").join(frequency.withColumnRenamed("frequency", "_f"), "tag", "left")
-    exact = F.lower("tag") == F.lit(term.lower())
-    score = F.coalesce("_d", F.lit(0)) + w.exact * exact.cast("int") + F.when(F.col("_v").isNotNull(), w.tag * F.col("_v") + w.visible).otherwise(0.0) + w.frequency * F.coalesce("_f", F.lit(0))
-    return rows.where(F.contains(F.lower("tag"), F.lit(term.lower()))).select("tag", F.col("_v").isNotNull().alias("is_visible"), score.alias("score"))
+    score = F.coalesce("_d", F.lit(0)) + w.exact * F.col("_whole").cast("int") + F.when(F.col("_v").isNotNull(), w.tag * F.col("_v") + w.visible).otherwise(0.0) + w.frequency * F.coalesce("_f", F.lit(0))
+    return rows.select("tag", F.col("_v").isNotNull().alias("is_visible"), score.alias("score"))
 
 
-def perform_search(events: DataFrame, measured: DataFrame, matching: DataFrame, visible: DataFrame, tags: DataFrame, chosen: dict[str, float], at: Column, w: Weights, term: str | None = None) -> DataFrame:
-    """(type, ref, is_visible, score) of places, events and tags; ``tags`` is what search_tags found for the same term."""
+def perform_search(events: DataFrame, measured: DataFrame, matching: DataFrame, visible: DataFrame, tags: DataFrame, chosen: dict[str, float], at: Column, w: Weights, term: str | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(type, ref, is_visible, score) of places, events and tags; ``tags`` is what search_tags gave for the same term, ``found`` what the index did."""
     one = lambda rows, kind, ref: rows.select(F.lit(kind).alias("type"), F.col(ref).cast("string").alias("ref"), "is_visible", "score")
-    places = search_locations(measured, matching, visible, chosen, w, term)
-    found = search_events(events, measured, matching, visible, chosen, at, w, term)
-    return one(places, "location", "loc_id").unionByName(one(found, "event", "id")).unionByName(one(tags, "tag", "tag"))
+    places = search_locations(measured, matching, visible, chosen, w, term, found)
+    events = search_events(events, measured, matching, visible, chosen, at, w, term, found)
+    return one(places, "location", "loc_id").unionByName(one(events, "event", "id")).unionByName(one(tags, "tag", "tag"))
 
 
 def grouped_top(results: DataFrame, k: int = 100, term: str = "", selected: str | None = None, states: TagStates | None = None) -> DataFrame:

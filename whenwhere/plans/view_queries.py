@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators import search_index as S
 from ..operators import view as V
 from . import model as M
+from .batch import shared_root
 
 W = V.Weights()
 STATES = V.TagStates(selected=("URGENT", "ASIA"), forbidden=("F",))
@@ -14,7 +20,7 @@ ALL = V.TagStates(required=("URGENT", "ASIA"))
 NONE = V.TagStates(forbidden=("URGENT", "ASIA"))
 MIXED = V.TagStates(selected=("O",), required=("HIGH",), forbidden=("EUROPE",), implicit=("AFRICA",))
 CHOSEN = {"URGENT": 1.0, "ASIA": 1.0, "HIGH": 0.7}
-EDGES = [("URGENT", "HIGH", 0.8), ("ASIA", "CHINA", 0.9), ("ASIA", "JAPAN", 0.7), ("HIGH", "JAPAN", 0.9), ("HIGH", "URGENT", 0.5), ("LOW", "MEDIUM", 1.2)]
+EDGES = [("URGENT", "HIGH", 0.8), ("ASIA", "NATION_3", 0.9), ("ASIA", "NATION_8", 0.7), ("HIGH", "NATION_8", 0.9), ("HIGH", "URGENT", 0.5), ("LOW", "MEDIUM", 1.2)]
 QUERIES, ORACLE = {}, {}
 
 
@@ -81,11 +87,11 @@ def q_list_filter(spark, d):
     return V.by_tags(M.events(spark, d), M.locations(spark, d), MIXED).select("id", "loc_id")
 
 
-@query("select id from evl where list_has_any(list_transform(place, lambda x: lower(x)), ['asia', 'france'])")
+@query("select id from evl where list_has_any(list_transform(place, lambda x: lower(x)), ['asia', 'europe'])")
 def q_geotag_filter(spark, d):
     from .view import in_geotags
 
-    return in_geotags(M.events(spark, d), M.locations(spark, d), ("Asia", "FRANCE")).select("id")
+    return in_geotags(M.events(spark, d), M.locations(spark, d), ("Asia", "EUROPE")).select("id")
 
 
 def _first_start(spark, d):
@@ -224,27 +230,47 @@ def q_search_events(spark, d):
 ORACLE["q_search_events"] = _search("select id, loc_id, is_matching, is_visible, round(score, 6) as score from se where is_matching or is_visible")
 
 
-def _tag_results(spark, d, term):
+def _named_events(spark, d):
+    """Events with their place's and nation's names in their texts, as listings have them."""
+    loc = M.locations(spark, d).select("loc_id", F.col("name").alias("location"), F.get("tags", F.lit(0)).alias("sublocation"))
+    return M.events(spark, d).join(loc, "loc_id")
+
+
+def _index(spark, d):
+    ev, loc = _named_events(spark, d), M.locations(spark, d)
+    path = f"{shared_root(spark)}/search-{uuid.uuid4().hex}"
+    return S.write(V.searchable_entries(ev, loc, V.vocabulary(ev, loc)), path)
+
+
+def _tag_results(spark, d, term, geotags=(), found=None):
     loc, matching, visible = _sets(spark, d)
     ev = M.events(spark, d)
     words = V.vocabulary(ev, loc)
     facets = V.visible_facets(_windowed(spark, d).join(visible.select("loc_id"), "loc_id", "left_semi"), loc)
-    return V.search_tags(words, V.dynamic_frequency(matching, words), facets, V.tag_frequency(ev, loc), term, W)
+    return V.search_tags(words, V.dynamic_frequency(matching, words), facets, V.tag_frequency(ev, loc), term, W, geotags, found)
 
 
 @query()
 def q_search_tags(spark, d):
-    return _tag_results(spark, d, "Asia").select("tag", "is_visible", F.round("score", 6).alias("score"))
+    return _tag_results(spark, d, "Asia", found=_index(spark, d).find("Asia")).select("tag", "is_visible", F.round("score", 6).alias("score"))
+
 
+@query()
+def q_search_tags_no_term(spark, d):
+    """Geotags are no results without a term."""
+    return _tag_results(spark, d, "", ("asia", "nation_1", "europe")).select("tag", "is_visible", F.round("score", 6).alias("score"))
 
+
+ORACLE["q_search_tags_no_term"] = _search("select tag, is_visible, round(score - (case when lower(tag) = 'asia' then 1000.0::double else 0 end), 6) as score from st where lower(tag) not in ('asia', 'nation_1', 'europe')")
 ORACLE["q_search_tags"] = _search("select tag, is_visible, round(score, 6) as score from st where contains(lower(tag), 'asia')")
 
 
 def results(spark, d, term=None):
     """All three kinds of result in one table: type, ref, is_visible, score."""
     loc, matching, visible = _sets(spark, d)
-    tags = _tag_results(spark, d, term or "")
-    return V.perform_search(M.events(spark, d), loc, matching, visible, tags, CHOSEN, M.moment(M.START), W, term).withColumn("score", F.round("score", 6))
+    found = _index(spark, d).find(term) if term else None
+    tags = _tag_results(spark, d, term or "", found=found)
+    return V.perform_search(M.events(spark, d), loc, matching, visible, tags, CHOSEN, M.moment(M.START), W, term, found).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -330,31 +356,37 @@ def q_parsed_occurrences(spark, d):
 
 
 _text = lambda *c: f"lower(strip_accents(array_to_string(list_filter([{', '.join(c)}], lambda x: x <> ''), ' ')))"
-INDEX = f"""ie as (select id, {_text("name")} as text from ev),
-il as (select loc_id, {_text("name", "short_name", "tags[1]", "tags[2]")} as text from loc)"""
+INDEX = f"""ie as (select id, {_text("ev.name", "l.name", "l.tags[1]")} as text from ev join loc l using (loc_id)),
+il as (select loc_id, {_text("name", "short_name", "tags[1]", "tags[2]")} as text from loc),
+ia as (select 'event' as type, id::varchar as ref, text from ie union all select 'location', loc_id::varchar, text from il union all select 'tag', tag, lower(strip_accents(tag)) from voc)"""
 
 
-@query()
+@query(f"select type, ref, md5(text) as text_md5 from (with {VOC}, {INDEX} select * from ia)")
 def q_search_index(spark, d):
-    ev, loc = M.events(spark, d), M.locations(spark, d)
-    return V.search_index(ev, loc, V.vocabulary(ev, loc)).select("type", "ref", F.md5("text").alias("text_md5"))
+    """What the written index holds of each entry."""
+    return _index(spark, d).texts.select("type", "ref", F.md5("text").alias("text_md5"))
 
 
-ORACLE["q_search_index"] = f"with {M.SQL.strip()},\n{VOC},\n{INDEX}\nselect 'event' as type, id::varchar as ref, md5(text) as text_md5 from ie union all select 'location', loc_id::varchar, md5(text) from il union all select 'tag', tag, md5(lower(tag)) from voc"
+#: Terms with an accent, of one and two characters, longer than a gram, with a space, in a tag's whole length, and in no text.
+TERMS = ("Natión_1", "úR", "u", "tomer#00000001", "middle EAST", "Asia", "ent customer", "no such thing")
+
+
+@query(f"select w.term, type, ref, w.form = text as is_whole from (with {VOC}, {INDEX} select * from ia) i join (values {', '.join(f'({t!r}, {S.term_form(t)!r})' for t in TERMS)}) w(term, form) on contains(text, form)")
+def q_search_terms(spark, d):
+    index = _index(spark, d)
+    found = [index.find(t).withColumn("term", F.lit(t)) for t in TERMS]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 @query()
 def q_perform_search(spark, d):
-    """A term that names, tags and places hold: an accent and capitals go in search form."""
-    from ..functions import text
-
-    term = spark.range(1).select(text.search_form(F.lit("ÍnDI")).alias("t")).first()["t"]
-    return results(spark, d, term)
+    """A term that events, places and a tag hold, with an accent and capitals."""
+    return results(spark, d, "Natión_1")
 
 
-ORACLE["q_perform_search"] = _search(f"""select 'location' as type, loc_id::varchar as ref, is_visible, round(score, 6) as score from sl where loc_id in (select loc_id from il where contains(text, 'indi'))
-  union all select 'event', id::varchar, is_visible, round(score, 6) from se where id in (select id from ie where contains(text, 'indi'))
-  union all select 'tag', tag, is_visible, round(score - (case when lower(tag) = 'asia' then 1000.0::double else 0 end), 6) from st where contains(lower(tag), 'indi')""").replace(VOC, f"{INDEX},\n{VOC}")
+ORACLE["q_perform_search"] = _search("""select 'location' as type, loc_id::varchar as ref, is_visible, round(score, 6) as score from sl where loc_id in (select loc_id from il where contains(text, 'nation_1'))
+  union all select 'event', id::varchar, is_visible, round(score, 6) from se where id in (select id from ie where contains(text, 'nation_1'))
+  union all select 'tag', tag, is_visible, round(score - (case when lower(tag) = 'asia' then 1000.0::double else 0 end) + (case when lower(tag) = 'nation_1' then 1000.0::double else 0 end), 6) from st where contains(lower(tag), 'nation_1')""").replace(VOC, f"{VOC},\n{INDEX}")
 
 
 @query()
@@ -369,9 +401,9 @@ ORACLE["q_search_results"] = _search("""select type, ref, hidden, cast(rank as i
   union all select 'tag', tag, not is_visible, round(score - (case when lower(tag) = 'asia' then 1000.0::double else 0 end), 6) from st where tag not in ('O', 'HIGH', 'EUROPE'))) where rank <= 50""")
 
 
-@query("select loc_id, list_filter(tags, lambda t: lower(t) not in ('asia', 'france')) as tags from (select loc_id, tags from loc where loc_id in (select loc_id from evw))")
+@query("select loc_id, list_filter(tags, lambda t: lower(t) not in ('asia', 'europe')) as tags from (select loc_id, tags from loc where loc_id in (select loc_id from evw))")
 def q_header_tags(spark, d):
-    return V.header_tags(V.with_matches(M.locations(spark, d), _windowed(spark, d)), ("asia", "france")).select("loc_id", "tags")
+    return V.header_tags(V.with_matches(M.locations(spark, d), _windowed(spark, d)), ("asia", "europe")).select("loc_id", "tags")
 
 
 @query()
