@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from whenwhere.functions.tags import TagRules
+from whenwhere.operators import alike
 from whenwhere.operators import listing as L
 from whenwhere.operators import view as V
 from whenwhere.sources import files
@@ -60,6 +61,71 @@ def test_fuzzy_groups_follow_the_order(spark):
         assert [r["key_at"] for r in sorted((r for r in got if r["file"] == f), key=lambda r: r["row_no"])] == greedy(names)
 
 
+def odd_names(rng, n):
+    """Names that hold one another at random: runs of few letters, variants in case and punctuation, long ones around a common passage, empty ones."""
+    base = ["".join(rng.choice("ab ") for _ in range(rng.randrange(3, 24))) for _ in range(n // 2)]
+    passage = "the grand annual midsummer concert"
+    base += [" ".join(rng.choice(["The", "grand", "annual", passage, "x", "night", "été", "日本語の祭り"]) for _ in range(rng.randrange(1, 6))) for _ in range(n // 2)]
+    return [rng.choice([b, b.upper(), f"_{b}_", b + "!", b[: len(b) // 2], "  ", "²³ " + b]) for b in base]
+
+
+def test_parallel_groups_against_the_rule(spark):
+    rng = random.Random(12)
+    rows = [(f, i, n) for f in ["a", "b", None, "c"] + [f"f{k}" for k in range(30)] for i, n in enumerate(odd_names(rng, 60 if f in ("a", "b", None) else 8)) if n]
+    df = spark.createDataFrame(rows, "file string, row_no long, name string").repartition(7)
+    got = {(r["file"], r["row_no"]): r["key_at"] for r in L.group_fuzzy(df, "file", "row_no").collect()}
+    for f in {r[0] for r in rows}:
+        mine = [(i, n) for g, i, n in rows if g == f]
+        assert [got[f, i] for i, _ in mine] == [mine[k][0] for k in greedy([n for _, n in mine])]
+
+
+def test_plain_names_in_columns_and_in_python(spark):
+    names = ["_A_ b", "É²½Ⅳ x", "a\u200bb\u0301c", "İX ΑΣ", "x\x1cy\x85z\xa0", "tab\t\n new", "👍 ok", "a‿b", "", None, "१२ ३", "\u3000full\u2003width"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(alike.plain_name(F.col("n"))).collect()
+    assert [r[0] for r in got] == [L._plain(n) for n in names]
+
+
+def test_one_page_with_many_rows_is_many_tasks(spark):
+    rng = random.Random(2)
+    names = [f"talk {rng.randrange(10**6)} {rng.choice('abc')}" for _ in range(20_000)]
+    df = spark.createDataFrame(list(enumerate(names)), "row_no long, name string").withColumn("file", F.lit("one"))
+    found = L.group_fuzzy(df, "file", "row_no")
+    assert "Pandas" not in found._jdf.queryExecution().toString()
+    assert found.where("key_at > row_no").count() == 0 and found.count() == 20_000
+    assert found.select("key_at").distinct().count() == len({k for k in greedy_by_index(names)})
+
+
+def greedy_by_index(names):
+    """The rule over 5-character beginnings, for names that all are of one form: a name holds another only if it begins or ends like it."""
+    openers, out, seen = {}, [], {}
+    for i, n in enumerate(names):
+        p = L._plain(n)
+        if p in seen:
+            out.append(seen[p])
+            continue
+        inside = [openers[p[a:b]] for a in range(len(p)) for b in range(a + 5, len(p) + 1) if p[a:b] in openers]
+        around = [at for q, at in openers.items() if len(q) > len(p) and p in q] if len(p) < 12 else []
+        seen[p] = min(inside + around, default=i)
+        if seen[p] == i:
+            openers[p] = i
+        out.append(seen[p])
+    return out
+
+
+def test_dedup_on_spark_against_the_rule(spark):
+    rng = random.Random(13)
+    rows = []
+    for spot in range(25):
+        for n in odd_names(rng, 80 if spot == 0 else 10):
+            rows.append((len(rows), n, rng.choice(["", "d", "dd", None]), None if spot == 3 else [0.0, -0.0][spot == 0 and rng.random() < 0.5] + (spot > 0) * spot, 1.0, [{"start_date": "2025-01-01"}] if spot != 4 else None))
+    df = spark.createDataFrame(rows, "pos long, name string, description string, lat double, lng double, occurrences array<struct<start_date:string>>").repartition(5)
+    got = {r["pos"]: r["kept_pos"] for r in L.dedup_fuzzy(df).collect()}
+    want = {}
+    for key in {(r[3], r[4], str(r[5])) for r in rows}:
+        want |= literal_dedup([(r[0], r[1], len(r[2] or "")) for r in rows if (r[3], r[4], str(r[5])) == key])
+    assert got == want
+
+
 def test_fuzzy_dedup_keeps_the_shorter_name(spark):
     one = [{"start_date": "2025-01-01"}]
     rows = [(0, "The Big Show", "x", 1.0, 1.0, one), (1, "Big Show", "y", 1.0, 1.0, one), (2, "Other", "z", 1.0, 1.0, one), (3, "Big Show", "longer", 1.0, 1.0, one), (4, "Big Show", "y", 2.0, 1.0, one)]

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions.when import standard_time
+from ..sources.stages import staged
+from . import alike
 
 HEADER = ["name", "location", "sublocation", "start_date", "start_time", "end_date", "end_time", "description", "url", "hashtags", "emoji"]
 
@@ -202,45 +204,10 @@ def group_exact(rows: DataFrame, file: str, order: str) -> DataFrame:
     )
 
 
-def _plain(name: str | None) -> str:
-    return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", (name or "").replace("_", "").strip().lower())).strip()
-
-
-def _alike(a: str, b: str) -> bool:
-    return a == b or (min(len(a), len(b)) >= 5 and (a in b or b in a))
-
-
-def greedy_keys(names: list[str]) -> list[int]:
-    """For each name in order the index of the name that opened its group: an equal key first, then the first key that is alike."""
-    opened: dict[str, int] = {}
-    keys: list[tuple[str, int]] = []
-    out = []
-    for i, name in enumerate(names):
-        at = opened.get(name)
-        if at is None:
-            plain = _plain(name)
-            at = next((j for k, j in keys if _alike(plain, k)), None)
-            if at is None:
-                at = opened[name] = i
-                keys.append((plain, i))
-        out.append(at)
-    return out
-
-
 def group_fuzzy(rows: DataFrame, file: str, order: str) -> DataFrame:
-    """(file, order, key_at): which row opened each row's group; groups are within a file, in order, by names that are alike.
-
-    A file is one page's listing, so its rows fit a task; the choice for one row depends on all before it.
-    """
-    schema = f"{file} {rows.schema[file].dataType.simpleString()}, {order} long, key_at long"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        at = pdf[order].to_numpy()
-        return pd.DataFrame({file: pdf[file].to_numpy(), order: at, "key_at": at[greedy_keys(pdf["name"].tolist())]})
-
-    named = rows.where(F.coalesce(F.col("name"), F.lit("")) != "").where(~text.is_cancelled(F.col("name"))).select(file, F.col(order).cast("long"), "name")
-    return named.groupBy(file).applyInPandas(run, schema)
+    """(file, order, key_at): which row opened each row's group; groups are within a file, in order, by names that are alike."""
+    named = rows.where(F.coalesce(F.col("name"), F.lit("")) != "").where(~text.is_cancelled(F.col("name")))
+    return alike.group(named, file, order)
 
 
 def dedup_exact(events: DataFrame, order: str = "pos") -> DataFrame:
@@ -250,6 +217,14 @@ def dedup_exact(events: DataFrame, order: str = "pos") -> DataFrame:
     return keyed.groupBy("lat", "lng", "first_start", "norm").agg(F.min_by(F.struct("name", "description", F.col(order).alias("pos")), rank).alias("e"), F.count("*").alias("n_merged")).select("lat", "lng", "first_start", "norm", "e.*", "n_merged")
 
 
+def _plain(name: str | None) -> str:
+    return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", (name or "").replace("_", "").strip().lower())).strip()
+
+
+def _alike(a: str, b: str) -> bool:
+    return a == b or (min(len(a), len(b)) >= 5 and (a in b or b in a))
+
+
 def greedy_dedup(names: list[str], lengths: list[int]) -> list[int]:
     """For each event in order (name, length of its description) the index of the one kept for it.
 
@@ -288,18 +263,29 @@ def greedy_dedup(names: list[str], lengths: list[int]) -> list[int]:
 def dedup_fuzzy(events: DataFrame, order: str = "pos") -> DataFrame:
     """(pos, kept_pos): for each event the one kept for it among those of its place and first start, greedily in order.
 
-    Repeats of name and description travel as one row with their places in the order.
+    A group's name is always one of its events', so only events whose names are linked by alike ones ever meet: each connected component of
+    names is chosen from by itself. Names that are alike to no other need no choice beyond their own repeats. Repeats of name and description travel
+    as one row with their places in the order.
     """
-    place = ["lat", "lng", "first_start"]
-    keyed = events.select("lat", "lng", F.get("occurrences", F.lit(0))["start_date"].alias("first_start"), "name", F.length(F.coalesce("description", F.lit(""))).alias("n_description"), F.col(order).cast("long").alias("pos"))
-    once = keyed.groupBy(*place, "name", "n_description").agg(F.collect_list("pos").alias("at"))
+    # zero has one spelling; a place or day that is missing is one of its own
+    spot = alike.spot(F.col("lat") + F.lit(0.0), F.col("lng") + F.lit(0.0), F.get("occurrences", F.lit(0))["start_date"])
+    keyed = events.select(spot.alias("spot"), "name", F.length(F.coalesce("description", F.lit(""))).alias("n_description"), F.col(order).cast("long").alias("pos"), alike.plain_name(F.col("name")).alias("plain"))
+    keyed = staged(keyed, "dedup")
+    nodes = staged(keyed.groupBy("spot", "plain").agg(F.min("pos").alias("at")), "nodes")
+    parts = alike.components(alike.alike(nodes, ["spot"]), ["spot"])
+    met = keyed.join(nodes.join(parts, ["spot", "at"], "left").select("spot", "plain", F.coalesce("part", "at").alias("part")), ["spot", "plain"])
+    once = met.groupBy("spot", "part", "name", "n_description").agg(F.collect_list("pos").alias("at"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.explode("at").sort_values("at")
         at = pdf["at"].astype("int64").to_numpy()
         return pd.DataFrame({"pos": at, "kept_pos": at[greedy_dedup(pdf["name"].tolist(), pdf["n_description"].tolist())]})
 
-    return once.groupBy(*place).applyInPandas(run, "pos long, kept_pos long")
+    # one name of one description: the first of its repeats stays
+    several = F.count("*").over(Window.partitionBy("spot", "part")) > 1
+    once = staged(once.withColumn("several", several), "parts")
+    alone = once.where("not several").select(F.explode("at").alias("pos"), F.array_min("at").alias("kept_pos"))
+    return alone.unionByName(once.where("several").groupBy("spot", "part").applyInPandas(run, "pos long, kept_pos long"))
 
 
 def split_export(events: DataFrame, locations: DataFrame, as_of: Column, box=geo.INIT_BOX, days: int = 7) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

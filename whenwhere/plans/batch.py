@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags, text, when
 from ..operators import listing as L
 from ..sources import files
+from ..sources.stages import staged
 
 #: Box glyphs that are no use as an emoji.
 BLOCKED_EMOJI = ["⬜", "□", "◻", "⬛", "■", "▪", "▫", "◼", "◾", "◽", "◿", "▢", "▣", "▤", "▥", "▦", "▧", "▨", "▩"]
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share, or a fresh temporary one where none is set (local runs)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-stages-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """A stage's result written to the shared folder and read back: later stages read it several times, and their plans stay small."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def listing_rows(pages: DataFrame, rules: tags.TagRules, as_of: Column) -> DataFrame:
     """Rows of the pages' tables that are in reach, with their tags; pages have file, extra_tags and body."""
     rows = L.parse_tables(pages).where(when.within_reach(F.col("start_date"), F.col("end_date"), as_of))
@@ -65,8 +45,15 @@ def grouped_events(rows: DataFrame, file: str, order: str) -> DataFrame:
 
 
 def in_order(events: DataFrame) -> DataFrame:
-    """Adds pos: the files by name, then a file's events in order. Files are numbered in a table of one row a file."""
-    files_ = events.select("file").distinct().withColumn("_n", F.row_number().over(Window.orderBy("file")).cast("long"))
+    """Adds pos: the files by name, then a file's events in order.
+
+    Files are sorted by ranges and numbered within a range; the one window over all has a row a range.
+    """
+    ranged = staged(events.select("file").distinct().repartitionByRange("file").withColumn("_range", F.spark_partition_id()), "files")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", before.alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy("file")) + F.col("_before")
+    files_ = ranged.join(starts, "_range").select("file", number.cast("long").alias("_n"))
     return events.join(files_, "file").withColumn("pos", F.shiftleft("_n", 32) + F.col("key_at")).drop("_n")
 
 

@@ -10,6 +10,7 @@ from ..functions import geo, tags, text, url, when
 from ..operators import listing as L
 from ..operators import view as V
 from ..sources import files
+from ..sources.stages import shared_root, staged
 from ..streaming import incremental
 from . import batch
 from . import model as M
@@ -323,11 +324,11 @@ def q_compact_dates(spark, d):
 def q_batch_plan(spark, d):
     """Tables of two listings each, one of which names a place of the gazetteer, through the whole batch plan."""
     pages = _tables(spark, d).withColumnRenamed("p_partkey", "file").withColumn("extra_tags", F.lit(None).cast("array<string>"))
-    rows = batch.staged(batch.listing_rows(pages, RULES, F.lit("2024-01-01").cast("date")), "rows")
+    rows = staged(batch.listing_rows(pages, RULES, F.lit("2024-01-01").cast("date")), "rows")
     rows = rows.withColumn("row_id", F.col("file") * 100 + F.col("row_no"))
     nation = M.table(spark, d, "nation")
     halls = nation.select(F.col("n_nationkey").alias("pos"), F.when(F.col("n_nationkey") == 0, "Hall").otherwise(F.col("n_name")).alias("name"), F.lit(None).cast("string").alias("short_name"), F.lit(None).cast("array<string>").alias("alternate_names"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lng"), F.lit("H").alias("emoji"))
-    events = batch.grouped_events(batch.staged(batch.placed_rows(rows, halls, "row_id"), "placed"), "file", "row_no")
+    events = batch.grouped_events(staged(batch.placed_rows(rows, halls, "row_id"), "placed"), "file", "row_no")
     return events.groupBy(F.col("file").alias("p_partkey")).agg(F.count("*").alias("n_events"), F.min("name").alias("name"), F.min("lat").alias("lat"), F.min("emoji").alias("emoji"))
 
 
@@ -365,7 +366,7 @@ def _export(spark, d):
     rows = p.select(k.alias("pos"), F.concat("p_brand", F.lit(" end")).alias("name"), F.col("p_type").alias("description"), (40.7 + (k % 9) * 0.01).alias("lat"), (-74.0 + (k % 5) * 0.01).alias("lng"), F.array(url(4), url(3), F.lit("")).alias("urls"), occ.alias("occurrences"))
     rows = rows.withColumns({"lat": F.round("lat", 2), "lng": F.round("lng", 2)})
     as_of = F.lit(M.AS_OF).cast("date")
-    return L.split_export(batch.staged(batch.export(rows, as_of), "export"), rows.select("lat", "lng").distinct(), as_of)
+    return L.split_export(staged(batch.export(rows, as_of), "export"), rows.select("lat", "lng").distinct(), as_of)
 
 
 def _exported(rows):
@@ -398,7 +399,7 @@ def q_edit_ratio(spark, d):
 @query("select event_type, count(*) as n, max(event_id) as last_id from events group by 1")
 def q_stream_arrivals(spark, d):
     """Events through a file stream that stops when all has arrived, then counted."""
-    root = f"{batch.shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     schema = M.table(spark, d, "events").schema
     stream = incremental.arrivals(spark, d, schema, name_filter="events.parquet")
     incremental.drain(stream.select("event_id", "event_type"), f"{root}/out", f"{root}/state")

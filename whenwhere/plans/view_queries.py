@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import search_index as S
 from ..operators import view as V
+from ..sources.stages import shared_root
 from . import model as M
-from .batch import shared_root
 
 W = V.Weights()
 STATES = V.TagStates(selected=("URGENT", "ASIA"), forbidden=("F",))
