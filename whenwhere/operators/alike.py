@@ -31,28 +31,32 @@ def plain_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(bare, rf"[{BLANK}]+", " "))
 
 
-def _runs(column: str, size: Column) -> Column:
-    """Fingerprints of all substrings of a size."""
-    return F.transform(F.sequence(F.lit(1), F.length(column) - size + 1), lambda i: F.xxhash64(F.substring(F.col(column), i, size)))
+def _runs(letters: Column, size: Column) -> Column:
+    """Fingerprints of all substrings of a size, from an array of letters."""
+    return F.transform(F.sequence(F.lit(1), F.size(letters) - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(letters, i, size), "")))
 
 
 def alike(nodes: DataFrame, by: list[str]) -> DataFrame:
     """(by, u, v), u < v: the places (at) of distinct plain names of one page or place that are in one another."""
     able = nodes.where(F.length("plain") >= LEAST).select(*by, "plain", "at")
     crowded = able.groupBy(*by).agg(F.count("*").alias("n"), F.collect_set(F.when(F.length("plain") <= SHORT, F.length("plain"))).alias("sizes")).where("n > 1").drop("n")
-    able = staged(able.join(crowded, by), "names")
-    inner = able.select(*by, F.col("plain").alias("q"), F.col("at").alias("q_at"))
+    # few names may be long: they are spread before their runs are taken
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    able = staged(able.join(crowded, by).repartition(spread, *by, "plain"), "names")
+    spelt = able.withColumn("letters", F.split("plain", ""))
     # short names among the substrings of the lengths that short names of the page have
     fitting = F.filter("sizes", lambda n: n < F.length("plain"))
-    parts = able.select(*by, "plain", "at", F.explode(F.array_distinct(F.flatten(F.transform(fitting, lambda n: _runs("plain", n))))).alias("run"))
-    found = inner.where(F.length("q") <= SHORT).withColumn("run", F.xxhash64("q")).join(parts, [*by, "run"])
+    parts = spelt.select(*by, "at", F.explode(F.array_distinct(F.flatten(F.transform(fitting, lambda n: _runs(F.col("letters"), n))))).alias("run"))
+    short = able.where(F.length("plain") <= SHORT).select(*by, F.col("at").alias("q_at"), F.xxhash64("plain").alias("run"))
     # longer ones by their rarest run
-    grams = able.where(F.length("plain") > SHORT).select(*by, "plain", "at", F.explode(F.array_distinct(_runs("plain", F.lit(SHORT)))).alias("run"))
+    grams = staged(spelt.where(F.length("plain") > SHORT).select(*by, "at", F.explode(F.array_distinct(_runs(F.col("letters"), F.lit(SHORT)))).alias("run")), "runs")
     often = grams.groupBy(*by, "run").agg(F.count("*").alias("often"))
-    rarest = grams.join(often, [*by, "run"]).groupBy(*by, "at").agg(F.min_by(F.struct("run", "plain", "often"), F.struct("often", "run")).alias("r"))
-    anchors = rarest.where("r.often > 1").select(*by, F.col("r.plain").alias("q"), F.col("at").alias("q_at"), F.col("r.run").alias("run"))
-    pairs = [t.where((F.length("q") < F.length("plain")) & F.contains("plain", F.col("q"))).select(*by, F.least("at", "q_at").alias("u"), F.greatest("at", "q_at").alias("v")) for t in (found, anchors.join(grams, [*by, "run"]))]
-    return pairs[0].unionByName(pairs[1]).distinct()
+    rarest = grams.join(often, [*by, "run"]).groupBy(*by, "at").agg(F.min(F.struct("often", "run")).alias("r"))
+    anchors = rarest.where("r.often > 1").select(*by, F.col("at").alias("q_at"), F.col("r.run").alias("run"))
+    met = short.join(parts, [*by, "run"]).unionByName(anchors.join(grams, [*by, "run"])).where("at <> q_at").select(*by, "q_at", "at").distinct()
+    met = met.join(able.select(*by, "at", "plain"), [*by, "at"]).join(able.select(*by, F.col("at").alias("q_at"), F.col("plain").alias("q")), [*by, "q_at"])
+    met = met.where((F.length("q") < F.length("plain")) & F.contains("plain", F.col("q")))
+    return met.select(*by, F.least("at", "q_at").alias("u"), F.greatest("at", "q_at").alias("v")).distinct()
 
 
 def first_openers(edges: DataFrame, by: list[str]) -> DataFrame:
