@@ -6,8 +6,9 @@ that keep too little. With ``keep_first`` a line stays in its first document (le
 still to be deduplicated. Documents with equal texts are one document for these counts. A line's limit is ``max(min_docs, share * documents of the host)``: it grows with the host and
 means the same at any size.
 
-Lines are exploded for the counts, with partial sums before the shuffles; only lines above ``min_docs`` come back to the
-documents. Texts are shuffled only if they are asked for.
+Texts are read once: their base counts and the hashes of their lines are written, and all else works on these, unless texts are asked for.
+Lines are exploded for the counts, with partial sums before the shuffles; only lines above ``min_docs`` come back to the documents. Texts are
+shuffled only if they are asked for.
 
 Defined results: a null text has no words: its counts are 0 and it fails the base rules. A null host is a host of its
 own. Blank lines are never counted. Rows with a null or repeated doc_id are judged each by its own text; a null id is never
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 MIN_DOCS, SHARE, LEAST_KEPT, MIN_WORDS, REPEAT_PERCENT = 20, 0.005, 0.3, 50, 50
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\t\n\x0b\x0c\r"
@@ -95,15 +98,17 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
     rows = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("_text"), host.alias("host"), F.xxhash64(text_col).alias("ver"), *(F.col(c).alias(f"_keep_{c}") for c in keep if c != text_col))
     keyed = rows.withColumn("keys", line_keys(F.col("_text"), F.col("host")))
-    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
+    counted = base_counts(keyed, "_text")
+    lines = F.col("keys") if with_text else F.transform("keys", lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n")))
+    counted = counted.withColumn("keys", lines).withColumn("_null", F.col("_text").isNull()).drop("_text")
+    if not with_text:  # texts are read and their lines hashed once
+        counted = keyed = materialise(counted, "lines")
+    hosts = keyed.groupBy("host").agg(F.count("*").alias("host_docs"))
     frequent = frequent_lines(keyed.select("own", "ver", "keys"), min_docs)
     seen = keyed.select("own", "ver", "host", F.explode(F.array_distinct(F.transform("keys", lambda x: x["key"]))).alias("key")).join(frequent, "key")
     if keep_first:
         seen = seen.where("own is null or own <> first_id")
     seen = seen.groupBy("own", "ver", "host").agg(F.collect_set(F.struct("key", "n_docs")).alias("seen"))
-    counted = base_counts(keyed, "_text")
-    lines = F.col("keys") if with_text else F.transform("keys", lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n")))
-    counted = counted.withColumn("keys", lines).withColumn("_null", F.col("_text").isNull()).drop("_text")
     joined = counted.alias("c").join(seen.alias("s"), F.col("c.own").eqNullSafe(F.col("s.own")) & (F.col("c.ver") == F.col("s.ver")) & (F.col("c.host") == F.col("s.host")), "left").select("c.*", "s.seen").join(hosts, "host", "left")
     limit = F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("host_docs"))
     joined = joined.withColumn("_limit", limit).withColumn("_gone", F.transform(F.filter(F.coalesce("seen", F.array().cast("array<struct<key:bigint,n_docs:bigint>>")), lambda x: x["n_docs"] > F.col("_limit")), lambda x: x["key"]))
