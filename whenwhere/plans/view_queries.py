@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import search_index as S
+from ..operators import tag_index as T
 from ..operators import view as V
+from ..operators import windows as N
 from ..sources.stages import shared_root
 from . import model as M
 
@@ -183,6 +185,36 @@ def q_tag_index(spark, d):
     return V.tag_index(_windowed(spark, d), M.locations(spark, d))
 
 
+def _written_tags(spark, d):
+    pairs = V.tag_places(M.events(spark, d), M.locations(spark, d))
+    return T.write(pairs.select("tag", "id"), M.events(spark, d).select("id"), f"{shared_root(spark)}/tags-{uuid.uuid4().hex}")
+
+
+@query("select tag, cast(count(*) as bigint) as n_events, min(id) as first_id, max(id) as last_id from (select distinct id, unnest(both_tags) as tag from evl) group by 1")
+def q_tag_index_written(spark, d):
+    return _written_tags(spark, d).stats()
+
+
+@query("""select 'any' as filter, id from evl where list_has_any(both_tags, ['URGENT', 'ASIA']) and not list_contains(both_tags, 'F')
+  union all select 'all', id from evl where list_has_all(both_tags, ['URGENT', 'ASIA']) union all select 'none', id from evl where not list_has_any(both_tags, ['URGENT', 'ASIA'])
+  union all select 'mixed', id from evl where list_contains(both_tags, 'HIGH') and not list_contains(both_tags, 'EUROPE') union all select 'free', id from evl""")
+def q_tag_index_filters(spark, d):
+    """The filters by tag states, from the written index alone."""
+    index = _written_tags(spark, d)
+    found = [index.matching(s).withColumn("filter", F.lit(n)) for n, s in (("any", STATES), ("all", ALL), ("none", NONE), ("mixed", MIXED), ("free", V.TagStates()))]
+    return functools.reduce(DataFrame.unionByName, found).select("filter", "id")
+
+
+@query("""select d.day, count(*) as n_occurrences, count(distinct id) as n_events from (select distinct date_trunc('day', o_orderdate) as day from orders) d
+  join occ on s <= d.day + interval 6 days and e >= d.day group by 1""")
+def q_many_windows(spark, d):
+    """The week from each day on which an order was made, all at once."""
+    day = F.date_trunc("day", "o_orderdate").cast("timestamp_ntz")
+    days = M.table(spark, d, "orders").select(day.alias("from")).distinct().withColumn("to", F.col("from") + F.make_dt_interval(F.lit(6)))
+    met = N.overlapping(M.occurrence_rows(spark, d), days)
+    return met.groupBy(F.col("from").alias("day")).agg(F.count("*").alias("n_occurrences"), F.countDistinct("id").alias("n_events"))
+
+
 def _sets(spark, d):
     loc = V.distances(M.locations(spark, d), *M.CENTER)
     matching = V.by_tags(_windowed(spark, d), loc, V.TagStates(selected=("URGENT", "ASIA")))
