@@ -310,7 +310,8 @@ def test_batch_from_pages_to_export(spark, tmp_path):
     pages = spark.createDataFrame([("f1", None, body), ("f2", None, body.replace("/1", "/9"))], "file string, extra_tags array<string>, body string")
     places = spark.createDataFrame([(0, "Harbor Hall", "Hall", None, 40.7, -74.0, "h")], "pos int, name string, short_name string, alternate_names array<string>, lat double, lng double, emoji string")
     done = batch.run(pages, places, TagRules(), F.lit("2025-10-01").cast("date"), str(tmp_path))
-    assert done == ["process", "place", "group", "export"]
+    assert done.stages == ["process", "place", "group", "export"]
+    assert done.report() == {"pages read": 2, "rows read": 6, "rows dropped": 0, "rows without a place": 0, "rows merged into events": 2, "events not exportable": 0, "events merged": 2, "events exported": 2}
     got = {r["name"]: r["urls"] for r in spark.read.json(f"{tmp_path}/events.init").collect()}
     assert got == {"Jazz evening": ["https://e.org/1", "https://e.org/2", "https://e.org/9"], "Poetry": ["https://e.org/3"]}
 
@@ -350,3 +351,33 @@ def test_view_pieces(spark):
     s.click("y")
     s.click("x")
     assert s.chosen["near"][1] == 0.5
+
+
+def test_a_batch_that_fails_on_its_way_is_there_once(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    root, schema = f"file://{tmp_path}/t", "k long, v string"
+    land = lambda a, b: spark.range(a, b, 1, 3).select(F.col("id").alias("k"), F.lit("x").alias("v")).write.mode("append").parquet(f"{tmp_path}/in")
+    from pyspark.sql.types import _parse_datatype_string
+
+    stream = lambda: incremental.arrivals(spark, f"{tmp_path}/in", _parse_datatype_string(schema), 2)
+    land(0, 30)
+
+    def broken(spark_, root_, batch):
+        if batch == 1:
+            raise RuntimeError("lost between the rows and the log")
+        incremental._note(spark_, root_, batch)
+
+    with pytest.raises(StreamingQueryException):
+        incremental.append_batches(stream(), root, broken)
+    seen = {r["k"]: r["id"] for r in incremental.appended(spark, root).collect()}
+    assert 0 < len(seen) < 30
+    incremental.append_batches(stream(), root)
+    land(30, 60)
+    incremental.append_batches(stream(), root)
+    rows = incremental.appended(spark, root).collect()
+    assert sorted(r["k"] for r in rows) == list(range(60)) and len({r["id"] for r in rows}) == 60
+    assert all(r["id"] == seen[r["k"]] for r in rows if r["k"] in seen)
+    assert max(r["id"] for r in rows if r["k"] < 30) < min(r["id"] for r in rows if r["k"] >= 30)
+    incremental.append_batches(stream(), root)
+    assert incremental.appended(spark, root).count() == 60

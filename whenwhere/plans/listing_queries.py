@@ -320,15 +320,18 @@ def q_compact_dates(spark, d):
     return occ.groupBy("id").agg(F.array_sort(F.collect_list("o")).alias("occ")).select("id", when.compact(F.col("occ")).alias("text"))
 
 
+def _halls(spark, d):
+    nation = M.table(spark, d, "nation")
+    return nation.select(F.col("n_nationkey").alias("pos"), F.when(F.col("n_nationkey") == 0, "Hall").otherwise(F.col("n_name")).alias("name"), F.lit(None).cast("string").alias("short_name"), F.lit(None).cast("array<string>").alias("alternate_names"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lng"), F.lit("H").alias("emoji"))
+
+
 @query("""select p_partkey, count(*) as n_events, min(name) as name, 0.0::double as lat, min(case when name like 'Brand%' then 'H' else 'H' end) as emoji from (select p_partkey, p_brand as name from part union all select p_partkey, p_name from part) group by 1""")
 def q_batch_plan(spark, d):
     """Tables of two listings each, one of which names a place of the gazetteer, through the whole batch plan."""
     pages = _tables(spark, d).withColumnRenamed("p_partkey", "file").withColumn("extra_tags", F.lit(None).cast("array<string>"))
     rows = staged(batch.listing_rows(pages, RULES, F.lit("2024-01-01").cast("date")), "rows")
     rows = rows.withColumn("row_id", F.col("file") * 100 + F.col("row_no"))
-    nation = M.table(spark, d, "nation")
-    halls = nation.select(F.col("n_nationkey").alias("pos"), F.when(F.col("n_nationkey") == 0, "Hall").otherwise(F.col("n_name")).alias("name"), F.lit(None).cast("string").alias("short_name"), F.lit(None).cast("array<string>").alias("alternate_names"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lng"), F.lit("H").alias("emoji"))
-    events = batch.grouped_events(staged(batch.placed_rows(rows, halls, "row_id"), "placed"), "file", "row_no")
+    events = batch.grouped_events(staged(batch.placed_rows(rows, _halls(spark, d), "row_id"), "placed"), "file", "row_no")
     return events.groupBy(F.col("file").alias("p_partkey")).agg(F.count("*").alias("n_events"), F.min("name").alias("name"), F.min("lat").alias("lat"), F.min("emoji").alias("emoji"))
 
 
@@ -404,3 +407,27 @@ def q_stream_arrivals(spark, d):
     stream = incremental.arrivals(spark, d, schema, name_filter="events.parquet")
     incremental.drain(stream.select("event_id", "event_type"), f"{root}/out", f"{root}/state")
     return spark.read.parquet(f"{root}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
+
+
+@query("select o_orderkey, o_orderstatus as part, o_orderstatus <> 'F' as is_later, true as is_unique from orders")
+def q_two_phase_load(spark, d):
+    """The first part of a load and then the rest, each in batches; ids of later batches are greater, and none is there twice."""
+    root = f"{shared_root(spark)}/load-{uuid.uuid4().hex}"
+    orders = M.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    for part in ("o_orderstatus = 'F'", "o_orderstatus <> 'F'"):
+        orders.where(part).repartition(3).write.mode("append").parquet(f"{root}/landed")
+        incremental.append_batches(incremental.arrivals(spark, f"{root}/landed", orders.schema, 2), f"{root}/table")
+    rows = incremental.appended(spark, f"{root}/table")
+    last = rows.where("o_orderstatus = 'F'").agg(F.max("id")).first()[0]
+    ids = rows.groupBy("id").agg(F.count("*").alias("_n"))
+    return rows.join(ids, "id").select("o_orderkey", F.col("o_orderstatus").alias("part"), (F.col("id") > F.lit(last)).alias("is_later"), (F.col("_n") == 1).alias("is_unique"))
+
+
+@query("""select name, n from (with p as (select count(*) as c from part)
+  select unnest(['pages read', 'rows read', 'rows dropped', 'rows without a place']) as name, unnest([p.c, 3 * p.c, 0, 0]) as n from p)""")
+def q_run_counters(spark, d):
+    """What a whole run counted on its way."""
+    pages = _tables(spark, d).withColumnRenamed("p_partkey", "file").withColumn("extra_tags", F.lit(None).cast("array<string>"))
+    done = batch.run(pages, _halls(spark, d), RULES, F.lit("2024-01-01").cast("date"), f"{shared_root(spark)}/run-{uuid.uuid4().hex}")
+    report = [(k, v) for k, v in done.report().items() if k in ("pages read", "rows read", "rows dropped", "rows without a place")]
+    return spark.createDataFrame(report, "name string, n long")

@@ -1,4 +1,9 @@
-"""Listings as they arrive: each file once, late rows by watermark, running counts."""
+"""Listings as they arrive: each file once, late rows by watermark, running counts, and loads that follow one another.
+
+A load in phases (``append_batches``) writes each micro-batch into a folder of its own and then notes it in a log; readers see noted batches only. Ids are made
+of the batch, the task and the row's place in it. A batch that fails on its way and is repeated writes its folder anew, so nothing is
+there twice, and rows of a batch that never was noted are not seen.
+"""
 
 from __future__ import annotations
 
@@ -28,3 +33,32 @@ def counts(rows: DataFrame, key: str, at: str, width: str = "1 day", late: str =
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Works off what has arrived, then stops; a later call goes on where this one ended."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+#: Bits of an id: rows of a task, tasks of a batch.
+ROW_BITS, TASK_BITS = 28, 16
+
+
+def append_batches(stream: DataFrame, root: str, note=None) -> None:
+    """Appends what has arrived to the table under ``root``, a batch at a time, with ids that go on from batch to batch; then stops."""
+    note = note or _note
+
+    def write(rows: DataFrame, batch: int) -> None:
+        n = F.monotonically_increasing_id()  # the task's number above 33 bits, the row's place below
+        task, place = F.shiftrightunsigned(n, 33), n.bitwiseAND((1 << 33) - 1)
+        within = F.raise_error("a task of a batch has too many rows for its ids")
+        own = F.when((place < 1 << ROW_BITS) & (task < 1 << TASK_BITS), F.lit(batch) * F.lit(1 << ROW_BITS + TASK_BITS) + F.shiftleft(task, ROW_BITS) + place).otherwise(within.cast("long"))
+        rows.withColumn("id", own).write.mode("overwrite").parquet(f"{root}/batches/batch={batch}")
+        note(rows.sparkSession, root, batch)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def _note(spark: SparkSession, root: str, batch: int) -> None:
+    spark.range(1).select(F.lit(batch).cast("long").alias("done")).write.mode("overwrite").parquet(f"{root}/log/batch={batch}")
+
+
+def appended(spark: SparkSession, root: str) -> DataFrame:
+    """All rows of the batches in the log, with their id and batch."""
+    done = [r["done"] for r in spark.read.parquet(f"{root}/log").select("done").collect()]  # one row a batch
+    return spark.read.option("basePath", f"{root}/batches").parquet(*(f"{root}/batches/batch={b}" for b in sorted(done)))
