@@ -23,7 +23,6 @@ import os
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
-from .shared import materialise, shared_dir
+from .shared import materialise, process_cache, shared_dir
 from .token_files import PATTERN, file_system
 from .vocab import BYTE_OF, default_path, load_json
 
@@ -205,7 +204,7 @@ class Aligner:
         return self.links[np.arange(int(done[-1]) if len(done) else 0) + np.repeat(self.begin[numbers] - (done - n), n)], n
 
 
-@lru_cache(maxsize=1)
+@process_cache
 def _aligner(a_path: str, b_path: str) -> Aligner:
     """One a worker process, so that its memory outlives a task."""
     return Aligner(a_path, b_path, False)
@@ -489,7 +488,7 @@ class Looked:
         return numbers
 
 
-@lru_cache(maxsize=1)
+@process_cache
 def _looked(a_path: str, b_path: str, folder: str) -> Looked:
     return Looked(a_path, b_path, folder)
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
-from .shared import materialise
+from .shared import materialise, process_cache
 
 WINDOW, MAX_WINDOWS = 10, 1 << 18
 #: Letters of a digit's alphabet, and the letter of a word that no item has.
@@ -137,7 +136,7 @@ class Matcher:
         return at[met[:, 0] // self.digits], met[:, 1]
 
 
-@lru_cache(maxsize=1)
+@process_cache
 def _matcher(pairs: Broadcast) -> Matcher:
     """One automaton a worker process."""
     return Matcher(pa.ipc.open_stream(pairs.value).read_all())

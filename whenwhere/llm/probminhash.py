@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
-from .shared import materialise
+from .shared import drop_caches, materialise
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
 LEAST_AGREEMENT, BLOCK = 0.65, 256
@@ -95,6 +95,7 @@ def _sign(k: int, bands: int, rows: int):
         return A.mix(acc + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in batches:
             _, offs = A.string_buffers(batch.column(2))
             for r0, r1 in A.row_chunks(offs, 1 << 20):

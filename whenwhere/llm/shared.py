@@ -4,11 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 LOG_BLOCK = 20
+_CACHES = []
+
+
+def process_cache(make):
+    """Keeps what ``make`` gave last, in a worker process, until other work needs the memory."""
+    cached = lru_cache(maxsize=1)(make)
+    _CACHES.append(cached)
+    return cached
+
+
+def drop_caches() -> None:
+    """What other operators have kept in this process: for tasks that begin a stage of their own and need room."""
+    for cached in _CACHES:
+        cached.cache_clear()
 
 
 def shared_dir(spark: SparkSession) -> str:

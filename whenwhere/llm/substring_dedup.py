@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
-from .shared import LOG_BLOCK, gather_bits, has_bit
+from .shared import drop_caches, gather_bits, has_bit, LOG_BLOCK
 
 WINDOW_WORDS = 13
 #: Sketch rows, and their width at most: 2 x 2**28 bits are 64 MB, broadcast. A corpus for which this is too narrow lets more windows through to the exact pass.
@@ -69,6 +69,7 @@ def _partial_sketch(k: int, log_width: int):
         return pa.RecordBatch.from_arrays([pa.array(blk, pa.int32()), pa.array(data, pa.binary())], ["blk", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         held, n = [], 0
         for batch in batches:
             for keys, _, _ in _batch_windows(batch.column(0), k):
@@ -116,6 +117,7 @@ def _candidates(k: int, bits, log_width: int):
     schema = pa.schema([("win", pa.int64()), ("own", pa.int64()), ("ver", pa.int64()), ("pos", pa.int32()), ("settled", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         maps = bits.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)

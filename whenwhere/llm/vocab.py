@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from .shared import process_cache
+
 #: Code points of Unicode White_Space, the \s of both pretoken patterns.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the byte-level vocabulary's pretoken pattern.
@@ -133,7 +134,7 @@ class WordEncoder:
         return self.words.numbers_of(words, self._word_ids)
 
 
-@lru_cache(maxsize=1)
+@process_cache
 def word_encoder(path: str) -> WordEncoder:
     """One encoder a worker process, so that its memory outlives a task."""
     return WordEncoder(path)
