@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators import cells as Z
 from ..operators import search_index as S
+from ..operators import signed as C
 from ..operators import tag_index as T
 from ..operators import view as V
 from ..operators import windows as N
@@ -215,6 +217,34 @@ def q_many_windows(spark, d):
     return met.groupBy(F.col("from").alias("day")).agg(F.count("*").alias("n_occurrences"), F.countDistinct("id").alias("n_events"))
 
 
+def _cells(spark, d):
+    return Z.write(M.locations(spark, d), f"{shared_root(spark)}/places-{uuid.uuid4().hex}")
+
+
+@query(f"select loc_id, round(d, 3) as distance_m from dist join loc using (loc_id) where {_quad_sql()}")
+def q_view_cells(spark, d):
+    """The places that a view shows, from the table clustered by cell."""
+    return V.distances(_cells(spark, d).in_view(M.QUAD), *M.CENTER).select("loc_id", F.round("distance", 3).alias("distance_m"))
+
+
+@query("select loc_id, round(d, 3) as distance_m from dist where d <= 4000")
+def q_near_places(spark, d):
+    return _cells(spark, d).near(*M.CENTER, 4000.0).select("loc_id", F.round("distance", 3).alias("distance_m"))
+
+
+@query()
+def q_facets_moved(spark, d):
+    """Facets of a window that got there by three moves, each counted by what it changed."""
+    ev, occ = M.event_rows(spark, d), M.occurrence_rows(spark, d)
+    facets = C.Facets.start(spark, f"{shared_root(spark)}/facets-{uuid.uuid4().hex}")
+    for first, last in (("1998-05-20 00:00:00", "1998-05-26 23:59:59.999"), ("1998-05-24 00:00:00", "1998-06-12 23:59:59.999"), (M.START, M.END)):
+        facets = facets.at(ev, occ, (M.moment(first), M.moment(last)))
+    return facets.frequency(V.vocabulary(M.events(spark, d), M.locations(spark, d)))
+
+
+ORACLE["q_facets_moved"] = ORACLE["q_dynamic_frequency"]
+
+
 def _sets(spark, d):
     loc = V.distances(M.locations(spark, d), *M.CENTER)
     matching = V.by_tags(_windowed(spark, d), loc, V.TagStates(selected=("URGENT", "ASIA")))
