@@ -206,7 +206,7 @@ def test_archive_moves_by_the_store(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.md").write_text("1")
     assert files.archive(spark, f"file://{tmp_path}/a/x.md", f"file://{tmp_path}/old/x.md")
-    assert (tmp_path / "old/x.md").read_text() == "1"
+    assert (tmp_path / "old/x.md").read_text() == "1" and not (tmp_path / "a").exists()
     assert not files.archive(spark, f"file://{tmp_path}/a/x.md", f"file://{tmp_path}/old/x.md")
 
 
@@ -312,7 +312,7 @@ def test_batch_from_pages_to_export(spark, tmp_path):
     done = batch.run(pages, places, TagRules(), F.lit("2025-10-01").cast("date"), str(tmp_path))
     assert done.stages == ["process", "place", "group", "export"]
     assert done.report() == {"pages read": 2, "rows read": 6, "rows dropped": 0, "rows without a place": 0, "rows merged into events": 2, "events not exportable": 0, "events merged": 2, "events exported": 2}
-    got = {r["name"]: r["urls"] for r in spark.read.json(f"{tmp_path}/events.init").collect()}
+    got = {r["name"]: r["urls"] for r in spark.read.json(f"{tmp_path}/events.init", multiLine=True).collect()}
     assert got == {"Jazz evening": ["https://e.org/1", "https://e.org/2", "https://e.org/9"], "Poetry": ["https://e.org/3"]}
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import TagRules
+from . import landed
 
 EVENT = (
     "name string, short_name string, location string, sublocation string, description string, emoji string, lat double, lng double, tags array<string>, "
@@ -104,34 +105,23 @@ def follow_keywords(links: DataFrame, site: str, url: str, keywords: str, max_pa
     return hit.withColumn("_r", F.row_number().over(Window.partitionBy(site).orderBy(url))).where(F.col("_r") <= max_pages).drop("_r")
 
 
-def write_events(events: DataFrame, root: str) -> None:
-    """JSON by crawl_date and site."""
-    events.write.mode("overwrite").partitionBy("crawl_date", "site").json(root)
-
-
-def write_pages(pages: DataFrame, root: str) -> None:
-    """Address, blank line, text; by crawl_date and site."""
-    pages.select("crawl_date", "site", F.concat_ws("\n", "source_url", "body").alias("value")).write.mode("overwrite").partitionBy("crawl_date", "site").text(root)
-
-
-def write_export(parts: tuple[DataFrame, DataFrame, DataFrame, DataFrame], root: str) -> None:
-    """init and full events (by first start, undated last), init and full locations."""
+def write_export(parts: tuple[DataFrame, DataFrame, DataFrame, DataFrame], root: str, order: tuple[str, str] = ("pos", "pos")) -> None:
+    """init and full events (by first start, undated last), init and full locations, as numbered JSON arrays; ``order`` settles ties of events and orders locations."""
     for part, name in zip(parts, ("events.init", "events.full", "locations.init", "locations.full"), strict=True):
-        rows = part.orderBy(F.coalesce(F.col("first_start").cast("string"), F.lit("9999-99-99"))) if name.startswith("events") else part
-        rows.write.mode("overwrite").json(f"{root}/{name}")
+        first = [F.coalesce(F.col("first_start").cast("string"), F.lit("9999-99-99")), order[0]] if name.startswith("events") else [order[1]]
+        landed.write_parts(part.orderBy(*first), f"{root}/{name}")
 
 
 def archive(spark: SparkSession, path: str, archived: str) -> bool:
-    """Moves a file or folder by the store's own rename; false if there is none."""
+    """Moves a file or folder by the store's own rename and removes the folder it leaves if that is empty now; false if there is none."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(archived)
     store = source.getFileSystem(conf)
     if not store.exists(source):
         return False
     store.mkdirs(target.getParent())
-    return bool(store.rename(source, target))
-
-
-def default_table(text, header: str):
-    """A page's extracted table, or the header alone if nothing came back."""
-    return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit(header))
+    if not store.rename(source, target):
+        raise OSError(f"{path} could not be moved to {archived}")
+    if not len(store.listStatus(source.getParent())):
+        store.delete(source.getParent(), False)
+    return True

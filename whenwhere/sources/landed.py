@@ -16,7 +16,6 @@ A table without rows makes no page, and one part with an empty array.
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -25,8 +24,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
+
+from ..functions import text
 
 PAGES = "crawl_date string, site string, source_url string, body string, path string"
 GROUP_BYTES = 16 << 20
@@ -49,7 +51,7 @@ def write_pages(pages: DataFrame, root: str) -> None:
     register(pages.sparkSession)
     names = ("crawl_date", "site", "source_url", "body")
     # the rows of one file meet in one task, so that a second one is seen
-    pages.select(*(pages[n].cast("string").alias(n) for n in names)).repartition("crawl_date", safe_name_column("site")).write.format("landed_pages").mode("append").save(root)
+    pages.select(*(pages[n].cast("string").alias(n) for n in names)).repartition("crawl_date", text.safe_file_name(F.col("site"))).write.format("landed_pages").mode("append").save(root)
 
 
 def write_parts(rows: DataFrame, root: str) -> None:
@@ -60,25 +62,24 @@ def write_parts(rows: DataFrame, root: str) -> None:
 
 def read_parts(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """The rows of numbered parts, with their part and place in it."""
-    from pyspark.sql import functions as F
-
-    text = spark.read.option("pathGlobFilter", "part-*.json").text(root, wholetext=True)
+    whole = spark.read.option("pathGlobFilter", "part-*.json").text(root, wholetext=True)
     number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    rows = text.select(number.alias("part"), F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("place", "row"))
+    rows = whole.select(number.alias("part"), F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("place", "row"))
     return rows.select("part", "place", "row.*")
 
 
+def positions(parts: DataFrame) -> DataFrame:
+    """Rows of ``read_parts`` with their position in the whole table, from 0; the one window has a row a part."""
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("_before"))
+    return parts.join(F.broadcast(starts), "part").withColumn("position", F.col("_before") + F.col("place")).drop("_before", "part", "place")
+
+
 def safe_name(name: str) -> str:
     """Letters, digits, blanks and underscores, the blanks as underscores, in lower case."""
     return "".join(c for c in name if c.isalnum() or c in " _").rstrip().replace(" ", "_").lower()
 
 
-def safe_name_column(column: str):
-    from ..functions.text import safe_file_name
-
-    return safe_file_name(column)
-
-
 def _store(path: str) -> tuple[fs.FileSystem, str]:
     store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     return store, at.rstrip("/")
@@ -131,12 +132,12 @@ class PageReader(ds.DataSourceReader):
         rows, size = [], 0
         for path in partition.paths:
             with store.open_input_stream(path, compression=None) as f:
-                text = f.read().decode("utf-8", "replace")
-            first, _, rest = text.partition("\n")
+                whole = f.read().decode("utf-8", "replace")
+            first, _, rest = whole.partition("\n")
             is_url = first.startswith("http") or (self.urls == "any" and bool(first))
             folder, name = path.split("/")[-2:]
-            rows.append((folder[:8], name[:-3], first.strip() if is_url else None, rest if is_url else text, path))
-            size += len(text)
+            rows.append((folder[:8], name[:-3], first.strip() if is_url else None, rest if is_url else whole, path))
+            size += len(whole)
             if size >= BATCH_BYTES:
                 yield _batch(rows)
                 rows, size = [], 0
