@@ -325,14 +325,27 @@ def _halls(spark, d):
     return nation.select(F.col("n_nationkey").alias("pos"), F.when(F.col("n_nationkey") == 0, "Hall").otherwise(F.col("n_name")).alias("name"), F.lit(None).cast("string").alias("short_name"), F.lit(None).cast("array<string>").alias("alternate_names"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lng"), F.lit("H").alias("emoji"))
 
 
-@query("""select p_partkey, count(*) as n_events, min(name) as name, 0.0::double as lat, min(case when name like 'Brand%' then 'H' else 'H' end) as emoji from (select p_partkey, p_brand as name from part union all select p_partkey, p_name from part) group by 1""")
+def _varied(spark, d):
+    """Pages of three listings at one of 25 places: the second is the first one's name with more to it, the third is another event; addresses, days, tags and emoji vary."""
+    place = F.col("p_partkey") % 25
+    hall = F.when(place == 0, "Hall").otherwise(F.concat(F.lit("NATION_"), place))
+    day = lambda n: F.concat(F.lit("2024-01-"), F.lpad((F.col("p_partkey") % 9 + n).cast("string"), 2, "0"))
+    emoji = F.when(F.col("p_partkey") % 3 == 0, "🎵").when(F.col("p_partkey") % 3 == 1, "□").otherwise("x")
+    line = lambda name, n, tag: F.concat(F.lit("\n| "), name, F.lit(" | "), hall, F.lit(" |  | "), day(n), F.lit(" | 7pm |  |  | desc | https://x.example/"), F.lit(n), F.lit(" | #"), F.lit(tag), F.lit(" | "), emoji, F.lit(" |"))
+    body = F.concat(F.lit("| " + " | ".join(L.HEADER) + " |\n|---|"), line(F.col("p_name"), 1, "Jazz"), line(F.concat(F.lit("Talk "), "p_name"), 2, "Talks"), line(F.col("p_brand"), 3, "Art"))
+    return M.table(spark, d, "part").select(F.col("p_partkey").alias("file"), F.lit(None).cast("array<string>").alias("extra_tags"), body.alias("body"))
+
+
+@query("""with p as (select *, (p_partkey % 9)::int as k, case when p_partkey % 3 = 0 then '🎵' else 'H' end as emoji, (p_partkey % 25)::double as lat from part)
+select p_partkey, p_name as name, lat, emoji, 'https://x.example/1 https://x.example/2' as urls, '2024-01-' || lpad((k + 1)::varchar, 2, '0') || ' 2024-01-' || lpad((k + 2)::varchar, 2, '0') as days, 'Jazz' as first_tag from p
+union all select p_partkey, p_brand, lat, emoji, 'https://x.example/3', '2024-01-' || lpad((k + 3)::varchar, 2, '0'), 'Art' from p""")
 def q_batch_plan(spark, d):
-    """Tables of two listings each, one of which names a place of the gazetteer, through the whole batch plan."""
-    pages = _tables(spark, d).withColumnRenamed("p_partkey", "file").withColumn("extra_tags", F.lit(None).cast("array<string>"))
-    rows = staged(batch.listing_rows(pages, RULES, F.lit("2024-01-01").cast("date")), "rows")
+    """Pages of three listings each through the whole batch plan: placed, grouped, with the addresses and days of all rows of an event."""
+    rows = staged(batch.listing_rows(_varied(spark, d), RULES, F.lit("2024-01-01").cast("date")), "rows")
     rows = rows.withColumn("row_id", F.col("file") * 100 + F.col("row_no"))
     events = batch.grouped_events(staged(batch.placed_rows(rows, _halls(spark, d), "row_id"), "placed"), "file", "row_no")
-    return events.groupBy(F.col("file").alias("p_partkey")).agg(F.count("*").alias("n_events"), F.min("name").alias("name"), F.min("lat").alias("lat"), F.min("emoji").alias("emoji"))
+    days = F.array_join(F.transform("occurrences", lambda o: o["start_date"]), " ")
+    return events.select(F.col("file").alias("p_partkey"), "name", "lat", "emoji", F.array_join("urls", " ").alias("urls"), days.alias("days"), F.get("tags", F.lit(0)).alias("first_tag"))
 
 
 @query()
