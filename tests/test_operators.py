@@ -381,3 +381,22 @@ def test_a_batch_that_fails_on_its_way_is_there_once(spark, tmp_path):
     assert max(r["id"] for r in rows if r["k"] < 30) < min(r["id"] for r in rows if r["k"] >= 30)
     incremental.append_batches(stream(), root)
     assert incremental.appended(spark, root).count() == 60
+
+
+def test_section_order_as_dismissals_say(spark):
+    rows = [(1, "b", 3), (1, "a", 5), (1, "b", 9), (1, "zz", 10), (1, None, 11), (2, "c", 4), (2, "a", 4), (3, "x", 1), (4, "a", None)]
+    got = {r["u"]: r["sections"] for r in V.section_order(spark.createDataFrame(rows, "u long, s string, at long"), "u", "s", "at", ("a", "b", "c")).collect()}
+    assert got == {1: ["c", "a", "b"], 2: ["b", "a", "c"], 3: ["a", "b", "c"], 4: ["a", "b", "c"]}
+
+
+def test_prompts_and_tables(spark):
+    from whenwhere.plans import extract
+
+    pages = spark.createDataFrame([("20250101", "a_b", "http://u", "see {url} {x}"), ("20250101", "c", None, "no address"), ("20250102", "d", "http://d", None), ("20250102", "e", "http://e", "done")], "crawl_date string, site string, source_url string, body string")
+    todo = extract.pending(pages, spark.createDataFrame([("20250102", "e"), ("20250102", "a_b")], "crawl_date string, site string"))
+    notes = spark.createDataFrame([("a_b", "n2"), ("a_b", "n1")], "site string, notes string")
+    got = {r["site"]: r["prompt"] for r in extract.prompts(todo, "{name}|{url}|{content}|{date}|{notes}|{y}", notes).collect()}
+    assert got == {"a_b": "A B|http://u|see {url} {x}|2025-01-01|n1|{y}", "d": "D|http://d||2025-01-02||{y}"}
+    answers = spark.createDataFrame([("20250101", "a_b", 1, extract.HEAD + "\n| 2 |"), ("20250101", "a_b", 0, extract.HEAD + "\n| 1 |"), ("20250102", "d", 0, "  "), ("20250102", "e", 0, "x"), ("20250101", "a_b", 2, None)], "crawl_date string, site string, chunk_no int, text string")
+    made = {r["site"]: r["body"] for r in extract.tables(todo, answers).collect()}
+    assert made == {"a_b": extract.HEAD + "\n| 1 |\n| 2 |", "d": extract.HEAD}

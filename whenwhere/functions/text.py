@@ -162,6 +162,11 @@ def emphasise(text: Column) -> Column:
     return fold(text, (r"\*\*(.*?)\*\*", "<strong>$1</strong>"), (r"(?U)\b__(.*?)__\b", "<strong>$1</strong>"), (r"\*(.*?)\*", "<em>$1</em>"), (r"(?U)\b_(.*?)_\b", "<em>$1</em>"))
 
 
+def result_name(short: Column, name: Column) -> Column:
+    """The display name as a result shows it: strong words marked, emphasis dropped."""
+    return F.regexp_replace(emphasise(display_name(short, name)), "</?em>", "")
+
+
 def blank_if_missing(text: Column) -> Column:
     """Texts that begin like a missing value are empty."""
     return F.when(text.isNull() | text.startswith("None") | text.startswith("N/A"), "").otherwise(text)

@@ -89,3 +89,13 @@ def many_occurrences(occurrences: Column) -> Column:
 def compact(occurrences: Column) -> Column:
     """The dates and times of an event in short."""
     return F.when(F.coalesce(F.size(occurrences), F.lit(0)) <= 0, "Date/Time N/A").when(F.size(occurrences) == 1, one_occurrence(F.get(occurrences, 0))).otherwise(many_occurrences(occurrences))
+
+
+def display_day(moment: Column) -> Column:
+    """Jan 5, 2024; null stays null."""
+    return F.date_format(moment, "MMM d, yyyy")
+
+
+def url_day(moment: Column) -> Column:
+    """2024-01-05."""
+    return F.date_format(moment, "yyyy-MM-dd")

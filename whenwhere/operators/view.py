@@ -233,6 +233,22 @@ def grouped_top(results: DataFrame, k: int = 100, term: str = "", selected: str
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).drop("_ahead")
 
 
+def section_order(dismissed: DataFrame, key: str, section: str, at: str, sections: tuple[str, ...]) -> DataFrame:
+    """(key, sections): each viewer's sections as they stand after all that was dismissed: a dismissed one goes to the end.
+
+    That is the sections never dismissed, as given, then the others by their last dismissal; equal times keep the given order. Other sections,
+    null ones and null times count for nothing.
+    """
+
+    def dismissed_at(s: str) -> Column:
+        return F.get(F.filter("_last", lambda x: x["s"] == s), F.lit(0))["_at"]
+
+    last = dismissed.groupBy(key, section).agg(F.max(at).alias("_at"))
+    mine = last.groupBy(key).agg(F.collect_list(F.when(F.col(section).isin(*sections) & F.col("_at").isNotNull(), F.struct(F.col(section).alias("s"), "_at"))).alias("_last"))
+    ranked = F.array(*(F.struct(dismissed_at(s).alias("at"), F.lit(n).alias("n"), F.lit(s).alias("s")) for n, s in enumerate(sections)))
+    return mine.select(key, F.transform(F.array_sort(ranked), lambda x: x["s"]).alias("sections"))
+
+
 def with_forced(shown: DataFrame, events: DataFrame, forced: int | None) -> DataFrame:
     """The events shown at their places, and the forced one if it is not among them."""
     if forced is None:

@@ -297,9 +297,25 @@ def q_display_name(spark, d):
     return M.table(spark, d, "part").select("p_partkey", text.display_name(F.lit(""), F.expr(NAMES)).alias("display_name"))
 
 
-@query("select l_orderkey, l_linenumber, strftime(l_shipdate, '%b %-d, %Y') as day from lineitem")
+@query("select l_orderkey, l_linenumber, strftime(l_shipdate, '%b %-d, %Y') as day, strftime(l_shipdate, '%Y-%m-%d') as url_day from lineitem")
 def q_datetime_format(spark, d):
-    return M.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "MMM d, yyyy").alias("day"))
+    return M.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", when.display_day(F.col("l_shipdate")).alias("day"), when.url_day(F.col("l_shipdate")).alias("url_day"))
+
+
+@query("select p_partkey, case when length(n) > 40 then null else p_name || ' and <strong>' || p_brand || '</strong>' end as shown from (select *, '*' || p_name || '* and **' || p_brand || '**' as n from part)")
+def q_result_name(spark, d):
+    name = F.concat(F.lit("*"), "p_name", F.lit("* and **"), "p_brand", F.lit("**"))
+    return M.table(spark, d, "part").select("p_partkey", text.result_name(F.lit(""), name).alias("shown"))
+
+
+SECTIONS = ("view", "location", "click", "tag")
+
+
+@query("""with s(section, n) as (values ('view', 0), ('location', 1), ('click', 2), ('tag', 3)), l as (select user_id, event_type, max(ts) as last_at from events group by 1, 2)
+select u.user_id, string_agg(section, ' ' order by last_at nulls first, n) as sections from (select distinct user_id from events) u cross join s left join l on l.user_id = u.user_id and l.event_type = section group by 1""")
+def q_section_order(spark, d):
+    """Sections of each viewer, where an event of a section's name dismisses it."""
+    return V.section_order(M.table(spark, d, "events"), "user_id", "event_type", "ts", SECTIONS).select("user_id", F.array_join("sections", " ").alias("sections"))
 
 
 _clock = "replace(lower(replace(strftime({}, '%-I:%M %p'), ' ', '')), ':00', '')"
