@@ -101,3 +101,9 @@ def test_view_state(spark):
     got = spark.createDataFrame([("https://x/?lat=40.5abc&lng=500&zoom=25&start=1999-01-01&end=2024-02-30&tags=A%20B,%3Cx%3E,C-d",), ("https://x/",)], "u string").select(*(v.alias(k) for k, v in url.view_state(F.col("u")).items())).collect()
     assert tuple(got[0]) == (40.5, None, None, None, None, ["A B", "C-d"])
     assert tuple(got[1]) == (None, None, None, None, None, [])
+
+
+def test_decode_html(spark):
+    rows = [("a &amp; b", "a & b"), ("&lt;i&gt;&#39;&#x27;&quot;", "<i>''\""), ("&eacute;t&eacute;", "été"), ("&amp;lt;", "&lt;"), ("no entity &zzz;", "no entity &zzz;"), ("&nothing;", "¬hing;"), ("", ""), (None, None)]
+    got = spark.createDataFrame(rows, "t string, want string").select(text.decode_html(F.col("t")).alias("got"), "want").collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
