@@ -23,7 +23,6 @@ QUERIES = {
 ORACLE = {
     "op9_block_matrix_neighbours": ann.SQL,
     "op7_quality_line_frequency": quality.SQL,
-    "op11_tokenizer_alignment": alignment.op11,
     "op12_resident_lloyd_codes": vector_codes.SQL,
     "op13_benchmark_decontamination": decontamination.SQL,
 }
