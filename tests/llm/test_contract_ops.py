@@ -313,6 +313,8 @@ def test_op9(spark):
         near = sorted((float(np.sqrt(np.cumsum((good[q] - v) ** 2)[-1])), i) for i, v in good.items() if i != q)[:10]
         want |= {(q, n + 1, i, s) for n, (s, i) in enumerate(near)}
     assert {tuple(r) for r in got} == want
+    cells = ann.search(df.where("vec_id % 100 = 0"), df, strip_bytes=2 * 24 * 8, part_bytes=60 * 24 * 8)  # a grid of two strips and nine parts
+    assert {tuple(r) for r in cells.collect()} == want
     few = df.where("vec_id < 4")
     assert ann.search(few.where("vec_id = 0"), few).count() == 3
     assert ann.search(few.where("vec_id = 99"), few).count() == 0
@@ -331,6 +333,19 @@ def test_a_hot_id_leaves_room_for_the_others():
     assert vec.tolist() == sorted(least, key=least.get)[:10]
 
 
+def test_a_heap_bounds_later_blocks():
+    rng = np.random.default_rng(9)
+    q = ann.Tile(np.array([3, 5]), rng.normal(size=(2, 8)))
+    near, far = ann.Tile(np.arange(100, 140), q.x[0] + 0.1 * rng.normal(size=(40, 8))), ann.Tile(np.arange(200, 260), 50 + rng.normal(size=(60, 8)))
+    at, to, score = ann.nearest(q, near, 10)
+    held = ann._best(q.ids[at], near.ids[to], score, 10)
+    reach = ann._reach(q.ids, held, 10)
+    assert reach.tolist() == [held[2][9], held[2][19]]
+    assert len(ann.nearest(q, far, 10, reach)[0]) == 0 < len(ann.nearest(q, far, 10)[0])
+    some = tuple(x[:13] for x in held)  # the second query holds three
+    assert ann._reach(q.ids, some, 10).tolist() == [held[2][9], np.inf]
+
+
 def test_int8_bounds_hold():
     rng = np.random.default_rng(3)
     a, b = (ann.Tile(np.arange(40), rng.normal(size=(40, 33)) * rng.uniform(1e-3, 1e3, (40, 1))) for _ in range(2))

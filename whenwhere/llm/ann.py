@@ -1,11 +1,13 @@
 """Nearest neighbours by a block matrix join of int8 tiles with error bounds.
 
-Vectors are scaled to int8, each with its own scale and the exact length of its rounding error. Tiles of queries meet blocks of
-candidates in a grid: a task has one tile and one part of the candidates, so the number of tasks grows with both, a candidate travels once a
-query tile and a query once a part; the int8 products (taken in float32 blocks, which hold them exactly) give each distance up to
-the sum of the two error lengths. In a tile, a candidate survives if its lower bound exceeds neither the k-th least upper
-bound of distinct ids nor the least of its own id; survivors are recomputed from the original vectors in double precision. Each task keeps a heap of k for each query over all its
-tiles; the heaps' rows are merged by rank. Nothing is dropped: the bounds are proven, so the result is exact.
+Vectors are scaled to int8, each with its own scale and the exact length of its rounding error. Queries are cut into strips, candidates into
+parts, both by bytes (STRIP_BYTES, PART_BYTES; more parts where the cluster has more cores than that). A task has one strip and one part:
+it holds the strip and streams the part's blocks by it, so a task's memory is a strip and a block, whatever the tables' size. A candidate travels
+once a strip and a query once a part; vectors that are whole in single precision travel so. The int8 products (taken in float32 blocks, which
+hold them exactly) give each distance up to the sum of the two error lengths. In a tile, a candidate survives if its lower bound exceeds neither
+the k-th least upper bound of distinct ids nor the k-th exact distance of the query's heap nor the least upper bound of its own id; survivors
+are recomputed from the original vectors in double precision. Each task keeps a heap of k for each query over all its blocks; the heaps' rows
+are merged by rank. Nothing is dropped: the bounds are proven, so the result is exact.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components take no part, nor do rows with a null
 id or a length other than most queries' (the query tile's). Rows that repeat an id are one candidate, at its least distance;
@@ -23,9 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-K, QUERY_TILE, TILE = 10, 2048, 4096
-#: Queries that are multiplied at a time, and candidates in a part of the grid.
-AT_A_TIME, PART = 512, 16_384
+K = 10
+#: Queries and candidates that are multiplied at a time, and the bytes that a block of candidates may have.
+AT_A_TIME, TILE, BLOCK_BYTES = 512, 4096, 4 << 20
+#: Bytes (in double precision) of the queries that a task holds, and of the candidates that it streams.
+STRIP_BYTES, PART_BYTES = 32 << 20, 256 << 20
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -59,8 +63,8 @@ class Tile:
         return np.sqrt(np.maximum(sq, 0))
 
 
-def nearest(queries: Tile, tile: Tile, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, candidate index, exact distance) of a tile's candidates that may be among the k nearest."""
+def nearest(queries: Tile, tile: Tile, k: int, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, candidate index, exact distance) of a tile's candidates that may be among the k nearest, none of them surely beyond ``within``."""
     far = queries.approximate(tile)
     slack = queries.error[:, None] + tile.error
     # the square root turns rounding near zero into about 1e-8 of the lengths
@@ -68,6 +72,8 @@ def nearest(queries: Tile, tile: Tile, k: int) -> tuple[np.ndarray, np.ndarray,
     own = queries.ids[:, None] == tile.ids
     high = np.where(own | ~(far + slack < np.inf), np.inf, far + slack)  # squares that overflow bound nothing
     low, fits = far - slack, ~own
+    if within is not None:
+        fits &= ~(low > within[:, None])
     vecs, of = np.unique(tile.ids, return_inverse=True)
     if len(vecs) < len(tile.ids):  # rows that repeat an id are one candidate
         order = np.argsort(of, kind="stable")
@@ -106,80 +112,89 @@ def _dimensions(column: pa.Array) -> np.ndarray:
     return np.diff(column.offsets.to_numpy())
 
 
-def _query_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each (tile, dimension): ids and vectors as bytes."""
-    held: dict[tuple[int, int], list] = {}
-    for batch in batches:
-        tile, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        dims, flat, offs = _dimensions(batch.column(2)), batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
-        for key in set(zip(tile.tolist(), dims.tolist(), strict=True)):
-            at = np.flatnonzero((tile == key[0]) & (dims == key[1]))
-            held.setdefault(key, []).append((ids[at], flat[offs[at][:, None] + np.arange(key[1])]))
-    for (t, d), parts in held.items():
-        ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        yield pa.RecordBatch.from_pydict({"tile": pa.array([t], pa.int32()), "dim": pa.array([d], pa.int32()), "q_ids": pa.array([ids.tobytes()], pa.binary()), "q_vecs": pa.array([x.tobytes()], pa.binary())})
-
-
-def _candidate_tiles(n_parts: int):
-    """Blocks of candidates, dealt in turn to the parts of the grid."""
+def _blocks(n_parts: int | None):
+    """Rows of (strip, id, vector), or of (id, vector) dealt in turn to the parts, to blocks of ids and vectors as bytes."""
+    shape = pa.schema([("at", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId() * 7919
         for batch in batches:
-            ids, column = batch.column(0).to_numpy(), batch.column(1)
+            ids, column = batch.column("vec_id").to_numpy(), batch.column("vec")
+            strip = np.zeros(len(ids), np.int32) if n_parts else batch.column("strip").to_numpy()
             dims, flat, offs = _dimensions(column), column.values.to_numpy(), column.offsets.to_numpy()
-            for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                for a in range(0, len(at), TILE):
-                    rows, turn = at[a : a + TILE], turn + 1
-                    vecs = flat[offs[rows][:, None] + np.arange(d)].tobytes()
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([turn % n_parts], pa.int32()), "dim": pa.array([d], pa.int32()), "ids": pa.array([ids[rows].tobytes()], pa.binary()), "vecs": pa.array([vecs], pa.binary())})
+            for n, d in sorted(set(zip(strip.tolist(), dims.tolist(), strict=True))):
+                rows = np.flatnonzero((strip == n) & (dims == d))
+                step = max(1, min(TILE if n_parts else AT_A_TIME, BLOCK_BYTES // (8 * d)))
+                for a in range(0, len(rows), step):
+                    some, turn = rows[a : a + step], turn + 1
+                    x = flat[offs[some][:, None] + np.arange(d)]
+                    with np.errstate(over="ignore"):
+                        single = x.astype(np.float32)
+                    cell = turn % n_parts if n_parts else n
+                    yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([d], pa.int32()), pa.array([ids[some].tobytes()], pa.binary()), pa.array([(single if (single == x).all() else x).tobytes()], pa.binary())], schema=shape)
 
     return run
 
 
 def _tile(ids: bytes, vecs: bytes, d: int) -> Tile:
-    return Tile(np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.float64).reshape(-1, d))
+    ids = np.frombuffer(ids, np.int64)
+    x = np.frombuffer(vecs, np.float32 if len(vecs) == 4 * d * len(ids) else np.float64)
+    return Tile(ids, x.reshape(-1, d).astype(np.float64))
+
+
+def _reach(queries: np.ndarray, held: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """The k-th exact distance of each query so far, infinite where fewer are held; queries ascend, and held rows go by query and rank."""
+    found = np.full(len(queries), np.inf)
+    n = np.bincount(np.searchsorted(queries, held[0]), minlength=len(queries))
+    full = n == k
+    found[full] = held[2][np.cumsum(n)[full] - 1]
+    return found
 
 
 def _meet(k: int):
+    """A cell's blocks, the queries' first, to the k nearest of each query among the cell's candidates."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[tuple[int, int, int], list[np.ndarray]] = {}
-        last_key, queries = None, []
+        strip: dict[int, list[Tile]] = {}
+        heaps: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                key = (r["tile"], r["dim"])
-                if key != last_key:
-                    last_key, whole = key, _tile(r["q_ids"], r["q_vecs"], r["dim"])
-                    queries = [Tile(whole.ids[a : a + AT_A_TIME], whole.x[a : a + AT_A_TIME]) for a in range(0, len(whole.ids), AT_A_TIME)]
-                tile = _tile(r["ids"], r["vecs"], r["dim"])
-                for n, some in enumerate(queries):
-                    at, to, score = nearest(some, tile, k)
+            for i in range(batch.num_rows):
+                is_query, d, ids, vecs = (batch.column(c)[i].as_py() for c in ("is_query", "dim", "ids", "vecs"))
+                tile = _tile(ids, vecs, d)
+                if is_query:
+                    order = np.argsort(tile.ids)
+                    strip.setdefault(d, []).append(Tile(tile.ids[order], tile.x[order]))
+                    continue
+                for n, some in enumerate(strip.get(d, [])):
+                    held = heaps.get((d, n))
+                    at, to, score = nearest(some, tile, k, _reach(some.ids, held, k) if held else None)
                     new = [some.ids[at], tile.ids[to], score]
-                    if (*key, n) in heaps:
-                        new = [np.concatenate(x) for x in zip(heaps[*key, n], new, strict=True)]
-                    heaps[*key, n] = list(_best(*new, k))
+                    if held:
+                        new = [np.concatenate(x) for x in zip(held, new, strict=True)]
+                    heaps[d, n] = _best(*new, k)
         for q, v, s in heaps.values():
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], schema=schema)
 
     return run
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", query_tile: int = QUERY_TILE, part: int = PART) -> DataFrame:
+def search(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", strip_bytes: int = STRIP_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest candidates but its own id."""
     spark = candidates.sparkSession
     q = usable(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    n_tiles = max(1, -(-q.count() // query_tile))
-    tiles = q.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_tiles)).cast("int").alias("tile"), "vec_id", "vec").repartition("tile").mapInArrow(_query_tiles, "tile int, dim int, q_ids binary, q_vecs binary")
-    n_parts = max(1, -(-candidates.count() // part))
-    grid = n_tiles * n_parts
-    keys = ["tile", "part", "dim"]
+    n_queries, components = q.agg(F.count("*"), F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()
+    n_strips = max(1, -(-8 * components // strip_bytes))
+    candidate_bytes = candidates.count() * 8 * components // max(1, n_queries)
+    n_parts = max(1, -(-candidate_bytes // part_bytes), -(-spark.sparkContext.defaultParallelism // n_strips))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    blocks = usable(candidates, id_col, vec_col).mapInArrow(_candidate_tiles(n_parts), "part int, dim int, ids binary, vecs binary").withColumn("tile", every(n_tiles))
-    met = blocks.repartition(grid, *keys).join(tiles.withColumn("part", every(n_parts)).repartition(grid, *keys), keys).select("tile", "dim", "q_ids", "q_vecs", "ids", "vecs")
-    found = met.mapInArrow(_meet(k), "query_id long, vec_id long, score double")
+    shape = "at int, dim int, ids binary, vecs binary"
+    strips = q.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_strips)).cast("int").alias("strip"), "vec_id", "vec").repartition("strip").mapInArrow(_blocks(None), shape)
+    parts = usable(candidates, id_col, vec_col).mapInArrow(_blocks(n_parts), shape)
+    cell = lambda rows, strip, part, is_query: rows.withColumn("other", every(n_parts if is_query else n_strips)).select((strip * n_parts + part).alias("cell"), F.lit(is_query).alias("is_query"), "dim", "ids", "vecs")
+    both = cell(strips, F.col("at"), F.col("other"), True).unionAll(cell(parts, F.col("other"), F.col("at"), False))
+    met = both.repartitionById(n_strips * n_parts, F.col("cell")).sortWithinPartitions(F.desc("is_query")).select("is_query", "dim", "ids", "vecs")
+    found = met.mapInArrow(_meet(k), "query_id long, vec_id long, score double").repartition("query_id")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
