@@ -252,7 +252,7 @@ def test_network_beats_word_counts_on_held_out_documents(spark):
     vocabulary, w = masked_lm.fit(seen)
     good = masked_lm.score(held, vocabulary, w).agg(F.sum("pll") / F.sum("n_tokens")).first()[0]
     start = masked_lm.start_weights(vocabulary)
-    start[2][:] = 0
+    start.out[:] = 0
     plain = masked_lm.score(held, vocabulary, start).agg(F.sum("pll") / F.sum("n_tokens")).first()[0]
     assert good > plain + 0.5
 
@@ -270,14 +270,16 @@ def test_scores_are_sums_of_log_probabilities(spark, monkeypatch):
     hash_of = {x: int(A.hash_strings(pa.array([x]))[0]) for x in [*counts, "never"]}
     own = {h: i for i, h in enumerate(sorted(hash_of[x] for x, _ in sorted(counts.items(), key=lambda c: (-c[1], np.uint64(hash_of[c[0]]).astype(np.int64)))[:6]))}
     token = {x: own.get(h, 6 + h % 64) for x, h in hash_of.items()}
-    hidden, bias, out, out_bias, inner, inner_bias = (p.astype(np.float64) for p in w)
+    hidden, bias, out, out_bias, gates, vectors, inner, inner_bias = (p.astype(np.float64) for p in w.arrays())
+    assert np.abs(vectors).max() > 0, "the sides' tokens have learnt"
     classes = out.shape[1]
 
     def word(ws, i):
         h = bias.copy()
         for j, shift in enumerate((-3, -2, -1, 1, 2, 3)):
-            c = vocabulary.cls[token[ws[i + shift]]] if 0 <= i + shift < len(ws) else classes
-            h += hidden[j * (classes + 1) + c]
+            side = token[ws[i + shift]] if 0 <= i + shift < len(ws) else len(vocabulary.cls)
+            c = vocabulary.cls[side] if side < len(vocabulary.cls) else classes
+            h += hidden[j * (classes + 1) + c] + gates[j] * vectors[side]
         h = np.tanh(h)
         z = h @ out + out_bias
         t = token[ws[i]]
@@ -296,6 +298,18 @@ def test_scores_are_sums_of_log_probabilities(spark, monkeypatch):
     assert masked_lm.score(df.where("false"), vocabulary, w).count() == 0
 
 
+def test_the_sides_tell_words_of_one_class_apart(spark):
+    """Pairs of words that differ within their classes alone: a word's neighbour, not its class, says which word follows."""
+    rng = random.Random(4)
+    pairs = [(f"l{i}", f"r{i}") for i in range(400)]
+    said = lambda wrong=0: " ".join(x for _ in range(40) for n in [rng.randrange(400)] for x in ("the", pairs[n][0], pairs[(n + wrong) % 400][1]))
+    seen = spark.createDataFrame([(i, said()) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    vocabulary, w = masked_lm.fit(seen)
+    odd = spark.createDataFrame([(i, said(i % 2 * 7)) for i in range(40)], "doc_id long, text string")
+    got = {r["doc_id"]: r["mean_pll"] for r in masked_lm.score(odd, vocabulary, w).collect()}
+    assert min(v for k, v in got.items() if k % 2 == 0) > max(v for k, v in got.items() if k % 2) + 0.5
+
+
 def test_a_garbled_text_scores_below_one_of_rare_words(spark):
     rng = random.Random(2)
     rare = [f"rare{i}" for i in range(3000)]

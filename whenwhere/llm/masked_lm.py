@@ -2,13 +2,13 @@
 
 Words are counted over the whole corpus. The most frequent ones (as many as the corpus's distinct words call for) are tokens of their own, all
 others fall on hashed tokens. Tokens are dealt to classes by frequency, of about equal mass and at most CLASS_TOKENS tokens. The network
-sees the classes of the three words on each side and predicts the masked token by a two-step softmax, both steps learnt:
-log P(token | both sides) = log P(class | h) + log P(token | class, h), with h its hidden layer. A word on a hashed token has the token's
+sees the tokens of the three words on each side, each as a learnt vector gated by its place and as a row of its class by place, and predicts
+the masked token by a two-step softmax, both steps learnt: log P(token | both sides) = log P(class | h) + log P(token | class, h), with h its hidden layer. A word on a hashed token has the token's
 probability times the word's own share of it, from a table of the tail's counts that grows with the corpus. A document's score is the sum over
 all its words.
 
 Training is one pass over every document: each task starts from the same weights, masks a quarter of the words (by a hash of text
-and place) and takes Adam steps for the classes and Adagrad steps within them; the tasks' weights are averaged by the number of words they
+and place) and takes Adam steps for the classes and Adagrad steps for the tokens' vectors and within classes; the tasks' weights are averaged by the number of words they
 masked, in two levels of partial sums. Training again after the loss of an executor sees the same rows and masks the same words.
 
 Defined results: a text without words (null, empty) has no tokens, a score of 0 and a null mean. Rows with null or repeated
@@ -32,7 +32,7 @@ from .shared import materialise
 HASHED, MASS_CLASSES, CLASS_TOKENS, SIDE, HIDDEN = 64, 64, 256, 3, 24
 #: Words of their own: one in WORDS_SHARE distinct words, within these bounds. The tail's counts: up to 2**MAX_LOG_TAIL slots, two a distinct word.
 LEAST_WORDS, MOST_WORDS, WORDS_SHARE, MAX_LOG_TAIL, LOG_TAIL_BLOCK = 8192, 65_536, 256, 24, 16
-MASK_ONE_IN, BATCH, RATE, WITHIN_BATCH, WITHIN_RATE = 4, 1024, 0.01, 16_384, 0.1
+MASK_ONE_IN, BATCH, RATE, WITHIN_BATCH, WITHIN_RATE, VECTOR_RATE = 4, 1024, 0.01, 16_384, 0.1, 0.05
 PART_FLOATS, SALTS = 65_536, 64
 
 
@@ -143,59 +143,102 @@ def build_vocabulary(counts: DataFrame, size: int | None = None) -> Vocabulary:
     return Vocabulary(hashes, cls, np.log(mass / total[cls]), np.log(total / mass.sum()), members, place, tail, left + 1.0)
 
 
-def start_weights(vocabulary: Vocabulary, seed: int = 1) -> list[np.ndarray]:
-    """A network that knows the tokens' shares and nothing of the sides: hidden layer, classes, tokens within them."""
-    rng, c = np.random.default_rng(seed), vocabulary.classes
-    w = [rng.normal(0, 0.3, (2 * SIDE * (c + 1), HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.02, (HIDDEN, c)), vocabulary.log_mass]
-    return [x.astype(np.float32) for x in (*w, np.zeros((len(vocabulary.cls), HIDDEN)), vocabulary.log_share)]
+@dataclass
+class Weights:
+    """The network: rows of classes by place, hidden bias, classes and their bias, gates by place; vectors of the sides' tokens; tokens within classes and their bias."""
+
+    hidden: np.ndarray
+    bias: np.ndarray
+    out: np.ndarray
+    out_bias: np.ndarray
+    gates: np.ndarray
+    vectors: np.ndarray
+    inner: np.ndarray
+    inner_bias: np.ndarray
+
+    def arrays(self) -> list[np.ndarray]:
+        return list(vars(self).values())
+
+    def dense(self) -> list[np.ndarray]:
+        """What every step changes."""
+        return [self.hidden, self.bias, self.out, self.out_bias, self.gates]
+
+    def copy(self) -> Weights:
+        return Weights(*(p.copy() for p in self.arrays()))
+
 
+def start_weights(vocabulary: Vocabulary, seed: int = 1) -> Weights:
+    """A network that knows the tokens' shares and nothing of the sides."""
+    rng, c, n = np.random.default_rng(seed), vocabulary.classes, len(vocabulary.cls)
+    hidden, out, gates = rng.normal(0, 0.3, (2 * SIDE * (c + 1), HIDDEN)), rng.normal(0, 0.02, (HIDDEN, c)), rng.normal(1, 0.3, (2 * SIDE, HIDDEN))
+    w = (hidden, np.zeros(HIDDEN), out, vocabulary.log_mass, gates, np.zeros((n + 1, HIDDEN)), np.zeros((n, HIDDEN)), vocabulary.log_share)
+    return Weights(*(x.astype(np.float32) for x in w))
 
-def contexts(tokens_cls: np.ndarray, ends: np.ndarray, at: np.ndarray, classes: int) -> np.ndarray:
-    """For the words ``at`` the input rows of the classes on both sides; documents do not see each other,
-    what lies outside is a class of its own."""
+
+def contexts(tokens: np.ndarray, ends: np.ndarray, at: np.ndarray, outside: int) -> np.ndarray:
+    """For the words ``at`` the tokens on both sides; documents do not see each other, what lies outside is a token of its own."""
     row_end = np.repeat(ends[1:], np.diff(ends))[at]
     row_start = np.repeat(ends[:-1], np.diff(ends))[at]
     out = np.empty((len(at), 2 * SIDE), np.int32)
-    n = len(tokens_cls)
     for j, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         p = at + shift
-        c = tokens_cls[np.clip(p, 0, n - 1)]
-        out[:, j] = np.where((p >= row_start) & (p < row_end), c, classes) + j * (classes + 1)
+        out[:, j] = np.where((p >= row_start) & (p < row_end), tokens[np.clip(p, 0, len(tokens) - 1)], outside)
     return out
 
 
-def forward(w: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rows_of(vocabulary: Vocabulary, sides: np.ndarray) -> np.ndarray:
+    """The rows of the sides' classes, by place."""
+    cls = np.append(vocabulary.cls, vocabulary.classes).astype(np.int32)
+    return cls[sides] + np.arange(sides.shape[1], dtype=np.int32) * (vocabulary.classes + 1)
+
+
+def forward(w: Weights, sides: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hidden layer and log-probabilities of the classes."""
-    h = w[1] + w[0][x[:, 0]]
-    for j in range(1, x.shape[1]):
-        h += w[0][x[:, j]]
+    h = np.tile(w.bias, (len(rows), 1))
+    for j in range(rows.shape[1]):
+        h += w.hidden[rows[:, j]]
+        h += w.vectors[sides[:, j]] * w.gates[j]
     np.tanh(h, out=h)
-    z = h @ w[2]
-    z += w[3]
+    z = h @ w.out
+    z += w.out_bias
     return h, log_softmax(z)
 
 
+def _scattered(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` by the number in ``at``."""
+    flat = (at[:, None] * HIDDEN + np.arange(HIDDEN)).reshape(-1)
+    return np.bincount(flat, weights=values.reshape(-1), minlength=n * HIDDEN).reshape(n, HIDDEN).astype(np.float32)
+
+
 class Adam:
-    def __init__(self, w: list[np.ndarray], rate: float = RATE):
-        self.w, self.rate, self.t = [p.copy() for p in w], rate, 0
-        self.m, self.v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
+    """Steps on the classes of masked words; the sides' vectors take Adagrad steps, as each step meets few of them."""
+
+    def __init__(self, w: Weights, rate: float = RATE):
+        self.w, self.rate, self.t = w, rate, 0
+        self.m, self.v = [np.zeros_like(p) for p in w.dense()], [np.zeros_like(p) for p in w.dense()]
+        self.seen = np.full_like(w.vectors, 1e-3)
 
-    def step(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def step(self, sides: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Learns the classes ``y``; returns the hidden layer."""
         w, n = self.w, len(y)
-        h, z = forward(w, x)
+        h, z = forward(w, sides, rows)
         d = np.exp(z)
         d[np.arange(n), y] -= 1
         d /= n
-        back = (d @ w[2].T) * (1 - h * h)
-        flat = (x[:, :, None] * HIDDEN + np.arange(HIDDEN)).reshape(-1)
-        g0 = np.bincount(flat, weights=np.repeat(back[:, None, :], x.shape[1], axis=1).reshape(-1), minlength=w[0].size).reshape(w[0].shape)
+        back = (d @ w.out.T) * (1 - h * h)
+        places = rows.shape[1]
+        g_hidden = _scattered(rows.reshape(-1), np.repeat(back, places, axis=0), len(w.hidden))
+        g_gates = np.stack([(back * w.vectors[sides[:, j]]).sum(axis=0) for j in range(places)])
+        met, of = np.unique(sides, return_inverse=True)
+        g_vectors = _scattered(of.reshape(-1), (back[:, None, :] * w.gates).reshape(-1, HIDDEN), len(met)) * np.float32(np.sqrt(n))
         self.t += 1
         rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t) / (1 + self.t / 2000)
-        for p, m, v, g in zip(w, self.m, self.v, (g0.astype(np.float32), back.sum(axis=0), h.T @ d, d.sum(axis=0)), strict=True):
+        for p, m, v, g in zip(w.dense(), self.m, self.v, (g_hidden, back.sum(axis=0), h.T @ d, d.sum(axis=0), g_gates), strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= np.float32(rate) * m / (np.sqrt(v) + 1e-8)
+        self.seen[met] += g_vectors * g_vectors
+        w.vectors[met] -= np.float32(VECTOR_RATE) * g_vectors / np.sqrt(self.seen[met])
         return h
 
 
@@ -209,9 +252,9 @@ def by_class(cls: np.ndarray):
 class Within:
     """Adagrad over the tokens within each class."""
 
-    def __init__(self, u: np.ndarray, b: np.ndarray, vocabulary: Vocabulary):
-        self.u, self.b, self.vocabulary = u.copy(), b.copy(), vocabulary
-        self.gu, self.gb = np.full_like(u, 1e-3), np.full_like(b, 1e-3)
+    def __init__(self, w: Weights, vocabulary: Vocabulary):
+        self.u, self.b, self.vocabulary = w.inner, w.inner_bias, vocabulary
+        self.gu, self.gb = np.full_like(w.inner, 1e-3), np.full_like(w.inner_bias, 1e-3)
 
     def step(self, h: np.ndarray, tokens: np.ndarray) -> None:
         for c, at in by_class(self.vocabulary.cls[tokens]):
@@ -244,7 +287,8 @@ def _classes_of(texts: pa.Array, vocabulary: Vocabulary):
 def _train(shared, one_in: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value
-        model, within, seen = Adam(weights[:4]), Within(*weights[4:], vocabulary), 0
+        weights = weights.copy()  # other tasks of this worker start from the same ones
+        model, within, seen = Adam(weights), Within(weights, vocabulary), 0
         for batch in batches:
             _, offs = A.string_buffers(batch.column(0))
             for r0, r1 in A.row_chunks(offs):
@@ -254,14 +298,15 @@ def _train(shared, one_in: int):
                 cls = vocabulary.cls[tokens]
                 masked = np.flatnonzero(A.mix(hashes + np.arange(len(hashes), dtype=np.uint64)) % np.uint64(one_in) == 0)
                 masked = masked[np.argsort(A.mix(masked.astype(np.uint64) + hashes[masked]))]
-                x, y = contexts(cls, ends, masked, vocabulary.classes), cls[masked]
+                sides, y = contexts(tokens, ends, masked, len(vocabulary.cls)), cls[masked]
+                rows = rows_of(vocabulary, sides)
                 for a in range(0, len(y), WITHIN_BATCH):
                     stop = min(len(y), a + WITHIN_BATCH)
-                    h = [model.step(x[i : min(stop, i + BATCH)], y[i : min(stop, i + BATCH)]) for i in range(a, stop, BATCH)]
+                    h = [model.step(*(v[i : min(stop, i + BATCH)] for v in (sides, rows, y))) for i in range(a, stop, BATCH)]
                     within.step(np.concatenate(h), tokens[masked[a:stop]])
                 seen += len(y)
         if seen:
-            flat = np.concatenate([p.ravel() for p in (*model.w, within.u, within.b)]).astype(np.float64) * seen
+            flat = np.concatenate([p.ravel() for p in weights.arrays()]).astype(np.float64) * seen
             for part, a in enumerate(range(0, len(flat), PART_FLOATS)):
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([TaskContext.get().partitionId() % SALTS], pa.int32()), pa.array([flat[a : a + PART_FLOATS].tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["part", "salt", "x", "n"])
 
@@ -279,7 +324,7 @@ def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["part", "salt", "x", "n"])
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, weights: list[np.ndarray] | None = None, one_in: int = MASK_ONE_IN) -> list[np.ndarray]:
+def train(texts: DataFrame, vocabulary: Vocabulary, weights: Weights | None = None, one_in: int = MASK_ONE_IN) -> Weights:
     """The tasks' weights averaged by their words; one pass over all texts."""
     weights = weights or start_weights(vocabulary)
     shared = texts.sparkSession.sparkContext.broadcast((vocabulary, weights))
@@ -288,22 +333,23 @@ def train(texts: DataFrame, vocabulary: Vocabulary, weights: list[np.ndarray] |
     parts = sorted((r["part"], np.frombuffer(r["x"]) / r["n"]) for r in summed.toLocalIterator())
     if not parts:
         return weights
-    cut = np.cumsum([p.size for p in weights])[:-1]
-    return [a.reshape(p.shape).astype(np.float32) for a, p in zip(np.split(np.concatenate([x for _, x in parts]), cut), weights, strict=True)]
+    cut = np.cumsum([p.size for p in weights.arrays()])[:-1]
+    return Weights(*(a.reshape(p.shape).astype(np.float32) for a, p in zip(np.split(np.concatenate([x for _, x in parts]), cut), weights.arrays(), strict=True)))
 
 
-def log_probabilities(vocabulary: Vocabulary, w: list[np.ndarray], tokens: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def log_probabilities(vocabulary: Vocabulary, w: Weights, tokens: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """log P(word | both sides) of every word of a chunk of texts."""
     cls = vocabulary.cls[tokens]
     out = vocabulary.tail_share(hashes, tokens)
     for a in range(0, len(tokens), 32_768):
         at = np.arange(a, min(len(tokens), a + 32_768))
-        h, z = forward(w[:4], contexts(cls, ends, at, vocabulary.classes))
+        sides = contexts(tokens, ends, at, len(vocabulary.cls))
+        h, z = forward(w, sides, rows_of(vocabulary, sides))
         out[at] += z[np.arange(len(at)), cls[at]]
         for c, rows in by_class(cls[at]):
             m = vocabulary.members[c]
             if len(m) > 1:
-                inner = log_softmax(h[rows] @ w[4][m].T + w[5][m])
+                inner = log_softmax(h[rows] @ w.inner[m].T + w.inner_bias[m])
                 out[at[rows]] += inner[np.arange(len(rows)), vocabulary.place[tokens[at[rows]]]]
     return out
 
@@ -322,13 +368,13 @@ def _score(shared):
     return run
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, weights: list[np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary: Vocabulary, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, pll (sum of the conditional log-probabilities) and its mean."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(shared), "doc_id long, n_tokens long, pll double, mean_pll double")
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, list[np.ndarray]]:
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Weights]:
     """Counts, vocabulary and network from all texts."""
     texts = docs.select(F.col(text_col).alias("text"))
     vocabulary = build_vocabulary(materialise(count_words(texts), "words"))
