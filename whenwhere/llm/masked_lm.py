@@ -33,7 +33,7 @@ HASHED, MASS_CLASSES, CLASS_TOKENS, SIDE, HIDDEN = 64, 64, 256, 3, 24
 #: Words of their own: one in WORDS_SHARE distinct words, within these bounds. The tail's counts: up to 2**MAX_LOG_TAIL slots, two a distinct word.
 LEAST_WORDS, MOST_WORDS, WORDS_SHARE, MAX_LOG_TAIL, LOG_TAIL_BLOCK = 8192, 65_536, 256, 24, 16
 MASK_ONE_IN, BATCH, RATE, WITHIN_BATCH, WITHIN_RATE, VECTOR_RATE = 4, 1024, 0.01, 16_384, 0.1, 0.05
-PART_FLOATS, SALTS = 65_536, 64
+PART_FLOATS, SALTS, SCORED = 65_536, 64, 32_768
 
 
 @dataclass
@@ -177,9 +177,9 @@ def start_weights(vocabulary: Vocabulary, seed: int = 1) -> Weights:
 
 def contexts(tokens: np.ndarray, ends: np.ndarray, at: np.ndarray, outside: int) -> np.ndarray:
     """For the words ``at`` the tokens on both sides; documents do not see each other, what lies outside is a token of its own."""
-    row_end = np.repeat(ends[1:], np.diff(ends))[at]
-    row_start = np.repeat(ends[:-1], np.diff(ends))[at]
-    out = np.empty((len(at), 2 * SIDE), np.int32)
+    row = np.searchsorted(ends, at, side="right") - 1
+    row_start, row_end = ends[row], ends[row + 1]
+    out = np.empty((len(at), 2 * SIDE), np.int32, order="F")
     for j, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         p = at + shift
         out[:, j] = np.where((p >= row_start) & (p < row_end), tokens[np.clip(p, 0, len(tokens) - 1)], outside)
@@ -192,22 +192,39 @@ def rows_of(vocabulary: Vocabulary, sides: np.ndarray) -> np.ndarray:
     return cls[sides] + np.arange(sides.shape[1], dtype=np.int32) * (vocabulary.classes + 1)
 
 
-def forward(w: Weights, sides: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden layer and log-probabilities of the classes."""
-    h = np.tile(w.bias, (len(rows), 1))
-    for j in range(rows.shape[1]):
-        h += w.hidden[rows[:, j]]
-        h += w.vectors[sides[:, j]] * w.gates[j]
-    np.tanh(h, out=h)
-    z = h @ w.out
-    z += w.out_bias
-    return h, log_softmax(z)
+def by_place(vocabulary: Vocabulary, w: Weights) -> list[np.ndarray]:
+    """What a token on either side adds to the hidden layer: a table for each place, for weights that stay."""
+    rows = rows_of(vocabulary, np.repeat(np.arange(len(w.vectors))[:, None], 2 * SIDE, axis=1))
+    return [w.hidden[rows[:, j]] + w.vectors * w.gates[j] for j in range(2 * SIDE)]
 
 
-def _scattered(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``values`` by the number in ``at``."""
-    flat = (at[:, None] * HIDDEN + np.arange(HIDDEN)).reshape(-1)
-    return np.bincount(flat, weights=values.reshape(-1), minlength=n * HIDDEN).reshape(n, HIDDEN).astype(np.float32)
+def hidden_layer(w: Weights, tables: list[np.ndarray], sides: np.ndarray) -> np.ndarray:
+    h = np.tile(w.bias, (len(sides), 1))
+    for j, table in enumerate(tables):
+        h += np.take(table, sides[:, j], axis=0)
+    return np.tanh(h, out=h)
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def log_chance(z: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax at one place of each row."""
+    z -= z.max(axis=1, keepdims=True)
+    there = z[np.arange(len(z)), of]
+    np.exp(z, out=z)
+    return there - np.log(z.sum(axis=1))
+
+
+def _sums(at: np.ndarray, values) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in ``at``, ascending, and the sums of their values; ``values`` gives those of an order."""
+    order = np.argsort(at, kind="stable")
+    cut = np.flatnonzero(np.diff(at[order], prepend=-1))
+    return at[order[cut]], np.add.reduceat(values(order), cut, axis=0)
 
 
 class Adam:
@@ -220,17 +237,24 @@ class Adam:
 
     def step(self, sides: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Learns the classes ``y``; returns the hidden layer."""
-        w, n = self.w, len(y)
-        h, z = forward(w, sides, rows)
-        d = np.exp(z)
+        w, n, places = self.w, len(y), rows.shape[1]
+        beside = [np.take(w.vectors, sides[:, j], axis=0) for j in range(places)]
+        h = np.tile(w.bias, (n, 1))
+        for j, v in enumerate(beside):
+            h += np.take(w.hidden, rows[:, j], axis=0)
+            h += v * w.gates[j]
+        np.tanh(h, out=h)
+        d = softmax(h @ w.out + w.out_bias)
         d[np.arange(n), y] -= 1
         d /= n
         back = (d @ w.out.T) * (1 - h * h)
-        places = rows.shape[1]
-        g_hidden = _scattered(rows.reshape(-1), np.repeat(back, places, axis=0), len(w.hidden))
-        g_gates = np.stack([(back * w.vectors[sides[:, j]]).sum(axis=0) for j in range(places)])
-        met, of = np.unique(sides, return_inverse=True)
-        g_vectors = _scattered(of.reshape(-1), (back[:, None, :] * w.gates).reshape(-1, HIDDEN), len(met)) * np.float32(np.sqrt(n))
+        g_hidden = np.zeros_like(w.hidden)
+        met, g_hidden_met = _sums(rows.T.reshape(-1), lambda o: np.take(back, o % n, axis=0))
+        g_hidden[met] = g_hidden_met
+        g_gates = np.stack([np.einsum("ij,ij->j", back, v) for v in beside])
+        gated = (back * w.gates[:, None]).reshape(-1, HIDDEN)  # by place, then word
+        met, g_vectors = _sums(sides.T.reshape(-1), lambda o: np.take(gated, o, axis=0))
+        g_vectors *= np.float32(np.sqrt(n))
         self.t += 1
         rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t) / (1 + self.t / 2000)
         for p, m, v, g in zip(w.dense(), self.m, self.v, (g_hidden, back.sum(axis=0), h.T @ d, d.sum(axis=0), g_gates), strict=True):
@@ -262,7 +286,7 @@ class Within:
             if len(m) == 1:
                 continue
             x = h[at]
-            d = np.exp(log_softmax(x @ self.u[m].T + self.b[m]))
+            d = softmax(x @ self.u[m].T + self.b[m])
             d[np.arange(len(at)), self.vocabulary.place[tokens[at]]] -= 1
             d /= np.sqrt(len(at))
             for p, g, now in ((self.u, self.gu, d.T @ x), (self.b, self.gb, d.sum(axis=0))):
@@ -270,12 +294,6 @@ class Within:
                 p[m] -= np.float32(WITHIN_RATE) * now / np.sqrt(g[m])
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
 def _classes_of(texts: pa.Array, vocabulary: Vocabulary):
     codes, words, ends = A.split_words(texts)
     if not len(codes):
@@ -337,31 +355,34 @@ def train(texts: DataFrame, vocabulary: Vocabulary, weights: Weights | None = No
     return Weights(*(a.reshape(p.shape).astype(np.float32) for a, p in zip(np.split(np.concatenate([x for _, x in parts]), cut), weights.arrays(), strict=True)))
 
 
-def log_probabilities(vocabulary: Vocabulary, w: Weights, tokens: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def log_probabilities(vocabulary: Vocabulary, w: Weights, tables: list[np.ndarray], tokens: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """log P(word | both sides) of every word of a chunk of texts."""
     cls = vocabulary.cls[tokens]
     out = vocabulary.tail_share(hashes, tokens)
-    for a in range(0, len(tokens), 32_768):
-        at = np.arange(a, min(len(tokens), a + 32_768))
-        sides = contexts(tokens, ends, at, len(vocabulary.cls))
-        h, z = forward(w, sides, rows_of(vocabulary, sides))
-        out[at] += z[np.arange(len(at)), cls[at]]
-        for c, rows in by_class(cls[at]):
-            m = vocabulary.members[c]
+    for a in range(0, len(tokens), SCORED):
+        at = np.arange(a, min(len(tokens), a + SCORED))
+        at = at[np.argsort(cls[at], kind="stable")]  # the words of a class side by side
+        h = hidden_layer(w, tables, contexts(tokens, ends, at, len(vocabulary.cls)))
+        of = cls[at]
+        got = log_chance(h @ w.out + w.out_bias, of)
+        cut = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            m = vocabulary.members[of[i]]
             if len(m) > 1:
-                inner = log_softmax(h[rows] @ w.inner[m].T + w.inner_bias[m])
-                out[at[rows]] += inner[np.arange(len(rows)), vocabulary.place[tokens[at[rows]]]]
+                got[i:j] += log_chance(h[i:j] @ w.inner[m].T + w.inner_bias[m], vocabulary.place[tokens[at[i:j]]])
+        out[at] += got
     return out
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, w = shared.value
+        tables = by_place(vocabulary, w)
         for batch in batches:
             _, offs = A.string_buffers(batch.column(1))
             for r0, r1 in A.row_chunks(offs):
                 tokens, ends, hashes = _classes_of(batch.column(1).slice(r0, r1 - r0), vocabulary)
-                total = np.concatenate([[0.0], np.cumsum(log_probabilities(vocabulary, w, tokens, ends, hashes))])
+                total = np.concatenate([[0.0], np.cumsum(log_probabilities(vocabulary, w, tables, tokens, ends, hashes))])
                 n, score = np.diff(ends), total[ends[1:]] - total[ends[:-1]]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(r0, r1 - r0), "n_tokens": pa.array(n), "pll": pa.array(score), "mean_pll": pa.array(score / np.maximum(n, 1), mask=n == 0)})
 
