@@ -178,7 +178,7 @@ def q_site_fallback(spark, d):
     n = M.table(spark, d, "nation")
     places = n.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("short_name"), F.lit(None).cast("array<string>").alias("alternate_names"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lng"), F.lit("").alias("emoji"))
     s = M.table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("row_id"), F.concat("n_name", F.lit("s")).alias("site"))
-    found = L.match_site(s, L.gazetteer(places).where("tier = 0"), "row_id", "site")
+    found = L.match_site(s, L.gazetteer(places), "row_id", "site")
     return found.select("row_id", F.col("place.lat").alias("lat"), F.round("score", 9).alias("score"))
 
 

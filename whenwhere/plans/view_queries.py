@@ -286,10 +286,10 @@ ORACLE["q_search_locations"] = _search("select loc_id, is_matching, is_visible,
 def q_search_events(spark, d):
     loc, matching, visible = _sets(spark, d)
     rows = V.search_events(M.events(spark, d), loc, matching, visible, CHOSEN, M.moment(M.START), W)
-    return rows.where("is_matching or is_visible").select("id", "loc_id", "is_matching", "is_visible", F.round("score", 6).alias("score"))
+    return rows.select("id", "loc_id", "is_matching", "is_visible", F.round("score", 6).alias("score"))
 
 
-ORACLE["q_search_events"] = _search("select id, loc_id, is_matching, is_visible, round(score, 6) as score from se where is_matching or is_visible")
+ORACLE["q_search_events"] = _search("select id, loc_id, is_matching, is_visible, round(score, 6) as score from se")
 
 
 def _named_events(spark, d):
@@ -405,15 +405,15 @@ def q_first_places(spark, d):
 
 
 @query("""select l_orderkey as id, count(*) as n, min(epoch_us(d + m) + epoch_us(timezone('America/New_York', d + interval 12 hour)) - epoch_us(d + interval 12 hour)) as first_us from
-  (select l_orderkey, l_shipdate::date::timestamp as d, to_minutes((l_linenumber % 24) * 60) as m from lineitem) group by 1 having max(d) >= timestamp '1998-01-01' and min(d) <= timestamp '1998-12-31'""")
+  (select l_orderkey, l_shipdate::date::timestamp as d, to_minutes((l_linenumber % 24) * 60) as m from lineitem) group by 1""")
 def q_parsed_occurrences(spark, d):
     from .view import parsed_occurrences
 
     li = M.table(spark, d, "lineitem")
     day = F.to_date("l_shipdate").cast("string")
     time = F.date_format(F.timestamp_seconds((F.col("l_linenumber") % 24) * 3600), "ha")
-    raw = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(day.alias("start_date"), time.alias("start_time"), F.lit("").alias("end_date"), F.lit("").alias("end_time"))).alias("o"), F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
-    rows = raw.where("b >= timestamp_ntz '1998-01-01' and a < timestamp_ntz '1999-01-01'").select("id", parsed_occurrences(F.col("o")).alias("o"))
+    raw = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(day.alias("start_date"), time.alias("start_time"), F.lit("").alias("end_date"), F.lit("").alias("end_time"))).alias("o"))
+    rows = raw.select("id", parsed_occurrences(F.col("o")).alias("o"))
     return rows.select("id", F.size("o").cast("long").alias("n"), F.unix_micros(F.get("o", F.lit(0))["start"]).alias("first_us"))
 
 
