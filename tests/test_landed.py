@@ -86,3 +86,15 @@ def test_parts_keep_their_order(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "parts").iterdir()) == names
     landed.write_parts(rows.limit(0).coalesce(1), root)
     assert [json.loads(p.read_text()) for p in (tmp_path / "parts").iterdir()] == [[]]
+
+
+def test_parts_are_bounded_whatever_a_task_has(spark, tmp_path):
+    root = f"file://{tmp_path}/parts"
+    rows = spark.range(3000).select(F.col("id").alias("n"), F.repeat(F.lit("x"), 20).alias("t"))
+    landed.write_parts(rows.repartitionByRange(3, "n").sortWithinPartitions("n"), root, 4_000)
+    names = sorted(p.name for p in (tmp_path / "parts").iterdir())
+    assert len(names) > 20 and names == [f"part-{i:05d}.json" for i in range(len(names))]
+    assert all(p.stat().st_size < 4_100 for p in (tmp_path / "parts").iterdir())
+    assert [r["n"] for name in names for r in json.loads((tmp_path / "parts" / name).read_text())] == list(range(3000))
+    back = landed.positions(landed.read_parts(spark, root, "n long")).collect()
+    assert sorted((r["n"], r["position"]) for r in back) == [(n, n) for n in range(3000)]

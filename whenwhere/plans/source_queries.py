@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import files, landed
-from ..sources.stages import shared_root
+from ..sources.stages import shared_root, staged
 from . import extract
 from . import model as M
 from .view_queries import SPLIT, _split
@@ -85,7 +85,8 @@ union all select 'locations.full', loc_id, row_number() over (order by loc_id) -
 def q_export_order(spark, d):
     """The four parts of the export as they stand in their files."""
     root = _folder(spark, "export")
-    files.write_export(_split(spark, d), root, ("id", "loc_id"))
+    # each part reads the events several times: for the ranges of its order, for its places, for itself
+    files.write_export(_split(spark, d, lambda events: staged(events, "events")), root, ("id", "loc_id"))
     one = lambda name, ref: landed.positions(landed.read_parts(spark, f"{root}/{name}", f"{ref} long")).select(F.lit(name).alias("part"), F.col(ref).alias("ref"), "position")
     return functools.reduce(DataFrame.unionByName, [one("events.init", "id"), one("events.full", "id"), one("locations.init", "loc_id"), one("locations.full", "loc_id")])
 

@@ -102,12 +102,12 @@ def _first_start(spark, d):
     return M.events(spark, d).withColumn("first_start", F.get("occurrences", F.lit(0))["start"].cast("date"))
 
 
-def _split(spark, d):
+def _split(spark, d, stage=lambda events: events):
     from ..operators.listing import split_export
 
     loc = M.locations(spark, d)
     ev = _first_start(spark, d).join(loc.select("loc_id", "lat", "lng"), "loc_id")
-    return split_export(ev, loc, F.lit(M.AS_OF).cast("date"))
+    return split_export(stage(ev), loc, F.lit(M.AS_OF).cast("date"))
 
 
 SPLIT = f"""firsts as (select ev.id, ev.loc_id, min(s)::date as f from ev join occ using (id) group by 1, 2),

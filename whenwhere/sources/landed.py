@@ -4,7 +4,8 @@
 site prune files before these are read; files are dealt to tasks by size. The first line is the address if it begins with http; with the option
 ``urls`` set to ``any`` the first line is taken whatever it is. Writing makes one file a row, named by its site in safe letters.
 
-``numbered_parts`` writes one JSON array a task, numbered by partition, so that a table sorted by ranges is in order over its parts.
+``numbered_parts`` writes JSON arrays of some PART_BYTES, numbered by partition and place in it, so that a table sorted by ranges is in order over its parts.
+A part is read as a whole, so its size bounds what a reader holds, however many rows a task has; each task writes one part at least.
 
 Both sinks write into a folder of the job beside the target; a task names what it has written, ``commit`` moves what successful tasks named, ``abort``
 removes the folder, so a failed or repeated task leaves nothing behind. Folders are reached through pyarrow's file systems.
@@ -33,6 +34,7 @@ from ..functions import text
 PAGES = "crawl_date string, site string, source_url string, body string, path string"
 GROUP_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
+PART_BYTES = 8 << 20
 
 
 def register(spark: SparkSession) -> None:
@@ -54,10 +56,10 @@ def write_pages(pages: DataFrame, root: str) -> None:
     pages.select(*(pages[n].cast("string").alias(n) for n in names)).repartition("crawl_date", text.safe_file_name(F.col("site"))).write.format("landed_pages").mode("append").save(root)
 
 
-def write_parts(rows: DataFrame, root: str) -> None:
+def write_parts(rows: DataFrame, root: str, part_bytes: int = PART_BYTES) -> None:
     """Rows in their order to root/part-00000.json and on, in place of what is there."""
     register(rows.sparkSession)
-    rows.selectExpr("to_json(struct(*)) as value").write.format("numbered_parts").mode("overwrite").save(root)
+    rows.selectExpr("to_json(struct(*)) as value").write.format("numbered_parts").option("part_bytes", part_bytes).mode("overwrite").save(root)
 
 
 def read_parts(spark: SparkSession, root: str, schema: str) -> DataFrame:
@@ -153,18 +155,28 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 @dataclass
 class Written(ds.WriterCommitMessage):
     folder: str
+    partition: int = 0
+    n_files: int = 0
 
 
 class StagedWriter(ds.DataSourceArrowWriter):
-    """Tasks write below a folder of the job; a commit moves what they named, an abort removes it."""
+    """Tasks write below a folder of the job; a commit moves what they named, an abort removes it, and a task that comes late can't make it again."""
 
     def __init__(self, root: str, overwrite: bool):
         self.root, self.overwrite, self.job = root, overwrite, f"_job-{uuid.uuid4().hex}"
+        store, at = _store(root)
+        store.create_dir(f"{at}/{self.job}")
 
     def _attempt(self) -> tuple[fs.FileSystem, str]:
         task = TaskContext.get()
         store, at = _store(self.root)
-        return store, f"{at}/{self.job}/{task.partitionId()}-{task.taskAttemptId()}"
+        folder = f"{at}/{self.job}/{task.partitionId()}-{task.taskAttemptId()}"
+        store.create_dir(folder, recursive=False)
+        return store, folder
+
+    def _name(self, message: Written, name: str) -> str:
+        """What a task's file or folder is called below the target."""
+        return name
 
     def commit(self, messages):
         store, at = _store(self.root)
@@ -175,7 +187,7 @@ class StagedWriter(ds.DataSourceArrowWriter):
         for message in messages:
             found = store.get_file_info(fs.FileSelector(message.folder, allow_not_found=True, recursive=True))
             for f in sorted(found, key=lambda f: f.type != fs.FileType.Directory):
-                target = at + f.path[len(message.folder) :]
+                target = at + self._name(message, f.path[len(message.folder) :])
                 store.create_dir(target) if f.type == fs.FileType.Directory else store.move(f.path, target)
         self.abort(messages)
 
@@ -198,7 +210,7 @@ class PageWriter(StagedWriter):
                     raise ValueError(f"two pages for {date}/{safe_name(site)}")
                 seen.add(path)
                 if date not in made:
-                    store.create_dir(f"{folder}/{date}")
+                    store.create_dir(f"{folder}/{date}", recursive=False)
                     made.add(date)
                 with store.open_output_stream(path, compression=None) as f:
                     f.write(((url + "\n" if url else "") + (body or "")).encode())
@@ -206,18 +218,35 @@ class PageWriter(StagedWriter):
 
 
 class PartWriter(StagedWriter):
+    """A task numbers its parts from 0; a commit numbers them on from those of the partitions before."""
+
+    def __init__(self, root: str, overwrite: bool, part_bytes: int):
+        super().__init__(root, overwrite)
+        self.part_bytes = part_bytes
+
     def write(self, iterator):
         store, folder = self._attempt()
-        store.create_dir(folder)
-        with store.open_output_stream(f"{folder}/part-{TaskContext.get().partitionId():05d}.json", compression=None) as f:
-            f.write(b"[")
-            n = 0
-            for batch in iterator:
-                for value in batch.column("value").to_pylist():
-                    f.write((",\n" if n else "\n").encode() + value.encode())
-                    n += 1
-            f.write(b"\n]\n")
-        return Written(folder)
+        values = (v.encode() for batch in iterator for v in batch.column("value").to_pylist())
+        value, n_files = next(values, None), 0
+        while n_files == 0 or value is not None:
+            with store.open_output_stream(f"{folder}/{n_files}.json", compression=None) as f:
+                size = f.write(b"[")
+                while value is not None and size < self.part_bytes:
+                    size += f.write((b",\n" if size > 1 else b"\n") + value)
+                    value = next(values, None)
+                f.write(b"\n]\n")
+            n_files += 1
+        return Written(folder, TaskContext.get().partitionId(), n_files)
+
+    def _name(self, message, name):
+        return f"/part-{self.before[message.folder] + int(name[1:-5]):05d}.json"
+
+    def commit(self, messages):
+        self.before, n = {}, 0
+        for message in sorted(messages, key=lambda m: m.partition):
+            self.before[message.folder] = n
+            n += message.n_files
+        super().commit(messages)
 
 
 class LandedPages(ds.DataSource):
@@ -244,4 +273,4 @@ class NumberedParts(ds.DataSource):
         return "value string"
 
     def writer(self, schema, overwrite):
-        return PartWriter(self.options["path"], overwrite)
+        return PartWriter(self.options["path"], overwrite, int(self.options.get("part_bytes", PART_BYTES)))
