@@ -107,3 +107,18 @@ def test_decode_html(spark):
     rows = [("a &amp; b", "a & b"), ("&lt;i&gt;&#39;&#x27;&quot;", "<i>''\""), ("&eacute;t&eacute;", "été"), ("&amp;lt;", "&lt;"), ("no entity &zzz;", "no entity &zzz;"), ("&nothing;", "¬hing;"), ("", ""), (None, None)]
     got = spark.createDataFrame(rows, "t string, want string").select(text.decode_html(F.col("t")).alias("got"), "want").collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+@pytest.mark.parametrize("given, wanted", [("2024-2-29", "2024-02-29"), ("2023-2-29", None), ("0000-01-01", None), ("2024-01-01\n", None), (" 2024-01-01", None), ("2024-01", None), ("2024-01-01T10", None), ("24-1-1", None), (None, None)])
+def test_dates_are_strict(spark, given, wanted):
+    assert one(spark, given, lambda c: when.strict_date(c).cast("string")) == wanted
+
+
+def test_an_expression_is_worked_out_once_for_all_tags_and_dates(spark):
+    """How often the plan names an expression is how often a lambda works it out for each element."""
+    from whenwhere.plans.view import parsed_occurrences
+
+    rows = spark.createDataFrame([("#A", [("2024-01-01", "7pm", "", "")])], "t string, o array<struct<start_date string, start_time string, end_date string, end_time string>>")
+    plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(tags.process(F.col("t"), RULES)).count("split(") == 1
+    assert plan(parsed_occurrences(F.col("o"))).count("(?!0000)") == 2  # a start and an end

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 ZONE = "America/New_York"
 MAX_DAYS, AHEAD_DAYS = 400, 90
 
 
 def strict_date(text: Column) -> Column:
     """A date written Y-M-D, padded or not; null otherwise."""
-    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.to_date(F.try_to_timestamp(text, F.lit("yyyy-M-d"))))
+    # a cast would take other forms too, and a year 0
+    return F.when(text.rlike(r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}\z"), text.try_cast("date"))
 
 
 def standard_time(text: Column) -> Column:
@@ -22,28 +25,34 @@ def standard_time(text: Column) -> Column:
 
 def minutes_of(text: Column) -> Column:
     """Minutes after midnight; what is no time of day is noon."""
-    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
     form = r"^(\d{1,2})(?::(\d{2}))?\s*(am|pm)?$"
-    hour = F.regexp_extract(low, form, 1).try_cast("int")
-    minute = F.coalesce(F.regexp_extract(low, form, 2).try_cast("int"), F.lit(0))
-    half = F.regexp_extract(low, form, 3)
-    hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
-    return F.when(low.rlike(form), hour * 60 + minute).otherwise(720)
+
+    def of(low: Column) -> Column:
+        # the nought stands for a number that is missing; a cast that fails costs an exception a row
+        hour, minute = (F.concat(F.lit("0"), F.regexp_extract(low, form, n)).cast("int") for n in (1, 2))
+        half = lambda h, to: F.when(F.contains(low, F.lit("pm")) & (h < 12), h + 12).when(F.contains(low, F.lit("am")) & (h == 12), 0).otherwise(h) * 60 + to
+        return F.when(low.rlike(form), let(hour, lambda h: half(h, minute))).otherwise(720)
+
+    return let(F.lower(F.trim(F.coalesce(text, F.lit("")))), of)
 
 
 def local_instant(day: Column, minutes: Column, zone: str = ZONE) -> Column:
     """The instant of a wall time, with the offset that holds at noon of the day."""
-    noon = day.cast("timestamp_ntz") + F.expr("interval 12 hours")
-    shift = F.unix_micros(F.to_utc_timestamp(noon.cast("timestamp"), zone)) - F.unix_micros(noon.cast("timestamp"))
-    wall = F.unix_micros(day.cast("timestamp_ntz").cast("timestamp")) + minutes.cast("long") * 60_000_000
-    return F.timestamp_micros(wall + shift)
+
+    def at(day: Column) -> Column:
+        noon = (day.cast("timestamp_ntz") + F.expr("interval 12 hours")).cast("timestamp")
+        shift = let(noon, lambda n: F.unix_micros(F.to_utc_timestamp(n, zone)) - F.unix_micros(n))
+        wall = F.unix_micros(day.cast("timestamp_ntz").cast("timestamp")) + minutes.cast("long") * 60_000_000
+        return F.timestamp_micros(wall + shift)
+
+    return let(day, at)
 
 
 def within_reach(start: Column, end: Column, as_of: Column, ahead: int = AHEAD_DAYS, longest: int = MAX_DAYS) -> Column:
     """Whether text dates are valid, not over, not too far ahead and not too long."""
-    first = strict_date(F.trim(start))
-    last = F.when(F.trim(F.coalesce(end, F.lit(""))) != "", strict_date(F.trim(end))).otherwise(first)
-    return F.coalesce((first <= F.date_add(as_of, ahead)) & (last >= as_of) & (F.datediff(last, first) <= longest), F.lit(False))
+    reach = lambda first, last: (first <= F.date_add(as_of, ahead)) & (last >= as_of) & (F.datediff(last, first) <= longest)
+    until = lambda first: F.when(F.trim(F.coalesce(end, F.lit(""))) != "", strict_date(F.trim(end))).otherwise(first)
+    return F.coalesce(let(strict_date(F.trim(start)), lambda first: let(until(first), lambda last: reach(first, last))), F.lit(False))
 
 
 def overlapping(occurrences: Column, start: Column, end: Column) -> Column:

@@ -16,10 +16,13 @@ def parsed_occurrences(raw: Column) -> Column:
     """Local texts (start_date, start_time, end_date, end_time) as instants by start; ends default to starts, undated ones go."""
 
     def one(o):
-        day, last = when.strict_date(o["start_date"]), when.strict_date(F.coalesce(F.nullif(o["end_date"], F.lit("")), o["start_date"]))
-        start = when.local_instant(day, when.minutes_of(o["start_time"]))
-        end = when.local_instant(last, when.minutes_of(F.coalesce(F.nullif(o["end_time"], F.lit("")), o["start_time"])))
-        return F.struct(start.alias("start"), F.coalesce(end, start).alias("end"), o["start_time"].alias("start_time"), o["end_time"].alias("end_time"))
+        given = lambda t: F.when(o[t] != "", o[t])
+        start = when.local_instant(when.strict_date(o["start_date"]), when.minutes_of(o["start_time"]))
+        end = when.local_instant(when.strict_date(F.coalesce(given("end_date"), o["start_date"])), when.minutes_of(F.coalesce(given("end_time"), o["start_time"])))
+        # without an end of its own, an occurrence ends when it starts
+        same = given("end_date").isNull() & given("end_time").isNull()
+        made = lambda s: F.struct(s.alias("start"), F.when(same, s).otherwise(F.coalesce(end, s)).alias("end"), o["start_time"].alias("start_time"), o["end_time"].alias("end_time"))
+        return text.let(start, made)
 
     return F.array_sort(F.filter(F.transform(raw, one), lambda o: o["start"].isNotNull()))
 
