@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold, lower_connectors, lower_ordinals, squeeze_ends, where_found
+from .text import fold, let, lower_connectors, lower_ordinals, squeeze_ends, where_found
 
 
 @dataclass(frozen=True)
@@ -54,18 +54,20 @@ def rewrite(tag: Column, rules: TagRules) -> Column:
     if not rules.rewrite:
         return tag
     table = F.create_map(*(F.lit(x) for pair in rules.rewrite.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, tag_key(tag)), tag)
+    return let(tag, lambda t: F.coalesce(F.try_element_at(table, tag_key(t)), t))
 
 
 def distinct_by_key(tags: Column) -> Column:
     """The first tag of each key, in order."""
-    keys = F.transform(tags, tag_key)
-    return F.filter(tags, lambda t, i: F.array_position(keys, tag_key(t)) == i + 1)
+    # named once: an expression inside a lambda is worked out anew for each element
+    pairs = F.transform(tags, lambda t: F.struct(tag_key(t).alias("key"), t.alias("tag")))
+    first = lambda ps: let(F.transform(ps, lambda p: p["key"]), lambda keys: F.filter(ps, lambda p, i: F.array_position(keys, p["key"]) == i + 1))
+    return F.transform(let(pairs, first), lambda p: p["tag"])
 
 
 def raw_tags(hashtags: Column) -> Column:
-    parts = F.filter(F.split(F.coalesce(hashtags, F.lit("")), "#"), lambda t: squeeze_ends(t) != "")
-    return F.transform(parts, lambda t: F.regexp_replace(squeeze_ends(t), ",+$", ""))
+    parts = F.filter(F.transform(F.split(F.coalesce(hashtags, F.lit("")), "#"), squeeze_ends), lambda t: t != "")
+    return F.transform(parts, lambda t: F.regexp_replace(t, ",+$", ""))
 
 
 def process(hashtags: Column, rules: TagRules, extra: Column | None = None) -> Column:
@@ -78,7 +80,7 @@ def process(hashtags: Column, rules: TagRules, extra: Column | None = None) -> C
 def with_virtual(tags: Column, location: Column) -> Column:
     """The tag Virtual besides, for places that are none."""
     place = F.lower(F.coalesce(location, F.lit("")))
-    return F.when(place.rlike("virtual|online|livestream") & ~F.array_contains(tags, "Virtual"), F.array_append(tags, F.lit("Virtual"))).otherwise(tags)
+    return let(tags, lambda ts: F.when(place.rlike("virtual|online|livestream") & ~F.array_contains(ts, "Virtual"), F.array_append(ts, F.lit("Virtual"))).otherwise(ts))
 
 
 def keeps(tags: Column, rules: TagRules) -> Column:

@@ -87,6 +87,11 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def spread(rows):
+    """The rows over all cores. Few bytes are few splits, however many rows and however dear the work on each."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def where_found(text: Column, pattern: str, change) -> Column:
     """``change(text)`` where the pattern occurs, else the text as it is; one look instead of many replacements."""
     return let(text, lambda t: F.when(t.rlike(pattern), change(t)).otherwise(t))

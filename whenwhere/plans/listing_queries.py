@@ -91,7 +91,7 @@ def q_tag_split(spark, d):
 select p_partkey, array_to_string(list_filter([a, 'Music', 'Catch 22', b], lambda x: x <> 'Small'), '|') as tags, lower(p_type) <> 'economy' as kept from t"""
 )
 def q_tag_rules(spark, d):
-    rows = M.table(spark, d, "part").select("p_partkey", tags.process(_hashtags(), RULES).alias("t"))
+    rows = text.spread(M.table(spark, d, "part")).select("p_partkey", tags.process(_hashtags(), RULES).alias("t"))
     return rows.select("p_partkey", F.array_join("t", "|").alias("tags"), tags.keeps(F.col("t"), RULES).alias("kept"))
 
 
