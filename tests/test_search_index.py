@@ -45,3 +45,13 @@ def test_a_search_reads_its_grams_and_has_no_python(index):
     assert "Python" not in plan and "Arrow" not in plan
     assert "In(gram" in plan.replace("gram IN", "In(gram") and "PushedFilters: [In(gram" in plan
     assert index.texts.rdd.getNumPartitions() and index.postings.agg(F.max("n")).first()[0] <= 2 * 40
+
+
+def test_no_pairs_of_gram_and_place_are_shuffled_and_blocks_are_bounded_by_letters(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_LETTERS", 5_000)
+    entries = spark.createDataFrame([("event", str(n), f"{n} " + "abc" * 300) for n in range(60)], "type string, ref string, text string")
+    index = S.write(entries, f"file://{tmp_path}/i")
+    plan = S.postings_of(index.texts, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == plan.count("Exchange") == 1 and "explode" not in plan
+    assert index.texts.select("block").distinct().count() > 5
+    assert index.find("bca").count() == 60 and {r["ref"] for r in index.find("17 a").collect()} == {"17"}

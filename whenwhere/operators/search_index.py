@@ -1,9 +1,9 @@
 """A written trigram index over all that can be searched, and searches that read nothing else.
 
-Entries (type, ref, text in search form) are numbered by block (by hash, some 32,000 entries each) and place in the block. Of each text every run of
+Entries (type, ref, text in search form) are numbered by block (by hash, some 32,000 entries or 4 million characters each) and place in the block. Of each text every run of
 three characters is a gram; two end marks follow the text, so each character begins one. The posting of a gram in a block is the ascending
 places of its entries, which Parquet's second format stores as packed deltas; as blocks bound it, a gram that every text has is many
-postings and no long one. Postings lie sorted by gram, so a search reads the row groups of its grams; texts lie in a folder a
+postings and no long one. Postings lie sorted by gram in files of several blocks, so a search reads the row groups and pages of its grams; texts lie in a folder a
 block, so it reads the blocks where something was found.
 
 A term of three characters or more meets the places that all its grams share, and the text itself then tells (grams may stand apart in it).
@@ -19,9 +19,15 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import staged
+
+#: A block has about as many entries, or characters, at most; a task has that many blocks once there are more than tasks.
+BLOCK_LETTERS, TASK_BLOCKS = 1 << 22, 8
 BLOCK_ROWS, GRAM, END = 1 << 15, 3, "￿"
 #: Grams that a search looks up at most: the text decides anyway, so any of a term's grams may stand for it.
 MOST_GRAMS = 12
@@ -73,22 +79,60 @@ class SearchIndex:
         return met.where(F.contains("text", F.lit(form))).select("type", "ref", (F.col("text") == form).alias("is_whole"))
 
 
+def _postings(block: tuple[pa.Scalar], texts: pa.Table) -> pa.Table:
+    """The postings of one block: its grams as whole numbers (21 bits a character), sorted, each with the places where it stands."""
+    texts = texts.sort_by("place")
+    words = texts["text"].to_pylist()
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.frombuffer("".join(w + END * (GRAM - 1) for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    # all that begin at a character, none that begins at an end mark
+    ends = np.cumsum(n + GRAM - 1)
+    begins = np.ones(len(letters), bool)
+    for i in range(1, GRAM):
+        begins[ends - i] = False
+    at = np.flatnonzero(begins)
+    grams = (letters[at] << 42) | (letters[at + 1] << 21) | letters[at + 2]
+    places = np.repeat(texts["place"].to_numpy().astype(np.int32), n)
+    order = np.argsort(grams, kind="stable")
+    grams, places = grams[order], places[order]
+    once = np.ones(len(grams), bool)
+    once[1:] = (grams[1:] != grams[:-1]) | (places[1:] != places[:-1])
+    grams, places = grams[once], places[once]
+    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    of = grams[first]
+    spelt = np.stack([of >> 42, (of >> 21) & 0x1FFFFF, of & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+    offsets = np.r_[first, len(grams)].astype(np.int32)
+    return pa.table(
+        {
+            "gram": [spelt[i : i + GRAM] for i in range(0, len(spelt), GRAM)], "block": pa.array(np.full(len(of), block[0].as_py(), np.int32)),
+            "n": pa.array(np.diff(offsets)), "places": pa.ListArray.from_arrays(pa.array(offsets), pa.array(places)),
+        }
+    )
+
+
+def postings_of(texts: DataFrame, n_tasks: int) -> DataFrame:
+    """The postings of all blocks; what is shuffled is the texts, by block."""
+    return texts.select("block", "place", "text").repartition(n_tasks, "block").groupBy("block").applyInArrow(_postings, POSTINGS)
+
+
 def write(entries: DataFrame, path: str, block_rows: int = BLOCK_ROWS) -> SearchIndex:
-    """Writes the index of (type, ref, text) under a folder that does not exist."""
+    """Writes the index of (type, ref, text) under a folder that does not exist.
+
+    Entries are worked out once. They are shuffled by block to be numbered, and their texts again to be cut into grams: a block's grams are counted where
+    its texts are, so pairs of gram and place are never shuffled. Each task's postings are one file sorted by gram.
+    """
     spark = entries.sparkSession
-    n_blocks = max(1, -(-entries.count() // block_rows))
+    entries = staged(entries.select("type", "ref", "text").where(F.coalesce("text", F.lit("")) != ""), "entries")
+    n, letters = entries.agg(F.count("*"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
+    n_blocks = max(1, -(-n // block_rows), -(-letters // BLOCK_LETTERS))
+    n_tasks = min(n_blocks, max(2 * spark.sparkContext.defaultParallelism, -(-n_blocks // TASK_BLOCKS)))
     # the text is part of the order: the numbers of a retry are those of the first attempt
     block = F.pmod(F.xxhash64("type", "ref", "text"), F.lit(n_blocks)).cast("int")
-    rows = entries.select("type", "ref", "text").where(F.coalesce("text", F.lit("")) != "").withColumn("block", block)
+    rows = entries.withColumn("block", block).repartition(n_tasks, "block")
     place = F.row_number().over(Window.partitionBy("block").orderBy("type", "ref", "text")) - 1
     numbered = rows.withColumn("place", place).select("place", "type", "ref", "text", "block")
     numbered.write.partitionBy("block").parquet(f"{path}/texts")
     index = SearchIndex(spark, path)
 
-    letters = F.concat(F.split("text", ""), F.array(F.lit(END), F.lit(END)))
-    rows = index.texts.select("block", "place", letters.alias("c"))
-    each = F.transform(F.sequence(F.lit(0), F.size("c") - GRAM), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))
-    pairs = rows.select("block", "place", F.explode(F.array_distinct(each)).alias("gram"))
-    lists = pairs.groupBy("gram", "block").agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
-    lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    postings_of(index.texts, n_tasks).sortWithinPartitions("gram", "block").write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
     return index
