@@ -185,17 +185,18 @@ def search_events(events: DataFrame, measured: DataFrame, matching: DataFrame, v
     m = matching.select("id").distinct().withColumn("_m", F.lit(1))
     v = visible.select("loc_id").distinct().withColumn("_v", F.lit(1))
     place = measured.select("loc_id", F.col("tags").alias("_place"), "distance")
-    rows = events.join(place, "loc_id", "left").join(m, "id", "left").join(v, "loc_id", "left")
+    # the bonus before the joins: where no one asks for them, occurrences are not shuffled
+    rows = events.withColumn("_bonus", temporal_bonus(F.col("occurrences"), at, w)).join(place, "loc_id", "left").join(v, "loc_id", "left").join(m, "id", "left")
     rows = rows.withColumn("is_matching", F.col("_m").isNotNull()).withColumn("is_visible", F.col("_v").isNotNull())
     score = (
         1
         + w.matching * F.col("is_matching").cast("int")
         + tag_score(all_tags(F.col("tags"), F.col("_place")), chosen, w)
         + geo.proximity_bonus(F.coalesce("distance", F.lit(0.0)), w.proximity, w.reach_m)
-        + temporal_bonus(F.col("occurrences"), at, w)
+        + F.col("_bonus")
         + w.visible * F.col("is_visible").cast("int")
     )
-    return _wanted(rows.drop("_m", "_v"), term, found, "event", "id").withColumn("score", score).drop("_place")
+    return _wanted(rows.drop("_m", "_v"), term, found, "event", "id").withColumn("score", score).drop("_place", "_bonus")
 
 
 def search_tags(words: DataFrame, dynamic: DataFrame, visible: DataFrame, frequency: DataFrame, term: str, w: Weights, geotags: tuple[str, ...] = (), found: DataFrame | None = None) -> DataFrame:

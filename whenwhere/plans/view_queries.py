@@ -15,7 +15,7 @@ from ..operators import signed as C
 from ..operators import tag_index as T
 from ..operators import view as V
 from ..operators import windows as N
-from ..sources.stages import shared_root
+from ..sources.stages import shared_root, staged
 from . import model as M
 
 W = V.Weights()
@@ -245,9 +245,9 @@ def q_facets_moved(spark, d):
 ORACLE["q_facets_moved"] = ORACLE["q_dynamic_frequency"]
 
 
-def _sets(spark, d):
+def _sets(spark, d, windowed=None):
     loc = V.distances(M.locations(spark, d), *M.CENTER)
-    matching = V.by_tags(_windowed(spark, d), loc, V.TagStates(selected=("URGENT", "ASIA")))
+    matching = V.by_tags(_windowed(spark, d) if windowed is None else windowed, loc, V.TagStates(selected=("URGENT", "ASIA")))
     visible = loc.where(geo.in_quad(F.col("lat"), F.col("lng"), M.QUAD))
     return loc, matching, visible
 
@@ -292,35 +292,41 @@ def q_search_events(spark, d):
 ORACLE["q_search_events"] = _search("select id, loc_id, is_matching, is_visible, round(score, 6) as score from se")
 
 
-def _named_events(spark, d):
+def _named_events(spark, d, events):
     """Events with their place's and nation's names in their texts, as listings have them."""
     loc = M.locations(spark, d).select("loc_id", F.col("name").alias("location"), F.get("tags", F.lit(0)).alias("sublocation"))
-    return M.events(spark, d).join(loc, "loc_id")
+    return events.join(loc, "loc_id")
 
 
-def _index(spark, d):
-    ev, loc = _named_events(spark, d), M.locations(spark, d)
+def _held(spark, d):
+    """Events and those of the window, each gathered once: a search reads them for its index, its counts and its results."""
+    return staged(M.events(spark, d), "events"), staged(_windowed(spark, d), "windowed")
+
+
+def _index(spark, d, events=None):
+    events = staged(M.events(spark, d).drop("occurrences"), "events") if events is None else events
+    ev, loc = _named_events(spark, d, events), M.locations(spark, d)
     path = f"{shared_root(spark)}/search-{uuid.uuid4().hex}"
     return S.write(V.searchable_entries(ev, loc, V.vocabulary(ev, loc)), path)
 
 
-def _tag_results(spark, d, term, geotags=(), found=None):
-    loc, matching, visible = _sets(spark, d)
-    ev = M.events(spark, d)
+def _tag_results(spark, d, term, ev, windowed, geotags=(), found=None):
+    loc, matching, visible = _sets(spark, d, windowed)
     words = V.vocabulary(ev, loc)
-    facets = V.visible_facets(_windowed(spark, d).join(visible.select("loc_id"), "loc_id", "left_semi"), loc)
+    facets = V.visible_facets(windowed.join(visible.select("loc_id"), "loc_id", "left_semi"), loc)
     return V.search_tags(words, V.dynamic_frequency(matching, words), facets, V.tag_frequency(ev, loc), term, W, geotags, found)
 
 
 @query()
 def q_search_tags(spark, d):
-    return _tag_results(spark, d, "Asia", found=_index(spark, d).find("Asia")).select("tag", "is_visible", F.round("score", 6).alias("score"))
+    ev, windowed = _held(spark, d)
+    return _tag_results(spark, d, "Asia", ev, windowed, found=_index(spark, d, ev).find("Asia")).select("tag", "is_visible", F.round("score", 6).alias("score"))
 
 
 @query()
 def q_search_tags_no_term(spark, d):
     """Geotags are no results without a term."""
-    return _tag_results(spark, d, "", ("asia", "nation_1", "europe")).select("tag", "is_visible", F.round("score", 6).alias("score"))
+    return _tag_results(spark, d, "", *_held(spark, d), ("asia", "nation_1", "europe")).select("tag", "is_visible", F.round("score", 6).alias("score"))
 
 
 ORACLE["q_search_tags_no_term"] = _search("select tag, is_visible, round(score - (case when lower(tag) = 'asia' then 1000.0::double else 0 end), 6) as score from st where lower(tag) not in ('asia', 'nation_1', 'europe')")
@@ -329,10 +335,11 @@ ORACLE["q_search_tags"] = _search("select tag, is_visible, round(score, 6) as sc
 
 def results(spark, d, term=None):
     """All three kinds of result in one table: type, ref, is_visible, score."""
-    loc, matching, visible = _sets(spark, d)
-    found = _index(spark, d).find(term) if term else None
-    tags = _tag_results(spark, d, term or "", found=found)
-    return V.perform_search(M.events(spark, d), loc, matching, visible, tags, CHOSEN, M.moment(M.START), W, term, found).withColumn("score", F.round("score", 6))
+    ev, windowed = _held(spark, d)
+    loc, matching, visible = _sets(spark, d, windowed)
+    found = _index(spark, d, ev).find(term) if term else None
+    tags = _tag_results(spark, d, term or "", ev, windowed, found=found)
+    return V.perform_search(ev, loc, matching, visible, tags, CHOSEN, M.moment(M.START), W, term, found).withColumn("score", F.round("score", 6))
 
 
 @query()
