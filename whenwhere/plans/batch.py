@@ -39,6 +39,7 @@ class Counters:
 
 def listing_rows(pages: DataFrame, rules: tags.TagRules, as_of: Column, counters: Counters | None = None) -> DataFrame:
     """Rows of the pages' tables that are in reach, with their tags; pages have file, extra_tags and body."""
+    pages = text.spread(pages)
     parsed = L.parse_tables(counters.at("pages", pages) if counters else pages)
     rows = (counters.at("parsed", parsed) if counters else parsed).where(when.within_reach(F.col("start_date"), F.col("end_date"), as_of))
     made = tags.with_virtual(tags.process(F.col("hashtags"), rules, F.col("extra_tags")), F.col("location"))
