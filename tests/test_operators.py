@@ -79,6 +79,23 @@ def test_parallel_groups_against_the_rule(spark):
         assert [got[f, i] for i, _ in mine] == [mine[k][0] for k in greedy([n for _, n in mine])]
 
 
+def test_names_meet_alike_in_small_and_in_large_pages(spark):
+    """A page's names are paired off or meet by runs, with the same pairs; only large pages write runs."""
+    from pathlib import Path
+
+    rng = random.Random(9)
+    emoji = ["\U0001D4D0\U0001D4D1 and the whole orchestra", "x \U0001D4D0\U0001D4D1 and the whole orchestra \U0001D4D2", "\U0001D4D1 and the", "\U0001D4D0\U0001D4D0\U0001D4D0\U0001D4D1\U0001D4D2", "b\U0001D4D0\U0001D4D0\U0001D4D0\U0001D4D1\U0001D4D2"]
+    rows = {(f, L._plain(n)): i for f in "abc" for i, n in enumerate(odd_names(rng, 60) + emoji)}
+    df = spark.createDataFrame([(f, p, i) for (f, p), i in rows.items()], "file string, plain string, at long")
+    wanted = {(f, min(i, j), max(i, j)) for (f, p), i in rows.items() for (g, q), j in rows.items() if f == g and 5 <= len(q) < len(p) and q in p}
+    runs = lambda: len(list(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("runs-*")))
+    before = runs()
+    assert {tuple(r) for r in alike.alike(df, ["file"]).collect()} == wanted and runs() == before
+    for bounds in ({"few": 1}, {"few": 70}, {"looks": 1}, {"looks": 50_000}):
+        assert {tuple(r) for r in alike.alike(df, ["file"], **bounds).collect()} == wanted
+    assert runs() > before
+
+
 def test_plain_names_in_columns_and_in_python(spark):
     names = ["_A_ b", "É²½Ⅳ x", "a\u200bb\u0301c", "İX ΑΣ", "x\x1cy\x85z\xa0", "tab\t\n new", "👍 ok", "a‿b", "", None, "१२ ३", "\u3000full\u2003width"]
     got = spark.createDataFrame([(n,) for n in names], "n string").select(alike.plain_name(F.col("n"))).collect()

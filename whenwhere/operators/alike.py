@@ -1,9 +1,9 @@
 """Names that are alike, and the greedy choices over them, as joins and rounds.
 
 Two plain names are alike if they are equal or, from five characters on, one is in the other. A page or place may have any number of names, so
-no task gets all of one. Alike names meet without pairing off a page: a name of up to SHORT characters is looked for among the whole
-substrings of that length of the others, a longer one where its rarest run of SHORT characters in the page stands; then the names
-themselves decide.
+no task gets all of one. The names of a page of up to FEW are paired off within it, so a character is looked at FEW times at most. In larger pages alike
+names meet without pairing off the page: a name of up to SHORT characters is looked for among the whole substrings of that length of the
+others, a longer one where its rarest run of SHORT characters in the page stands; then the names themselves decide.
 
 Greedy groups: in order, a name joins the first name that opened a group and is alike, else it opens one. That is the lexicographically first
 independent set of the graph of alike names, so names settle in rounds: those without an earlier candidate open groups; what is alike to an
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..sources.stages import staged
 
 SHORT, LEAST = 16, 5
+#: A page whose names are paired off has so many names, and that costs so many comparisons of characters, at most; beyond that its names meet by runs.
+FEW, LOOKS = 1 << 10, 1 << 30
 #: White space as names are stripped of it: that of Unicode, and four separators.
 BLANK = r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -31,32 +33,41 @@ def plain_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(bare, rf"[{BLANK}]+", " "))
 
 
-def _runs(letters: Column, size: Column) -> Column:
-    """Fingerprints of all substrings of a size, from an array of letters."""
-    return F.transform(F.sequence(F.lit(1), F.size(letters) - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(letters, i, size), "")))
+def _runs(text: Column, size: Column) -> Column:
+    """Fingerprints of all substrings of a size, in one pass over a text."""
+    every = F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))")), F.lit(1))
+    return F.transform(every, lambda run: F.xxhash64(run))
 
 
-def alike(nodes: DataFrame, by: list[str]) -> DataFrame:
+def alike(nodes: DataFrame, by: list[str], few: int = FEW, looks: int = LOOKS) -> DataFrame:
     """(by, u, v), u < v: the places (at) of distinct plain names of one page or place that are in one another."""
     able = nodes.where(F.length("plain") >= LEAST).select(*by, "plain", "at")
-    crowded = able.groupBy(*by).agg(F.count("*").alias("n"), F.collect_set(F.when(F.length("plain") <= SHORT, F.length("plain"))).alias("sizes")).where("n > 1").drop("n")
-    # few names may be long: they are spread before their runs are taken
+    pages = able.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.length("plain").cast("long")).alias("letters"), F.collect_set(F.when(F.length("plain") <= SHORT, F.length("plain"))).alias("sizes"))
+    pages = pages.where("n > 1").select(*by, "sizes", ((F.col("n") > few) | (F.col("n") * F.col("letters") > looks)).alias("crowded"))
+    # few names may be long: they are spread before they are compared
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    able = staged(able.join(crowded, by).repartition(spread, *by, "plain"), "names")
-    spelt = able.withColumn("letters", F.split("plain", ""))
+    able = staged(able.join(pages, by).repartition(spread, *by, "plain"), "names")
+    rest, crowded = able.where(~F.col("crowded")), able.where("crowded")
+    met = rest.select(*by, "at", "plain").join(rest.select(*by, F.col("at").alias("q_at"), F.col("plain").alias("q")), by)
+    if not crowded.isEmpty():
+        met = met.unionByName(_met(crowded, by))
+    met = met.where((F.length("q") < F.length("plain")) & F.contains("plain", F.col("q")))
+    return met.select(*by, F.least("at", "q_at").alias("u"), F.greatest("at", "q_at").alias("v")).distinct()
+
+
+def _met(able: DataFrame, by: list[str]) -> DataFrame:
+    """(by, q_at, at, plain, q) of the names of large pages that may be in one another: they share a run."""
     # short names among the substrings of the lengths that short names of the page have
     fitting = F.filter("sizes", lambda n: n < F.length("plain"))
-    parts = spelt.select(*by, "at", F.explode(F.array_distinct(F.flatten(F.transform(fitting, lambda n: _runs(F.col("letters"), n))))).alias("run"))
+    parts = able.select(*by, "at", F.explode(F.array_distinct(F.flatten(F.transform(fitting, lambda n: _runs(F.col("plain"), n))))).alias("run"))
     short = able.where(F.length("plain") <= SHORT).select(*by, F.col("at").alias("q_at"), F.xxhash64("plain").alias("run"))
     # longer ones by their rarest run
-    grams = staged(spelt.where(F.length("plain") > SHORT).select(*by, "at", F.explode(F.array_distinct(_runs(F.col("letters"), F.lit(SHORT)))).alias("run")), "runs")
+    grams = staged(able.where(F.length("plain") > SHORT).select(*by, "at", F.explode(F.array_distinct(_runs(F.col("plain"), F.lit(SHORT)))).alias("run")), "runs")
     often = grams.groupBy(*by, "run").agg(F.count("*").alias("often"))
     rarest = grams.join(often, [*by, "run"]).groupBy(*by, "at").agg(F.min(F.struct("often", "run")).alias("r"))
     anchors = rarest.where("r.often > 1").select(*by, F.col("at").alias("q_at"), F.col("r.run").alias("run"))
     met = short.join(parts, [*by, "run"]).unionByName(anchors.join(grams, [*by, "run"])).where("at <> q_at").select(*by, "q_at", "at").distinct()
-    met = met.join(able.select(*by, "at", "plain"), [*by, "at"]).join(able.select(*by, F.col("at").alias("q_at"), F.col("plain").alias("q")), [*by, "q_at"])
-    met = met.where((F.length("q") < F.length("plain")) & F.contains("plain", F.col("q")))
-    return met.select(*by, F.least("at", "q_at").alias("u"), F.greatest("at", "q_at").alias("v")).distinct()
+    return met.join(able.select(*by, "at", "plain"), [*by, "at"]).join(able.select(*by, F.col("at").alias("q_at"), F.col("plain").alias("q")), [*by, "q_at"])
 
 
 def first_openers(edges: DataFrame, by: list[str]) -> DataFrame:
