@@ -1,5 +1,8 @@
 import datetime as dt
+import random
+import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +125,31 @@ def test_an_expression_is_worked_out_once_for_all_tags_and_dates(spark):
     plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan(tags.process(F.col("t"), RULES)).count("split(") == 1
     assert plan(parsed_occurrences(F.col("o"))).count("(?!0000)") == 2  # a start and an end
+
+
+def old_form(t):
+    return "".join(c for c in unicodedata.normalize("NFD", t) if not "\u0300" <= c <= "\u036f").lower()
+
+
+ODD = ["", "Plain ASCII", "ÉÈ Å", "İI ΑΣ ΟΔΟΣ", "한글 가", "が プ", "a\u0323\u0307\u0599", "\u0301", "\U0001D15E", "\uFB01 \u212B", "й\u0488"]
+
+
+def test_search_forms_are_those_of_the_plain_rule(spark):
+    rng = random.Random(4)
+    texts = [rng.choice([None, *ODD, "É" * rng.randrange(60_000), "x" * rng.randrange(3_000)]) for _ in range(800)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1).select("i", text.search_form(F.col("t")).alias("f")).collect()
+    assert {r["i"]: r["f"] for r in got} == {i: None if t is None else old_form(t) for i, t in enumerate(texts)}
+
+
+def test_a_batch_of_texts_is_worked_on_in_parts():
+    """Only a part of an Arrow batch is ever made into Python strings; all rows come back, in order."""
+    texts = ["é" * n for n in (10, 400_000, 0, 700_000, 5, 3_000_000, 1)] + [None] * 5 + ["a" * 300_000] * 9
+    for batch in (pa.array(texts, pa.string()), pa.array([*texts, "cut off"], pa.string()).slice(0, len(texts)), pa.array(["before", *texts], pa.string()).slice(1)):
+        parts = list(text.search_form.func(iter([batch])))
+        assert [t for p in parts for t in p.to_pylist()] == [None if t is None else old_form(t) for t in texts]
+        at = 0
+        for part in parts:
+            sizes = [len((x or "").encode()) for x in texts[at : at + len(part)]]
+            assert sum(sizes) - max(sizes) <= text.PART_BYTES
+            at += len(part)
+    assert list(text.search_form.func(iter([pa.array([], pa.string())]))) == []

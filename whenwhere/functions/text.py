@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -27,6 +32,10 @@ BOROUGHS = ["queens", "bronx", "brooklyn", "manhattan", "staten island"]
 NAME_PREFIXES = [r"^Exhibition\s*[–:\-]\s*", r"^Talks?\s*[:\-]\s*", r"^Screening\s*[:\-]\s*", r"^Performance\s*[:\-]\s*", r"^Concert\s*[:\-]\s*", r"^Event\s*[:\-]\s*"]
 #: Beginnings of the names of cancelled events.
 CANCELLED = ["CANCELED:", "CANCELLED:", "KIM:", "KIM -"]
+#: So many bytes of texts, or one text, are Python strings at a time.
+PART_BYTES = 1 << 20
+#: Combining marks that a search form drops.
+MARKS = re.compile("[\u0300-\u036f]+")
 
 
 def fold(column: Column, *steps: tuple[str, str]) -> Column:
@@ -177,10 +186,32 @@ def blank_if_missing(text: Column) -> Column:
     return F.when(text.isNull() | text.startswith("None") | text.startswith("N/A"), "").otherwise(text)
 
 
-@F.pandas_udf(StringType())
-def search_form(texts: pd.Series) -> pd.Series:
-    """Lower case without combining marks (U+0300 to U+036F). Spark has no Unicode decomposition of its own."""
-    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not "\u0300" <= c <= "\u036f").lower())
+def part_sizes(texts: pa.Array) -> list[int]:
+    """Numbers of rows whose texts have some PART_BYTES together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    return np.unique(ends // PART_BYTES, return_counts=True)[1].tolist()
+
+
+def each_text(change: Callable[[str], str | None]):
+    """A column function that changes every text but nulls in Python. An Arrow batch may hold 64 MB; its texts are made into strings, changed and sent back in parts."""
+
+    @F.arrow_udf(StringType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            at = 0
+            for n in part_sizes(batch):
+                yield pa.array([None if t is None else change(t) for t in batch.slice(at, n).to_pylist()], pa.string())
+                at += n
+
+    return run
+
+
+def _search_form(text: str) -> str:
+    return text.lower() if text.isascii() else MARKS.sub("", unicodedata.normalize("NFD", text)).lower()
+
+
+#: Lower case without combining marks (U+0300 to U+036F). Spark has no Unicode decomposition of its own.
+search_form = each_text(_search_form)
 
 
 @F.pandas_udf(StringType())
