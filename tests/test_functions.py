@@ -153,3 +153,10 @@ def test_a_batch_of_texts_is_worked_on_in_parts():
             assert sum(sizes) - max(sizes) <= text.PART_BYTES
             at += len(part)
     assert list(text.search_form.func(iter([pa.array([], pa.string())]))) == []
+
+
+@pytest.mark.parametrize(("f", "given", "wanted"), [("decode_html", "a &amp; &eacute;" + "&lt;" * 100_000, "a & é" + "<" * 100_000), ("first_emoji", "x" * 400_000 + "\U0001F600", "\U0001F600")])
+def test_pages_and_emoji_are_worked_on_in_parts(f, given, wanted):
+    batch = pa.array([given, None, "", given] * 4, pa.string())
+    parts = list(getattr(text, f).func(iter([batch])))
+    assert len(parts) > 2 and [t for p in parts for t in p.to_pylist()] == [wanted, None, "" if f == "decode_html" else None, wanted] * 4

@@ -253,6 +253,16 @@ def test_dedup_against_the_rule():
         assert dict(enumerate(got)) == literal_dedup(events), events
 
 
+def test_chunks_of_a_table_in_parts_of_a_batch(spark):
+    rng = random.Random(8)
+    texts = [rng.choice([None, "", "x" * rng.randrange(400_000), "a\n\nb\n## c\n" * rng.randrange(900), "é" * 2_500]) for _ in range(60)]
+    rows = [(None if i % 7 == 0 else f"k{i}", t) for i, t in enumerate(texts)]
+    out = L.chunk(spark.createDataFrame(rows, "key string, body string").coalesce(1), "key", "body", 2_000)
+    assert out.dtypes == [("key", "string"), ("chunk_no", "int"), ("chunk", "string")]
+    assert [tuple(r) for r in out.collect()] == [(k, i, c) for k, t in rows if t for i, c in enumerate(L.cut_chunks(t, 2_000))]
+    assert "MapInPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_chunks_are_slices_of_the_text():
     assert L.cut_chunks("  a\n\nb  \n", 100) == ["  a\n\nb  \n"]
     rng = random.Random(6)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import html
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -214,21 +215,24 @@ def _search_form(text: str) -> str:
 search_form = each_text(_search_form)
 
 
-@F.pandas_udf(StringType())
-def decode_html(texts: pd.Series) -> pd.Series:
-    """All HTML entities decoded."""
-    import html
+#: All HTML entities decoded.
+decode_html = each_text(html.unescape)
 
-    return texts.map(lambda t: None if t is None else html.unescape(t))
 
+def _first_emoji(text: str) -> str | None:
+    return m[0] if (m := one_emoji().search(text)) else None
 
-@F.pandas_udf(StringType())
-def first_emoji(texts: pd.Series) -> pd.Series:
-    """The first emoji sequence, digits, # and * included, or null."""
+
+@functools.cache
+def one_emoji():
+    """The pattern of an emoji sequence; ``regex`` is needed only where it is used."""
     import regex
 
-    one = regex.compile(r"[\U0001F1E6-\U0001F1FF]{2}|\p{Emoji}(?:️⃣?|⃣)?[\U0001F3FB-\U0001F3FF]?(?:‍\p{Emoji}️?[\U0001F3FB-\U0001F3FF]?)*")
-    return texts.map(lambda t: None if not t or not (m := one.search(t)) else m[0])
+    return regex.compile(r"[\U0001F1E6-\U0001F1FF]{2}|\p{Emoji}(?:️⃣?|⃣)?[\U0001F3FB-\U0001F3FF]?(?:‍\p{Emoji}️?[\U0001F3FB-\U0001F3FF]?)*")
+
+
+#: The first emoji sequence, digits, # and * included, or null.
+first_emoji = each_text(_first_emoji)
 
 
 def is_country_flag(emoji: Column) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,14 +62,18 @@ def cut_chunks(text_: str, size: int = 90_000, overlap: int = 0) -> list[str]:
 
 
 def chunk(docs: DataFrame, key: str, body: str, size: int = 90_000, overlap: int = 0) -> DataFrame:
-    """(key, chunk_no, chunk) of every text; the cuts depend on each other, so a task walks through its texts."""
+    """(key, chunk_no, chunk) of every text; the cuts depend on each other, so a task walks through its texts, a part of a batch at a time."""
 
     def run(batches):
-        for pdf in batches:
-            rows = [(k, i, c) for k, t in zip(pdf[key], pdf[body], strict=True) if t for i, c in enumerate(cut_chunks(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_no", "chunk"])
-
-    return docs.select(key, body).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_no int, chunk string")
+        for batch in batches:
+            at = 0
+            for n in text.part_sizes(batch.column(1)):
+                part, at = batch.slice(at, n), at + n
+                cuts = [cut_chunks(t, size, overlap) if t else [] for t in part.column(1).to_pylist()]
+                of = np.repeat(np.arange(n), list(map(len, cuts)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array([i for c in cuts for i in range(len(c))], pa.int32()), pa.array([c for cut in cuts for c in cut], pa.string())], names=[key, "chunk_no", "chunk"])
+
+    return docs.select(key, body).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_no int, chunk string")
 
 
 def gazetteer(locations: DataFrame) -> DataFrame:
