@@ -150,8 +150,10 @@ def draw(key: str, kind: Column, canon: Column, gender: Column, attempt: int) ->
     for pattern, letter in CLASSES.items():
         classes = F.regexp_replace(classes, pattern, letter)
     classes = F.when(kind.isin("HEX", "IP6"), F.regexp_replace(form, "[0-9a-f]", HEX_CLASS)).otherwise(classes)
-    seed = lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), F.xxhash64(canon).cast("string"), F.sha2(canon, 256), kind, F.lit(str(attempt)), b.cast("string")), 256)
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.length(form) / 32).cast("int")), seed)
+    # the entity is hashed once: what stands in a lambda is worked out again for each block
+    seed = F.concat_ws("\x1f", F.lit(key), F.xxhash64(canon).cast("string"), F.sha2(canon, 256), kind, F.lit(str(attempt)))
+    numbers = F.sequence(F.lit(0), F.ceil(F.length(form) / 32).cast("int"))
+    blocks = F.get(F.transform(F.array(seed), lambda s: F.transform(numbers, lambda b: F.sha2(F.concat_ws("\x1f", s, b.cast("string")), 256))), F.lit(0))
     n = F.length(form)
     top = F.when(kind == "EMAIL", F.length(F.substring_index(form, ".", -1))).otherwise(0)
     held = F.when(kind == "KEY", 4).when(kind == "IBAN", 2).when((kind == "PHONE") & (n > 10), 2).otherwise(0)
