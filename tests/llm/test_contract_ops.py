@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -251,6 +252,53 @@ def test_cuts_are_the_best_ones():
         assert total == f[-1]
 
 
+def packed(monkeypatch, batches):
+    """What one packing task gives for lists of (doc_id, text)."""
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    made = (pa.RecordBatch.from_arrays([pa.array([i for i, _ in b], pa.int64()), pa.array([t for _, t in b], pa.string())], ["doc_id", "text"]) for b in batches)
+    return packing._pack(public_tokenizers.path("word_bpe_49k.json"), 2048, 1, True)(made)
+
+
+@pytest.mark.parametrize("size", [1, 300, 40_000])
+def test_sequences_run_on_over_parts_and_batches(monkeypatch, size):
+    """Every batch used to end in a padded sequence."""
+    monkeypatch.setattr(packing, "TOKENISED_BYTES", size, raising=False)
+    monkeypatch.setattr(packing, "OPEN_WINDOWS", 2, raising=False)
+    rng = random.Random(size)
+    text = lambda n: " ".join(rng.choice(["word", "end.", "Ωmega", "x" * rng.randrange(1, 9), "\n"]) for _ in range(n))
+    docs = [(i if i % 7 else None, None if i % 11 == 5 else text(rng.choice([0, 1, 30, 400, 3000]))) for i in range(150)] + [(500, "9" * 30_000), (501, text(30_000)), (502, "")]
+    got = [r for b in packed(monkeypatch, [docs[i : i + 3] for i in range(0, len(docs), 3)]) for r in b.to_pylist()]
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = [(i, [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in docs]
+    left, ends = iter(got), {}
+    for i, ids in want:  # in the order of the rows
+        at = 0
+        while at < len(ids):
+            r = next(left)
+            n = r["length"]
+            assert (r["doc_id"], r["start"], r["doc_tokens"], r["ids"]) == (i, at, len(ids), ids[at : at + n]) and n > 0
+            assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+            assert r["offset"] == ends.get(r["sequence_id"], 0)
+            ends[r["sequence_id"]] = r["offset"] + n
+            at += n
+    assert next(left, None) is None and sorted(ends) == list(range(3 << 36, (3 << 36) + len(ends))) and max(ends.values()) <= 2048
+    assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in ends.values()) <= 2048 + 0.02 * sum(ends.values())
+
+
+def test_a_packing_task_holds_a_part_of_a_batch(monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" + "." * (i % 15 == 0) for i in range(3000)]
+    batch = [(i, " ".join(rng.choices(words, k=700))) for i in range(4000)]
+    peaks = []
+    for n in (len(batch) // 4, len(batch)):
+        rows = [batch[:n]]
+        tracemalloc.start()
+        assert sum(sum(b.column(2).to_pylist()) for b in packed(monkeypatch, rows)) > n * 700
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] + 20, peaks
+
+
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_op7(spark, rows, keep_first):
     odd = [*rows, *((100 + i, "same line here 2024\n" + " ".join(f"u{i}x{j}" for j in range(60)), "h") for i in range(12)), (120, "same  LINE here 1999\n" * 3 + "tail", "h"), (121, "#a #b $ <|> word\nword\n\nword", None)]

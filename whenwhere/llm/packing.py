@@ -5,6 +5,8 @@ sentence ends (a small truncation penalty) or, in sentences longer than a window
 padding plus penalties is least: f[j] = min over i of f[i] + penalty[i] + padding(b[j] - b[i]). Padding falls linearly with the
 window's length, so a monotone queue gives the minimum in constant time; windows of a power of two tokens need no
 padding and are tried besides. Tasks pack on their own, with no shuffle: what a retry reads is what the first attempt read.
+A task goes through its rows in parts (TOKENISED_BYTES); the last windows of a part are cut anew with the next, so sequences run on over
+parts and batches, and what is held follows the size of a part or of one text, not of a batch.
 
 Defined results: a null or empty text is its end id alone. Rows with a null or repeated doc_id are packed like any other.
 An empty table gives no rows. Texts of any length are cut over several sequences. Extra columns are ignored.
@@ -29,8 +31,10 @@ SIZE, END_ID = 2048, 1
 #: In padding tokens: a cut at a sentence end, a cut inside a sentence, and each further sequence.
 SENTENCE_COST, WORD_COST, WINDOW_COST = 4, 64, 8
 SMALLEST_POWER = 32
-#: Bytes of text that are tokenised at a time; the more, the fewer words are looked up twice.
-TOKENISED_BYTES = 12 << 20
+#: Bytes of text that are tokenised and packed at a time: the more, the fewer words are looked up twice, the more memory a task takes.
+TOKENISED_BYTES = 2 << 20
+#: The last windows of them stay open: their ends may change with what follows.
+OPEN_WINDOWS = 16
 
 
 def tokenise(texts: pa.Array, encoder: WordEncoder, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,36 +109,65 @@ def cuts(b: np.ndarray, cost: np.ndarray, size: int) -> np.ndarray:
     return b[out[::-1]]
 
 
+class Open:
+    """What a task has tokenised and not yet given out: ids, the places where windows may end with their penalties, and the documents.
+
+    The first document may have begun before the ids held; its start is then below 0.
+    """
+
+    def __init__(self):
+        self.ids = np.zeros(0, np.uint32)
+        self.b = self.cost = np.zeros(1, np.int64)
+        self.doc, self.start, self.total = pa.array([], pa.int64()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, doc: pa.Array, ids: np.ndarray, offs: np.ndarray, sentences: np.ndarray, words: np.ndarray, size: int) -> None:
+        base = len(self.ids)
+        b, cost = boundaries(offs, sentences, words, size)
+        self.ids, self.b, self.cost = np.append(self.ids, ids), np.append(self.b, b[1:] + base), np.append(self.cost, cost[1:])
+        self.doc, self.start, self.total = pa.concat_arrays([self.doc, doc]), np.append(self.start, offs[:-1] + base), np.append(self.total, np.diff(offs))
+
+    def drop(self, stop: int) -> None:
+        """Forgets the ids before ``stop``, which is one of ``b``, and the documents that end there."""
+        at = int(np.searchsorted(self.b, stop))
+        row = int(np.searchsorted(self.start, stop, side="right")) - 1
+        self.ids, self.b, self.cost = self.ids[stop:].copy(), self.b[at:] - stop, self.cost[at:].copy()
+        self.doc, self.start, self.total = pa.concat_arrays([self.doc.slice(row)]), self.start[row:] - stop, self.total[row:].copy()
+
+
+def pieces(held: Open, w: np.ndarray, sequence: int, names: list, with_ids: bool) -> pa.RecordBatch:
+    """The pieces of documents in the windows between the places ``w``, from 0 on; the first window is number ``sequence``."""
+    stop = w[-1]
+    p = np.unique(np.concatenate([[0], held.start[(held.start > 0) & (held.start < stop)], w]))
+    a, n = p[:-1], np.diff(p)
+    row = np.searchsorted(held.start, a, side="right") - 1
+    window = np.searchsorted(w, a, side="right") - 1
+    little = held.ids.astype("<u4", copy=False)
+    crc = [zlib.crc32(little[i:j]) for i, j in zip(a.tolist(), p[1:].tolist(), strict=True)]
+    cols = [held.doc.take(pa.array(row)), pa.array(a - held.start[row]), pa.array(n), pa.array(crc, pa.int64()), pa.array(held.total[row]), pa.array(sequence + window), pa.array(a - w[window])]
+    if with_ids:
+        cols.append(pa.ListArray.from_arrays(pa.array(p, pa.int32()), pa.array(held.ids[:stop].view(np.int32))))
+    return pa.RecordBatch.from_arrays(cols, schema=pa.schema(names))
+
+
 def _pack(path: str, size: int, end_id: int, with_ids: bool):
     names = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     names += [("ids", pa.list_(pa.int32()))] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sequence = word_encoder(path), TaskContext.get().partitionId() << 36
+        held = Open()
         for batch in batches:
-            doc = batch.column(0)
             _, raw_offs = A.string_buffers(batch.column(1))
-            held, base = [], 0
             for r0, r1 in A.row_chunks(raw_offs, TOKENISED_BYTES):
-                ids, offs, sentences, words = tokenise(batch.column(1).slice(r0, r1 - r0), encoder, end_id)
-                held.append((ids, offs[:-1] + base, sentences + base, words + base))
-                base += len(ids)
-            if not held:
-                continue
-            ids, offs, sentences, words = (np.concatenate(x) for x in zip(*held, strict=True))
-            offs = np.append(offs, base)
-            w = cuts(*boundaries(offs, sentences, words, size), size)
-            p = np.unique(np.concatenate([offs, w]))
-            a, n = p[:-1], np.diff(p)
-            row = np.searchsorted(offs, a, side="right") - 1
-            window = np.searchsorted(w, a, side="right") - 1
-            little = ids.astype("<u4", copy=False)
-            crc = [zlib.crc32(little[i:j]) for i, j in zip(a.tolist(), p[1:].tolist(), strict=True)]
-            cols = [doc.take(pa.array(row)), pa.array(a - offs[row]), pa.array(n), pa.array(crc, pa.int64()), pa.array(np.diff(offs)[row]), pa.array(sequence + window), pa.array(a - w[window])]
-            if with_ids:
-                cols.append(pa.ListArray.from_arrays(pa.array(p - p[0], pa.int32()), pa.array(ids.astype(np.int32))))
-            sequence += len(w) - 1
-            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(names))
+                held.add(batch.column(0).slice(r0, r1 - r0), *tokenise(batch.column(1).slice(r0, r1 - r0), encoder, end_id), size)
+                if len(held.ids) > 2 * OPEN_WINDOWS * size:
+                    w = cuts(held.b, held.cost, size)
+                    w = w[: np.searchsorted(w, len(held.ids) - OPEN_WINDOWS * size, side="right")]
+                    yield pieces(held, w, sequence, names, with_ids)
+                    held.drop(int(w[-1]))
+                    sequence += len(w) - 1
+        if len(held.ids):
+            yield pieces(held, cuts(held.b, held.cost, size), sequence, names, with_ids)
 
     return run
 
