@@ -1,11 +1,15 @@
 """The dealt operators with a contract, against brute force on small tables with odd rows."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -299,6 +303,40 @@ def test_a_packing_task_holds_a_part_of_a_batch(monkeypatch):
     assert peaks[1] < 1.5 * peaks[0] + 20, peaks
 
 
+def test_words_are_hashed_a_part_of_a_batch_at_a_time():
+    rng = random.Random(5)
+    texts = pa.array([" ".join(f"{rng.randrange(36**5):06d}" for _ in range(500)) for _ in range(1100)])  # some 4 MB
+    list(substring_dedup._batch_windows(texts[:10], 13))
+    tracemalloc.start()
+    n = sum(len(keys) for keys, _, _ in substring_dedup._batch_windows(texts, 13))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert n == 1100 * 488 and peak < 60, peak
+
+
+def test_dropped_caches_give_memory_back():
+    code = """
+import re
+from whenwhere.llm import shared
+held = lambda: sum(map(int, re.findall(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+kept = []
+@shared.process_cache
+def words():
+    out = []
+    for i in range(400_000):  # what stays lies between what goes, as in a worker
+        out.append(("%09d" % i) * 60)
+        kept.append(b"x" * 600) if i % 2000 == 0 else None
+    return out
+words()
+before = held()
+shared.drop_caches()
+print(before, held())
+"""
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[2])}
+    before, after = map(float, subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout.split())
+    assert after < 0.4 * before, (before, after)
+
+
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_op7(spark, rows, keep_first):
     odd = [*rows, *((100 + i, "same line here 2024\n" + " ".join(f"u{i}x{j}" for j in range(60)), "h") for i in range(12)), (120, "same  LINE here 1999\n" * 3 + "tail", "h"), (121, "#a #b $ <|> word\nword\n\nword", None)]

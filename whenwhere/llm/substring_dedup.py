@@ -32,6 +32,8 @@ WINDOW_WORDS = 13
 SKETCH_ROWS, MAX_LOG_WIDTH = 2, 28
 ROW_FACTOR = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 FLUSH_KEYS = 2_000_000
+#: Bytes of text whose words are hashed at a time.
+HASHED_BYTES = 1 << 20
 
 
 def _slots(keys: np.ndarray, row: int, log_width: int) -> np.ndarray:
@@ -41,7 +43,7 @@ def _slots(keys: np.ndarray, row: int, log_width: int) -> np.ndarray:
 def _batch_windows(texts: pa.Array, k: int):
     """Chunks of (keys, row of each, word position of each)."""
     _, offs = A.string_buffers(texts)
-    for r0, r1 in A.row_chunks(offs):
+    for r0, r1 in A.row_chunks(offs, HASHED_BYTES):
         codes, words, ends = A.split_words(texts.slice(r0, r1 - r0))
         if len(codes) < k:
             continue
