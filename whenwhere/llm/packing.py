@@ -35,6 +35,8 @@ SMALLEST_POWER = 32
 TOKENISED_BYTES = 2 << 20
 #: The last windows of them stay open: their ends may change with what follows.
 OPEN_WINDOWS = 16
+#: Words whose ids a worker remembers, beside what other stages of a chain hold.
+REMEMBER = 150_000
 
 
 def tokenise(texts: pa.Array, encoder: WordEncoder, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,12 +151,12 @@ def pieces(held: Open, w: np.ndarray, sequence: int, names: list, with_ids: bool
     return pa.RecordBatch.from_arrays(cols, schema=pa.schema(names))
 
 
-def _pack(path: str, size: int, end_id: int, with_ids: bool):
+def _pack(path: str, size: int, end_id: int, with_ids: bool, remember: int = REMEMBER):
     names = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     names += [("ids", pa.list_(pa.int32()))] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = word_encoder(path), TaskContext.get().partitionId() << 36
+        encoder, sequence = word_encoder(path, remember), TaskContext.get().partitionId() << 36
         held = Open()
         for batch in batches:
             _, raw_offs = A.string_buffers(batch.column(1))
@@ -172,16 +174,16 @@ def _pack(path: str, size: int, end_id: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, remember: int = REMEMBER) -> DataFrame:
     """One row for each piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, the ids.
 
-    sequence_id says which task made it and is unique in one result.
+    sequence_id says which task made it and is unique in one result. A worker remembers the ids of ``remember`` words; more take less time and more memory.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     path = vocabulary or default_path("word_bpe_49k.json")
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pack(path, size, end_id, with_ids), schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pack(path, size, end_id, with_ids, remember), schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """The contract's digest of every piece."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False, remember=4 * REMEMBER)

@@ -99,7 +99,7 @@ class WordEncoder:
     pretoken by pretoken; all others take the library's whole chain.
     """
 
-    def __init__(self, path: str, keep: int = 150_000):
+    def __init__(self, path: str, keep: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.latin, self.ascii = regex.compile(WORD_PATTERN + r"|\n"), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+|\n")
@@ -135,6 +135,6 @@ class WordEncoder:
 
 
 @process_cache
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, keep: int) -> WordEncoder:
     """One encoder a worker process, so that its memory outlives a task."""
-    return WordEncoder(path)
+    return WordEncoder(path, keep)
